@@ -129,3 +129,336 @@ SELECT d.doc_id, coalesce(p.has_aml, false) AS has_aml, coalesce(p.split_cnt, 0)
             ELSE coalesce(k.names, '') END AS names
 FROM documents d LEFT JOIN per_doc p USING (doc_id) LEFT JOIN uniq_ner u USING (doc_id)
 LEFT JOIN uniq_picked k USING (doc_id)"""
+
+
+# ---------------------------------------------------------------- span and name fixtures
+ALL_SPANS_CTE = """
+atoks AS (
+  SELECT doc_id, chunk_idx, j, tok, regexp_matches(tok, '^[A-ZÀ-Þ]') AS cap FROM (
+    SELECT doc_id, chunk_idx, unnest(string_split(chunk, ' ')) AS tok,
+           generate_subscripts(string_split(chunk, ' '), 1) AS j FROM chunks) WHERE j <= 511
+),
+atagged AS (
+  SELECT *, CASE WHEN cap THEN CASE WHEN coalesce(lag(cap) OVER w, false) THEN 'I_NAME' ELSE 'B_NAME' END
+                 ELSE 'O' END AS tag
+  FROM atoks WINDOW w AS (PARTITION BY doc_id, chunk_idx ORDER BY j)
+),
+aspans AS (
+  SELECT doc_id, chunk_idx, span_id - 1 AS span_idx, min(j) AS b, max(j) AS e,
+         string_agg(replace(tok, '#', ''), ' ' ORDER BY j) AS text
+  FROM (SELECT *, sum(CASE WHEN tag = 'B_NAME' THEN 1 ELSE 0 END) OVER (
+          PARTITION BY doc_id, chunk_idx ORDER BY j) AS span_id FROM atagged WHERE tag <> 'O')
+  GROUP BY doc_id, chunk_idx, span_id
+),
+names5 AS (
+  SELECT doc_id, chunk_idx, span_idx, b, name,
+         CASE WHEN b % 5 = 0 AND length(name) >= 3
+              THEN substring(name, 1, 1) || '[UNK]' || substring(name, 3) ELSE name END AS name_u
+  FROM (SELECT *, array_to_string(list_slice(string_split(text, ' '), 1, 1 + b % 3), ' ') AS name FROM aspans)
+)"""
+
+MENTIONS_CTE = """
+mnames AS (
+  SELECT doc_id, chunk_idx, name, min(span_idx) AS ord FROM names5 WHERE length(name) >= 2
+  GROUP BY doc_id, chunk_idx, name
+),
+mocc(doc_id, chunk_idx, name, chunk, start0) AS (
+  SELECT n.doc_id, n.chunk_idx, n.name, c.chunk, instr(c.chunk, n.name) - 1
+  FROM mnames n JOIN chunks c USING (doc_id, chunk_idx) WHERE instr(c.chunk, n.name) > 0
+  UNION ALL
+  SELECT doc_id, chunk_idx, name, chunk,
+         start0 + length(name) + instr(substring(chunk, start0 + length(name) + 1), name) - 1
+  FROM mocc WHERE instr(substring(chunk, start0 + length(name) + 1), name) > 0
+),
+msums AS (
+  SELECT doc_id, chunk_idx, name, count(*) AS n_mentions,
+         sum((2 * k + 1) / 200.0) AS sp, sum((199 - 2 * k) / 200.0) AS sn,
+         max((2 * k + 1) / 200.0) AS mp, max((199 - 2 * k) / 200.0) AS mn
+  FROM (SELECT *, (doc_id * 13 + chunk_idx * 7 + start0) % 100 AS k FROM mocc)
+  GROUP BY doc_id, chunk_idx, name
+)"""
+
+ORACLE["e2_bio_decode"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT doc_id, chunk_idx, span_idx, 'NAME' AS slot_type, text, CAST(b AS INT) AS "begin", CAST(e AS INT) AS "end"
+FROM aspans"""
+
+ORACLE["d4_distinct_spans"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT c.doc_id, c.chunk_idx, coalesce(d.n, 0) AS n_names, coalesce(d.names, '') AS names
+FROM chunks c LEFT JOIN (
+  SELECT doc_id, chunk_idx, count(*) AS n, string_agg(text, '|' ORDER BY o) AS names
+  FROM (SELECT doc_id, chunk_idx, text, min(span_idx) AS o FROM aspans GROUP BY doc_id, chunk_idx, text)
+  GROUP BY doc_id, chunk_idx) d USING (doc_id, chunk_idx)"""
+
+ORACLE["b1_name_filter"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT doc_id, chunk_idx, span_idx, name_u, length(name_u) >= 2 AND NOT contains(name_u, '[UNK]') AS keep
+FROM names5"""
+
+ORACLE["b2_has_unk"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT doc_id, chunk_idx, bool_or(contains(name_u, '[UNK]')) AS has_unk, count(*) AS n_names
+FROM names5 GROUP BY doc_id, chunk_idx"""
+
+ORACLE["h25_fill_unk"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT doc_id, chunk_idx, span_idx, name, name_u,
+  coalesce(CASE
+    WHEN n > 2 AND p < n - 1 THEN CASE WHEN b0 >= 0 AND r > 0 THEN substring(chunk, b0 + 1, r) END
+    WHEN n > 2 AND p = n - 1 THEN CASE WHEN b1 >= 0 THEN substring(chunk, b1 + 1, n) END
+    WHEN n = 2 AND p = 0 THEN CASE WHEN e2 > 0 THEN substring(chunk, e2, 2) WHEN e2 = 0 THEN '' END
+    WHEN n = 2 AND p > 0 THEN CASE WHEN b0 >= 0 THEN substring(chunk, b0 + 1, 2) END
+  END, name_u) AS recovered
+FROM (
+  SELECT *, instr(chunk, substring(u, 1, 1)) - 1 AS b0,
+         CASE WHEN instr(chunk, substring(u, 1, 1)) > 0
+              THEN instr(substring(chunk, instr(chunk, substring(u, 1, 1))), substring(u, p + 2)) END AS r,
+         CASE WHEN p > 0 THEN instr(chunk, substring(u, 1, p)) - 1 ELSE 0 END AS b1,
+         instr(chunk, substring(u, 2, 1)) - 1 AS e2
+  FROM (
+    SELECT *, CASE WHEN n0 > 4 AND p < n0 - 1 THEN substring(u0, 1, p + 1) ELSE u0 END AS u,
+              CASE WHEN n0 > 4 AND p < n0 - 1 THEN p + 1 ELSE n0 END AS n
+    FROM (SELECT x.*, c.chunk, replace(x.name_u, '[UNK]', '#') AS u0,
+                 length(replace(x.name_u, '[UNK]', '#')) AS n0,
+                 instr(replace(x.name_u, '[UNK]', '#'), '#') - 1 AS p
+          FROM names5 x JOIN chunks c USING (doc_id, chunk_idx) WHERE contains(x.name_u, '[UNK]'))))"""
+
+ORACLE["b12_gender_rule"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT doc_id, chunk_idx, span_idx, name, NOT (length(name) = 2 AND regexp_matches(name, '[éè]')) AS keep
+FROM names5"""
+
+ORACLE["c5_subsumed_names"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT DISTINCT a.doc_id, a.name FROM names5 a
+WHERE length(a.name) = 2 AND EXISTS (
+  SELECT 1 FROM names5 b WHERE b.doc_id = a.doc_id AND b.name <> a.name AND contains(b.name, a.name))"""
+
+ORACLE["d3_unique_names"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """,
+firsts AS (SELECT doc_id, name, min(chunk_idx * 100000 + span_idx) AS o FROM names5 GROUP BY doc_id, name),
+kept AS (
+  SELECT * FROM firsts a
+  WHERE NOT (length(a.name) = 2 AND regexp_matches(a.name, '[éè]'))
+    AND NOT (length(a.name) = 2 AND EXISTS (
+      SELECT 1 FROM firsts b WHERE b.doc_id = a.doc_id AND b.name <> a.name AND contains(b.name, a.name)))
+)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_names, coalesce(k.names, '') AS names
+FROM (SELECT DISTINCT doc_id FROM names5) d
+LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(name, '|' ORDER BY o) AS names FROM kept GROUP BY doc_id) k
+USING (doc_id)"""
+
+ORACLE["c4_name_mentions"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
+SELECT doc_id, chunk_idx, name, CAST(start0 AS INT) AS start, CAST(start0 + length(name) AS INT) AS "end"
+FROM mocc"""
+
+ORACLE["h14_mention_sentence"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
+SELECT doc_id, chunk_idx, name, CAST(s AS INT) AS start, sentence, name || '[SEP]' || sentence AS pair_text
+FROM (
+  SELECT *, substring(chunk, lft + 1, greatest(rgt - lft, 0)) AS sentence FROM (
+    SELECT *,
+      CASE WHEN lo_r >= hi_r THEN L
+           WHEN length(regexp_extract(substring(chunk, lo_r + 1, greatest(hi_r - lo_r, 0)), '^[^.,!?]*', 0)) < hi_r - lo_r
+             THEN lo_r + length(regexp_extract(substring(chunk, lo_r + 1, greatest(hi_r - lo_r, 0)), '^[^.,!?]*', 0))
+           ELSE hi_r - 1 END AS rgt,
+      CASE WHEN lo_l >= hi_l THEN 0
+           WHEN length(regexp_extract(substring(chunk, lo_l + 1, greatest(hi_l - lo_l, 0)), '(?s)^.*[.,!?]', 0)) > 0
+             THEN lo_l + length(regexp_extract(substring(chunk, lo_l + 1, greatest(hi_l - lo_l, 0)), '(?s)^.*[.,!?]', 0))
+           ELSE lo_l + 1 END AS lft
+    FROM (SELECT doc_id, chunk_idx, name, chunk, start0 AS s, length(chunk) AS L,
+                 start0 + length(name) + 5 AS lo_r, least(length(chunk), start0 + length(name) + 25) AS hi_r,
+                 greatest(0, start0 - 25) AS lo_l, start0 - 5 AS hi_l
+          FROM mocc)))"""
+
+ORACLE["d5_name_score_sum"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
+SELECT doc_id, chunk_idx, name, n_mentions, round(sp, 6) AS sum_pos, round(sn, 6) AS sum_neg,
+       round(sp / (sp + sn), 9) > 0.25 AS passed
+FROM msums"""
+
+ORACLE["d6_name_score_max"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
+SELECT doc_id, chunk_idx, name, round(mp, 6) AS max_pos, round(mn, 6) AS max_neg,
+       mp > 0.95 OR mp > mn AS passed
+FROM msums"""
+
+ORACLE["k6_name_check"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
+SELECT c.doc_id, c.chunk_idx, coalesce(k.names, '') AS checked_names
+FROM (SELECT DISTINCT doc_id, chunk_idx FROM names5) c
+LEFT JOIN (
+  SELECT m.doc_id, m.chunk_idx, string_agg(m.name, '|' ORDER BY m.ord) AS names
+  FROM mnames m JOIN msums s USING (doc_id, chunk_idx, name)
+  WHERE NOT contains(m.name, '[UNK]') AND round(s.sp / (s.sp + s.sn), 9) > 0.25
+  GROUP BY m.doc_id, m.chunk_idx) k USING (doc_id, chunk_idx)"""
+
+# ---------------------------------------------------------------- gate and merge
+ORACLE["b3_rule_check"] = _with(CHUNKS_CTE) + """
+SELECT doc_id, chunk_idx, round((2 * k + 1) / 200.0, 6) AS p_pos, round((199 - 2 * k) / 200.0, 6) AS p_neg,
+       CAST((2 * k + 1) / 200.0 + 0.3 >= (199 - 2 * k) / 200.0 AS INT) AS label
+FROM (SELECT *, (doc_id * 37 + chunk_idx * 11) % 100 AS k FROM chunks)"""
+
+ORACLE["b4_keyword_hit"] = _with(CHUNKS_CTE, KEYWORDS_CTE) + """
+SELECT doc_id, chunk_idx,
+       chunk IN (SELECT keyword FROM keywords WHERE keyword <> '') AS hit_equals,
+       EXISTS (SELECT 1 FROM keywords WHERE keyword <> '' AND contains(chunk, keyword)) AS hit_contains
+FROM chunks"""
+
+ORACLE["k7_classify_chunks"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
+SELECT doc_id, chunk_idx, CAST(flag AS INT) AS label FROM scored"""
+
+ORACLE["b5_gate"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
+SELECT s.doc_id, s.chunk_idx, s.flag AS has_aml, coalesce(n.names, '') AS ner_names
+FROM scored s LEFT JOIN (SELECT doc_id, chunk_idx, string_agg(name, '|' ORDER BY ord) AS names
+                         FROM chunk_names GROUP BY doc_id, chunk_idx) n USING (doc_id, chunk_idx)"""
+
+ORACLE["k8_extract_names"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
+SELECT s.doc_id, s.chunk_idx, coalesce(n.cnt, 0) AS n_names, coalesce(n.names, '') AS ner_names
+FROM scored s LEFT JOIN (SELECT doc_id, chunk_idx, count(*) AS cnt, string_agg(name, '|' ORDER BY ord) AS names
+                         FROM chunk_names GROUP BY doc_id, chunk_idx) n USING (doc_id, chunk_idx)
+WHERE s.flag"""
+
+ORACLE["d1_merge_chunks"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
+SELECT p.doc_id, p.has_aml, p.split_cnt, coalesce(n.names, '') AS all_ner_names
+FROM per_doc p LEFT JOIN (SELECT doc_id, string_agg(name, '|' ORDER BY chunk_idx, ord) AS names
+                          FROM chunk_names GROUP BY doc_id) n USING (doc_id)"""
+
+ORACLE["d2_fallback_names"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
+SELECT d.doc_id,
+       CASE WHEN coalesce(k.names, '') = '' AND coalesce(p.has_aml, false) THEN coalesce(u.names, '')
+            ELSE coalesce(k.names, '') END AS names
+FROM documents d LEFT JOIN per_doc p USING (doc_id) LEFT JOIN uniq_ner u USING (doc_id)
+LEFT JOIN uniq_picked k USING (doc_id)"""
+
+# ---------------------------------------------------------------- string functions
+ORACLE["h1_clean_text"] = """
+SELECT doc_id, length(c) AS n, md5(c) AS h FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '[\\t\\n\\r\\p{Zs}]', ' ', 'g'),
+                                '[\\x{0}\\x{FFFD}\\p{Cc}\\p{Cf}]', '', 'g') AS c FROM documents)"""
+
+CJK_RANGES = ("\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}"
+              "\\x{2B740}-\\x{2B81F}\\x{2B820}-\\x{2CEAF}\\x{F900}-\\x{FAFF}\\x{2F800}-\\x{2FA1F}")
+
+ORACLE["h2_space_cjk"] = f"""
+SELECT doc_id, length(c) AS n, md5(c) AS h FROM (
+  SELECT doc_id, regexp_replace(text, '([{CJK_RANGES}])', ' \\1 ', 'g') AS c FROM documents)"""
+
+ORACLE["h3_strip_accents"] = """
+SELECT doc_id, length(c) AS n, md5(c) AS h FROM (SELECT doc_id, strip_accents(lower(text)) AS c FROM documents)"""
+
+PUNCT = "[!-/:-@\\[-`{-~\\p{P}]"
+
+ORACLE["h4_split_punct"] = f"""
+SELECT doc_id, length(c) AS n, md5(c) AS h FROM (
+  SELECT doc_id, regexp_replace(text, '({PUNCT})', ' \\1 ', 'g') AS c FROM documents)"""
+
+ORACLE["h5_basic_tokens"] = f"""
+SELECT doc_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS h FROM (
+  SELECT doc_id, list_filter(string_split_regex(trim(s, ' '), ' +'), lambda x: x <> '') AS toks FROM (
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(regexp_replace(text, '[\\t\\n\\r\\p{{Zs}}]', ' ', 'g'), '[\\x{{0}}\\x{{FFFD}}\\p{{Cc}}\\p{{Cf}}]', '', 'g'),
+        '([{CJK_RANGES}])', ' \\1 ', 'g'),
+        '({PUNCT})', ' \\1 ', 'g'), '[\\s\\x{{2028}}\\x{{2029}}]', ' ', 'g') AS s
+    FROM documents))"""
+
+ORACLE["h8_remove_symbols"] = """
+SELECT doc_id, length(c) AS n, md5(c) AS h FROM (
+  SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g') AS c FROM documents)"""
+
+ORACLE["h9_remove_whitespace"] = """
+SELECT doc_id, length(c) AS n, md5(c) AS h FROM (
+  SELECT doc_id, regexp_replace(text, '[ \\x{3000}\\t\\r\\n\\x{202F}]', '', 'g') AS c FROM documents)"""
+
+
+from ..functions import text as _T  # noqa: E402
+
+IP_RE, URL_RE = _T.IP_RE, _T.URL_RE
+
+ORACLE["h17_strip_ip_url"] = f"""
+SELECT doc_id, length(c) AS n, md5(c) AS h FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '{IP_RE}', '', 'g'), '{URL_RE}', '', 'g') AS c
+  FROM documents)"""
+
+ORACLE["h18_label_clean"] = """
+SELECT conv_id, turn, length(c) AS n, md5(c) AS h FROM (
+  SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+     '^( |　)*', ''), '( |　)*(\\n?)$', '\\2'), '\\t', ' ', 'g'), ' {2,}', ' ', 'g') AS c
+  FROM conversations)"""
+
+POSTS_CTE = """
+posts AS (
+  SELECT c_custkey AS post_id, concat_ws(chr(10),
+    '作者user' || c_custkey || '看板Food標題[食記] ' || c_name || '時間' || concat_ws(' ',
+        ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][c_custkey % 7 + 1],
+        ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][c_custkey % 12 + 1],
+        CAST(c_custkey % 28 + 1 AS VARCHAR), '12:34:56', '2019'),
+    CASE WHEN c_custkey % 3 <> 0 THEN '餐廳名稱：' || c_name || ' 本店' END,
+    CASE WHEN c_custkey % 3 <> 1 THEN '地址：No.' || c_custkey || ' ' || c_mktsegment || ' Road' END,
+    CASE WHEN c_custkey % 3 <> 2 THEN '電話：' || CASE WHEN c_custkey % 7 = 3 THEN 'N/A'
+         ELSE '02-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-'
+              || lpad(CAST((c_nationkey * 37) % 10000 AS VARCHAR), 4, '0') END END,
+    CASE WHEN c_custkey % 3 = 2 THEN 'Call 09' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || ' '
+         || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || ' ' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') END,
+    CASE WHEN c_custkey % 5 <> 0 THEN '消費時間：2019/' || (c_custkey % 12 + 1) || '/' || (c_custkey % 28 + 1) END,
+    '推 good',
+    '發信站 ptt.cc 來自: ' || (c_custkey % 256) || '.' || c_nationkey || '.1.' || (c_custkey % 100)
+  ) AS content FROM customer
+)"""
+
+
+def _grp(text, pattern, idx):
+    return f"CASE WHEN regexp_matches({text}, '{pattern}') THEN regexp_extract({text}, '{pattern}', {idx}) ELSE '' END"
+
+
+def _clean(x):
+    return (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^( |　)*', ''), "
+            f"'( |　)*(\\n?)$', '\\2'), '\\t', ' ', 'g'), ' {{2,}}', ' ', 'g')")
+
+
+def _post_date(t):
+    return _clean(_grp(t, _T.POST_DATE_RE, 1))
+
+
+def _place_name(t):
+    title = f"regexp_extract({t}, '{_T.TITLE_RE}', 1)"
+    title = f"regexp_replace({title}, '\\[.*\\]', '')"
+    title = f"regexp_replace({title}, 'Fw(:|：)*', '', 'g')"
+    title = f"regexp_replace({title}, '轉(寄|貼|帖)(:|：)', '', 'g')"
+    return (f"CASE WHEN regexp_matches({t}, '{_T.NAME_RE}') THEN {_clean(f'regexp_extract({t}, {chr(39)}{_T.NAME_RE}{chr(39)}, 3)')} "
+            f"WHEN regexp_matches({t}, '{_T.TITLE_RE}') THEN {_clean(title)} ELSE '' END")
+
+
+def _address(t):
+    return _clean(_grp(t, _T.ADDR_RE, 2))
+
+
+def _phone(t):
+    lab = _grp(t, _T.PHONE_LABEL_RE, 2)
+    dig = _clean(_grp(t, _T.PHONE_DIGITS_RE, 1))
+    ph = f"CASE WHEN {lab} <> '' THEN {lab} ELSE {dig} END"
+    return f"CASE WHEN ({ph}) IN ('無', 'NA', 'N/A', 'na', 'n/a', '不知', '沒有') THEN '' ELSE {ph} END"
+
+
+def _visit(t):
+    v = _clean(_grp(t, _T.VISIT_RE, 4))
+    return f"CASE WHEN {v} <> '' THEN {v} ELSE {_post_date(t)} END"
+
+
+_STRIPPED = f"regexp_replace(regexp_replace(content, '{IP_RE}', '', 'g'), '{URL_RE}', '', 'g')"
+
+ORACLE["h24_extract_post_fields"] = _with(POSTS_CTE) + f"""
+SELECT post_id, {_place_name('t')} AS name, {_phone('t')} AS phone, {_address('t')} AS address,
+       {_visit('t')} AS visit_date
+FROM (SELECT post_id, {_STRIPPED} AS t FROM posts)"""
+
+ORACLE["h19_post_date"] = _with(POSTS_CTE) + f"""
+SELECT post_id, {_post_date('content')} AS post_date FROM posts"""
+
+ORACLE["h20_place_name"] = _with(POSTS_CTE) + f"""
+SELECT post_id, {_place_name('content')} AS name FROM posts"""
+
+ORACLE["h21_address"] = _with(POSTS_CTE) + f"""
+SELECT post_id, {_address('content')} AS address FROM posts"""
+
+ORACLE["h22_phone"] = _with(POSTS_CTE) + f"""
+SELECT post_id, {_phone('t')} AS phone FROM (SELECT post_id, {_STRIPPED} AS t FROM posts)"""
+
+ORACLE["h23_visit_date"] = _with(POSTS_CTE) + f"""
+SELECT post_id, {_visit('content')} AS visit_date FROM posts"""
+
+ORACLE["b9_null_words"] = _with(POSTS_CTE) + """
+SELECT post_id, raw, CASE WHEN raw IN ('無', 'NA', 'N/A', 'na', 'n/a', '不知', '沒有') THEN '' ELSE raw END AS phone
+FROM (SELECT post_id, regexp_extract(content, '電話：([^\n]*)', 1) AS raw FROM posts)"""
+
+ORACLE["h26_request_digest"] = """
+SELECT doc_id, sha256(text || 'salt') AS digest FROM documents"""

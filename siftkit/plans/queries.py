@@ -53,3 +53,328 @@ def q_screen_articles(spark, sf_dir):
 def q_content_split(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", "chunk_idx", "chunk",
                                         F.length("chunk").alias("chunk_len"))
+
+
+# ---------------------------------------------------------------- chunk-level fixtures
+from ..functions import gate as G  # noqa: E402
+from ..functions import names as N  # noqa: E402
+from ..functions import spans as S  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..functions.splitting import mention_sentence  # noqa: E402
+
+
+def tagged_chunks(spark, sf_dir) -> DataFrame:
+    """F2 chunks with F4 tags decoded to spans (E2, word tokens joined by a space)."""
+    c = chunks(spark, sf_dir).select("doc_id", "chunk_idx", "chunk",
+                                     S.capital_tags(F.col("chunk")).alias("tg"))
+    return c.select("doc_id", "chunk_idx", "chunk",
+                    S.bio_spans("tg.tokens", "tg.tags", " ").alias("spans"))
+
+
+def names5(spark, sf_dir) -> DataFrame:
+    """NAME spans cut to 1-3 words (1 + begin % 3); ``name_u`` has an injected ``[UNK]``."""
+    s = tagged_chunks(spark, sf_dir).select(
+        "doc_id", "chunk_idx", "chunk",
+        F.posexplode(F.filter("spans", lambda x: x["slot_type"] == "NAME")).alias("span_idx", "span"))
+    b = F.col("span.begin")
+    name = F.array_join(F.slice(F.split("span.text", " "), F.lit(1), b % 3 + 1), " ")
+    s = s.select("doc_id", "chunk_idx", "chunk", "span_idx", b.alias("b"), name.alias("name"))
+    unk = F.when((F.col("b") % 5 == 0) & (F.length("name") >= 3),
+                 F.concat(F.substring("name", 1, 1), F.lit("[UNK]"), F.expr("substring(name, 3)"))
+                 ).otherwise(F.col("name"))
+    return s.withColumn("name_u", unk)
+
+
+def scored_chunks(spark, sf_dir) -> DataFrame:
+    """F2 with F3 scores and the keyword-rule gate (K7)."""
+    c = chunks(spark, sf_dir)
+    kw = fixtures.keywords(spark, sf_dir).select(F.collect_list("keyword")).scalar()
+    sc = fixtures.chunk_score(F.col("doc_id"), F.col("chunk_idx"))
+    return c.select("doc_id", "chunk_idx", "chunk", sc["p_pos"].alias("p_pos"), sc["p_neg"].alias("p_neg"),
+                    kw.alias("keywords"))
+
+
+def mention_rows(spark, sf_dir) -> DataFrame:
+    """C4 over distinct F5 names of each chunk (two characters or more)."""
+    n = (names5(spark, sf_dir).filter(F.length("name") >= 2)
+         .groupBy("doc_id", "chunk_idx", "chunk", "name").agg(F.min("span_idx").alias("ord")))
+    return n.select("doc_id", "chunk_idx", "chunk", "name", "ord",
+                    F.explode(N.mention_spans("chunk", "name")).alias("m")) \
+        .select("doc_id", "chunk_idx", "chunk", "name", "ord",
+                F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+
+
+@register("e2_bio_decode")
+def q_bio_decode(spark, sf_dir):
+    t = tagged_chunks(spark, sf_dir)
+    return t.select("doc_id", "chunk_idx", F.posexplode("spans").alias("span_idx", "s")).select(
+        "doc_id", "chunk_idx", "span_idx", "s.slot_type", "s.text", "s.begin", "s.end")
+
+
+@register("d4_distinct_spans")
+def q_distinct_spans(spark, sf_dir):
+    t = tagged_chunks(spark, sf_dir).select("doc_id", "chunk_idx", S.distinct_texts("spans", "NAME").alias("d"))
+    return t.select("doc_id", "chunk_idx", F.size("d").alias("n_names"), joined("d").alias("names"))
+
+
+@register("b1_name_filter")
+def q_name_filter(spark, sf_dir):
+    return names5(spark, sf_dir).select("doc_id", "chunk_idx", "span_idx", "name_u",
+                                        N.name_ok("name_u").alias("keep"))
+
+
+@register("b2_has_unk")
+def q_has_unk(spark, sf_dir):
+    n = names5(spark, sf_dir).groupBy("doc_id", "chunk_idx").agg(
+        N.has_unk(F.collect_list("name_u")).alias("has_unk"), F.count("*").alias("n_names"))
+    return n
+
+
+@register("h25_fill_unk")
+def q_fill_unk(spark, sf_dir):
+    n = names5(spark, sf_dir).filter(F.col("name_u").contains("[UNK]"))
+    return n.select("doc_id", "chunk_idx", "span_idx", "name", "name_u",
+                    S.fill_unk("chunk", "name_u").alias("recovered"))
+
+
+# Latin stand-ins for the gender words of the reference's Chinese names.
+LATIN_GENDER_WORDS = ("é", "è")
+
+
+@register("b12_gender_rule")
+def q_gender_rule(spark, sf_dir):
+    return names5(spark, sf_dir).select("doc_id", "chunk_idx", "span_idx", "name",
+                                        (~N.gendered("name", LATIN_GENDER_WORDS)).alias("keep"))
+
+
+def doc_names(spark, sf_dir) -> DataFrame:
+    """All F5 names of a document in order, as one array (bounded by the document)."""
+    n = names5(spark, sf_dir)
+    return n.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "span_idx", "name")))
+                                   .alias("l")).select("doc_id", F.transform("l", lambda x: x["name"]).alias("names"))
+
+
+@register("c5_subsumed_names")
+def q_subsumed(spark, sf_dir):
+    d = doc_names(spark, sf_dir)
+    return d.select("doc_id", F.explode(F.array_distinct(F.filter("names", lambda x: N.subsumed(x, F.col("names")))))
+                    .alias("name"))
+
+
+@register("d3_unique_names")
+def q_unique_names(spark, sf_dir):
+    d = doc_names(spark, sf_dir).select("doc_id", N.unique_names("names", LATIN_GENDER_WORDS).alias("u"))
+    return d.select("doc_id", F.size("u").alias("n_names"), joined("u").alias("names"))
+
+
+@register("c4_name_mentions")
+def q_mentions(spark, sf_dir):
+    return mention_rows(spark, sf_dir).select("doc_id", "chunk_idx", "name", "start", "end")
+
+
+@register("h14_mention_sentence")
+def q_mention_sentence(spark, sf_dir):
+    m = mention_rows(spark, sf_dir)
+    sent = mention_sentence(F.col("chunk"), F.col("start"), F.col("end"), LATIN_MARKS)
+    return m.select("doc_id", "chunk_idx", "name", "start", sent.alias("sentence"),
+                    screening.pair_text(F.col("name"), sent).alias("pair_text"))
+
+
+def mention_score_sums(spark, sf_dir) -> DataFrame:
+    m = mention_rows(spark, sf_dir)
+    sc = fixtures.mention_score(F.col("doc_id"), F.col("chunk_idx"), F.col("start"))
+    return m.groupBy("doc_id", "chunk_idx", "name").agg(
+        F.sum(sc["p_pos"]).alias("sp"), F.sum(sc["p_neg"]).alias("sn"),
+        F.max(sc["p_pos"]).alias("mp"), F.max(sc["p_neg"]).alias("mn"), F.count("*").alias("n_mentions"))
+
+
+@register("d5_name_score_sum")
+def q_score_sum(spark, sf_dir):
+    s = mention_score_sums(spark, sf_dir)
+    return s.select("doc_id", "chunk_idx", "name", "n_mentions", F.round("sp", 6).alias("sum_pos"),
+                    F.round("sn", 6).alias("sum_neg"), G.sum_rule("sp", "sn", 0.25).alias("passed"))
+
+
+@register("d6_name_score_max")
+def q_score_max(spark, sf_dir):
+    s = mention_score_sums(spark, sf_dir)
+    return s.select("doc_id", "chunk_idx", "name", F.round("mp", 6).alias("max_pos"),
+                    F.round("mn", 6).alias("max_neg"), G.max_rule("mp", "mn").alias("passed"))
+
+
+@register("k6_name_check")
+def q_name_check(spark, sf_dir):
+    n = names5(spark, sf_dir).groupBy("doc_id", "chunk_idx", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("span_idx", "name"))).alias("l"))
+    names = F.array_distinct(F.transform("l", lambda x: x["name"]))
+    checked = F.filter(names, lambda nm: screening.name_check(
+        F.col("doc_id"), F.col("chunk_idx"), F.col("chunk"), nm, marks=LATIN_MARKS))
+    return n.select("doc_id", "chunk_idx", joined(checked).alias("checked_names"))
+
+
+@register("b3_rule_check")
+def q_rule_check(spark, sf_dir):
+    c = scored_chunks(spark, sf_dir)
+    return c.select("doc_id", "chunk_idx", F.round("p_pos", 6).alias("p_pos"),
+                    F.round("p_neg", 6).alias("p_neg"), G.rule_check("p_pos", "p_neg", None, 0.3).alias("label"))
+
+
+@register("b4_keyword_hit")
+def q_keyword_hit(spark, sf_dir):
+    c = scored_chunks(spark, sf_dir)
+    return c.select("doc_id", "chunk_idx", G.keyword_hit("chunk", "keywords", "equals").alias("hit_equals"),
+                    G.keyword_hit("chunk", "keywords", "contains").alias("hit_contains"))
+
+
+@register("k7_classify_chunks")
+def q_classify_chunks(spark, sf_dir):
+    c = scored_chunks(spark, sf_dir)
+    hit = G.keyword_hit("chunk", "keywords", "equals")
+    return c.select("doc_id", "chunk_idx", G.rule_check("p_pos", "p_neg", hit, 0.3).alias("label"))
+
+
+def gated(spark, sf_dir) -> DataFrame:
+    c = scored_chunks(spark, sf_dir)
+    flag = G.rule_check("p_pos", "p_neg", G.keyword_hit("chunk", "keywords", "equals"), 0.3) == 1
+    return c.select("doc_id", "chunk_idx", "chunk", flag.alias("has_aml"))
+
+
+@register("b5_gate")
+def q_gate(spark, sf_dir):
+    g = gated(spark, sf_dir)
+    names = F.when(F.col("has_aml"), screening.chunk_names(F.col("doc_id"), F.col("chunk_idx"), F.col("chunk"))) \
+        .otherwise(F.array().cast("array<string>"))
+    return g.select("doc_id", "chunk_idx", "has_aml", joined(names).alias("ner_names"))
+
+
+@register("k8_extract_names")
+def q_extract_names(spark, sf_dir):
+    g = gated(spark, sf_dir).filter("has_aml")
+    names = screening.chunk_names(F.col("doc_id"), F.col("chunk_idx"), F.col("chunk"))
+    return g.select("doc_id", "chunk_idx", F.size(names).alias("n_names"), joined(names).alias("ner_names"))
+
+
+@register("d1_merge_chunks")
+def q_merge_chunks(spark, sf_dir):
+    g = gated(spark, sf_dir)
+    names = F.when(F.col("has_aml"), screening.chunk_names(F.col("doc_id"), F.col("chunk_idx"), F.col("chunk"))) \
+        .otherwise(F.array().cast("array<string>"))
+    per = g.select("doc_id", "chunk_idx", "has_aml", names.alias("ner_names"))
+    m = per.groupBy("doc_id").agg(
+        F.bool_or("has_aml").alias("has_aml"), F.count("*").alias("split_cnt"),
+        F.sort_array(F.collect_list(F.struct("chunk_idx", "ner_names"))).alias("rs"))
+    return m.select("doc_id", "has_aml", "split_cnt",
+                    joined(F.flatten(F.transform("rs", lambda r: r["ner_names"]))).alias("all_ner_names"))
+
+
+@register("d2_fallback_names")
+def q_fallback(spark, sf_dir):
+    docs = fixtures.articles(spark, sf_dir)
+    out = screening.screen_articles(docs, fixtures.keywords(spark, sf_dir), max_len=CHUNK_LEN)
+    return out.select("doc_id", joined("names").alias("names"))
+
+
+# ---------------------------------------------------------------- string functions
+def docs(spark, sf_dir) -> DataFrame:
+    return fixtures.articles(spark, sf_dir)
+
+
+@register("h1_clean_text")
+def q_clean_text(spark, sf_dir):
+    c = T.clean_text("text")
+    return docs(spark, sf_dir).select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h2_space_cjk")
+def q_space_cjk(spark, sf_dir):
+    c = T.space_cjk("text")
+    return docs(spark, sf_dir).select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h3_strip_accents")
+def q_strip_accents(spark, sf_dir):
+    c = T.strip_accents(F.lower("text"))
+    return docs(spark, sf_dir).select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h4_split_punct")
+def q_split_punct(spark, sf_dir):
+    c = T.split_punct("text")
+    return docs(spark, sf_dir).select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h5_basic_tokens")
+def q_basic_tokens(spark, sf_dir):
+    c = T.basic_tokens("text", lower=False)
+    return docs(spark, sf_dir).select("doc_id", F.size(c).alias("n_tokens"), F.md5(F.array_join(c, " ")).alias("h"))
+
+
+@register("h8_remove_symbols")
+def q_remove_symbols(spark, sf_dir):
+    c = T.remove_symbols("text")
+    return docs(spark, sf_dir).select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h9_remove_whitespace")
+def q_remove_whitespace(spark, sf_dir):
+    c = T.remove_whitespace("text")
+    return docs(spark, sf_dir).select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h17_strip_ip_url")
+def q_strip_ip_url(spark, sf_dir):
+    c = T.strip_url(T.strip_ip("text"))
+    return docs(spark, sf_dir).select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h18_label_clean")
+def q_label_clean(spark, sf_dir):
+    c = T.label_clean("text")
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", F.length(c).alias("n"), F.md5(c).alias("h"))
+
+
+@register("h24_extract_post_fields")
+def q_post_fields(spark, sf_dir):
+    p = fixtures.posts(spark, sf_dir)
+    f = T.post_fields("content")
+    return p.select("post_id", f["name"].alias("name"), f["phone"].alias("phone"),
+                    f["address"].alias("address"), f["visit_date"].alias("visit_date"))
+
+
+@register("h19_post_date")
+def q_post_date(spark, sf_dir):
+    return fixtures.posts(spark, sf_dir).select("post_id", T.post_date("content").alias("post_date"))
+
+
+@register("h20_place_name")
+def q_place_name(spark, sf_dir):
+    return fixtures.posts(spark, sf_dir).select("post_id", T.place_name("content").alias("name"))
+
+
+@register("h21_address")
+def q_address(spark, sf_dir):
+    return fixtures.posts(spark, sf_dir).select("post_id", T.address("content").alias("address"))
+
+
+@register("h22_phone")
+def q_phone(spark, sf_dir):
+    t = T.strip_url(T.strip_ip("content"))
+    return fixtures.posts(spark, sf_dir).select("post_id", T.phone(t).alias("phone"))
+
+
+@register("h23_visit_date")
+def q_visit_date(spark, sf_dir):
+    return fixtures.posts(spark, sf_dir).select("post_id", T.visit_date("content").alias("visit_date"))
+
+
+@register("b9_null_words")
+def q_null_words(spark, sf_dir):
+    p = fixtures.posts(spark, sf_dir)
+    raw = F.regexp_extract("content", "電話：([^\n]*)", 1)
+    return p.select("post_id", raw.alias("raw"), T.null_words(raw).alias("phone"))
+
+
+@register("h26_request_digest")
+def q_digest(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.request_digest("text", "salt").alias("digest"))

@@ -55,3 +55,43 @@ def keywords(spark: SparkSession, sf_dir: str, n: int = KEYWORD_COUNT,
     return (w.groupBy("word").count()
             .orderBy(F.col("count").desc(), F.col("word").asc())
             .limit(n).select(F.col("word").alias("keyword")))
+
+
+# Fixed values of the post fixture (F12): field words of the forum-post format.
+_WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one forum post per customer with labelled fields.
+
+    Every third row misses one field (by ``c_custkey % 3``: name, address,
+    phone), a phone-less row carries a bare number instead, every seventh
+    phone is ``N/A``, every fifth visit date is missing, and each post ends
+    with a URL and an IP line.
+    """
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    wd = F.element_at(F.array(*[F.lit(x) for x in _WEEKDAYS]), (k % 7 + 1).cast("int"))
+    mo = F.element_at(F.array(*[F.lit(x) for x in _MONTHS]), (k % 12 + 1).cast("int"))
+    date = F.concat_ws(" ", wd, mo, (k % 28 + 1).cast("string"), F.lit("12:34:56"), F.lit("2019"))
+    phone = F.when(k % 7 == 3, F.lit("N/A")).otherwise(F.concat(
+        F.lit("02-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-"),
+        F.lpad(((F.col("c_nationkey") * 37) % 10000).cast("string"), 4, "0")))
+    lines = [
+        F.concat(F.lit("作者user"), k.cast("string"), F.lit("看板Food標題[食記] "), F.col("c_name"),
+                 F.lit("時間"), date),
+        F.when(k % 3 != 0, F.concat(F.lit("餐廳名稱："), F.col("c_name"), F.lit(" 本店"))),
+        F.when(k % 3 != 1, F.concat(F.lit("地址：No."), k.cast("string"), F.lit(" "),
+                                    F.col("c_mktsegment"), F.lit(" Road"))),
+        F.when(k % 3 != 2, F.concat(F.lit("電話："), phone)),
+        F.when(k % 3 == 2, F.concat(F.lit("Call 09"), F.lpad((k % 100).cast("string"), 2, "0"),
+                                    F.lit(" "), F.lpad(F.col("c_nationkey").cast("string"), 3, "0"),
+                                    F.lit(" "), F.lpad((k % 1000).cast("string"), 3, "0"))),
+        F.when(k % 5 != 0, F.concat(F.lit("消費時間：2019/"), (k % 12 + 1).cast("string"), F.lit("/"),
+                                    (k % 28 + 1).cast("string"))),
+        F.lit("推 good"),
+        F.concat(F.lit("發信站 ptt.cc 來自: "), (k % 256).cast("string"), F.lit("."),
+                 F.col("c_nationkey").cast("string"), F.lit(".1."), (k % 100).cast("string")),
+    ]
+    return spread(c.select(k.alias("post_id"), F.concat_ws("\n", *lines).alias("content")))
