@@ -462,3 +462,190 @@ FROM (SELECT post_id, regexp_extract(content, '電話：([^\n]*)', 1) AS raw FRO
 
 ORACLE["h26_request_digest"] = """
 SELECT doc_id, sha256(text || 'salt') AS digest FROM documents"""
+
+
+# ---------------------------------------------------------------- metrics
+PAIRS_CTE = """
+pairs AS (SELECT l_orderkey, l_linenumber AS gold, l_partkey % 7 + 1 AS pred,
+                 CASE WHEN l_suppkey % 5 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS w FROM lineitem),
+cm AS (SELECT gold, pred, sum(w) AS n FROM pairs GROUP BY gold, pred),
+stats AS (
+  SELECT cls, sum(d) AS diag, sum(p) AS n_pred, sum(g) AS n_gold FROM (
+    SELECT gold AS cls, n AS g, 0.0::DOUBLE AS p, CASE WHEN gold = pred THEN n ELSE 0.0 END::DOUBLE AS d FROM cm
+    UNION ALL SELECT pred AS cls, 0.0::DOUBLE, n, 0.0::DOUBLE FROM cm) GROUP BY cls),
+listed AS (
+  SELECT c.cls, coalesce(s.diag, 0.0) AS diag, coalesce(s.n_pred, 0.0) AS n_pred, coalesce(s.n_gold, 0.0) AS n_gold
+  FROM (SELECT unnest([0, 2, 3, 4, 5, 6, 7]) AS cls) c LEFT JOIN stats s USING (cls)),
+per_class AS (
+  SELECT *, CASE WHEN n_pred = 0 THEN 0.0 ELSE diag / n_pred END AS p,
+            CASE WHEN n_gold = 0 THEN 0.0 ELSE diag / n_gold END AS r FROM listed)"""
+
+
+def _fb(p, r, beta):
+    b2 = beta * beta
+    return f"CASE WHEN {b2} * {p} + {r} = 0 THEN 0.0 ELSE (1.0 + {b2}) * {p} * {r} / ({b2} * {p} + {r}) END"
+
+
+ORACLE["d7_confusion_matrix"] = _with(PAIRS_CTE) + """
+SELECT gold, pred, round(n, 6) AS n FROM cm"""
+
+ORACLE["d8_prf_micro"] = _with(PAIRS_CTE) + f"""
+SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({_fb('p', 'r', 1.0)}, 6) AS fbeta FROM (
+  SELECT CASE WHEN sum(n_pred) = 0 THEN 0.0 ELSE sum(diag) / sum(n_pred) END AS p,
+         CASE WHEN sum(n_gold) = 0 THEN 0.0 ELSE sum(diag) / sum(n_gold) END AS r FROM listed)"""
+
+ORACLE["d9_prf_macro"] = _with(PAIRS_CTE) + f"""
+SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg({_fb('p', 'r', 2.0)}), 6) AS fbeta
+FROM per_class"""
+
+ORACLE["d10_prf_weighted"] = _with(PAIRS_CTE) + f"""
+SELECT round(CASE WHEN sum(n_gold) = 0 THEN 0.0 ELSE sum(p * n_gold) / sum(n_gold) END, 6) AS precision,
+       round(CASE WHEN sum(n_gold) = 0 THEN 0.0 ELSE sum(r * n_gold) / sum(n_gold) END, 6) AS recall,
+       round(CASE WHEN sum(n_gold) = 0 THEN 0.0 ELSE sum({_fb('p', 'r', 0.5)} * n_gold) / sum(n_gold) END, 6) AS fbeta
+FROM per_class"""
+
+ORACLE["d11_prf_present"] = _with(PAIRS_CTE) + """,
+ucm AS (SELECT gold, pred, count(*)::DOUBLE AS n FROM pairs GROUP BY gold, pred),
+ustats AS (
+  SELECT cls, sum(d) AS diag, sum(p) AS n_pred, sum(g) AS n_gold FROM (
+    SELECT gold AS cls, n AS g, 0.0::DOUBLE AS p, CASE WHEN gold = pred THEN n ELSE 0.0 END::DOUBLE AS d FROM ucm
+    UNION ALL SELECT pred AS cls, 0.0::DOUBLE, n, 0.0::DOUBLE FROM ucm) GROUP BY cls),
+uper AS (SELECT *, CASE WHEN n_pred = 0 THEN 0.0 ELSE diag / n_pred END AS p,
+                   CASE WHEN n_gold = 0 THEN 0.0 ELSE diag / n_gold END AS r FROM ustats)
+SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+       round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 6) AS f1,
+       round(sum(diag) / sum(n_gold), 6) AS accuracy
+FROM uper"""
+
+ORACLE["d12_accuracy"] = _with(PAIRS_CTE) + """
+SELECT round(sum(CASE WHEN gold = pred THEN w ELSE 0.0 END) / sum(w), 6) AS accuracy FROM pairs"""
+
+ML_CTE = """
+ml AS (
+  SELECT doc_id, cls, m::DOUBLE / 100.0 AS prob, (m - 50)::DOUBLE / 10.0 AS logit,
+         CASE WHEN cls % 2 = 0 THEN quality ELSE toxic END AS gold
+  FROM (SELECT doc_id, quality, toxic, cls, (doc_id * (cls * 7 + 13) + cls * 5) % 100 AS m
+        FROM labels, (SELECT unnest([0, 1, 2, 3]) AS cls) c)),
+grid AS (SELECT range AS i, CASE WHEN range = 0 THEN -1e-7 WHEN range = 199 THEN 1 + 1e-7
+                                 ELSE range / 199.0 END::DOUBLE AS t FROM range(200)),
+sweep AS (
+  SELECT cls, i, t, tp, fp, fn, tp / (1e-7 + tp + fp) AS p, tp / (1e-7 + tp + fn) AS r FROM (
+    SELECT cls, i, t,
+           sum(CASE WHEN prob > t AND gold = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp,
+           sum(CASE WHEN prob > t AND gold = 0 THEN 1 ELSE 0 END)::DOUBLE AS fp,
+           sum(CASE WHEN prob <= t AND gold = 1 THEN 1 ELSE 0 END)::DOUBLE AS fn
+    FROM ml, grid GROUP BY GROUPING SETS ((cls, i, t), (i, t)))),
+best AS (
+  SELECT * FROM (
+    SELECT *, 2.0 * p * r / (p + r + 1e-7) AS f,
+           row_number() OVER (PARTITION BY cls ORDER BY 2.0 * p * r / (p + r + 1e-7) DESC, i ASC) AS rn
+    FROM sweep) WHERE rn = 1)"""
+
+SIGCE = "(greatest(logit, 0.0) - logit * gold + ln(1 + exp(-abs(logit))))"
+
+ORACLE["d13_mean_loss"] = _with(ML_CTE) + f"""
+SELECT round(avg({SIGCE}), 6) AS mean_loss FROM ml"""
+
+ORACLE["d14_best_f1_threshold"] = _with(ML_CTE) + """
+SELECT cls, round(f, 6) AS best_f1, round(p, 6) AS precision, round(r, 6) AS recall, round(t, 6) AS threshold
+FROM best"""
+
+ORACLE["d15_prf_per_class"] = _with(ML_CTE) + """
+SELECT cls, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM (
+  SELECT cls, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS p,
+              CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS r FROM (
+    SELECT m.cls, sum(CASE WHEN gold = 1 AND prob > t THEN 1 ELSE 0 END)::DOUBLE AS tp,
+           sum(CASE WHEN gold = 0 AND prob > t THEN 1 ELSE 0 END)::DOUBLE AS fp,
+           sum(CASE WHEN gold = 1 AND NOT prob > t THEN 1 ELSE 0 END)::DOUBLE AS fn
+    FROM ml m JOIN best b ON b.cls = m.cls GROUP BY GROUPING SETS ((m.cls), ())))"""
+
+ORACLE["d16_auc_per_class"] = _with(ML_CTE) + """
+SELECT a.cls, round(sum(CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0.0 END)
+                    / (count(*)), 6) AS auc
+FROM ml a JOIN ml b ON a.cls = b.cls AND a.gold = 1 AND b.gold = 0 GROUP BY a.cls"""
+
+LABELS_CTE = """
+plabels AS (SELECT doc_id, string_split(trim('[' || lang || ', ' || source || ']', '[]'), ', ') AS labels
+            FROM documents),
+lmap AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id
+         FROM (SELECT DISTINCT unnest(labels) AS label FROM plabels))"""
+
+ORACLE["d17_class_weights"] = _with(LABELS_CTE) + """
+SELECT label, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight FROM (
+  SELECT label, count(*) AS n_c FROM (
+    SELECT unnest(labels) AS label FROM plabels UNION ALL SELECT '[CLS]') GROUP BY label)"""
+
+ORACLE["i2_softmax"] = _with(ML_CTE) + """
+SELECT doc_id, cls, round(exp(logit - lse), 6) AS softmax, round(logit - lse, 6) AS log_softmax FROM (
+  SELECT *, ln(sum(exp(logit - mx)) OVER (PARTITION BY doc_id)) + mx AS lse FROM (
+    SELECT *, max(logit) OVER (PARTITION BY doc_id) AS mx FROM ml))"""
+
+ORACLE["i3_cross_entropy"] = _with(ML_CTE) + """
+SELECT doc_id, round(-(max(CASE WHEN cls = y THEN logit END) - max(lse)), 6) AS cross_entropy FROM (
+  SELECT m.*, l.quality + 2 * l.toxic AS y,
+         ln(sum(exp(logit - mx)) OVER (PARTITION BY m.doc_id)) + mx AS lse FROM (
+    SELECT *, max(logit) OVER (PARTITION BY doc_id) AS mx FROM ml) m JOIN labels l USING (doc_id))
+GROUP BY doc_id"""
+
+ORACLE["i4_sigmoid_squared_error"] = _with(ML_CTE) + """
+SELECT doc_id, cls, round(1.0 / (1.0 + exp(-logit)), 6) AS sigmoid,
+       round(pow(1.0 / (1.0 + exp(-logit)) - gold, 2), 6) AS sq_err FROM ml"""
+
+ORACLE["i5_sigmoid_cross_entropy"] = _with(ML_CTE) + f"""
+SELECT doc_id, cls, round({SIGCE}, 6) AS loss FROM ml"""
+
+ORACLE["i6_weighted_cross_entropy"] = _with(ML_CTE) + """,
+q AS (SELECT cls, CASE WHEN sum(gold) = 0 THEN 0.0 ELSE count(*) / (2.0 * sum(gold)) END AS q FROM ml GROUP BY cls)
+SELECT doc_id, round(sum((1 - gold) * logit + (1 + (q - 1) * gold) * (ln(1 + exp(-abs(logit))) + greatest(-logit, 0.0))), 6) AS loss
+FROM ml JOIN q USING (cls) GROUP BY doc_id"""
+
+ORACLE["i7_safe_div"] = """
+SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax = 0 THEN 0.0 ELSE l_discount / l_tax END, 6) AS ratio
+FROM lineitem"""
+
+ORACLE["i1_stamp"] = """
+SELECT event_id, epoch_us(ts) // 1000 AS epoch_ms, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS epoch_s,
+       strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp
+FROM events"""
+
+ORACLE["f1_argmax_class"] = _with(ML_CTE) + """
+SELECT doc_id, CAST(min(cls) FILTER (WHERE logit = mx) AS INT) AS argmax FROM (
+  SELECT *, max(logit) OVER (PARTITION BY doc_id) AS mx FROM ml) GROUP BY doc_id"""
+
+ORACLE["b6_threshold_labels"] = _with(ML_CTE) + """
+SELECT doc_id, string_agg(CAST(m.cls AS VARCHAR) || ':' || CAST(prob AS VARCHAR), '|' ORDER BY m.cls) AS labels
+FROM ml m JOIN best b ON b.cls = m.cls WHERE prob >= b.t GROUP BY doc_id"""
+
+ORACLE["b10_drop_padding"] = _with(PAIRS_CTE) + """
+SELECT gold, count(*) AS n_real FROM pairs WHERE w > 0 GROUP BY gold"""
+
+ORACLE["d20_compare_rates"] = _with(PAIRS_CTE) + """
+SELECT round(avg(CASE WHEN intent_ok THEN 1.0 ELSE 0.0 END), 6) AS intent_rate,
+       round(avg(CASE WHEN slot_ok THEN 1.0 ELSE 0.0 END), 6) AS slot_rate,
+       round(avg(CASE WHEN intent_ok AND slot_ok THEN 1.0 ELSE 0.0 END), 6) AS frame_rate
+FROM (SELECT l_orderkey, max(gold) = max(pred) AS intent_ok, bool_and(gold = pred) AS slot_ok
+      FROM pairs GROUP BY l_orderkey)"""
+
+ORACLE["g3_complement_classes"] = _with(PAIRS_CTE) + """
+SELECT DISTINCT gold AS cls FROM pairs WHERE gold NOT IN (0, 2, 3, 4, 5, 6, 7)"""
+
+ORACLE["g4_union_results"] = _with(CHUNKS_CTE) + """
+SELECT doc_id, count(*) AS split_cnt, sum(length(chunk)) AS n_chars FROM chunks GROUP BY doc_id"""
+
+ORACLE["j6_parse_label_list"] = _with(LABELS_CTE) + """
+SELECT doc_id, len(labels) AS n, array_to_string(labels, '|') AS labels FROM plabels"""
+
+ORACLE["e4_dense_label_ids"] = _with(LABELS_CTE) + """
+SELECT label, CAST(id AS INT) AS id FROM lmap"""
+
+ORACLE["g2_label_vocab"] = _with(LABELS_CTE) + """
+SELECT DISTINCT label FROM (SELECT unnest(labels) AS label FROM plabels UNION ALL SELECT 'NAME' UNION ALL SELECT '[CLS]')"""
+
+ORACLE["j7_multi_hot"] = _with(LABELS_CTE) + """
+SELECT p.doc_id, string_agg(CASE WHEN list_contains(p.labels, m.label) THEN '1' ELSE '0' END, '' ORDER BY m.id) AS multi_hot
+FROM plabels p, lmap m GROUP BY p.doc_id"""
+
+ORACLE["j8_one_hot"] = """
+SELECT doc_id, string_agg(CASE WHEN c = quality + 2 * toxic THEN '1' ELSE '0' END, '' ORDER BY c) AS one_hot
+FROM labels, (SELECT unnest([0, 1, 2, 3]) AS c) x GROUP BY doc_id"""

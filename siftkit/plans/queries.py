@@ -378,3 +378,251 @@ def q_null_words(spark, sf_dir):
 @register("h26_request_digest")
 def q_digest(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.request_digest("text", "salt").alias("digest"))
+
+
+# ---------------------------------------------------------------- metrics
+from ..operators import metrics as M  # noqa: E402
+
+POS_CLASSES = (0, 2, 3, 4, 5, 6, 7)
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _prf_out(df):
+    return df.select(*[r6(F.col(c)).alias(c) for c in df.columns])
+
+
+@register("d7_confusion_matrix")
+def q_confusion(spark, sf_dir):
+    return M.confusion_matrix(fixtures.class_pairs(spark, sf_dir), "gold", "pred", "w") \
+        .select("gold", "pred", r6(F.col("n")).alias("n"))
+
+
+@register("d8_prf_micro")
+def q_prf_micro(spark, sf_dir):
+    cm = M.confusion_matrix(fixtures.class_pairs(spark, sf_dir), "gold", "pred", "w")
+    return _prf_out(M.prf(cm, POS_CLASSES, 1.0, "micro"))
+
+
+@register("d9_prf_macro")
+def q_prf_macro(spark, sf_dir):
+    cm = M.confusion_matrix(fixtures.class_pairs(spark, sf_dir), "gold", "pred", "w")
+    return _prf_out(M.prf(cm, POS_CLASSES, 2.0, "macro"))
+
+
+@register("d10_prf_weighted")
+def q_prf_weighted(spark, sf_dir):
+    cm = M.confusion_matrix(fixtures.class_pairs(spark, sf_dir), "gold", "pred", "w")
+    return _prf_out(M.prf(cm, POS_CLASSES, 0.5, "weighted"))
+
+
+@register("d11_prf_present")
+def q_prf_present(spark, sf_dir):
+    return _prf_out(M.prf_present(fixtures.class_pairs(spark, sf_dir), "gold", "pred"))
+
+
+@register("d12_accuracy")
+def q_accuracy(spark, sf_dir):
+    return _prf_out(M.accuracy(fixtures.class_pairs(spark, sf_dir), "gold", "pred", "w"))
+
+
+def sigmoid_ce(x, z):
+    """``max(x,0) - x*z + log1p(exp(-|x|))``."""
+    return F.greatest(x, F.lit(0.0)) - x * z + F.log1p(F.exp(-F.abs(x)))
+
+
+@register("d13_mean_loss")
+def q_mean_loss(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir).withColumn(
+        "loss", sigmoid_ce(F.col("logit"), F.col("gold").cast("double")))
+    return _prf_out(M.mean_loss(s, "loss"))
+
+
+def best_thresholds(spark, sf_dir):
+    return M.best_f1_threshold(fixtures.multilabel_scores(spark, sf_dir), "cls", "gold", "prob")
+
+
+@register("d14_best_f1_threshold")
+def q_best_f1(spark, sf_dir):
+    b = best_thresholds(spark, sf_dir)
+    return b.select("cls", *[r6(F.col(c)).alias(c) for c in ("best_f1", "precision", "recall", "threshold")])
+
+
+@register("d15_prf_per_class")
+def q_prf_per_class(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    t = best_thresholds(spark, sf_dir).filter(F.col("cls").isNotNull()).select("cls", "threshold")
+    pred = s.join(t, "cls").withColumn("pred", (F.col("prob") > F.col("threshold")).cast("int"))
+    out = M.binary_prf(pred, "gold", "pred", group="cls")
+    return out.select("cls", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("d16_auc_per_class")
+def q_auc(spark, sf_dir):
+    a = M.auc_per_class(fixtures.multilabel_scores(spark, sf_dir), "cls", "gold", "prob")
+    return a.select("cls", r6(F.col("auc")).alias("auc"))
+
+
+def parsed_labels(spark, sf_dir):
+    """J6 over F14."""
+    ll = fixtures.label_lists(spark, sf_dir)
+    return ll.select("doc_id", F.split(F.expr("trim(BOTH '[]' FROM label_list)"), ", ").alias("labels"))
+
+
+@register("d17_class_weights")
+def q_class_weights(spark, sf_dir):
+    lab = parsed_labels(spark, sf_dir).select(F.explode("labels").alias("label"))
+    return M.class_weights(lab, "label", extra=("[CLS]",)).select("label", r6(F.col("weight")).alias("weight"))
+
+
+@register("i2_softmax")
+def q_softmax(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    v = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cls", "logit"))).alias("l")) \
+        .select("doc_id", F.transform("l", lambda x: x["logit"]).alias("x"))
+    mx = F.array_max("x")
+    lse = F.log(F.aggregate("x", F.lit(0.0), lambda a, e: a + F.exp(e - mx))) + mx
+    out = v.select("doc_id", F.posexplode(F.transform("x", lambda e: F.struct(
+        F.exp(e - lse).alias("softmax"), (e - lse).alias("log_softmax")))).alias("cls", "r"))
+    return out.select("doc_id", "cls", r6(F.col("r.softmax")).alias("softmax"),
+                      r6(F.col("r.log_softmax")).alias("log_softmax"))
+
+
+@register("i3_cross_entropy")
+def q_cross_entropy(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("y"))
+    v = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cls", "logit"))).alias("l")) \
+        .select("doc_id", F.transform("l", lambda x: x["logit"]).alias("x")).join(lab, "doc_id")
+    mx = F.array_max("x")
+    lse = F.log(F.aggregate("x", F.lit(0.0), lambda a, e: a + F.exp(e - mx))) + mx
+    ce = -(F.get("x", F.col("y")) - lse)
+    return v.select("doc_id", r6(ce).alias("cross_entropy"))
+
+
+@register("i4_sigmoid_squared_error")
+def q_sigmoid(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    sig = 1.0 / (1.0 + F.exp(-F.col("logit")))
+    return s.select("doc_id", "cls", r6(sig).alias("sigmoid"), r6(F.pow(sig - F.col("gold"), 2)).alias("sq_err"))
+
+
+@register("i5_sigmoid_cross_entropy")
+def q_sigmoid_ce(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    return s.select("doc_id", "cls", r6(sigmoid_ce(F.col("logit"), F.col("gold").cast("double"))).alias("loss"))
+
+
+@register("i6_weighted_cross_entropy")
+def q_weighted_ce(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    pos = s.groupBy("cls").agg(M.safe_div(F.count("*"), 2.0 * F.sum("gold")).alias("q"))
+    x, z, q = F.col("logit"), F.col("gold").cast("double"), F.col("q")
+    loss = (1 - z) * x + (1 + (q - 1) * z) * (F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0)))
+    return s.join(F.broadcast(pos), "cls").groupBy("doc_id").agg(r6(F.sum(loss)).alias("loss"))
+
+
+@register("i7_safe_div")
+def q_safe_div(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", r6(M.safe_div(F.col("l_discount"), F.col("l_tax"))).alias("ratio"))
+
+
+@register("i1_stamp")
+def q_stamp(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return ev.select("event_id", F.unix_millis("ts").alias("epoch_ms"), F.unix_seconds("ts").alias("epoch_s"),
+                     F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+
+
+@register("f1_argmax_class")
+def q_argmax(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    v = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cls", "logit"))).alias("l")) \
+        .select("doc_id", F.transform("l", lambda x: x["logit"]).alias("x"))
+    return v.select("doc_id", (F.array_position("x", F.array_max("x")) - 1).cast("int").alias("argmax"))
+
+
+@register("b6_threshold_labels")
+def q_threshold_labels(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir)
+    t = best_thresholds(spark, sf_dir).filter(F.col("cls").isNotNull()).select("cls", "threshold")
+    kept = s.join(t, "cls").filter(F.col("prob") >= F.col("threshold"))
+    g = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cls", "prob"))).alias("l"))
+    return g.select("doc_id", F.array_join(F.transform("l", lambda x: F.concat(
+        x["cls"].cast("string"), F.lit(":"), x["prob"].cast("string"))), "|").alias("labels"))
+
+
+@register("b10_drop_padding")
+def q_drop_padding(spark, sf_dir):
+    p = fixtures.class_pairs(spark, sf_dir).filter(F.col("w") > 0)
+    return p.groupBy("gold").agg(F.count("*").alias("n_real"))
+
+
+@register("d20_compare_rates")
+def q_compare_rates(spark, sf_dir):
+    p = fixtures.class_pairs(spark, sf_dir)
+    per = p.groupBy("l_orderkey").agg((F.max("gold") == F.max("pred")).alias("intent_ok"),
+                                      F.bool_and(F.col("gold") == F.col("pred")).alias("slot_ok"))
+    rate = lambda c: r6(F.avg(F.col(c).cast("double")))
+    return per.withColumn("frame_ok", F.col("intent_ok") & F.col("slot_ok")).agg(
+        rate("intent_ok").alias("intent_rate"), rate("slot_ok").alias("slot_rate"), rate("frame_ok").alias("frame_rate"))
+
+
+@register("g3_complement_classes")
+def q_complement(spark, sf_dir):
+    g = fixtures.class_pairs(spark, sf_dir).select(F.col("gold").alias("cls")).distinct()
+    pos = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in POS_CLASSES])).alias("cls"))
+    return g.join(pos, "cls", "left_anti")
+
+
+@register("g4_union_results")
+def q_union(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    en = split_chunks(d.filter(F.col("lang") == "en"), max_len=CHUNK_LEN, marks=LATIN_MARKS)
+    other = split_chunks(d.filter(F.col("lang") != "en"), max_len=CHUNK_LEN, marks=LATIN_MARKS)
+    u = en.unionByName(other)
+    return u.groupBy("doc_id").agg(F.count("*").alias("split_cnt"), F.sum(F.length("chunk")).alias("n_chars"))
+
+
+@register("j6_parse_label_list")
+def q_parse_labels(spark, sf_dir):
+    p = parsed_labels(spark, sf_dir)
+    return p.select("doc_id", F.size("labels").alias("n"), joined("labels").alias("labels"))
+
+
+def label_map(spark, sf_dir):
+    """E4 over the parsed labels: sorted distinct labels -> 0..n-1."""
+    from pyspark.sql import Window
+    lab = parsed_labels(spark, sf_dir).select(F.explode("labels").alias("label")).distinct()
+    return lab.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("id"))
+
+
+@register("e4_dense_label_ids")
+def q_dense_ids(spark, sf_dir):
+    return label_map(spark, sf_dir)
+
+
+@register("g2_label_vocab")
+def q_label_vocab(spark, sf_dir):
+    lab = parsed_labels(spark, sf_dir).select(F.explode("labels").alias("label"))
+    tags = tagged_chunks(spark, sf_dir).select(F.explode(F.transform("spans", lambda s: s["slot_type"])).alias("label"))
+    return lab.unionByName(tags).unionByName(spark.range(1).select(F.lit("[CLS]").alias("label"))).distinct()
+
+
+@register("j7_multi_hot")
+def q_multi_hot(spark, sf_dir):
+    all_labels = label_map(spark, sf_dir).select(F.sort_array(F.collect_list(F.struct("id", "label")))).scalar()
+    p = parsed_labels(spark, sf_dir).withColumn("all", all_labels)
+    hot = F.transform("all", lambda x: F.array_contains("labels", x["label"]).cast("int").cast("string"))
+    return p.select("doc_id", F.array_join(hot, "").alias("multi_hot"))
+
+
+@register("j8_one_hot")
+def q_one_hot(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("y"))
+    oh = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i == F.col("y")).cast("int").cast("string"))
+    return lab.select("doc_id", F.array_join(oh, "").alias("one_hot"))

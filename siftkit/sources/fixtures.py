@@ -95,3 +95,39 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("c_nationkey").cast("string"), F.lit(".1."), (k % 100).cast("string")),
     ]
     return spread(c.select(k.alias("post_id"), F.concat_ws("\n", *lines).alias("content")))
+
+
+def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as gold ``l_linenumber``, prediction ``l_partkey % 7 + 1``, weight ``l_suppkey % 5 <> 0``."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", F.col("l_linenumber").alias("gold"),
+                     (F.col("l_partkey") % 7 + 1).alias("pred"),
+                     (F.col("l_suppkey") % 5 != 0).cast("double").alias("w"))
+
+
+def multilabel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` x classes 0-3: ``m = (doc_id*(13+7c) + 5c) % 100``, prob m/100, logit (m-50)/10.
+
+    Gold is ``quality`` for even classes and ``toxic`` for odd ones.
+    """
+    lab = table(spark, sf_dir, "labels")
+    x = lab.select("doc_id", "quality", "toxic", F.explode(F.array(*[F.lit(c) for c in range(4)])).alias("cls"))
+    m = (F.col("doc_id") * (F.col("cls") * 7 + 13) + F.col("cls") * 5) % 100
+    return x.select("doc_id", "cls", (m / 100.0).alias("prob"), ((m - 50) / 10.0).alias("logit"),
+                    F.when(F.col("cls") % 2 == 0, F.col("quality")).otherwise(F.col("toxic")).alias("gold"))
+
+
+def label_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``"[" + lang + ", " + source + "]"`` per document."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.lit("["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]"))
+                    .alias("label_list"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON requests ``{ts, id, news}`` per document; every 50th is cut in half (broken)."""
+    d = table(spark, sf_dir, "documents")
+    body = F.to_json(F.struct(F.col("doc_id").alias("ts"), F.col("source").alias("id"), F.col("text").alias("news")))
+    broken = F.expr("substring(body, 1, cast(length(body) / 2 as int))")
+    return d.select("doc_id", body.alias("body")).select(
+        "doc_id", F.when(F.col("doc_id") % 50 == 0, broken).otherwise(F.col("body")).alias("body"))
