@@ -17,6 +17,15 @@ def tag_type(tag) -> Column:
     return F.regexp_extract(col(tag), "^[^_]*_([^_]*)", 1)
 
 
+def _state_changing(tags) -> Column:
+    """Positions whose tag can change the decoder state: ``[CLS]``, ``B*`` and ``I*``.
+
+    Other tags (``O``) leave the state as it is, so the scan skips them.
+    """
+    indexed = F.transform(col(tags), lambda g, i: F.struct(g.alias("tag"), i.alias("j")))
+    return F.filter(indexed, lambda x: (x["tag"] == "[CLS]") | x["tag"].startswith("B") | x["tag"].startswith("I"))
+
+
 def _span_text(pieces: Column, sep: str) -> Column:
     return F.array_join(F.filter(pieces, lambda p: p != ""), sep)
 
@@ -33,9 +42,7 @@ def bio_spans(tokens, tags, sep: str = "") -> Column:
     positions of the first and last token of the span.
     """
     toks = col(tokens)
-    tgs = col(tags)
-    items = F.transform(tgs, lambda g, i: F.struct(
-        g.alias("tag"), F.replace(F.get(toks, i), F.lit("#"), F.lit("")).alias("tok"), i.alias("j")))
+    items = _state_changing(tags)
     init = F.struct(
         F.lit("").alias("typ"), F.array().cast("array<string>").alias("pieces"),
         F.lit(-1).alias("b"), F.lit(-1).alias("e"), F.array().cast(SPAN_TYPE).alias("spans"))
@@ -50,7 +57,8 @@ def bio_spans(tokens, tags, sep: str = "") -> Column:
             acc["b"].alias("begin"), acc["e"].alias("end"))))
 
     def step(acc, x):
-        g, w, j = x["tag"], x["tok"], x["j"]
+        g, j = x["tag"], x["j"]
+        w = F.replace(F.get(toks, j), F.lit("#"), F.lit(""))
         ty = tag_type(g)
         empty = F.array_join(acc["pieces"], "") == ""
         start_new = state(ty, F.array(w), j, j, acc["spans"])
@@ -80,9 +88,7 @@ def bio_spans_legacy(tokens, tags, sep: str = "") -> Column:
     glues the first ``B_NAME`` span onto the first ``NAME`` span.
     """
     toks = col(tokens)
-    tgs = col(tags)
-    items = F.transform(tgs, lambda g, i: F.struct(
-        g.alias("tag"), F.get(toks, i).alias("tok"), i.alias("j")))
+    items = _state_changing(tags)
     init = F.struct(
         F.lit("").alias("typ"), F.lit("").alias("slot"),
         F.lit(-1).alias("b"), F.lit(-1).alias("e"), F.array().cast(SPAN_TYPE).alias("spans"))
@@ -97,7 +103,8 @@ def bio_spans_legacy(tokens, tags, sep: str = "") -> Column:
             b.alias("begin"), e.alias("end"))))
 
     def step(acc, x):
-        g, w, j = x["tag"], x["tok"], x["j"]
+        g, j = x["tag"], x["j"]
+        w = F.get(toks, j)
         ty = tag_type(g)
         b_branch = F.when(acc["slot"] == "", state(g, F.concat(acc["slot"], w), j, j, acc["spans"])) \
             .otherwise(state(ty, w, j, j, flushed(acc, j, j)))

@@ -649,3 +649,116 @@ FROM plabels p, lmap m GROUP BY p.doc_id"""
 ORACLE["j8_one_hot"] = """
 SELECT doc_id, string_agg(CASE WHEN c = quality + 2 * toxic THEN '1' ELSE '0' END, '' ORDER BY c) AS one_hot
 FROM labels, (SELECT unnest([0, 1, 2, 3]) AS c) x GROUP BY doc_id"""
+
+
+# ---------------------------------------------------------------- tokens and encoders
+H5_EXPR = f"""list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(regexp_replace(text, '[\\t\\n\\r\\p{{Zs}}]', ' ', 'g'), '[\\x{{0}}\\x{{FFFD}}\\p{{Cc}}\\p{{Cf}}]', '', 'g'),
+        '([{CJK_RANGES}])', ' \\1 ', 'g'),
+        '({PUNCT})', ' \\1 ', 'g'), '[\\s\\x{{2028}}\\x{{2029}}]', ' ', 'g'), ' '), ' +'), lambda x: x <> '')"""
+
+VOCAB_CTE = f"""
+dtoks AS (SELECT doc_id, {H5_EXPR} AS toks FROM documents),
+chars AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS r
+          FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents)),
+words AS (SELECT w, row_number() OVER (ORDER BY cnt DESC, w) - 1 AS r FROM (
+            SELECT w, count(*) AS cnt FROM (SELECT unnest(toks) AS w FROM dtoks) GROUP BY w
+            ORDER BY cnt DESC, w LIMIT 2000)),
+vocab AS (
+  SELECT token, max(id) AS id FROM (
+    SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]']) AS token, unnest([0, 1, 2, 3]) AS id
+    UNION ALL SELECT c, 4 + r FROM chars
+    UNION ALL SELECT '##' || c, 4 + (SELECT count(*) FROM chars) + r FROM chars
+    UNION ALL SELECT w, 4 + 2 * (SELECT count(*) FROM chars) + r FROM words)
+  GROUP BY token),
+utoks AS (SELECT DISTINCT unnest(toks) AS token FROM dtoks),
+subs AS (
+  SELECT token, s, e, CASE WHEN s > 0 THEN '##' ELSE '' END || substring(token, s + 1, e - s) AS piece FROM (
+    SELECT token, s, unnest(range(s + 1, length(token) + 1)) AS e FROM (
+      SELECT token, unnest(range(0, length(token))) AS s FROM utoks WHERE length(token) <= 200))),
+best AS (SELECT subs.token, s, max(e) AS e FROM subs JOIN vocab v ON v.token = subs.piece GROUP BY subs.token, s),
+walk(token, pos, idx, piece) AS (
+  SELECT token, 0, 0, NULL::VARCHAR FROM utoks
+  UNION ALL
+  SELECT w.token, b.e, w.idx + 1,
+         CASE WHEN w.pos > 0 THEN '##' ELSE '' END || substring(w.token, w.pos + 1, b.e - w.pos)
+  FROM walk w JOIN best b ON b.token = w.token AND b.s = w.pos WHERE w.pos < length(w.token)
+),
+wp AS (
+  SELECT u.token,
+         CASE WHEN max(w.pos) = length(u.token) AND length(u.token) <= 200
+              THEN list(w.piece ORDER BY w.idx) FILTER (WHERE w.idx > 0) ELSE ['[UNK]'] END AS pieces
+  FROM utoks u JOIN walk w USING (token) GROUP BY u.token),
+wp_ids AS (
+  SELECT x.token, x.pieces, list(v.id ORDER BY x.k) AS ids FROM (
+    SELECT token, pieces, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM wp) x
+  JOIN vocab v ON v.token = x.piece GROUP BY x.token, x.pieces)"""
+
+ORACLE["h6_wordpiece"] = _with(VOCAB_CTE) + """
+SELECT token, array_to_string(pieces, ' ') AS pieces, array_to_string(ids, ',') AS ids FROM wp_ids"""
+
+ORACLE["h7_tokenize_corpus"] = _with(VOCAB_CTE) + """
+SELECT piece, CAST(v.id AS INT) AS id, sum(cnt) AS n FROM (
+  SELECT c.cnt, unnest(w.pieces) AS piece FROM (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM dtoks) GROUP BY token) c
+  JOIN wp w USING (token)) y JOIN vocab v ON v.token = y.piece GROUP BY piece, v.id"""
+
+ORACLE["j1_encode_single"] = _with(VOCAB_CTE) + """,
+firsts AS (SELECT doc_id, list_slice(toks, 1, 509) AS t FROM dtoks),
+pids AS (
+  SELECT doc_id, flatten(list(w.ids ORDER BY pos)) AS ids FROM (
+    SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM firsts) x
+  JOIN wp_ids w USING (token) GROUP BY doc_id),
+enc AS (SELECT doc_id, [2] || list_slice(ids, 1, 509) || [3] AS body FROM pids)
+SELECT doc_id, array_to_string(body || list_transform(range(511 - len(body)), lambda i: 0), ',') AS input_ids,
+       CAST(len(body) AS INT) AS n_real, CAST(511 AS INT) AS n_segments
+FROM enc"""
+
+ORACLE["c2_ids_to_tokens"] = _with(VOCAB_CTE) + """,
+firsts AS (SELECT doc_id, list_slice(toks, 1, 20) AS t FROM dtoks),
+pids AS (
+  SELECT doc_id, flatten(list(w.pieces ORDER BY pos)) AS pieces FROM (
+    SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM firsts) x
+  JOIN wp_ids w USING (token) GROUP BY doc_id)
+SELECT doc_id, array_to_string(pieces, ' ') AS tokens FROM pids"""
+
+PAIRS_TURN_CTE = f"""
+tp AS (SELECT conv_id, turn, a, b FROM (
+         SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
+       WHERE b IS NOT NULL),
+tt AS (SELECT conv_id, turn, {H5_EXPR.replace('text', 'a')} AS ta, {H5_EXPR.replace('text', 'b')} AS tb FROM tp)"""
+
+ORACLE["j3_truncate_pair"] = _with(PAIRS_TURN_CTE) + """
+SELECT conv_id, turn, CAST(la2 AS INT) AS len_a, CAST(lb2 AS INT) AS len_b,
+       array_to_string(list_slice(ta, 1, la2), ' ') || '[SEP]' || array_to_string(list_slice(tb, 1, lb2), ' ') AS pair
+FROM (SELECT *, CASE WHEN la + lb > 47 THEN least(la, greatest(24, 47 - lb)) ELSE la END AS la2,
+                CASE WHEN la + lb > 47 THEN least(lb, greatest(23, 47 - la)) ELSE lb END AS lb2
+      FROM (SELECT *, len(ta) AS la, len(tb) AS lb FROM tt))"""
+
+ORACLE["e5_transition_counts"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT prev_tag, tag, count(*) AS n FROM (
+  SELECT coalesce(lag(tag) OVER (PARTITION BY doc_id, chunk_idx ORDER BY j), '[CLS]') AS prev_tag, tag FROM atagged)
+GROUP BY prev_tag, tag"""
+
+ORACLE["e1_row_guid"] = """
+SELECT doc_id, 'train-' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS guid FROM documents"""
+
+ORACLE["f2_preview"] = f"""
+SELECT doc_id, CAST(len({H5_EXPR}) AS INT) AS n_tokens FROM documents ORDER BY doc_id LIMIT 5"""
+
+ORACLE["f3_truncate_seq"] = f"""
+SELECT doc_id, CAST(len(t) AS INT) AS n, md5(array_to_string(t, ' ')) AS h FROM (
+  SELECT doc_id, list_slice({H5_EXPR}, 1, 509) AS t FROM documents)"""
+
+ORACLE["b11_skip_null_token"] = _with(CHUNKS_CTE) + """
+SELECT doc_id, chunk_idx, CAST(len(t) AS INT) AS n_all, CAST(len(list_filter(t, lambda x: x <> '**NULL**')) AS INT) AS n_kept
+FROM (SELECT doc_id, chunk_idx, string_split_regex(regexp_replace(chunk, '[.,!?]', ' **NULL** ', 'g'), ' +') AS t FROM chunks)"""
+
+ORACLE["c7_zip_tags"] = _with(CHUNKS_CTE) + """
+SELECT doc_id, chunk_idx, CAST(least(length(chunk), 1 + least(len(string_split(chunk, ' ')), 511)) AS INT) AS n_pairs
+FROM chunks"""
+
+ORACLE["j9_masked_slice"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT c.doc_id, c.chunk_idx, CAST(1 + coalesce(t.n, 0) AS INT) AS n,
+       '[CLS]' || coalesce(' ' || t.tags, '') AS tags
+FROM chunks c LEFT JOIN (SELECT doc_id, chunk_idx, count(*) AS n, string_agg(tag, ' ' ORDER BY j) AS tags
+                         FROM atagged GROUP BY doc_id, chunk_idx) t USING (doc_id, chunk_idx)"""

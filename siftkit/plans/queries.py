@@ -626,3 +626,136 @@ def q_one_hot(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("y"))
     oh = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i == F.col("y")).cast("int").cast("string"))
     return lab.select("doc_id", F.array_join(oh, "").alias("one_hot"))
+
+
+# ---------------------------------------------------------------- tokens and encoders
+from ..operators import tokens as TK  # noqa: E402
+
+CLASSIFIER_LEN = 511   # news classifier sequence length
+NAME_PAIR_LEN = 50     # name classifier sequence length
+
+
+def vocab(spark, sf_dir) -> DataFrame:
+    """F10 over the documents, words = H5 tokens (cased)."""
+    d = table(spark, sf_dir, "documents")
+    return TK.build_vocab(d, T.basic_tokens("text"))
+
+
+def corpus_wordpiece(spark, sf_dir) -> DataFrame:
+    d = docs(spark, sf_dir)
+    toks = d.select(F.explode(T.basic_tokens("text")).alias("token")).distinct()
+    return TK.wordpiece(toks, vocab(spark, sf_dir))
+
+
+@register("h6_wordpiece")
+def q_wordpiece(spark, sf_dir):
+    wp = corpus_wordpiece(spark, sf_dir)
+    return wp.select("token", F.array_join("pieces", " ").alias("pieces"),
+                     F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@register("h7_tokenize_corpus")
+def q_tokenize_corpus(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    counts = d.select(F.explode(T.basic_tokens("text")).alias("token")).groupBy("token").count()
+    wp = corpus_wordpiece(spark, sf_dir)
+    p = counts.join(wp, "token").select("count", F.explode(F.arrays_zip("pieces", "ids")).alias("p"))
+    return p.groupBy(F.col("p.pieces").alias("piece"), F.col("p.ids").alias("id")).agg(F.sum("count").alias("n"))
+
+
+@register("j1_encode_single")
+def q_encode_single(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    # F10 puts the special tokens first, so their ids are their positions
+    cls_id = F.lit(TK.SPECIAL_TOKENS.index("[CLS]"))
+    sep_id = F.lit(TK.SPECIAL_TOKENS.index("[SEP]"))
+    ids = TK.doc_piece_ids(d, T.basic_tokens("text"), corpus_wordpiece(spark, sf_dir), CLASSIFIER_LEN - 2)
+    enc = TK.encode_ids(F.col("ids"), cls_id, sep_id, CLASSIFIER_LEN)
+    as_text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    return ids.select("doc_id", as_text(enc["input_ids"]).alias("input_ids"),
+                      F.aggregate(enc["input_mask"], F.lit(0), lambda a, x: a + x).alias("n_real"),
+                      F.size(enc["segment_ids"]).alias("n_segments"))
+
+
+@register("c2_ids_to_tokens")
+def q_ids_to_tokens(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    ids = TK.doc_piece_ids(d, T.basic_tokens("text"), corpus_wordpiece(spark, sf_dir), 20)
+    v = F.broadcast(vocab(spark, sf_dir).select(F.col("id").cast("int").alias("pid"), "token"))
+    e = ids.select("doc_id", F.posexplode("ids").alias("pos", "pid")).join(v, "pid")
+    g = e.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("l"))
+    return g.select("doc_id", F.array_join(F.transform("l", lambda x: x["token"]), " ").alias("tokens"))
+
+
+def turn_pairs(spark, sf_dir) -> DataFrame:
+    """two consecutive turns of one conversation."""
+    from pyspark.sql import Window
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b")) \
+        .filter(F.col("b").isNotNull())
+
+
+@register("j3_truncate_pair")
+def q_truncate_pair(spark, sf_dir):
+    p = turn_pairs(spark, sf_dir).select("conv_id", "turn", T.basic_tokens("a").alias("ta"),
+                                        T.basic_tokens("b").alias("tb"))
+    t = TK.truncate_pair("ta", "tb", NAME_PAIR_LEN - 3)
+    return p.select("conv_id", "turn", F.size(t["a"]).alias("len_a"), F.size(t["b"]).alias("len_b"),
+                    screening.pair_text(F.array_join(t["a"], " "), F.array_join(t["b"], " ")).alias("pair"))
+
+
+@register("e5_transition_counts")
+def q_transitions(spark, sf_dir):
+    c = chunks(spark, sf_dir).select(S.capital_tags(F.col("chunk")).alias("tg"))
+    tags = F.col("tg.tags")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(tags) - 1),
+                        lambda i: F.struct(F.get(tags, i - 1).alias("prev_tag"), F.get(tags, i).alias("tag")))
+    return c.select(F.explode(pairs).alias("p")).groupBy("p.prev_tag", "p.tag").agg(F.count("*").alias("n"))
+
+
+@register("e1_row_guid")
+def q_row_guid(spark, sf_dir):
+    from pyspark.sql import Window
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return d.select("doc_id", F.concat(F.lit("train-"), (F.row_number().over(Window.orderBy("doc_id")) - 1)
+                                       .cast("string")).alias("guid"))
+
+
+@register("f2_preview")
+def q_preview(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.orderBy("doc_id").limit(5).select("doc_id", F.size(T.basic_tokens("text")).alias("n_tokens"))
+
+
+@register("f3_truncate_seq")
+def q_truncate_seq(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    t = F.slice(T.basic_tokens("text"), 1, CLASSIFIER_LEN - 2)
+    return d.select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("h"))
+
+
+@register("b11_skip_null_token")
+def q_skip_null(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    toks = F.split(F.regexp_replace("chunk", "[.,!?]", " **NULL** "), " +")
+    kept = F.filter(toks, lambda t: t != "**NULL**")
+    return c.select("doc_id", "chunk_idx", F.size(toks).alias("n_all"), F.size(kept).alias("n_kept"))
+
+
+@register("c7_zip_tags")
+def q_zip_tags(spark, sf_dir):
+    c = chunks(spark, sf_dir).select("doc_id", "chunk_idx", "chunk", S.capital_tags(F.col("chunk")).alias("tg"))
+    chars = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)."), 0)
+    z = F.arrays_zip(F.slice(chars, 1, F.size("tg.tags")), F.slice(F.col("tg.tags"), 1, F.size(chars)))
+    return c.select("doc_id", "chunk_idx", F.size(z).alias("n_pairs"))
+
+
+@register("j9_masked_slice")
+def q_masked_slice(spark, sf_dir):
+    c = chunks(spark, sf_dir).select("doc_id", "chunk_idx", S.capital_tags(F.col("chunk")).alias("tg"))
+    n = F.size("tg.tags")
+    padded = F.concat("tg.tags", F.array_repeat(F.lit("[PAD]"), F.greatest(F.lit(512) - n, F.lit(0))))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(512) - n, F.lit(0))))
+    cut = F.slice(padded, 1, F.aggregate(mask, F.lit(0), lambda a, x: a + x))
+    return c.select("doc_id", "chunk_idx", F.size(cut).alias("n"), F.array_join(cut, " ").alias("tags"))
