@@ -762,3 +762,39 @@ SELECT c.doc_id, c.chunk_idx, CAST(1 + coalesce(t.n, 0) AS INT) AS n,
        '[CLS]' || coalesce(' ' || t.tags, '') AS tags
 FROM chunks c LEFT JOIN (SELECT doc_id, chunk_idx, count(*) AS n, string_agg(tag, ' ' ORDER BY j) AS tags
                          FROM atagged GROUP BY doc_id, chunk_idx) t USING (doc_id, chunk_idx)"""
+
+
+# ---------------------------------------------------------------- requests, pages
+REQ_CTE = """
+reqs AS (
+  SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN substring(body, 1, CAST(floor(length(body) / 2) AS INT)) ELSE body END AS body
+  FROM (SELECT doc_id, to_json({'ts': doc_id, 'id': source, 'news': text})::VARCHAR AS body FROM documents)),
+parsed AS (
+  SELECT doc_id, CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.ts') AS BIGINT) END AS ts,
+         CASE WHEN json_valid(body) THEN json_extract_string(body, '$.id') END AS id,
+         CASE WHEN json_valid(body) THEN json_extract_string(body, '$.news') END AS news FROM reqs)"""
+
+ORACLE["j12_parse_request"] = _with(REQ_CTE) + """
+SELECT doc_id, ts, id, length(news) AS news_len FROM parsed"""
+
+ORACLE["l3_error_rows"] = _with(REQ_CTE) + """
+SELECT doc_id, CASE WHEN news IS NOT NULL THEN 'ok' ELSE 'error' END AS status FROM parsed"""
+
+ORACLE["d21_request_counters"] = _with(REQ_CTE) + """
+SELECT CASE WHEN news IS NOT NULL THEN 'ok' ELSE 'error' END AS status, count(*) AS n FROM parsed GROUP BY 1"""
+
+ORACLE["j14_build_reply"] = _with(REQ_CTE) + """
+SELECT doc_id, id AS req_id, id AS answer, sha256(id || 'siftkit') AS digest FROM parsed WHERE news IS NOT NULL"""
+
+ORACLE["a11_extract_links"] = """
+SELECT page_id, CAST(k - 1 AS INT) AS link_idx, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS link FROM (
+  SELECT page_id, url, unnest(l) AS href, generate_subscripts(l, 1) AS k FROM (
+    SELECT page_id, url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS l FROM pages))"""
+
+ORACLE["a12_extract_article"] = """
+SELECT page_id,
+       CASE WHEN regexp_matches(html, '<title>(.*?)</title>') THEN
+         replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1),
+           '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') END AS title,
+       CAST(len(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) - 1 AS INT) AS n_paragraphs
+FROM pages"""

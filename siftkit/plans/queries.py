@@ -759,3 +759,53 @@ def q_masked_slice(spark, sf_dir):
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(512) - n, F.lit(0))))
     cut = F.slice(padded, 1, F.aggregate(mask, F.lit(0), lambda a, x: a + x))
     return c.select("doc_id", "chunk_idx", F.size(cut).alias("n"), F.array_join(cut, " ").alias("tags"))
+
+
+# ---------------------------------------------------------------- requests, pages
+from ..functions import requests as RQ  # noqa: E402
+from ..sources import pages as PG  # noqa: E402
+
+SALT = "siftkit"
+
+
+def parsed_requests(spark, sf_dir):
+    r = fixtures.requests(spark, sf_dir)
+    return r.select("doc_id", RQ.parse_request("body").alias("req"))
+
+
+@register("j12_parse_request")
+def q_parse_request(spark, sf_dir):
+    p = parsed_requests(spark, sf_dir)
+    return p.select("doc_id", F.col("req.ts").alias("ts"), F.col("req.id").alias("id"),
+                    F.length("req.news").alias("news_len"))
+
+
+@register("l3_error_rows")
+def q_error_rows(spark, sf_dir):
+    p = parsed_requests(spark, sf_dir)
+    return p.select("doc_id", RQ.request_status("req").alias("status"))
+
+
+@register("d21_request_counters")
+def q_request_counters(spark, sf_dir):
+    p = parsed_requests(spark, sf_dir)
+    return p.groupBy(RQ.request_status("req").alias("status")).agg(F.count("*").alias("n"))
+
+
+@register("j14_build_reply")
+def q_build_reply(spark, sf_dir):
+    p = parsed_requests(spark, sf_dir).filter(RQ.request_status("req") == "ok")
+    answer = RQ.as_list(F.col("req.id"))
+    reply = RQ.build_reply("req", answer, SALT, F.col("req.ts"))
+    return p.select("doc_id", reply["req_id"].alias("req_id"), joined(reply["answer"]).alias("answer"),
+                    reply["server_digest"].alias("digest"))
+
+
+@register("a11_extract_links")
+def q_extract_links(spark, sf_dir):
+    return PG.extract_links(table(spark, sf_dir, "pages"))
+
+
+@register("a12_extract_article")
+def q_extract_article(spark, sf_dir):
+    return PG.extract_article(table(spark, sf_dir, "pages")).select("page_id", "title", "n_paragraphs")
