@@ -798,3 +798,26 @@ SELECT page_id,
            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') END AS title,
        CAST(len(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) - 1 AS INT) AS n_paragraphs
 FROM pages"""
+
+
+# ---------------------------------------------------------------- tagger
+TAGSEQ_CTE = """
+seq AS (
+  SELECT doc_id, chunk_idx, 0 AS j, '[CLS]' AS token, '[CLS]' AS tag FROM chunks
+  UNION ALL SELECT doc_id, chunk_idx, j, tok, tag FROM atagged),
+em_c AS (SELECT tag, token, count(*) AS c FROM seq GROUP BY tag, token),
+em AS (SELECT tag, token, ln((c + 1.0) / (sum(c) OVER (PARTITION BY tag) + (SELECT count(DISTINCT token) FROM seq))) AS logp
+       FROM em_c),
+bi AS (SELECT doc_id, chunk_idx, lag(tag) OVER (PARTITION BY doc_id, chunk_idx ORDER BY j) AS prev_tag, tag FROM seq),
+tr_c AS (SELECT prev_tag, tag, count(*) AS c FROM bi WHERE prev_tag IS NOT NULL GROUP BY prev_tag, tag),
+tr AS (SELECT prev_tag, tag, ln((c + 1.0) / (sum(c) OVER (PARTITION BY prev_tag) + (SELECT count(DISTINCT tag) FROM seq))) AS logp
+       FROM tr_c)"""
+
+ORACLE["k3_train_tagger"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, TAGSEQ_CTE) + """
+SELECT prev_tag, tag, round(logp, 6) AS logp FROM tr"""
+
+ORACLE["k5_sequence_score"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, TAGSEQ_CTE) + """
+SELECT e.doc_id, e.chunk_idx, round(e.es + coalesce(t.ts, 0.0), 6) AS score
+FROM (SELECT doc_id, chunk_idx, sum(logp) AS es FROM seq JOIN em USING (tag, token) GROUP BY doc_id, chunk_idx) e
+LEFT JOIN (SELECT doc_id, chunk_idx, sum(logp) AS ts FROM bi JOIN tr USING (prev_tag, tag) GROUP BY doc_id, chunk_idx) t
+USING (doc_id, chunk_idx)"""

@@ -809,3 +809,72 @@ def q_extract_links(spark, sf_dir):
 @register("a12_extract_article")
 def q_extract_article(spark, sf_dir):
     return PG.extract_article(table(spark, sf_dir, "pages")).select("page_id", "title", "n_paragraphs")
+
+
+# ---------------------------------------------------------------- tagger
+from . import models as MD  # noqa: E402
+
+
+def tag_sequences(spark, sf_dir) -> DataFrame:
+    c = chunks(spark, sf_dir).select("doc_id", "chunk_idx", S.capital_tags(F.col("chunk")).alias("tg"))
+    return c.select("doc_id", "chunk_idx", F.col("tg.tokens").alias("tokens"), F.col("tg.tags").alias("tags"))
+
+
+@register("k3_train_tagger")
+def q_train_tagger(spark, sf_dir):
+    _, tr = MD.train_tagger(tag_sequences(spark, sf_dir))
+    return tr.select("prev_tag", "tag", r6(F.col("logp")).alias("logp"))
+
+
+@register("k5_sequence_score")
+def q_sequence_score(spark, sf_dir):
+    seqs = tag_sequences(spark, sf_dir)
+    em, tr = MD.train_tagger(seqs)
+    pos = seqs.select("doc_id", "chunk_idx", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"),
+                                                                        F.col("tags").alias("tag"))).alias("j", "p"))
+    pos = pos.select("doc_id", "chunk_idx", "j", F.col("p.token").alias("token"), F.col("p.tag").alias("tag"))
+    e = pos.join(em, ["tag", "token"]).groupBy("doc_id", "chunk_idx").agg(F.sum("logp").alias("es"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("doc_id", "chunk_idx").orderBy("j")
+    bi = pos.select("doc_id", "chunk_idx", F.lag("tag").over(w).alias("prev_tag"), "tag").filter(F.col("prev_tag").isNotNull())
+    t = bi.join(F.broadcast(tr), ["prev_tag", "tag"]).groupBy("doc_id", "chunk_idx").agg(F.sum("logp").alias("ts"))
+    return e.join(t, ["doc_id", "chunk_idx"], "left").select(
+        "doc_id", "chunk_idx", r6(MD.path_score(F.col("es"), F.coalesce(F.col("ts"), F.lit(0.0)))).alias("score"))
+
+
+@register("k4_viterbi_decode")
+def q_viterbi(spark, sf_dir):
+    """K4 (rows-only): decode every chunk with the K3 HMM; count positions that agree with F4."""
+    seqs = tag_sequences(spark, sf_dir)
+    em, tr = MD.train_tagger(seqs)
+    unseen = MD.unseen_emission(seqs)
+    # the tag set bounds the model: a few rows, read once to build the transition matrix
+    tags = sorted(r["tag"] for r in unseen.select("tag").collect())
+    idx = {t: i for i, t in enumerate(tags)}
+    trans = [[-1e9] * len(tags) for _ in tags]
+    for r in tr.collect():
+        trans[idx[r["prev_tag"]]][idx[r["tag"]]] = r["logp"]
+    start = [0.0 if t == "[CLS]" else -1e9 for t in tags]
+    pivot = em.groupBy("token").pivot("tag", tags).agg(F.first("logp"))
+    fill = {r["tag"]: r["logp"] for r in unseen.collect()}
+    vec = F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(fill[t])) for t in tags])
+    pos = seqs.select("doc_id", "chunk_idx", F.posexplode("tokens").alias("j", "token"))
+    scored = pos.join(pivot.select("token", vec.alias("e")), "token")
+    per = scored.groupBy("doc_id", "chunk_idx").agg(F.sort_array(F.collect_list(F.struct("j", "e"))).alias("l"))
+    per = per.select("doc_id", "chunk_idx", F.flatten(F.transform("l", lambda x: x["e"])).alias("flat"))
+    path = MD.viterbi_udf(trans, start)(F.col("flat"))
+    names = F.array(*[F.lit(t) for t in tags])
+    decoded = per.select("doc_id", "chunk_idx", F.transform(path, lambda i: F.get(names, i)).alias("pred"))
+    both = decoded.join(seqs, ["doc_id", "chunk_idx"])
+    agree = F.aggregate(F.arrays_zip("pred", "tags"), F.lit(0), lambda a, x: a + F.when(x["pred"] == x["tags"], 1).otherwise(0))
+    return both.select("doc_id", "chunk_idx", F.size("pred").alias("n"), agree.alias("n_agree"))
+
+
+@register("k2_train_text_classifier")
+def q_train_classifier(spark, sf_dir):
+    """K2 + K1 (rows-only): fit on ``labels.quality`` with document text, score every document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    model = MD.train_text_classifier(d.join(lab, "doc_id"), num_features=1 << 16)
+    scored = MD.score_text(model, d)
+    return scored.select("doc_id", r6(F.col("p_pos")).alias("p_pos"), r6(F.col("p_neg")).alias("p_neg"))
