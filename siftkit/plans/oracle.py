@@ -821,3 +821,39 @@ SELECT e.doc_id, e.chunk_idx, round(e.es + coalesce(t.ts, 0.0), 6) AS score
 FROM (SELECT doc_id, chunk_idx, sum(logp) AS es FROM seq JOIN em USING (tag, token) GROUP BY doc_id, chunk_idx) e
 LEFT JOIN (SELECT doc_id, chunk_idx, sum(logp) AS ts FROM bi JOIN tr USING (prev_tag, tag) GROUP BY doc_id, chunk_idx) t
 USING (doc_id, chunk_idx)"""
+
+
+# ---------------------------------------------------------------- name evaluation, slot maps
+GOLD_CTE = """
+gfirst AS (SELECT doc_id, name, min(chunk_idx * 100000 + span_idx) AS o FROM names5 GROUP BY doc_id, name),
+gold AS (SELECT doc_id, list(name ORDER BY o) AS gold FROM gfirst GROUP BY doc_id),
+gp AS (SELECT doc_id, gold, CASE WHEN doc_id % 4 = 0 THEN list_slice(gold, 1, greatest(len(gold) - 1, 0))
+                                 ELSE gold END AS pred FROM gold)"""
+
+MATCH = "(len(pred) = len(gold) AND len(list_filter(pred, lambda x: NOT list_contains(gold, x))) = 0)"
+
+ORACLE["g1_is_match"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + f"""
+SELECT doc_id, {MATCH} AS matched FROM gp"""
+
+ORACLE["d18_exact_match_accuracy"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + f"""
+SELECT round(avg(CASE WHEN {MATCH} THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM gp"""
+
+ORACLE["c6_align_gold_pred"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + """
+SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.gold, p.pred
+FROM (SELECT doc_id, array_to_string(gold, '|') AS gold FROM gp) g
+FULL OUTER JOIN (SELECT doc_id, array_to_string(pred, '|') AS pred FROM gp WHERE doc_id % 7 <> 0) p USING (doc_id)"""
+
+ORACLE["k11_evaluate_names"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + f"""
+SELECT round(avg(CASE WHEN {MATCH} THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       CAST(sum(CASE WHEN {MATCH} THEN 1 ELSE 0 END) AS BIGINT) AS n_matched, count(*) AS n
+FROM gp WHERE doc_id % 7 <> 0"""
+
+ORACLE["b8_select_slots"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT c.doc_id, c.chunk_idx, coalesce(s.text, '') AS name, '' AS store, '' AS phone, '' AS address, '' AS time
+FROM chunks c LEFT JOIN (SELECT * FROM aspans WHERE span_idx = 0) s USING (doc_id, chunk_idx)"""
+
+ORACLE["j10_slot_map"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT c.doc_id, c.chunk_idx, CAST(CASE WHEN s.names IS NULL THEN 0 ELSE 1 END AS INT) AS n_types,
+       coalesce(s.names, '') AS names
+FROM chunks c LEFT JOIN (SELECT doc_id, chunk_idx, string_agg(text, '|' ORDER BY span_idx) AS names
+                         FROM aspans GROUP BY doc_id, chunk_idx) s USING (doc_id, chunk_idx)"""

@@ -878,3 +878,60 @@ def q_train_classifier(spark, sf_dir):
     model = MD.train_text_classifier(d.join(lab, "doc_id"), num_features=1 << 16)
     scored = MD.score_text(model, d)
     return scored.select("doc_id", r6(F.col("p_pos")).alias("p_pos"), r6(F.col("p_neg")).alias("p_neg"))
+
+
+# ---------------------------------------------------------------- name evaluation, slot maps
+def gold_pred_names(spark, sf_dir) -> DataFrame:
+    """gold = distinct F5 names of a document; prediction drops the last one when doc_id % 4 = 0."""
+    g = doc_names(spark, sf_dir).select("doc_id", F.array_distinct("names").alias("gold"))
+    pred = F.when(F.col("doc_id") % 4 == 0, F.slice("gold", 1, F.greatest(F.size("gold") - 1, F.lit(0)))) \
+        .otherwise(F.col("gold"))
+    return g.select("doc_id", "gold", pred.alias("pred"))
+
+
+def is_match(pred, gold):
+    """G1: same length and every predicted name in gold."""
+    return (F.size(pred) == F.size(gold)) & (F.size(F.array_except(pred, gold)) == 0)
+
+
+@register("g1_is_match")
+def q_is_match(spark, sf_dir):
+    g = gold_pred_names(spark, sf_dir)
+    return g.select("doc_id", is_match(F.col("pred"), F.col("gold")).alias("matched"))
+
+
+@register("d18_exact_match_accuracy")
+def q_exact_match(spark, sf_dir):
+    g = gold_pred_names(spark, sf_dir)
+    return g.agg(r6(F.avg(is_match(F.col("pred"), F.col("gold")).cast("double"))).alias("accuracy"),
+                 F.count("*").alias("n"))
+
+
+@register("c6_align_gold_pred")
+def q_align(spark, sf_dir):
+    g = gold_pred_names(spark, sf_dir)
+    gold = g.select("doc_id", joined("gold").alias("gold"))
+    pred = g.filter(F.col("doc_id") % 7 != 0).select("doc_id", joined("pred").alias("pred"))
+    return gold.join(pred, "doc_id", "full_outer")
+
+
+@register("k11_evaluate_names")
+def q_evaluate_names(spark, sf_dir):
+    g = gold_pred_names(spark, sf_dir).filter(F.col("doc_id") % 7 != 0)
+    m = is_match(F.col("pred"), F.col("gold")).cast("double")
+    return g.agg(r6(F.avg(m)).alias("accuracy"), F.sum(m).cast("long").alias("n_matched"), F.count("*").alias("n"))
+
+
+@register("b8_select_slots")
+def q_select_slots(spark, sf_dir):
+    t = tagged_chunks(spark, sf_dir).select("doc_id", "chunk_idx", S.slot_map("spans").alias("slots"))
+    return t.select("doc_id", "chunk_idx", *[S.first_slot("slots", k).alias(k.lower())
+                                             for k in ("NAME", "STORE", "PHONE", "ADDRESS", "TIME")])
+
+
+@register("j10_slot_map")
+def q_slot_map(spark, sf_dir):
+    t = tagged_chunks(spark, sf_dir).select("doc_id", "chunk_idx", S.slot_map("spans").alias("slots"))
+    return t.select("doc_id", "chunk_idx", F.size("slots").alias("n_types"),
+                    joined(F.coalesce(F.try_element_at("slots", F.lit("NAME")), F.array().cast("array<string>")))
+                    .alias("names"))
