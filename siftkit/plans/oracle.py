@@ -698,7 +698,7 @@ ORACLE["h6_wordpiece"] = _with(VOCAB_CTE) + """
 SELECT token, array_to_string(pieces, ' ') AS pieces, array_to_string(ids, ',') AS ids FROM wp_ids"""
 
 ORACLE["h7_tokenize_corpus"] = _with(VOCAB_CTE) + """
-SELECT piece, CAST(v.id AS INT) AS id, sum(cnt) AS n FROM (
+SELECT piece, CAST(v.id AS INT) AS id, CAST(sum(cnt) AS BIGINT) AS n FROM (
   SELECT c.cnt, unnest(w.pieces) AS piece FROM (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM dtoks) GROUP BY token) c
   JOIN wp w USING (token)) y JOIN vocab v ON v.token = y.piece GROUP BY piece, v.id"""
 
@@ -857,3 +857,17 @@ SELECT c.doc_id, c.chunk_idx, CAST(CASE WHEN s.names IS NULL THEN 0 ELSE 1 END A
        coalesce(s.names, '') AS names
 FROM chunks c LEFT JOIN (SELECT doc_id, chunk_idx, string_agg(text, '|' ORDER BY span_idx) AS names
                          FROM aspans GROUP BY doc_id, chunk_idx) s USING (doc_id, chunk_idx)"""
+
+ORACLE["d19_score_histogram"] = _with(POSTS_CTE) + f""",
+ext AS (
+  SELECT p.post_id, {_place_name('t')} AS name, {_phone('t')} AS phone, {_address('t')} AS address,
+         {_visit('t')} AS visit_date, c.c_name || ' 本店' AS gs,
+         'No.' || c.c_custkey || ' ' || c.c_mktsegment || ' Road' AS ga,
+         '2019/' || (c.c_custkey % 12 + 1) || '/' || (c.c_custkey % 28 + 1) AS gt
+  FROM (SELECT post_id, {_STRIPPED} AS t FROM posts) p JOIN customer c ON c.c_custkey = p.post_id),
+sc AS (SELECT (CASE WHEN name = gs THEN 1 ELSE 0 END) + 1 + (CASE WHEN address = ga THEN 1 ELSE 0 END)
+              + (CASE WHEN visit_date = gt THEN 1 ELSE 0 END) AS score FROM ext)
+SELECT CAST(sum(CASE WHEN score >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS ge4, CAST(sum(CASE WHEN score >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS ge3,
+       CAST(sum(CASE WHEN score >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS ge2, CAST(sum(CASE WHEN score >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS ge1,
+       CAST(sum(CASE WHEN score >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS ge0
+FROM sc"""

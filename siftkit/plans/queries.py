@@ -935,3 +935,22 @@ def q_slot_map(spark, sf_dir):
     return t.select("doc_id", "chunk_idx", F.size("slots").alias("n_types"),
                     joined(F.coalesce(F.try_element_at("slots", F.lit("NAME")), F.array().cast("array<string>")))
                     .alias("names"))
+
+
+@register("d19_score_histogram")
+def q_score_histogram(spark, sf_dir):
+    """D19 with equality similarity (1.0 when gold is empty): extracted post fields vs the written values."""
+    p = fixtures.posts(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("post_id"), "c_name", "c_nationkey",
+                                                "c_mktsegment")
+    k = F.col("post_id")
+    gold_store = F.concat(F.col("c_name"), F.lit(" 本店"))
+    gold_addr = F.concat(F.lit("No."), k.cast("string"), F.lit(" "), F.col("c_mktsegment"), F.lit(" Road"))
+    gold_time = F.concat(F.lit("2019/"), (k % 12 + 1).cast("string"), F.lit("/"), (k % 28 + 1).cast("string"))
+    f = T.post_fields("content")
+    x = p.join(c, "post_id").select(f.alias("f"), gold_store.alias("gs"), gold_addr.alias("ga"), gold_time.alias("gt"),
+                                    F.lit("").alias("gp"))
+    sim = lambda pred, gold: F.when(F.trim(gold) == "", 1.0).otherwise((pred == gold).cast("double"))
+    score = sum((sim(F.col(f"f.{a}"), F.col(b)) >= 0.8).cast("int")
+                for a, b in (("name", "gs"), ("phone", "gp"), ("address", "ga"), ("visit_date", "gt")))
+    return M.score_histogram(x.select(score.alias("score")))
