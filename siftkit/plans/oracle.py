@@ -144,7 +144,7 @@ atagged AS (
   FROM atoks WINDOW w AS (PARTITION BY doc_id, chunk_idx ORDER BY j)
 ),
 aspans AS (
-  SELECT doc_id, chunk_idx, span_id - 1 AS span_idx, min(j) AS b, max(j) AS e,
+  SELECT doc_id, chunk_idx, CAST(span_id - 1 AS INT) AS span_idx, min(j) AS b, max(j) AS e,
          string_agg(replace(tok, '#', ''), ' ' ORDER BY j) AS text
   FROM (SELECT *, sum(CASE WHEN tag = 'B_NAME' THEN 1 ELSE 0 END) OVER (
           PARTITION BY doc_id, chunk_idx ORDER BY j) AS span_id FROM atagged WHERE tag <> 'O')
@@ -631,7 +631,7 @@ ORACLE["g3_complement_classes"] = _with(PAIRS_CTE) + """
 SELECT DISTINCT gold AS cls FROM pairs WHERE gold NOT IN (0, 2, 3, 4, 5, 6, 7)"""
 
 ORACLE["g4_union_results"] = _with(CHUNKS_CTE) + """
-SELECT doc_id, count(*) AS split_cnt, sum(length(chunk)) AS n_chars FROM chunks GROUP BY doc_id"""
+SELECT doc_id, count(*) AS split_cnt, CAST(sum(length(chunk)) AS BIGINT) AS n_chars FROM chunks GROUP BY doc_id"""
 
 ORACLE["j6_parse_label_list"] = _with(LABELS_CTE) + """
 SELECT doc_id, len(labels) AS n, array_to_string(labels, '|') AS labels FROM plabels"""
