@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, warc
+from . import exact_dedup, mixing, packing, sharding, token_files, warc
 from .common import documents, scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 @query
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
@@ -38,6 +50,13 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write_token_files(documents(spark, sf_dir), path, tokenizer("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path)
+
+
 @query
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
