@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, token_files, warc
+from . import exact_dedup, language_id, mixing, packing, sharding, token_files, toxicity, warc
 from .common import documents, scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,19 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op9_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model)
+
+
+@query
+def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
