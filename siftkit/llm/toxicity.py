@@ -8,8 +8,8 @@ of the labelled training rows).  With logistic loss l and a score g the risk is
 
 When the second term is negative the classifier overfits; the descent then steps back along
 that term alone (the non-negative correction).  A word scores the sum of its character
-n-grams' weights, a document its most toxic word (0 if none) plus a bias, so a long clean
-text does not add up to a toxic one.  N-grams are kept that are over ``LEAST_RATIO`` times as
+n-grams' weights, a document the sum of its ``TOP`` most toxic words (those above 0) plus a
+bias and a term for its length, so a long clean text does not add up to a toxic one.  N-grams are kept that are over ``LEAST_RATIO`` times as
 common among the positives as in the unlabelled sample, by a likelihood ratio of
 ``LEAST_EVIDENCE`` at least.
 
@@ -43,6 +43,8 @@ FEATURES = 4_096
 LEAST_RATIO, LEAST_EVIDENCE, LEAST_COUNT = 3.0, 6.0, 3
 HASHES = 1 << 22
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
+#: A document's score is the sum of so many words at most.
+TOP = 6
 CACHED_WORDS = 400_000
 
 
@@ -61,10 +63,10 @@ def features(text: str | None) -> set[int]:
 
 
 class Model:
-    """Weights of the chosen n-grams, and a bias; ``weights`` maps hashed n-gram to weight."""
+    """Weights of the chosen n-grams (by hashed n-gram), of the length, and a bias."""
 
-    def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[int, float], length: float = 0.0, bias: float = 0.0):
+        self.weights, self.length, self.bias = weights, length, bias
         self.cache: dict[str, float] = {}
 
     def word(self, word: str) -> float:
@@ -78,57 +80,63 @@ class Model:
     def score(self, text: str | None) -> float:
         if not self.weights:
             return 0.0
-        g = self.bias + max(0.0, max(map(self.word, set(LETTERS((text or "").lower()))), default=0.0))
+        words = set(LETTERS((text or "").lower()))
+        toxic = sorted((s for s in map(self.word, words) if s > 0), reverse=True)
+        g = self.bias + self.length * float(np.log1p(len(words))) + sum(toxic[:TOP])
         return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
 
 
 class Bags:
     """Documents as bags of words, words as lists of feature numbers, flattened."""
 
-    def __init__(self, docs: list[list[list[int]]]):
+    def __init__(self, docs: list[list[list[int]]], n_words: list[int]):
         words = [(d, w) for d, ws in enumerate(docs) for w in ws]
         self.n = len(docs)
+        self.length = np.log1p(np.array(n_words, float))
         self.doc = np.array([d for d, _ in words], int)
         self.word = np.repeat(np.arange(len(words)), [len(w) for _, w in words])
         self.feature = np.array([f for _, w in words for f in w], int)
 
     def top(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each document's best word score (0 at least), and each word's share in it."""
+        """Each document's sum of its TOP best word scores above 0, and which words take part."""
         s = np.bincount(self.word, weights[self.feature], len(self.doc))
-        best = np.zeros(self.n)
-        np.maximum.at(best, self.doc, s)
-        share = ((s == best[self.doc]) & (s > 0)).astype(float)
-        return best, share / np.maximum(np.bincount(self.doc, share, self.n), 1)[self.doc]
+        order = np.lexsort((-s, self.doc))
+        sizes = np.bincount(self.doc, minlength=self.n)
+        place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        share = np.zeros(len(s))
+        share[order[place < TOP]] = 1.0
+        share *= s > 0
+        return np.bincount(self.doc, s * share, self.n), share
 
     def gradient(self, share: np.ndarray, slope: np.ndarray, n_features: int) -> np.ndarray:
-        """Of the mean over documents, by feature, and last by the bias."""
+        """Of the mean over documents, by feature, by the weight of the length and by the bias."""
         own = (share * slope[self.doc])[self.word]
-        return np.append(np.bincount(self.feature, own, n_features), slope.sum()) / max(self.n, 1)
+        return np.append(np.bincount(self.feature, own, n_features), [slope @ self.length, slope.sum()]) / max(self.n, 1)
 
 
 def nn_pu(pos: Bags, unl: Bags, weights: np.ndarray, prior: float,
-          steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk by Adam steps from ``weights``."""
+          steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float, float]:
+    """Weights, weight of the length and bias that minimise the non-negative PU risk by Adam steps from ``weights``."""
     def below(g: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(np.clip(g, -40, 40)))  # the logistic loss falls at this slope
 
     def loss(g: np.ndarray) -> float:
         return float(np.logaddexp(0, -g).mean()) if len(g) else 0.0
 
-    w, b, n = weights.astype(float).copy(), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0, len(weights)
-    mean, square = np.zeros(n + 1), np.zeros(n + 1)
+    n = len(weights)
+    w = np.append(weights, [0.0, np.log(prior / (1 - prior)) if prior < 1 else 0.0])
+    mean, square = np.zeros(n + 2), np.zeros(n + 2)
     for step in range(1, steps + 1):
-        (p, p_share), (u, u_share) = pos.top(w), unl.top(w)
-        p, u = p + b, u + b
+        (p, p_share), (u, u_share) = pos.top(w[:n]), unl.top(w[:n])
+        p, u = p + w[n] * pos.length + w[n + 1], u + w[n] * unl.length + w[n + 1]
         positive = prior * pos.gradient(p_share, -below(p), n)
         negative = unl.gradient(u_share, below(-u), n) - prior * pos.gradient(p_share, below(-p), n)
         grad = positive + negative if loss(-u) - prior * loss(-p) >= 0 else -negative
-        grad[:-1] += decay * w
+        grad[:n] += decay * w[:n]
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad ** 2
-        move = rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
-        w, b = w - move[:-1], b - float(move[-1])
-    return w, b
+        w = w - rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
+    return w[:n], float(w[n]), float(w[n + 1])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +157,13 @@ def _chosen_only(chosen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = set(chosen.value)
         for batch in batches:
-            got = []
+            got, sizes = [], []
             for text in batch.column("text"):
-                words = {tuple(sorted(grams(w) & keep)) for w in set(LETTERS((text.as_py() or "").lower()))}
-                got.append(sorted(words - {()}))
-            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("unl"), pa.array(got, pa.list_(pa.list_(pa.int64())))],
-                                             names=["pos", "unl", "words"])
+                words = set(LETTERS((text.as_py() or "").lower()))
+                got.append([x for w in sorted(words) if (x := sorted(grams(w) & keep))])
+                sizes.append(len(words))
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("unl"), pa.array(sizes, pa.int64()),
+                                              pa.array(got, pa.list_(pa.list_(pa.int64())))], names=["pos", "unl", "n_words", "words"])
     return run
 
 
@@ -165,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     n_marks, n_toxic = marks.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not n_toxic:
-        return Model({}, 0.0)
+        return Model({})
     ids = docs.where(~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
     by_hash = [F.xxhash64(F.lit(7), F.col("doc_id")), F.col("doc_id")]
     p = marks.where("toxic = 1").select("doc_id").distinct().orderBy(*by_hash).limit(positives)
@@ -177,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                    .join(F.broadcast(sample), "doc_id").select("text", "pos", "unl"), "toxicity-texts")
     n_pos, n_unl = rows.agg(F.sum("pos"), F.sum("unl")).first()
     if not n_pos or not n_unl:
-        return Model({}, 0.0)
+        return Model({})
     counts = rows.mapInArrow(_count, "gram long, pos long, unl long").groupBy("gram").agg(
         F.sum("pos").alias("pos"), F.sum("unl").alias("unl")).where(F.col("pos") >= LEAST_COUNT)
     expected = (F.col("unl") + 1) / float(n_unl + 1) * float(n_pos)
@@ -186,13 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         .orderBy(F.desc(evidence), "gram").limit(FEATURES)
     kept = sorted(r.gram for r in chosen.select("gram").collect())  # at most FEATURES
     if not kept:
-        return Model({}, 0.0)
+        return Model({})
     at = {g: i for i, g in enumerate(kept)}
-    sample_rows = rows.mapInArrow(_chosen_only(spark.sparkContext.broadcast(kept)), "pos int, unl int, words array<array<long>>") \
+    sample_rows = rows.mapInArrow(_chosen_only(spark.sparkContext.broadcast(kept)), "pos int, unl int, n_words long, words array<array<long>>") \
         .collect()  # at most POSITIVES + UNLABELLED rows, of chosen n-grams only
-    bags = [Bags([[[at[g] for g in w] for w in r.words] for r in sample_rows if r[side]]) for side in ("pos", "unl")]
-    w, b = nn_pu(*bags, np.full(len(kept), 1.0), n_toxic / n_marks)
-    return Model({g: float(w[i]) for g, i in at.items()}, b)
+    sides = [[r for r in sample_rows if r[side]] for side in ("pos", "unl")]
+    bags = [Bags([[[at[g] for g in w] for w in r.words] for r in side], [r.n_words for r in side]) for side in sides]
+    w, length, bias = nn_pu(*bags, np.full(len(kept), 1.0), n_toxic / n_marks)
+    return Model({g: float(w[i]) for g, i in at.items()}, length, bias)
 
 
 def _score(model):
