@@ -93,11 +93,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_
         F.col("lang").cast("string").alias("lang"),
         F.explode(F.regexp_extract_all(F.lower(text_of()), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = written(rows.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
-    parts = [F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda i, n=n: F.substring(F.col("marked"), i, F.lit(n)))
-             for n in GRAMS]
+    def grams_of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda i: F.substring(F.col("marked"), i, F.lit(n)))
+        return F.when(F.length("marked") >= n, cut).otherwise(F.array().cast("array<string>"))
+
     marked = words.withColumn("marked", F.concat(F.lit("^"), "word", F.lit("$")))
-    grams = written(marked.select("lang", "n", F.explode(F.concat(*(F.when(F.length("marked") >= n, p).otherwise(F.array().cast("array<string>"))
-                                                                    for n, p in zip(GRAMS, parts)))).alias("gram"))
+    grams = written(marked.select("lang", "n", F.explode(F.concat(*map(grams_of, GRAMS))).alias("gram"))
                     .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())  # one row a language
 

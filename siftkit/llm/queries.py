@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, sharding, token_files, toxicity, warc
+from . import exact_dedup, fingerprints, language_id, mixing, packing, sharding, token_files, toxicity, warc
 from .common import documents, scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(documents(spark, sf_dir))
+
+
 @query
 def op9_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -106,6 +111,39 @@ ORACLE: dict[str, str] = {
               FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
         SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
                (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM d""",
+    "op8_multiset_hash": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        nx AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt FROM t WINDOW w AS (ORDER BY doc_id)),
+        ed AS (SELECT doc_id, text, length(text) AS n,
+                      substr(text, 1, length(text) - length(text) // 2) || substr(nxt, 1, length(text) // 2) AS edited FROM nx),
+        texts AS (SELECT doc_id, 0 AS k, text AS body FROM ed UNION ALL SELECT doc_id, 1, edited FROM ed),
+        p AS (SELECT doc_id, k, x FROM (
+                SELECT doc_id, k, unnest(string_split(replace(replace(replace(body, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10))) AS x
+                FROM texts) WHERE x <> ''),
+        h AS (SELECT doc_id, k, sha256(x) AS s, ('0x' || substr(md5(x), 1, 15))::BIGINT AS lo, ('0x' || substr(md5(x), 16, 15))::BIGINT AS hi FROM p),
+        lanes AS (
+            SELECT doc_id, k, 0 AS lane, count(*) AS v, 0::BIGINT AS bit FROM h GROUP BY ALL
+            UNION ALL SELECT doc_id, k, 1 + i, sum(('0x' || substr(s, 8 * i + 1, 8))::BIGINT)::BIGINT % 4294967296, 0 FROM h, range(8) r(i) GROUP BY doc_id, k, i
+            UNION ALL SELECT doc_id, k, 9 + j, sum((lo >> (j + 20 * f)) & 1)::BIGINT % 524288, f FROM h, range(20) r(j), range(3) q(f) GROUP BY doc_id, k, j, f
+            UNION ALL SELECT doc_id, k, 29 + j, sum((hi >> (j + 20 * f)) & 1)::BIGINT % 524288, f FROM h, range(20) r(j), range(3) q(f) GROUP BY doc_id, k, j, f),
+        packed AS (SELECT doc_id, k, lane, sum(v << (20 * bit))::BIGINT AS v FROM lanes GROUP BY doc_id, k, lane),
+        every AS (SELECT t.doc_id, t.k, l.lane, coalesce(v, 0) AS v FROM (SELECT doc_id, k FROM texts) t CROSS JOIN (SELECT range AS lane FROM range(49)) l
+                  LEFT JOIN packed USING (doc_id, k, lane)),
+        fp AS (SELECT doc_id, k, string_agg(lpad(lower(hex(v)), 16, '0'), '' ORDER BY lane) AS fp,
+                      max(CASE WHEN lane = 0 THEN v END) AS n FROM every GROUP BY doc_id, k),
+        sg AS (SELECT e.doc_id, e.k, list(2 * ((e.v >> (20 * f)) & 524287) - fp.n ORDER BY lane, f) AS s
+               FROM every e JOIN fp USING (doc_id, k), range(3) q(f) WHERE e.lane >= 9 GROUP BY e.doc_id, e.k),
+        own AS (SELECT doc_id, s, coalesce(lead(s) OVER w, first_value(s) OVER w) AS s_next FROM sg WHERE k = 0 WINDOW w AS (ORDER BY doc_id)),
+        near AS (SELECT own.doc_id, own.s AS a, own.s_next AS c, e.s AS b FROM own JOIN sg e ON e.doc_id = own.doc_id AND e.k = 1),
+        d AS (SELECT doc_id, a, b, c, list_dot_product(a::DOUBLE[], a::DOUBLE[]) AS aa,
+                     list_dot_product(b::DOUBLE[], b::DOUBLE[]) AS bb,
+                     list_dot_product(c::DOUBLE[], c::DOUBLE[]) AS cc,
+                     list_dot_product(a::DOUBLE[], b::DOUBLE[]) AS ab,
+                     list_dot_product(a::DOUBLE[], c::DOUBLE[]) AS ac FROM near)
+        SELECT ed.doc_id, ed.n AS n_chars, sha256(edited) AS edited_sha256, f.fp AS fingerprint, g.fp AS edited_fingerprint,
+               CASE WHEN a = b THEN 1.0 WHEN aa * bb = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, ab / sqrt(aa * bb))) END::DOUBLE AS near_edited,
+               CASE WHEN a = c THEN 1.0 WHEN aa * cc = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, ac / sqrt(aa * cc))) END::DOUBLE AS near_next
+        FROM ed JOIN d USING (doc_id) JOIN fp f ON f.doc_id = ed.doc_id AND f.k = 0 JOIN fp g ON g.doc_id = ed.doc_id AND g.k = 1""",
     "op4_warc_revisits": r"""
         WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         h AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM t),
