@@ -1,14 +1,57 @@
-"""Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, source mixing, best-fit packing."""
+"""Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, source mixing, best-fit packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; its
+result is written as Parquet in the shared folder and read again as the next stage's docs.
+All but the last return the columns of ``documents``.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from siftkit.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
+from siftkit.llm.common import documents, written
+from siftkit.llm.queries import tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on this input, scores below 0.5."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones."""
+    return jaccard_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents (one row a piece) and their places in sequences."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Training, MinHash candidates and the packing plan cannot be put in SQL; tests hold the rows against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, mixing, packing, sharding, token_files, toxicity, warc
+from . import exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, sharding, token_files, toxicity, warc
 from .common import documents, scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,12 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard_join.classes(documents(spark, sf_dir))
+    return rows.select("doc_id", "class_id", "links", "copy_id")
+
+
 @query
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(documents(spark, sf_dir))
