@@ -141,7 +141,7 @@ def _blocks(rank_of):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write ``docs`` as token files under ``path/files``, and the ranks' ids under ``path/ranks``."""
     spark = docs.sparkSession
-    rows = written(token_ids(docs, tokenizer, end_id), "token-ids")
+    rows = written(token_ids(docs, tokenizer, end_id), "token-ids", "zstd")
     counts = rows.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = sorted((-r.n, r.id) for r in counts.collect())  # one row an id of the vocabulary
     id_of = np.array([i for _, i in got], np.int64)
