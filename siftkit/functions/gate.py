@@ -31,9 +31,9 @@ def rule_check(p_pos, p_neg, hit: Column | None = None, adjust: float = 0.3) ->
     return passed.cast("int")
 
 
-def sum_rule(sum_pos, sum_neg, threshold: float = 0.25, digits: int = 9) -> Column:
-    """``sum_pos / (sum_pos + sum_neg) > threshold`` (ratio rounded to ``digits``)."""
-    return F.round(col(sum_pos) / (col(sum_pos) + col(sum_neg)), digits) > F.lit(threshold)
+def sum_rule(sum_pos, sum_neg, threshold: float = 0.25) -> Column:
+    """``sum_pos / (sum_pos + sum_neg) > threshold``."""
+    return col(sum_pos) / (col(sum_pos) + col(sum_neg)) > F.lit(threshold)
 
 
 def max_rule(max_pos, max_neg) -> Column:

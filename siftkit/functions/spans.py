@@ -136,15 +136,14 @@ def merge_legacy_names(spans, key: str = "NAME") -> Column:
     return texts
 
 
-def capital_tags(chunk, max_seq_len: int = 512, capital_re: str = CAPITAL_RE) -> Column:
+def capital_tags(chunk, capital_re: str = CAPITAL_RE) -> Column:
     """F4 tag fixture: ``struct(tokens, tags)`` for a chunk split on one space.
 
     A token whose first letter is a capital is ``B_NAME`` when the token
     before is not capital, else ``I_NAME``; other tokens are ``O``.  A
-    ``[CLS]`` leads, and the sequence is cut to ``max_seq_len`` positions as
-    the tagger input is.
+    ``[CLS]`` leads.  All tokens are tagged, however long the chunk.
     """
-    toks = F.slice(F.split(col(chunk), " "), 1, max_seq_len - 1)
+    toks = F.split(col(chunk), " ")
     caps = F.transform(toks, lambda w: w.rlike(capital_re))
     tags = F.transform(caps, lambda c, i: F.when(
         c, F.when((i > 0) & F.coalesce(F.get(caps, i - 1), F.lit(False)), F.lit("I_NAME"))

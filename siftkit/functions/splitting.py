@@ -11,8 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import (ARTICLE_SPLIT_MARKS, SENTENCE_MARKS, char_class, col,
-                     last_mark_regex, lead_regex, let)
+from .common import (ARTICLE_SPLIT_MARKS, SENTENCE_MARKS, col, last_mark_regex,
+                     lead_regex, let)
+
+
+def _by_blocks(text: Column, size: int, body) -> Column:
+    """``body(at)`` with ``at(pos, length)`` = ``substring(text, pos, length)`` in constant time.
+
+    The text is cut once into blocks of ``size`` characters; a part of at most ``size + 1``
+    characters lies in two neighbours.  Reading from the start of the text at every step
+    would make a long text quadratic.
+    """
+    def bound(blocks):
+        def at(pos, length):
+            i = F.floor((pos - 1) / size).cast("int")
+            both = F.concat(F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, i + 1), F.lit("")))
+            return both.substr((pos - i * size).cast("int"), length)
+        return body(at)
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0)), bound)
 
 
 def split_article(text, max_len: int = 488, marks: Sequence[str] = ARTICLE_SPLIT_MARKS,
@@ -39,26 +56,28 @@ def split_article(text, max_len: int = 488, marks: Sequence[str] = ARTICLE_SPLIT
     steps = F.sequence(F.lit(1), (F.ceil(n / F.lit(max_len)) * 2 + 2).cast("int"))
     init = F.struct(F.lit(1).alias("pos"), F.array().cast("array<string>").alias("pieces"))
 
-    def step(acc, _i):
-        win = t.substr(acc["pos"], m)
-        p = F.length(F.regexp_extract(win, last_re, 0))
-        cut = F.when(p > 0, p - 1).otherwise(F.lit(max_len + 1))
-        nxt = let(cut, lambda g: F.struct(
-            (acc["pos"] + g + 1).alias("pos"),
-            F.concat(acc["pieces"],
-                     F.array(F.concat(t.substr(acc["pos"], g), F.lit(end_mark)))).alias("pieces")))
-        return F.when(n - acc["pos"] + 1 > m, nxt).otherwise(acc)
+    def pieces(at):
+        def step(acc, _i):
+            p = F.length(F.regexp_extract(at(acc["pos"], m), last_re, 0))
+            cut = F.when(p > 0, p - 1).otherwise(F.lit(max_len + 1))
+            nxt = let(cut, lambda g: F.struct(
+                (acc["pos"] + g + 1).alias("pos"),
+                F.concat(acc["pieces"],
+                         F.array(F.concat(at(acc["pos"], g), F.lit(end_mark)))).alias("pieces")))
+            return F.when(n - acc["pos"] + 1 > m, nxt).otherwise(acc)
 
-    def finish(acc):
-        window = t.substr(F.greatest(n - m + 1, F.lit(1)), m)
-        i = F.length(F.regexp_extract(window, first_re, 0))
-        k = F.when(i < F.length(window), m - i - 1).otherwise(m - 1)
-        tail = let(k, lambda kk: F.when(kk == 0, t).otherwise(
-            t.substr(F.greatest(n - kk + 1, F.lit(1)), n)))
-        return F.when(n - acc["pos"] + 1 > F.lit(min_tail),
-                      F.concat(acc["pieces"], F.array(tail))).otherwise(acc["pieces"])
+        def finish(acc):
+            window = at(F.greatest(n - m + 1, F.lit(1)), m)
+            i = F.length(F.regexp_extract(window, first_re, 0))
+            k = F.when(i < F.length(window), m - i - 1).otherwise(m - 1)
+            tail = let(k, lambda kk: F.when(kk == 0, t).otherwise(
+                at(F.greatest(n - kk + 1, F.lit(1)), m)))
+            return F.when(n - acc["pos"] + 1 > F.lit(min_tail),
+                          F.concat(acc["pieces"], F.array(tail))).otherwise(acc["pieces"])
 
-    return F.aggregate(steps, init, step, finish)
+        return F.aggregate(steps, init, step, finish)
+
+    return _by_blocks(t, max_len, pieces)
 
 
 def split_on_mark(text, max_len: int = 512, mark: str = "。") -> Column:
@@ -81,24 +100,26 @@ def split_on_mark(text, max_len: int = 512, mark: str = "。") -> Column:
     init = F.struct(F.lit(0).alias("idx"), F.lit(0).alias("start"),
                     F.array().cast("array<string>").alias("pieces"))
 
-    def step(acc, _i):
-        win = t.substr(acc["idx"] + 1, m)
-        p = F.length(F.regexp_extract(win, last_re, 0))
-        cut = acc["idx"] + p - 1
-        found = F.struct(
-            cut.alias("idx"), cut.alias("start"),
-            F.concat(acc["pieces"],
-                     F.array(t.substr(acc["idx"] + 1, p - 1))).alias("pieces"))
-        moved = F.struct((acc["idx"] + m).alias("idx"), acc["start"].alias("start"),
-                         acc["pieces"].alias("pieces"))
-        return F.when(acc["idx"] + m < n, F.when(p > 1, found).otherwise(moved)).otherwise(acc)
+    def pieces(at):
+        def step(acc, _i):
+            p = F.length(F.regexp_extract(at(acc["idx"] + 1, m), last_re, 0))
+            cut = acc["idx"] + p - 1
+            found = F.struct(
+                cut.alias("idx"), cut.alias("start"),
+                F.concat(acc["pieces"],
+                         F.array(at(acc["idx"] + 1, p - 1))).alias("pieces"))
+            moved = F.struct((acc["idx"] + m).alias("idx"), acc["start"].alias("start"),
+                             acc["pieces"].alias("pieces"))
+            return F.when(acc["idx"] + m < n, F.when(p > 1, found).otherwise(moved)).otherwise(acc)
+
+        def finish(acc):
+            return F.when(acc["start"] < n,
+                          F.concat(acc["pieces"], F.array(t.substr(acc["start"] + 1, n))))\
+                .otherwise(acc["pieces"])
 
-    def finish(acc):
-        return F.when(acc["start"] < n,
-                      F.concat(acc["pieces"], F.array(t.substr(acc["start"] + 1, n))))\
-            .otherwise(acc["pieces"])
+        return F.aggregate(steps, init, step, finish)
 
-    return F.aggregate(steps, init, step, finish)
+    return _by_blocks(t, max_len, pieces)
 
 
 def mention_sentence(text, start, end, marks: Sequence[str] = SENTENCE_MARKS,
@@ -135,7 +156,3 @@ def mention_sentence(text, start, end, marks: Sequence[str] = SENTENCE_MARKS,
             .when(p > 0, lo_l + p)
             .otherwise(lo_l + 1))
     return t.substr(left + 1, F.greatest(right - left, F.lit(0)))
-
-
-def marks_class(marks: Sequence[str]) -> str:
-    return char_class(marks)

@@ -96,9 +96,9 @@ def mean_loss(df: DataFrame, loss: str, weight: str | None = None) -> DataFrame:
     return df.agg(safe_div(F.sum(F.col(loss) * w), F.sum(w)).alias("mean_loss"))
 
 
-def threshold_grid(n: int = 200) -> list[float]:
-    """I8: ``-eps, 1/(n-1), ..., (n-2)/(n-1), 1+eps``."""
-    return [0.0 - EPS] + [(i + 1) / (n - 1) for i in range(n - 2)] + [1.0 + EPS]
+def over_threshold(prob: Column, threshold: Column, strict: bool = False) -> Column:
+    """``prob >= threshold`` (the extractor's rule) or ``>`` (the predict report's)."""
+    return prob > threshold if strict else prob >= threshold
 
 
 def grid_bucket(prob, n: int = 200) -> Column:

@@ -27,6 +27,9 @@ def split_posts(df: DataFrame, text: str = "content", max_len: int = 512,
     """H12 once per mark, in order; every other column is copied to each piece."""
     others = [c for c in df.columns if c != text]
     pieces = F.array(F.col(text))
+    def split_by(mark: str):
+        return lambda p: split_on_mark(p, max_len, mark)
+
     for mark in marks:
-        pieces = F.flatten(F.transform(pieces, lambda p, m=mark: split_on_mark(p, max_len, m)))
+        pieces = F.flatten(F.transform(pieces, split_by(mark)))
     return df.select(*others, F.posexplode(pieces).alias("piece_idx", text))

@@ -26,7 +26,7 @@ def read_vocab(spark, path: str) -> DataFrame:
     return lines.select(F.trim("token").alias("token"), "id").groupBy("token").agg(F.max("id").alias("id"))
 
 
-def build_vocab(docs: DataFrame, tokens: Column, text: str = "text", n_words: int = 2000) -> DataFrame:
+def build_vocab(docs: DataFrame, tokens: Column, n_words: int, text: str = "text") -> DataFrame:
     """specials, every character of the corpus, their ``##`` forms, then the ``n_words``
     most frequent tokens (count desc, token asc); ``(token, id)``, a repeated token keeping its last id.
 
@@ -90,18 +90,36 @@ def wordpiece(distinct_tokens: DataFrame, vocab: DataFrame, token: str = "token"
                       F.when(is_unk, F.array(unk_id)).otherwise(walked["ids"]).alias("ids"))
 
 
-def doc_piece_ids(docs: DataFrame, tokens: Column, wp: DataFrame, max_tokens: int,
+def doc_piece_ids(docs: DataFrame, tokens: Column, wp: DataFrame, max_tokens: int | None = None,
                   key: str = "doc_id") -> DataFrame:
-    """First ``max_tokens`` tokens of each document -> ordered piece ids ``(key, ids)``.
+    """The tokens of each document (a model's first ``max_tokens``, if given) -> ordered piece ids ``(key, ids)``.
 
-    Tokens join the distinct-token WordPiece table (a shuffle join on the
-    token; AQE splits a hot token's partition), then regroup per document;
-    a document contributes at most ``max_tokens`` rows.
+    Each document sends a distinct token once, with its places, so a common token is one row
+    a document; AQE splits what remains of a hot token's partition.  Documents without
+    tokens give an empty array.
     """
-    t = docs.select(key, F.posexplode(F.slice(tokens, 1, max_tokens)).alias("pos", "token"))
-    j = t.join(wp.select("token", "ids"), "token")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("l"))
-    return g.select(key, F.flatten(F.transform("l", lambda x: x["ids"])).alias("ids"))
+    t = docs.select(key, (tokens if max_tokens is None else F.slice(tokens, 1, max_tokens)).alias("tokens"))
+    places = F.transform("tokens", lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
+    t = t.select(key, F.explode_outer(places).alias("x")).groupBy(key, F.col("x.token").alias("token")).agg(
+        F.collect_list("x.pos").alias("at"))
+    j = t.join(wp.select("token", "ids"), "token", "left")
+    g = j.groupBy(key).agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("at", "ids"))).alias("l"))
+    each = F.flatten(F.transform("l", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["ids"].alias("ids")))))
+    return g.select(key, F.flatten(F.transform(F.sort_array(each), lambda x: x["ids"])).alias("ids"))
+
+
+def ids_to_tokens(ids: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, ids)`` -> ``(key, tokens)`` by the vocabulary's inverse; ids it lacks give null.
+
+    A document sends each distinct id once, with its places; Spark picks the join by the
+    vocabulary's size.
+    """
+    t = ids.select(key, F.explode_outer(F.transform("ids", lambda v, i: F.struct(v.alias("id"), i.alias("pos")))).alias("x"))
+    t = t.groupBy(key, F.col("x.id").alias("id")).agg(F.collect_list("x.pos").alias("at"))
+    j = t.join(vocab.select(F.col("id").cast("int").alias("id"), "token"), "id", "left")
+    g = j.groupBy(key).agg(F.collect_list(F.struct("at", "token")).alias("l"))
+    each = F.flatten(F.transform("l", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["token"].alias("token")))))
+    return g.select(key, F.transform(F.sort_array(each), lambda x: x["token"]).alias("tokens"))
 
 
 def truncate_pair(a, b, m) -> Column:

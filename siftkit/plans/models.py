@@ -15,15 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 
-def train_text_classifier(df: DataFrame, text: str = "text", label: str = "label", num_features: int = 1 << 18):
-    """K2: ``RegexTokenizer -> HashingTF -> IDF -> LogisticRegression`` fitted on labelled text."""
+def train_text_classifier(df: DataFrame, text: str = "text", label: str = "label", num_features: int = 1 << 18,
+                          max_iter: int = 100):
+    """K2: ``RegexTokenizer -> HashingTF -> IDF -> LogisticRegression`` fitted on all labelled text.
+
+    ``num_features`` hashed words and at most ``max_iter`` steps; the fitted stage's
+    ``summary.totalIterations`` tells how many were used.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern="\\W+"),
               HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
               IDF(inputCol="_tf", outputCol="_features"),
-              LogisticRegression(featuresCol="_features", labelCol=label, maxIter=20)]
+              LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter)]
     return Pipeline(stages=stages).fit(df)
 
 
@@ -36,6 +41,14 @@ def score_text(model, df: DataFrame, positive: int = 1) -> DataFrame:
     return out.select(*keep, F.get(probs, positive).alias("p_pos"), F.get(probs, 1 - positive).alias("p_neg"))
 
 
+def tag_bigrams(tags) -> Column:
+    """E5: neighbouring tags of a sequence as ``array<struct<prev_tag, tag>>``; empty below two tags."""
+    t = F.col(tags) if isinstance(tags, str) else tags
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n),
+                      lambda a, b: F.struct(a.alias("prev_tag"), b.alias("tag")))
+
+
 def train_tagger(seqs: DataFrame, tokens: str = "tokens", tags: str = "tags"):
     """K3: HMM estimates from tag sequences: add-one smoothed log emissions and transitions.
 
@@ -49,8 +62,7 @@ def train_tagger(seqs: DataFrame, tokens: str = "tokens", tags: str = "tags"):
     emissions = em.join(F.broadcast(tag_tot), "tag").select(
         "tag", "token", F.log((F.col("count") + 1) / (F.col("n_tag") + n_tokens)).alias("logp"))
     t = F.col(tags)
-    bigrams = seqs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.struct(
-        F.get(t, i - 1).alias("prev_tag"), F.get(t, i).alias("tag")))).alias("b"))
+    bigrams = seqs.select(F.explode(tag_bigrams(tags)).alias("b"))
     tr = bigrams.groupBy("b.prev_tag", "b.tag").count()
     n_tags = seqs.select(F.explode(t).alias("tag")).select(F.countDistinct("tag")).scalar()
     prev_tot = tr.groupBy("prev_tag").agg(F.sum("count").alias("n_prev"))

@@ -53,7 +53,7 @@ toks AS (
   SELECT doc_id, chunk_idx, j, tok, regexp_matches(tok, '^[A-ZÀ-Þ]') AS cap FROM (
     SELECT doc_id, chunk_idx, unnest(string_split(chunk, ' ')) AS tok,
            generate_subscripts(string_split(chunk, ' '), 1) AS j
-    FROM scored WHERE flag) WHERE j <= 511
+    FROM scored WHERE flag)
 ),
 tagged AS (
   SELECT *, CASE WHEN cap THEN CASE WHEN coalesce(lag(cap) OVER w, false) THEN 'I_NAME' ELSE 'B_NAME' END
@@ -82,10 +82,10 @@ occ(doc_id, chunk_idx, name, chunk, start0) AS (
 ),
 checked AS (
   SELECT doc_id, chunk_idx, name FROM (
-    SELECT doc_id, chunk_idx, name, sum((2 * k + 1) / 200.0) AS sp, sum((199 - 2 * k) / 200.0) AS sn
-    FROM (SELECT *, (doc_id * 13 + chunk_idx * 7 + start0) % 100 AS k FROM occ)
+    SELECT doc_id, chunk_idx, name, sum((2 * k + 1) / 256.0::DOUBLE) AS sp, sum((255 - 2 * k) / 256.0::DOUBLE) AS sn
+    FROM (SELECT *, (doc_id * 13 + chunk_idx * 7 + start0) % 128 AS k FROM occ)
     GROUP BY doc_id, chunk_idx, name)
-  WHERE round(sp / (sp + sn), 9) > 0.25
+  WHERE sp / (sp + sn) > 0.25
 ),
 all_ner AS (
   SELECT doc_id, name, min(chunk_idx * 100000 + ord) AS o FROM chunk_names GROUP BY doc_id, name
@@ -136,7 +136,7 @@ ALL_SPANS_CTE = """
 atoks AS (
   SELECT doc_id, chunk_idx, j, tok, regexp_matches(tok, '^[A-ZÀ-Þ]') AS cap FROM (
     SELECT doc_id, chunk_idx, unnest(string_split(chunk, ' ')) AS tok,
-           generate_subscripts(string_split(chunk, ' '), 1) AS j FROM chunks) WHERE j <= 511
+           generate_subscripts(string_split(chunk, ' '), 1) AS j FROM chunks)
 ),
 atagged AS (
   SELECT *, CASE WHEN cap THEN CASE WHEN coalesce(lag(cap) OVER w, false) THEN 'I_NAME' ELSE 'B_NAME' END
@@ -172,9 +172,9 @@ mocc(doc_id, chunk_idx, name, chunk, start0) AS (
 ),
 msums AS (
   SELECT doc_id, chunk_idx, name, count(*) AS n_mentions,
-         sum((2 * k + 1) / 200.0) AS sp, sum((199 - 2 * k) / 200.0) AS sn,
-         max((2 * k + 1) / 200.0) AS mp, max((199 - 2 * k) / 200.0) AS mn
-  FROM (SELECT *, (doc_id * 13 + chunk_idx * 7 + start0) % 100 AS k FROM mocc)
+         sum((2 * k + 1) / 256.0::DOUBLE) AS sp, sum((255 - 2 * k) / 256.0::DOUBLE) AS sn,
+         max((2 * k + 1) / 256.0::DOUBLE) AS mp, max((255 - 2 * k) / 256.0::DOUBLE) AS mn
+  FROM (SELECT *, (doc_id * 13 + chunk_idx * 7 + start0) % 128 AS k FROM mocc)
   GROUP BY doc_id, chunk_idx, name
 )"""
 
@@ -237,7 +237,7 @@ kept AS (
       SELECT 1 FROM firsts b WHERE b.doc_id = a.doc_id AND b.name <> a.name AND contains(b.name, a.name)))
 )
 SELECT d.doc_id, coalesce(k.n, 0) AS n_names, coalesce(k.names, '') AS names
-FROM (SELECT DISTINCT doc_id FROM names5) d
+FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(name, '|' ORDER BY o) AS names FROM kept GROUP BY doc_id) k
 USING (doc_id)"""
 
@@ -265,7 +265,7 @@ FROM (
 
 ORACLE["d5_name_score_sum"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
 SELECT doc_id, chunk_idx, name, n_mentions, round(sp, 6) AS sum_pos, round(sn, 6) AS sum_neg,
-       round(sp / (sp + sn), 9) > 0.25 AS passed
+       sp / (sp + sn) > 0.25 AS passed
 FROM msums"""
 
 ORACLE["d6_name_score_max"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
@@ -279,7 +279,7 @@ FROM (SELECT DISTINCT doc_id, chunk_idx FROM names5) c
 LEFT JOIN (
   SELECT m.doc_id, m.chunk_idx, string_agg(m.name, '|' ORDER BY m.ord) AS names
   FROM mnames m JOIN msums s USING (doc_id, chunk_idx, name)
-  WHERE NOT contains(m.name, '[UNK]') AND round(s.sp / (s.sp + s.sn), 9) > 0.25
+  WHERE NOT contains(m.name, '[UNK]') AND s.sp / (s.sp + s.sn) > 0.25
   GROUP BY m.doc_id, m.chunk_idx) k USING (doc_id, chunk_idx)"""
 
 # ---------------------------------------------------------------- gate and merge
@@ -297,6 +297,11 @@ FROM chunks"""
 ORACLE["k7_classify_chunks"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
 SELECT doc_id, chunk_idx, CAST(flag AS INT) AS label FROM scored"""
 
+ORACLE["k7_classify_chunks_contains"] = _with(CHUNKS_CTE, KEYWORDS_CTE) + """
+SELECT doc_id, chunk_idx, CAST((2 * k + 1) / 200.0 + 0.3 >= (199 - 2 * k) / 200.0
+       OR EXISTS (SELECT 1 FROM keywords WHERE keyword <> '' AND contains(chunk, keyword)) AS INT) AS label
+FROM (SELECT *, (doc_id * 37 + chunk_idx * 11) % 100 AS k FROM chunks)"""
+
 ORACLE["b5_gate"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
 SELECT s.doc_id, s.chunk_idx, s.flag AS has_aml, coalesce(n.names, '') AS ner_names
 FROM scored s LEFT JOIN (SELECT doc_id, chunk_idx, string_agg(name, '|' ORDER BY ord) AS names
@@ -309,8 +314,8 @@ FROM scored s LEFT JOIN (SELECT doc_id, chunk_idx, count(*) AS cnt, string_agg(n
 WHERE s.flag"""
 
 ORACLE["d1_merge_chunks"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
-SELECT p.doc_id, p.has_aml, p.split_cnt, coalesce(n.names, '') AS all_ner_names
-FROM per_doc p LEFT JOIN (SELECT doc_id, string_agg(name, '|' ORDER BY chunk_idx, ord) AS names
+SELECT d.doc_id, coalesce(p.has_aml, false) AS has_aml, coalesce(p.split_cnt, 0) AS split_cnt, coalesce(n.names, '') AS all_ner_names
+FROM documents d LEFT JOIN per_doc p USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(name, '|' ORDER BY chunk_idx, ord) AS names
                           FROM chunk_names GROUP BY doc_id) n USING (doc_id)"""
 
 ORACLE["d2_fallback_names"] = _with(CHUNKS_CTE, KEYWORDS_CTE, SCREEN_CTES) + """
@@ -613,9 +618,11 @@ ORACLE["f1_argmax_class"] = _with(ML_CTE) + """
 SELECT doc_id, CAST(min(cls) FILTER (WHERE logit = mx) AS INT) AS argmax FROM (
   SELECT *, max(logit) OVER (PARTITION BY doc_id) AS mx FROM ml) GROUP BY doc_id"""
 
-ORACLE["b6_threshold_labels"] = _with(ML_CTE) + """
-SELECT doc_id, string_agg(CAST(m.cls AS VARCHAR) || ':' || CAST(prob AS VARCHAR), '|' ORDER BY m.cls) AS labels
-FROM ml m JOIN best b ON b.cls = m.cls WHERE prob >= b.t GROUP BY doc_id"""
+for _name, _op in (("b6_threshold_labels", ">="), ("b6_labels_over_threshold", ">")):
+    ORACLE[_name] = _with(ML_CTE) + f"""
+SELECT doc_id, coalesce(string_agg(CAST(m.cls AS VARCHAR) || ':' || CAST(prob AS VARCHAR), '|' ORDER BY m.cls)
+                        FILTER (WHERE prob {_op} b.t), '') AS labels
+FROM ml m JOIN best b ON b.cls = m.cls GROUP BY doc_id"""
 
 ORACLE["b10_drop_padding"] = _with(PAIRS_CTE) + """
 SELECT gold, count(*) AS n_real FROM pairs WHERE w > 0 GROUP BY gold"""
@@ -714,12 +721,12 @@ SELECT doc_id, array_to_string(body || list_transform(range(511 - len(body)), la
 FROM enc"""
 
 ORACLE["c2_ids_to_tokens"] = _with(VOCAB_CTE) + """,
-firsts AS (SELECT doc_id, list_slice(toks, 1, 20) AS t FROM dtoks),
 pids AS (
   SELECT doc_id, flatten(list(w.pieces ORDER BY pos)) AS pieces FROM (
-    SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM firsts) x
+    SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM dtoks) x
   JOIN wp_ids w USING (token) GROUP BY doc_id)
-SELECT doc_id, array_to_string(pieces, ' ') AS tokens FROM pids"""
+SELECT d.doc_id, CAST(coalesce(len(pieces), 0) AS INT) AS n_pieces, md5(coalesce(array_to_string(pieces, ' '), '')) AS h
+FROM documents d LEFT JOIN pids USING (doc_id)"""
 
 PAIRS_TURN_CTE = f"""
 tp AS (SELECT conv_id, turn, a, b FROM (
@@ -753,9 +760,12 @@ ORACLE["b11_skip_null_token"] = _with(CHUNKS_CTE) + """
 SELECT doc_id, chunk_idx, CAST(len(t) AS INT) AS n_all, CAST(len(list_filter(t, lambda x: x <> '**NULL**')) AS INT) AS n_kept
 FROM (SELECT doc_id, chunk_idx, string_split_regex(regexp_replace(chunk, '[.,!?]', ' **NULL** ', 'g'), ' +') AS t FROM chunks)"""
 
-ORACLE["c7_zip_tags"] = _with(CHUNKS_CTE) + """
-SELECT doc_id, chunk_idx, CAST(least(length(chunk), 1 + least(len(string_split(chunk, ' ')), 511)) AS INT) AS n_pairs
-FROM chunks"""
+ORACLE["c7_zip_tags"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
+SELECT c.doc_id, c.chunk_idx, CAST(count(g.k) AS INT) AS n_pairs,
+       md5(coalesce(string_agg(substring(c.chunk, CAST(g.k AS INT), 1) || ' ' || coalesce(t.tag, '[CLS]'), '|' ORDER BY g.k), '')) AS h
+FROM chunks c LEFT JOIN (SELECT doc_id, chunk_idx, unnest(range(1, least(length(chunk), 1 + len(string_split(chunk, ' '))) + 1)) AS k FROM chunks) g
+  USING (doc_id, chunk_idx) LEFT JOIN atagged t ON t.doc_id = c.doc_id AND t.chunk_idx = c.chunk_idx AND t.j = g.k - 1
+GROUP BY c.doc_id, c.chunk_idx"""
 
 ORACLE["j9_masked_slice"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
 SELECT c.doc_id, c.chunk_idx, CAST(1 + coalesce(t.n, 0) AS INT) AS n,
@@ -816,6 +826,9 @@ tr AS (SELECT prev_tag, tag, ln((c + 1.0) / (sum(c) OVER (PARTITION BY prev_tag)
 ORACLE["k3_train_tagger"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, TAGSEQ_CTE) + """
 SELECT prev_tag, tag, round(logp, 6) AS logp FROM tr"""
 
+ORACLE["k3_tagger_emissions"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, TAGSEQ_CTE) + """
+SELECT tag, token, round(logp, 6) AS logp FROM em"""
+
 ORACLE["k5_sequence_score"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, TAGSEQ_CTE) + """
 SELECT e.doc_id, e.chunk_idx, round(e.es + coalesce(t.ts, 0.0), 6) AS score
 FROM (SELECT doc_id, chunk_idx, sum(logp) AS es FROM seq JOIN em USING (tag, token) GROUP BY doc_id, chunk_idx) e
@@ -826,7 +839,8 @@ USING (doc_id, chunk_idx)"""
 # ---------------------------------------------------------------- name evaluation, slot maps
 GOLD_CTE = """
 gfirst AS (SELECT doc_id, name, min(chunk_idx * 100000 + span_idx) AS o FROM names5 GROUP BY doc_id, name),
-gold AS (SELECT doc_id, list(name ORDER BY o) AS gold FROM gfirst GROUP BY doc_id),
+gold AS (SELECT d.doc_id, coalesce(g.gold, []) AS gold FROM documents d
+         LEFT JOIN (SELECT doc_id, list(name ORDER BY o) AS gold FROM gfirst GROUP BY doc_id) g USING (doc_id)),
 gp AS (SELECT doc_id, gold, CASE WHEN doc_id % 4 = 0 THEN list_slice(gold, 1, greatest(len(gold) - 1, 0))
                                  ELSE gold END AS pred FROM gold)"""
 
@@ -838,15 +852,18 @@ SELECT doc_id, {MATCH} AS matched FROM gp"""
 ORACLE["d18_exact_match_accuracy"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + f"""
 SELECT round(avg(CASE WHEN {MATCH} THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM gp"""
 
+ORACLE["d18_match_accuracy_named"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + f"""
+SELECT round(avg(CASE WHEN {MATCH} THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM gp WHERE len(gold) > 0"""
+
 ORACLE["c6_align_gold_pred"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + """
 SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.gold, p.pred
 FROM (SELECT doc_id, array_to_string(gold, '|') AS gold FROM gp) g
-FULL OUTER JOIN (SELECT doc_id, array_to_string(pred, '|') AS pred FROM gp WHERE doc_id % 7 <> 0) p USING (doc_id)"""
+FULL OUTER JOIN (SELECT doc_id, array_to_string(pred, '|') AS pred FROM gp WHERE len(pred) > 0) p USING (doc_id)"""
 
 ORACLE["k11_evaluate_names"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + f"""
 SELECT round(avg(CASE WHEN {MATCH} THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        CAST(sum(CASE WHEN {MATCH} THEN 1 ELSE 0 END) AS BIGINT) AS n_matched, count(*) AS n
-FROM gp WHERE doc_id % 7 <> 0"""
+FROM gp"""
 
 ORACLE["b8_select_slots"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
 SELECT c.doc_id, c.chunk_idx, coalesce(s.text, '') AS name, '' AS store, '' AS phone, '' AS address, '' AS time

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import LATIN_MARKS
+from ..operators.order import row_numbers
 from ..operators.split import split_chunks
 from ..sources import fixtures
 from ..sources.tables import table
@@ -71,18 +72,31 @@ def tagged_chunks(spark, sf_dir) -> DataFrame:
                     S.bio_spans("tg.tokens", "tg.tags", " ").alias("spans"))
 
 
+def chunk_names5(spark, sf_dir) -> DataFrame:
+    """F5 in the chunk's row: NAME spans cut to 1-3 words (1 + begin % 3); ``name_u`` has an injected ``[UNK]``."""
+    def cut(span, i):
+        b = span["begin"]
+        name = F.array_join(F.slice(F.split(span["text"], " "), F.lit(1), b % 3 + 1), " ")
+        unk = F.when((b % 5 == 0) & (F.length(name) >= 3),
+                     F.concat(F.substring(name, 1, 1), F.lit("[UNK]"), name.substr(F.lit(3), F.length(name)))).otherwise(name)
+        return F.struct(i.alias("span_idx"), b.alias("b"), name.alias("name"), unk.alias("name_u"))
+
+    return tagged_chunks(spark, sf_dir).select("doc_id", "chunk_idx", "chunk", F.transform(
+        F.filter("spans", lambda x: x["slot_type"] == "NAME"), cut).alias("names"))
+
+
+def exploded(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """One row an element in ``x``.
+
+    The outer form with a null test, because Spark derives a filter from the inner form that
+    evaluates the whole array expression once more.
+    """
+    return df.select(*keep, F.explode_outer(array).alias("x")).filter(F.col("x").isNotNull())
+
+
 def names5(spark, sf_dir) -> DataFrame:
-    """NAME spans cut to 1-3 words (1 + begin % 3); ``name_u`` has an injected ``[UNK]``."""
-    s = tagged_chunks(spark, sf_dir).select(
-        "doc_id", "chunk_idx", "chunk",
-        F.posexplode(F.filter("spans", lambda x: x["slot_type"] == "NAME")).alias("span_idx", "span"))
-    b = F.col("span.begin")
-    name = F.array_join(F.slice(F.split("span.text", " "), F.lit(1), b % 3 + 1), " ")
-    s = s.select("doc_id", "chunk_idx", "chunk", "span_idx", b.alias("b"), name.alias("name"))
-    unk = F.when((F.col("b") % 5 == 0) & (F.length("name") >= 3),
-                 F.concat(F.substring("name", 1, 1), F.lit("[UNK]"), F.expr("substring(name, 3)"))
-                 ).otherwise(F.col("name"))
-    return s.withColumn("name_u", unk)
+    return exploded(chunk_names5(spark, sf_dir), "names", "doc_id", "chunk_idx", "chunk").select(
+        "doc_id", "chunk_idx", "chunk", "x.span_idx", "x.b", "x.name", "x.name_u")
 
 
 def scored_chunks(spark, sf_dir) -> DataFrame:
@@ -94,21 +108,25 @@ def scored_chunks(spark, sf_dir) -> DataFrame:
                     kw.alias("keywords"))
 
 
+def mentioned_names():
+    """Distinct F5 names of two characters or more, in order of their first span."""
+    return F.array_distinct(F.transform(F.filter("names", lambda x: F.length(x["name"]) >= 2), lambda x: x["name"]))
+
+
 def mention_rows(spark, sf_dir) -> DataFrame:
-    """C4 over distinct F5 names of each chunk (two characters or more)."""
-    n = (names5(spark, sf_dir).filter(F.length("name") >= 2)
-         .groupBy("doc_id", "chunk_idx", "chunk", "name").agg(F.min("span_idx").alias("ord")))
-    return n.select("doc_id", "chunk_idx", "chunk", "name", "ord",
-                    F.explode(N.mention_spans("chunk", "name")).alias("m")) \
-        .select("doc_id", "chunk_idx", "chunk", "name", "ord",
-                F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+    """C4 over distinct F5 names of each chunk (two characters or more); no shuffle."""
+    n = chunk_names5(spark, sf_dir).select("doc_id", "chunk_idx", "chunk", mentioned_names().alias("names"))
+    n = exploded(n, "names", "doc_id", "chunk_idx", "chunk").select("doc_id", "chunk_idx", "chunk", F.col("x").alias("name"))
+    m = n.withColumn("m", N.mention_spans("chunk", "name"))
+    return exploded(m, "m", "doc_id", "chunk_idx", "chunk", "name").select(
+        "doc_id", "chunk_idx", "chunk", "name", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
 @register("e2_bio_decode")
 def q_bio_decode(spark, sf_dir):
     t = tagged_chunks(spark, sf_dir)
-    return t.select("doc_id", "chunk_idx", F.posexplode("spans").alias("span_idx", "s")).select(
-        "doc_id", "chunk_idx", "span_idx", "s.slot_type", "s.text", "s.begin", "s.end")
+    return t.select("doc_id", "chunk_idx", F.posexplode_outer("spans").alias("span_idx", "s")).filter(
+        F.col("s").isNotNull()).select("doc_id", "chunk_idx", "span_idx", "s.slot_type", "s.text", "s.begin", "s.end")
 
 
 @register("d4_distinct_spans")
@@ -125,9 +143,9 @@ def q_name_filter(spark, sf_dir):
 
 @register("b2_has_unk")
 def q_has_unk(spark, sf_dir):
-    n = names5(spark, sf_dir).groupBy("doc_id", "chunk_idx").agg(
-        N.has_unk(F.collect_list("name_u")).alias("has_unk"), F.count("*").alias("n_names"))
-    return n
+    c = chunk_names5(spark, sf_dir).filter(F.size("names") > 0)
+    return c.select("doc_id", "chunk_idx", N.has_unk(F.transform("names", lambda x: x["name_u"])).alias("has_unk"),
+                    F.size("names").cast("long").alias("n_names"))
 
 
 @register("h25_fill_unk")
@@ -148,10 +166,13 @@ def q_gender_rule(spark, sf_dir):
 
 
 def doc_names(spark, sf_dir) -> DataFrame:
-    """All F5 names of a document in order, as one array (bounded by the document)."""
-    n = names5(spark, sf_dir)
-    return n.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "span_idx", "name")))
-                                   .alias("l")).select("doc_id", F.transform("l", lambda x: x["name"]).alias("names"))
+    """All F5 names of a document in order, as one array (bounded by the document); empty where it has none."""
+    n = chunk_names5(spark, sf_dir).select("doc_id", "chunk_idx", F.transform("names", lambda x: x["name"]).alias("names"))
+    g = n.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "names"))).alias("l")) \
+        .select("doc_id", F.flatten(F.transform("l", lambda x: x["names"])).alias("names"))
+    every = table(spark, sf_dir, "documents").select("doc_id")
+    return every.join(g, "doc_id", "left").select(
+        "doc_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
 
 @register("c5_subsumed_names")
@@ -204,9 +225,8 @@ def q_score_max(spark, sf_dir):
 
 @register("k6_name_check")
 def q_name_check(spark, sf_dir):
-    n = names5(spark, sf_dir).groupBy("doc_id", "chunk_idx", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("span_idx", "name"))).alias("l"))
-    names = F.array_distinct(F.transform("l", lambda x: x["name"]))
+    n = chunk_names5(spark, sf_dir).filter(F.size("names") > 0)
+    names = F.array_distinct(F.transform("names", lambda x: x["name"]))
     checked = F.filter(names, lambda nm: screening.name_check(
         F.col("doc_id"), F.col("chunk_idx"), F.col("chunk"), nm, marks=LATIN_MARKS))
     return n.select("doc_id", "chunk_idx", joined(checked).alias("checked_names"))
@@ -233,6 +253,13 @@ def q_classify_chunks(spark, sf_dir):
     return c.select("doc_id", "chunk_idx", G.rule_check("p_pos", "p_neg", hit, 0.3).alias("label"))
 
 
+@register("k7_classify_chunks_contains")
+def q_classify_chunks_contains(spark, sf_dir):
+    c = scored_chunks(spark, sf_dir)
+    hit = G.keyword_hit("chunk", "keywords", "contains")
+    return c.select("doc_id", "chunk_idx", G.rule_check("p_pos", "p_neg", hit, 0.3).alias("label"))
+
+
 def gated(spark, sf_dir) -> DataFrame:
     c = scored_chunks(spark, sf_dir)
     flag = G.rule_check("p_pos", "p_neg", G.keyword_hit("chunk", "keywords", "equals"), 0.3) == 1
@@ -263,8 +290,11 @@ def q_merge_chunks(spark, sf_dir):
     m = per.groupBy("doc_id").agg(
         F.bool_or("has_aml").alias("has_aml"), F.count("*").alias("split_cnt"),
         F.sort_array(F.collect_list(F.struct("chunk_idx", "ner_names"))).alias("rs"))
-    return m.select("doc_id", "has_aml", "split_cnt",
-                    joined(F.flatten(F.transform("rs", lambda r: r["ner_names"]))).alias("all_ner_names"))
+    every = table(spark, sf_dir, "documents").select("doc_id")
+    return every.join(m, "doc_id", "left").select(
+        "doc_id", F.coalesce("has_aml", F.lit(False)).alias("has_aml"),
+        F.coalesce("split_cnt", F.lit(0)).cast("long").alias("split_cnt"),
+        F.coalesce(joined(F.flatten(F.transform("rs", lambda r: r["ner_names"]))), F.lit("")).alias("all_ner_names"))
 
 
 @register("d2_fallback_names")
@@ -546,16 +576,27 @@ def q_argmax(spark, sf_dir):
     return v.select("doc_id", (F.array_position("x", F.array_max("x")) - 1).cast("int").alias("argmax"))
 
 
-@register("b6_threshold_labels")
-def q_threshold_labels(spark, sf_dir):
+def threshold_labels(spark, sf_dir, strict: bool):
     s = fixtures.multilabel_scores(spark, sf_dir)
     t = best_thresholds(spark, sf_dir).filter(F.col("cls").isNotNull()).select("cls", "threshold")
-    kept = s.join(t, "cls").filter(F.col("prob") >= F.col("threshold"))
-    g = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cls", "prob"))).alias("l"))
+    kept = M.over_threshold(F.col("prob"), F.col("threshold"), strict)
+    g = s.join(t, "cls").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.when(kept, F.struct("cls", "prob")))).alias("l"))
     return g.select("doc_id", F.array_join(F.transform("l", lambda x: F.concat(
         x["cls"].cast("string"), F.lit(":"), x["prob"].cast("string"))), "|").alias("labels"))
 
 
+@register("b6_threshold_labels")
+def q_threshold_labels(spark, sf_dir):
+    return threshold_labels(spark, sf_dir, strict=False)
+
+
+@register("b6_labels_over_threshold")
+def q_labels_over_threshold(spark, sf_dir):
+    """B6 with the predict report's boundary (``>``)."""
+    return threshold_labels(spark, sf_dir, strict=True)
+
+
 @register("b10_drop_padding")
 def q_drop_padding(spark, sf_dir):
     p = fixtures.class_pairs(spark, sf_dir).filter(F.col("w") > 0)
@@ -582,8 +623,9 @@ def q_complement(spark, sf_dir):
 @register("g4_union_results")
 def q_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    en = split_chunks(d.filter(F.col("lang") == "en"), max_len=CHUNK_LEN, marks=LATIN_MARKS)
-    other = split_chunks(d.filter(F.col("lang") != "en"), max_len=CHUNK_LEN, marks=LATIN_MARKS)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    en = split_chunks(d.filter(english), max_len=CHUNK_LEN, marks=LATIN_MARKS)
+    other = split_chunks(d.filter(~english), max_len=CHUNK_LEN, marks=LATIN_MARKS)
     u = en.unionByName(other)
     return u.groupBy("doc_id").agg(F.count("*").alias("split_cnt"), F.sum(F.length("chunk")).alias("n_chars"))
 
@@ -635,10 +677,14 @@ CLASSIFIER_LEN = 511   # news classifier sequence length
 NAME_PAIR_LEN = 50     # name classifier sequence length
 
 
+#: So many commonest words and characters.
+VOCAB_WORDS = 2000
+
+
 def vocab(spark, sf_dir) -> DataFrame:
     """F10 over the documents, words = H5 tokens (cased)."""
     d = table(spark, sf_dir, "documents")
-    return TK.build_vocab(d, T.basic_tokens("text"))
+    return TK.build_vocab(d, T.basic_tokens("text"), VOCAB_WORDS)
 
 
 def corpus_wordpiece(spark, sf_dir) -> DataFrame:
@@ -680,11 +726,9 @@ def q_encode_single(spark, sf_dir):
 @register("c2_ids_to_tokens")
 def q_ids_to_tokens(spark, sf_dir):
     d = docs(spark, sf_dir)
-    ids = TK.doc_piece_ids(d, T.basic_tokens("text"), corpus_wordpiece(spark, sf_dir), 20)
-    v = F.broadcast(vocab(spark, sf_dir).select(F.col("id").cast("int").alias("pid"), "token"))
-    e = ids.select("doc_id", F.posexplode("ids").alias("pos", "pid")).join(v, "pid")
-    g = e.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("l"))
-    return g.select("doc_id", F.array_join(F.transform("l", lambda x: x["token"]), " ").alias("tokens"))
+    ids = TK.doc_piece_ids(d, T.basic_tokens("text"), corpus_wordpiece(spark, sf_dir))
+    got = TK.ids_to_tokens(ids, vocab(spark, sf_dir))
+    return got.select("doc_id", F.size("tokens").alias("n_pieces"), F.md5(F.array_join("tokens", " ")).alias("h"))
 
 
 def turn_pairs(spark, sf_dir) -> DataFrame:
@@ -708,18 +752,13 @@ def q_truncate_pair(spark, sf_dir):
 @register("e5_transition_counts")
 def q_transitions(spark, sf_dir):
     c = chunks(spark, sf_dir).select(S.capital_tags(F.col("chunk")).alias("tg"))
-    tags = F.col("tg.tags")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(tags) - 1),
-                        lambda i: F.struct(F.get(tags, i - 1).alias("prev_tag"), F.get(tags, i).alias("tag")))
-    return c.select(F.explode(pairs).alias("p")).groupBy("p.prev_tag", "p.tag").agg(F.count("*").alias("n"))
+    return exploded(c.select(MD.tag_bigrams("tg.tags").alias("p")), "p").groupBy("x.prev_tag", "x.tag").agg(F.count("*").alias("n"))
 
 
 @register("e1_row_guid")
 def q_row_guid(spark, sf_dir):
-    from pyspark.sql import Window
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return d.select("doc_id", F.concat(F.lit("train-"), (F.row_number().over(Window.orderBy("doc_id")) - 1)
-                                       .cast("string")).alias("guid"))
+    d = row_numbers(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return d.select("doc_id", F.concat(F.lit("train-"), F.col("row").cast("string")).alias("guid"))
 
 
 @register("f2_preview")
@@ -747,8 +786,9 @@ def q_skip_null(spark, sf_dir):
 def q_zip_tags(spark, sf_dir):
     c = chunks(spark, sf_dir).select("doc_id", "chunk_idx", "chunk", S.capital_tags(F.col("chunk")).alias("tg"))
     chars = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)."), 0)
-    z = F.arrays_zip(F.slice(chars, 1, F.size("tg.tags")), F.slice(F.col("tg.tags"), 1, F.size(chars)))
-    return c.select("doc_id", "chunk_idx", F.size(z).alias("n_pairs"))
+    n = F.least(F.size(chars), F.size("tg.tags"))
+    z = F.zip_with(F.slice(chars, F.lit(1), n), F.slice("tg.tags", F.lit(1), n), lambda c, t: F.concat_ws(" ", c, t))
+    return c.select("doc_id", "chunk_idx", F.size(z).alias("n_pairs"), F.md5(F.array_join(z, "|")).alias("h"))
 
 
 @register("j9_masked_slice")
@@ -826,6 +866,12 @@ def q_train_tagger(spark, sf_dir):
     return tr.select("prev_tag", "tag", r6(F.col("logp")).alias("logp"))
 
 
+@register("k3_tagger_emissions")
+def q_tagger_emissions(spark, sf_dir):
+    em, _ = MD.train_tagger(tag_sequences(spark, sf_dir))
+    return em.select("tag", "token", r6(F.col("logp")).alias("logp"))
+
+
 @register("k5_sequence_score")
 def q_sequence_score(spark, sf_dir):
     seqs = tag_sequences(spark, sf_dir)
@@ -907,17 +953,25 @@ def q_exact_match(spark, sf_dir):
                  F.count("*").alias("n"))
 
 
+@register("d18_match_accuracy_named")
+def q_exact_match_named(spark, sf_dir):
+    """D18 without the documents whose gold list is empty (``count_blank`` off)."""
+    g = gold_pred_names(spark, sf_dir).filter(F.size("gold") > 0)
+    return g.agg(r6(F.avg(is_match(F.col("pred"), F.col("gold")).cast("double"))).alias("accuracy"),
+                 F.count("*").alias("n"))
+
+
 @register("c6_align_gold_pred")
 def q_align(spark, sf_dir):
     g = gold_pred_names(spark, sf_dir)
     gold = g.select("doc_id", joined("gold").alias("gold"))
-    pred = g.filter(F.col("doc_id") % 7 != 0).select("doc_id", joined("pred").alias("pred"))
+    pred = g.filter(F.size("pred") > 0).select("doc_id", joined("pred").alias("pred"))
     return gold.join(pred, "doc_id", "full_outer")
 
 
 @register("k11_evaluate_names")
 def q_evaluate_names(spark, sf_dir):
-    g = gold_pred_names(spark, sf_dir).filter(F.col("doc_id") % 7 != 0)
+    g = gold_pred_names(spark, sf_dir)
     m = is_match(F.col("pred"), F.col("gold")).cast("double")
     return g.agg(r6(F.avg(m)).alias("accuracy"), F.sum(m).cast("long").alias("n_matched"), F.count("*").alias("n"))
 

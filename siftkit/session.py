@@ -1,10 +1,15 @@
-"""Session helpers: a tuned builder for local runs and the shared checkpoint folder."""
+"""Session helper: a tuned builder for local runs."""
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Setting read by ``sources.tables.dealt``; not set on a cluster.
+SCAN_PARTITIONS = "spark.siftkit.scanPartitions"
 
 
 def build_session(master: str | None = None, app: str = "siftkit",
@@ -27,44 +32,25 @@ def build_session(master: str | None = None, app: str = "siftkit",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(SCAN_PARTITIONS, cpus)
         .config("spark.driver.memory", os.environ.get("SIFTKIT_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster names it; only when it is unset (local tests) a fresh folder
-    is made under /tmp.
-    """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="siftkit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}"
-
-
-def spread(df, min_partitions: int | None = None):
-    """Spread a scan over all cores when it yields fewer splits than cores.
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the folder all executors share, and read back.
 
-    CPU-heavy per-row work (splitting, decoding, scoring) is otherwise bound
-    by the number of input splits; a file with one row group is one task.
-    At cluster scale a scan has far more splits than cores and this is a
-    no-op.  Round-robin repartitioning sorts rows first (Spark default), so a
-    retried task gets the same rows.
+    The folder is the session's ``spark.checkpoint.dir``; only where it is unset (tests) a
+    temporary one is made.  What is read twice then agrees, and is computed once.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="siftkit-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

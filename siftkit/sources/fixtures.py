@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import col
-from ..session import spread
-from .tables import table
+from .tables import dealt, table
 
 # Fixed values of the fixtures.
 WORD_RE = r"\p{L}+"          # a word: a run of letters
@@ -20,22 +19,23 @@ KEYWORD_MIN_LEN = 7          # ... longer than 6 letters
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents(doc_id, text)``, spread over all cores for the per-row work."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """``documents(doc_id, text)``, its rows dealt out for the per-row work where the session says so."""
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _two_class(k: Column) -> Column:
-    return F.struct(((k * 2 + 1) / 200.0).alias("p_pos"), ((199 - k * 2) / 200.0).alias("p_neg"))
+def _two_class(k: Column, n: int) -> Column:
+    """Middle of the k-th of n equal parts of (0, 1), and the rest."""
+    return F.struct(((k * 2 + 1) / (2.0 * n)).alias("p_pos"), ((2 * n - 1 - k * 2) / (2.0 * n)).alias("p_neg"))
 
 
 def chunk_score(doc_id, chunk_idx) -> Column:
     """``k = (doc_id*37 + chunk_idx*11) % 100``; p_pos=(2k+1)/200, p_neg=(199-2k)/200."""
-    return _two_class((col(doc_id) * 37 + col(chunk_idx) * 11) % 100)
+    return _two_class((col(doc_id) * 37 + col(chunk_idx) * 11) % 100, 100)
 
 
 def mention_score(doc_id, chunk_idx, start) -> Column:
-    """``k = (doc_id*13 + chunk_idx*7 + start) % 100``, then as F3."""
-    return _two_class((col(doc_id) * 13 + col(chunk_idx) * 7 + col(start)) % 100)
+    """``k = (doc_id*13 + chunk_idx*7 + start) % 128``; p_pos=(2k+1)/256, p_neg=(255-2k)/256 (exact sums)."""
+    return _two_class((col(doc_id) * 13 + col(chunk_idx) * 7 + col(start)) % 128, 128)
 
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -94,7 +94,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("發信站 ptt.cc 來自: "), (k % 256).cast("string"), F.lit("."),
                  F.col("c_nationkey").cast("string"), F.lit(".1."), (k % 100).cast("string")),
     ]
-    return spread(c.select(k.alias("post_id"), F.concat_ws("\n", *lines).alias("content")))
+    return dealt(c.select(k.alias("post_id"), F.concat_ws("\n", *lines).alias("content")))
 
 
 def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal the rows over as many partitions as ``spark.siftkit.scanPartitions`` says, if it is set.
+
+    For local runs over files of one row group, which are one task else; a cluster leaves it
+    unset and takes the scan's own splits.
+    """
+    n = df.sparkSession.conf.get("spark.siftkit.scanPartitions", None)
+    return df.repartition(int(n)) if n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
