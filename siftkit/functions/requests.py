@@ -22,10 +22,9 @@ def request_status(parsed) -> Column:
     return F.when(col(parsed)["news"].isNotNull(), F.lit("ok")).otherwise(F.lit("error"))
 
 
-def as_list(value) -> Column:
-    """The answer as ``array<string>``; a scalar string becomes a one-item list, null stays null."""
-    v = col(value)
-    return F.when(v.isNull(), F.lit(None).cast("array<string>")).otherwise(F.array(v.cast("string")))
+def answer_status(answer) -> Column:
+    """J13: 'ok' for an answer that is a list, else 'error' (a null answer makes an L3 error row)."""
+    return F.when(col(answer).cast("array<string>").isNull(), F.lit("error")).otherwise(F.lit("ok"))
 
 
 def build_reply(parsed, answer, salt: str, server_ts) -> Column:

@@ -1,19 +1,18 @@
 """String functions (H1-H9, H15, H17-H24, H26, H27, B9) as native expressions.
 
-Only ``strip_accents`` needs Python (Spark has no Unicode normaliser); it is
-an Arrow-batched ``pandas_udf``.  Regexes are written to mean the same in
+All run in the JVM; ``strip_accents`` is a generated ``translate`` table, since Spark has no
+Unicode normaliser.  Regexes are written to mean the same in
 Java and RE2.
 """
 from __future__ import annotations
 
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .common import col
+from .common import char_class, col
 
 # The eight CJK ideograph blocks spaced out by the tokenizer.
 CJK_CLASS = ("[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}"
@@ -62,18 +61,44 @@ def space_cjk(text) -> Column:
     return F.regexp_replace(col(text), "(" + CJK_CLASS + ")", " $1 ")
 
 
-@F.pandas_udf(StringType())
-def _strip_accents(s: pd.Series) -> pd.Series:
-    def one(x):
-        if x is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
-    return s.map(one)
+def _accent_rule() -> tuple[str, str, dict[str, str]]:
+    """From the Unicode data: characters whose decomposition without marks is one other
+    character (as two strings for ``translate``), and those that become several."""
+    one: dict[str, str] = {}
+    more: dict[str, str] = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:  # Hangul by arithmetic; surrogates
+            continue
+        c = chr(code)
+        d = unicodedata.normalize("NFD", c)
+        if d != c:
+            kept = "".join(x for x in d if unicodedata.category(x) != "Mn")
+            (one if len(kept) == 1 else more)[c] = kept
+    return "".join(one), "".join(one.values()), more
+
+
+def _hangul_parts(c: Column) -> Column:
+    """A Hangul syllable as its two or three letters, by the Unicode arithmetic."""
+    code = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+    letters = [F.lit(0x1100) + F.floor(code / 588), F.lit(0x1161) + F.floor(code % 588 / 28), F.lit(0x11A7) + code % 28]
+    hexes = [F.lpad(F.hex(x.cast("long")), 4, "0") for x in letters]
+    third = F.when(code % 28 != 0, hexes[2]).otherwise(F.lit(""))
+    return F.decode(F.unhex(F.concat(hexes[0], hexes[1], third)), "UTF-16BE")
 
 
 def strip_accents(text) -> Column:
-    """H3: NFD, then drop combining marks (Mn)."""
-    return _strip_accents(col(text))
+    """H3: canonical decomposition, then drop combining marks (Mn); all in the JVM."""
+    source, target, more = _accent_rule()
+    t = F.translate(col(text), source, target)
+    several = char_class(more)
+    spread = t
+    for c, kept in more.items():
+        spread = F.replace(spread, F.lit(c), F.lit(kept))
+    t = F.when(t.rlike(several), spread).otherwise(t)
+    parts = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)),
+                        lambda c: F.when(c.rlike("[\uac00-\ud7a3]"), _hangul_parts(c)).otherwise(c))
+    t = F.when(t.rlike("[\uac00-\ud7a3]"), F.array_join(parts, "")).otherwise(t)
+    return F.regexp_replace(t, "\\p{Mn}", "")
 
 
 def split_punct(text) -> Column:
@@ -91,7 +116,7 @@ def basic_tokens(text, lower: bool = False) -> Column:
     t = space_cjk(clean_text(text))
     if lower:
         t = strip_accents(F.lower(t))
-    return whitespace_tokens(F.regexp_replace(split_punct(t), "\\s", " "))
+    return whitespace_tokens(F.regexp_replace(split_punct(t), "[\\s\\x{2028}\\x{2029}]", " "))
 
 
 def remove_symbols(text) -> Column:
@@ -123,7 +148,8 @@ def label_clean(text) -> Column:
 
 
 def _group(text: Column, pattern: str, idx: int) -> Column:
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, idx)).otherwise(F.lit(""))
+    """A group of the first match, '' without one.  ``(?d)``: only a line feed ends a line, not CR."""
+    return F.coalesce(F.regexp_extract(text, "(?d)" + pattern, idx), F.lit(""))
 
 
 def post_date(text) -> Column:
@@ -134,12 +160,13 @@ def post_date(text) -> Column:
 def place_name(text) -> Column:
     """Labelled name; else the title between ``標題`` and ``時間`` cleaned of tags."""
     t = col(text)
-    title = F.regexp_extract(t, TITLE_RE, 1)
-    title = F.regexp_replace(title, "\\[.*\\]", "")
+    named = _group(t, NAME_RE, 0)
+    titled = _group(t, TITLE_RE, 0)
+    title = F.regexp_replace(_group(titled, TITLE_RE, 1), "(?d)\\[.*\\]", "")
     title = F.regexp_replace(title, "Fw(:|：)*", "")
     title = F.regexp_replace(title, "轉(寄|貼|帖)(:|：)", "")
-    return (F.when(t.rlike(NAME_RE), label_clean(F.regexp_extract(t, NAME_RE, 3)))
-            .when(t.rlike(TITLE_RE), label_clean(title))
+    return (F.when(named != "", label_clean(_group(named, NAME_RE, 3)))
+            .when(titled != "", label_clean(title))
             .otherwise(F.lit("")))
 
 

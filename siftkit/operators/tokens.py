@@ -108,6 +108,18 @@ def doc_piece_ids(docs: DataFrame, tokens: Column, wp: DataFrame, max_tokens: in
     return g.select(key, F.flatten(F.transform(F.sort_array(each), lambda x: x["ids"])).alias("ids"))
 
 
+def tokens_to_ids(df: DataFrame, vocab: DataFrame, unk_id: int | None = None, key: str = "doc_id") -> DataFrame:
+    """``(key, tokens)`` -> ``(key, ids)`` by exact lookup; an unknown token gets ``unk_id``, or raises if none is given."""
+    t = df.select(key, F.explode_outer(F.transform("tokens", lambda w, i: F.struct(w.alias("token"), i.alias("pos")))).alias("x"))
+    t = t.groupBy(key, F.col("x.token").alias("token")).agg(F.collect_list("x.pos").alias("at"))
+    j = t.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token", "left")
+    unknown = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.col("token"))).cast("int") if unk_id is None else F.lit(unk_id)
+    g = j.groupBy(key).agg(F.collect_list(F.struct("at", F.when(F.size("at") == 0, F.lit(None).cast("int")).otherwise(
+        F.coalesce("id", unknown)).alias("id"))).alias("l"))
+    each = F.flatten(F.transform("l", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["id"].alias("id")))))
+    return g.select(key, F.transform(F.sort_array(each), lambda x: x["id"]).alias("ids"))
+
+
 def ids_to_tokens(ids: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, ids)`` -> ``(key, tokens)`` by the vocabulary's inverse; ids it lacks give null.
 

@@ -793,21 +793,29 @@ SELECT doc_id, CASE WHEN news IS NOT NULL THEN 'ok' ELSE 'error' END AS status F
 ORACLE["d21_request_counters"] = _with(REQ_CTE) + """
 SELECT CASE WHEN news IS NOT NULL THEN 'ok' ELSE 'error' END AS status, count(*) AS n FROM parsed GROUP BY 1"""
 
-ORACLE["j14_build_reply"] = _with(REQ_CTE) + """
-SELECT doc_id, id AS req_id, id AS answer, sha256(id || 'siftkit') AS digest FROM parsed WHERE news IS NOT NULL"""
+ORACLE["j14_build_reply"] = f"""
+SELECT p.doc_id, p.id AS req_id, k.names AS answer, sha256(p.id || 'siftkit') AS digest, p.ts + 1 AS server_ts
+FROM ({_with(REQ_CTE)} SELECT * FROM parsed WHERE news IS NOT NULL) p
+JOIN ({ORACLE["k9_screen_articles"]}) k USING (doc_id)"""
 
 ORACLE["a11_extract_links"] = """
 SELECT page_id, CAST(k - 1 AS INT) AS link_idx, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS link FROM (
   SELECT page_id, url, unnest(l) AS href, generate_subscripts(l, 1) AS k FROM (
     SELECT page_id, url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS l FROM pages))"""
 
-ORACLE["a12_extract_article"] = """
-SELECT page_id,
-       CASE WHEN regexp_matches(html, '<title>(.*?)</title>') THEN
-         replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1),
-           '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') END AS title,
-       CAST(len(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) - 1 AS INT) AS n_paragraphs
-FROM pages"""
+def _unescaped(x):
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{sign}')"
+    return x
+
+
+ORACLE["a12_extract_article"] = f"""
+SELECT page_id, url, NULL::VARCHAR AS published_time, {_unescaped("regexp_extract_all(html, '<title>(.*?)</title>', 1)[1]")} AS title,
+       CAST(len(texts) AS INT) AS n_texts, md5(array_to_string(texts, '|')) AS content_md5, NULL::VARCHAR AS category,
+       array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: {_unescaped('x')}), '|') AS keywords,
+       'news' AS item_type
+FROM (SELECT *, list_filter(list_transform(regexp_extract_all('>' || coalesce(regexp_extract_all(html, '(?s)<article>(.*)</article>', 1)[1], '') || '<',
+                '>([^<>]+)<', 1), lambda x: {_unescaped('x')}), lambda x: trim(x, ' ') <> '') AS texts FROM pages)"""
 
 
 # ---------------------------------------------------------------- tagger

@@ -15,6 +15,7 @@ from ..functions.common import LATIN_MARKS
 from ..operators.order import row_numbers
 from ..operators.split import split_chunks
 from ..sources import fixtures
+from ..session import shared_table
 from ..sources.tables import table
 from . import screening
 
@@ -687,10 +688,15 @@ def vocab(spark, sf_dir) -> DataFrame:
     return TK.build_vocab(d, T.basic_tokens("text"), VOCAB_WORDS)
 
 
+def shared_vocab(spark, sf_dir) -> DataFrame:
+    """The vocabulary, built once and written to the shared folder."""
+    return shared_table(vocab(spark, sf_dir), "vocab")
+
+
 def corpus_wordpiece(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     toks = d.select(F.explode(T.basic_tokens("text")).alias("token")).distinct()
-    return TK.wordpiece(toks, vocab(spark, sf_dir))
+    return shared_table(TK.wordpiece(toks, shared_vocab(spark, sf_dir)), "wordpiece")
 
 
 @register("h6_wordpiece")
@@ -835,10 +841,11 @@ def q_request_counters(spark, sf_dir):
 @register("j14_build_reply")
 def q_build_reply(spark, sf_dir):
     p = parsed_requests(spark, sf_dir).filter(RQ.request_status("req") == "ok")
-    answer = RQ.as_list(F.col("req.id"))
-    reply = RQ.build_reply("req", answer, SALT, F.col("req.ts"))
-    return p.select("doc_id", reply["req_id"].alias("req_id"), joined(reply["answer"]).alias("answer"),
-                    reply["server_digest"].alias("digest"))
+    news = p.select("doc_id", F.col("req.news").alias("text"))
+    names = screening.screen_articles(news, fixtures.keywords(spark, sf_dir), max_len=CHUNK_LEN).select("doc_id", "names")
+    reply = RQ.build_reply("req", "names", SALT, F.col("req.ts") + 1)
+    r = p.join(names, "doc_id").select("doc_id", reply.alias("r"))
+    return r.select("doc_id", "r.req_id", joined("r.answer").alias("answer"), F.col("r.server_digest").alias("digest"), "r.server_ts")
 
 
 @register("a11_extract_links")
@@ -848,7 +855,9 @@ def q_extract_links(spark, sf_dir):
 
 @register("a12_extract_article")
 def q_extract_article(spark, sf_dir):
-    return PG.extract_article(table(spark, sf_dir, "pages")).select("page_id", "title", "n_paragraphs")
+    a = PG.extract_article(table(spark, sf_dir, "pages"))
+    return a.select("page_id", "url", "published_time", "title", F.size("content").alias("n_texts"),
+                    F.md5(joined("content")).alias("content_md5"), "category", joined("keywords").alias("keywords"), "item_type")
 
 
 # ---------------------------------------------------------------- tagger

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.common import LATIN_MARKS, let
 from ..functions.gate import keyword_hit, max_rule, rule_check, sum_rule
 from ..functions.names import mention_spans, name_ok, unique_names
-from ..functions.spans import bio_spans, capital_tags, distinct_texts, fill_unk
+from ..functions.spans import bio_spans, capital_tags, fill_unk, first_slot, slot_map
 from ..functions.splitting import mention_sentence, split_article
 from ..sources import fixtures
 
@@ -39,6 +39,19 @@ def pair_text(name, sentence) -> Column:
     return F.concat(name, F.lit("[SEP]"), sentence)
 
 
+def full_text_pair(content, name, max_len: int) -> Column:
+    """The first ``max_len - 10`` characters, ``[SEP]`` and the name."""
+    c, n = (F.col(x) if isinstance(x, str) else x for x in (content, name))
+    return F.concat(F.substring(c, 1, max_len - 10), F.lit("[SEP]"), n)
+
+
+def extract_place_slots(posts: DataFrame, key: str, text: str, tagger, sep: str = "") -> DataFrame:
+    """Tag each post (K4 or any tagger), decode spans (E2), one row of the four place fields."""
+    t = posts.select(key, tagger(F.col(text)).alias("t"))
+    slots = t.select(key, slot_map(bio_spans("t.tokens", "t.tags", sep)).alias("m"))
+    return slots.select(key, *(first_slot("m", k).alias(k.lower()) for k in ("STORE", "PHONE", "ADDRESS", "TIME")))
+
+
 def chunk_names(doc_id, chunk_idx, chunk, tagger=capital_tags, sep: str = " ",
                 slot_type: str = "NAME") -> Column:
     """K8: tag the chunk, decode spans (E2), recover ``[UNK]`` (H25), distinct names."""

@@ -62,6 +62,10 @@ _WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 _MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
+# The field words that open a line of a post, and their slot types.
+FIELD_TAGS = (("餐廳名稱：", "STORE"), ("地址：", "ADDRESS"), ("電話：", "PHONE"), ("消費時間：", "TIME"))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one forum post per customer with labelled fields.
 

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 LINK_RE = '<li><a href="([^"]*)"'
 TITLE_RE = "<title>(.*?)</title>"
-PARAGRAPH_RE = "<p>"
+PUBLISHED_RE = '<meta property="article:published_time" content="([^"]*)"'
+CATEGORY_RE = '<meta property="section" content="([^"]*)"'
+BODY_RE = "(?s)<article>(.*)</article>"
+TEXT_RE = ">([^<>]+)<"
+KEYWORD_RE = '<li><a href="[^"]*">([^<]*)</a>'
 
 
 def unescape(text: Column) -> Column:
@@ -21,18 +25,33 @@ def unescape(text: Column) -> Column:
     return t
 
 
-def extract_links(pages: DataFrame, html: str = "html", url: str = "url", link_re: str = LINK_RE) -> DataFrame:
-    """Listing page -> one row per detail URL, formatted onto the page's scheme and host."""
+def extract_links(pages: DataFrame, html: str = "html", url: str = "url", link_re: str = LINK_RE,
+                  template: str = "%s%s") -> DataFrame:
+    """Listing page -> one row per detail URL, ``template`` filled with scheme and host, and the link."""
     host = F.regexp_extract(F.col(url), "^(https?://[^/]+)", 1)
     return pages.select("page_id", host.alias("host"),
                         F.posexplode(F.regexp_extract_all(F.col(html), F.lit(link_re), 1)).alias("link_idx", "href")) \
-        .select("page_id", "link_idx", F.format_string("%s%s", F.col("host"), F.col("href")).alias("link"))
+        .select("page_id", "link_idx", F.format_string(template, F.col("host"), F.col("href")).alias("link"))
 
 
-def extract_article(pages: DataFrame, html: str = "html", title_re: str = TITLE_RE) -> DataFrame:
-    """Detail page -> title (first match or null) and paragraph count of the article body."""
+def _first(html: Column, pattern: str) -> Column:
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    return unescape(F.get(found, 0))
+
+
+def extract_article(pages: DataFrame, html: str = "html", *, title_re: str = TITLE_RE, published_re: str = PUBLISHED_RE,
+                    category_re: str = CATEGORY_RE, body_re: str = BODY_RE, text_re: str = TEXT_RE,
+                    keyword_re: str = KEYWORD_RE, item_type: str = "news") -> DataFrame:
+    """Detail page -> news item.
+
+    Scalars are the first match or null; ``content`` (the body's text nodes, blank ones left
+    out) and ``keywords`` are all matches.  Selectors are patterns with one group.
+    """
     h = F.col(html)
-    title = F.when(h.rlike(title_re), unescape(F.regexp_extract(h, title_re, 1)))
-    body = F.regexp_extract(h, "(?s)<article>(.*)</article>", 1)
-    n_par = F.size(F.split(body, PARAGRAPH_RE)) - 1
-    return pages.select("page_id", "url", title.alias("title"), n_par.alias("n_paragraphs"))
+    body = F.coalesce(F.get(F.regexp_extract_all(h, F.lit(body_re), F.lit(1)), 0), F.lit(""))
+    nodes = F.transform(F.regexp_extract_all(F.concat(F.lit(">"), body, F.lit("<")), F.lit(text_re), F.lit(1)), unescape)
+    content = F.filter(nodes, lambda x: F.trim(x) != "")
+    words = F.transform(F.regexp_extract_all(h, F.lit(keyword_re), F.lit(1)), unescape)
+    return pages.select("page_id", "url", _first(h, published_re).alias("published_time"), _first(h, title_re).alias("title"),
+                        content.alias("content"), _first(h, category_re).alias("category"), words.alias("keywords"),
+                        F.lit(item_type).alias("item_type"))

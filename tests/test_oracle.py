@@ -36,7 +36,8 @@ def con():
 
 def test_every_query_has_oracle_or_is_listed():
     missing = sorted(set(QUERIES) - set(ORACLE))
-    assert all(m.startswith(("k2_", "k4_", "l", "h6_", "h10_", "a")) for m in missing), missing
+    no_sql = ("k2_", "k4_", "op3_", "op5_", "op6_", "op7_", "op9_", "op10_", "pipeline")  # models, packing plans, random orders
+    assert all(m.startswith(no_sql) for m in missing), missing
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
