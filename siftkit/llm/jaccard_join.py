@@ -299,7 +299,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = skew_join(found, sizes, "component", "size", found.count()).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = written(members.join(nodes.select("node", F.col("first.row_key").alias("row_key")), "node"), "members")
-    sets = rows.select("row_key", "text").join(members, "row_key").select("component", "node", "block", "blocks", "text") \
+    # merged at every size: a broadcast on small inputs alone would hide that the texts move
+    sets = rows.select("row_key", "text").join(members.hint("merge"), "row_key").select("component", "node", "block", "blocks", "text") \
         .mapInArrow(_sets, "component long, node long, block int, blocks int, vals binary, hashes binary")
     met = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "node", "vals", "hashes")
