@@ -23,3 +23,17 @@ def row_numbers(df: DataFrame, *order: str | Column, name: str = "row") -> DataF
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.row_number().over(own) - 1 + F.col("_start")) \
         .drop("_part", "_start")
+
+
+def line_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
+    """``lines``, straight from a text scan, with the 0-based place of each line in file order.
+
+    A scan's partitions follow the files, so a line's place is the number of lines in earlier
+    partitions (one count each is broadcast) plus its place in its own.
+    """
+    place = F.monotonically_increasing_id()
+    at = lines.withColumn("_part", F.spark_partition_id()).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return at.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")

@@ -253,3 +253,160 @@ ORACLE["i8_threshold_grid"] = _with(ML_CTE) + """
 SELECT cls, CAST((SELECT count(*) FROM range(200) r(i)
                   WHERE prob > CASE WHEN i = 0 THEN -1e-7 WHEN i = 199 THEN 1 + 1e-7 ELSE i / 199.0::DOUBLE END) AS INT) AS k, count(*) AS n
 FROM ml GROUP BY 1, 2"""
+
+
+# ---------------------------------------------------------------- file formats, on lines derived from the tables
+from ..sources import files as FI  # noqa: E402
+
+ONE_LINE = "regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')"
+
+
+def labelled_lines(spark, sf_dir) -> DataFrame:
+    """Lines ``lang, text, [lang, source], source`` per document; every row whole, line number = doc_id."""
+    d = table(spark, sf_dir, "documents")
+    text = F.regexp_replace("text", "[\\t\\n\\r]", " ")
+    return d.select(F.col("doc_id").alias("line_no"), F.concat_ws(
+        "\t", "lang", text, F.concat(F.lit("["), "lang", F.lit(", "), "source", F.lit("]")), F.concat_ws(",", "lang", "source")).alias("value"))
+
+
+@register("a1_read_tsv")
+def q_read_tsv(spark, sf_dir):
+    t = FI.parse_tsv(labelled_lines(spark, sf_dir))
+    return t.select("line_no", F.size("cols").alias("n"), F.get("cols", 0).alias("first"), F.md5(F.get("cols", 1)).alias("h"))
+
+
+ORACLE["a1_read_tsv"] = f"SELECT doc_id AS line_no, CAST(4 AS INT) AS n, lang AS first, md5({ONE_LINE}) AS h FROM documents"
+
+
+@register("a2_read_examples")
+def q_read_examples(spark, sf_dir):
+    e = FI.parse_examples(labelled_lines(spark, sf_dir), "binary", "train")
+    return e.select("guid", F.md5("text").alias("h"), Q.joined("labels").alias("labels"))
+
+
+ORACLE["a2_read_examples"] = f"SELECT 'train-' || doc_id AS guid, md5({ONE_LINE}) AS h, lang AS labels FROM documents"
+
+
+@register("a3_read_gold_names")
+def q_read_gold_names(spark, sf_dir):
+    g = FI.parse_gold_names(labelled_lines(spark, sf_dir))
+    return g.select("line_no", F.md5("text").alias("h"), Q.joined("names").alias("names"))
+
+
+ORACLE["a3_read_gold_names"] = f"SELECT doc_id AS line_no, md5({ONE_LINE}) AS h, lang || '|' || source AS names FROM documents"
+
+
+@register("a4_read_gold_slots")
+def q_read_gold_slots(spark, sf_dir):
+    """Lines of seven columns from ``customer``; those without a segment have six and are skipped."""
+    c = table(spark, sf_dir, "customer")
+    line = F.concat_ws("\t", F.lit("0"), "c_name", F.lit("x"), "c_name", F.col("c_nationkey").cast("string"), F.lit("road"),
+                       F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
+    return FI.parse_gold_slots(c.select(F.col("c_custkey").alias("line_no"), line.alias("value")))
+
+
+ORACLE["a4_read_gold_slots"] = """
+SELECT c_custkey AS line_no, c_name AS text, c_name AS store, CAST(c_nationkey AS VARCHAR) AS phone, 'road' AS address, c_mktsegment AS time
+FROM customer WHERE c_mktsegment <> 'BUILDING'"""
+
+
+@register("a5_read_bio")
+def q_read_bio(spark, sf_dir):
+    """F4 sequences written as BIO sentences and parsed again."""
+    t = Q.tag_sequences(spark, sf_dir)
+    lines = F.zip_with("tokens", "tags", lambda w, g: F.concat(w, F.lit(" "), g))
+    b = FI.parse_bio(t.select("doc_id", "chunk_idx", F.array_join(F.concat(F.array(F.lit("-DOCSTART- O")), lines), "\n").alias("value")),
+                     ("doc_id", "chunk_idx"))
+    return b.select("doc_id", "chunk_idx", F.md5("words").alias("words"), F.size(F.split("labels", " ")).alias("n_labels"))
+
+
+ORACLE["a5_read_bio"] = f"""
+WITH t AS ({_with(CHUNKS_CTE, ALL_SPANS_CTE)} SELECT doc_id, chunk_idx, j, unnest(string_split(tok || ' ' || tag, chr(10))) AS line,
+           generate_subscripts(string_split(tok || ' ' || tag, chr(10)), 1) AS i FROM atagged),
+w AS (SELECT doc_id, chunk_idx, j, i, string_split(trim(line, ' '), ' ')[1] AS word, string_split(trim(line, ' '), ' ')[-1] AS label
+      FROM t WHERE trim(line, ' ') <> '' AND NOT starts_with(line, '-DOCSTART-')),
+c AS ({_with(CHUNKS_CTE)} SELECT doc_id, chunk_idx FROM chunks)
+SELECT c.doc_id, c.chunk_idx, md5('[CLS]' || coalesce(' ' || string_agg(word, ' ' ORDER BY j, i) FILTER (WHERE word <> ''), '')) AS words,
+       CAST(1 + count(label) FILTER (WHERE label <> '') AS INT) AS n_labels
+FROM c LEFT JOIN w USING (doc_id, chunk_idx) GROUP BY c.doc_id, c.chunk_idx"""
+
+
+@register("a8_label_map")
+def q_label_map(spark, sf_dir):
+    lines = Q.label_map(spark, sf_dir).select(F.concat(F.col("id").cast("string"), F.lit(":'"), "label", F.lit("'")).alias("value"))
+    bad = lines.select(F.concat(F.lit("x"), "value").alias("value"))
+    return FI.parse_label_map(lines.unionByName(bad))
+
+
+ORACLE["a8_label_map"] = _with(LABELS_CTE) + " SELECT CAST(id AS INT) AS id, label FROM lmap"
+
+
+@register("a9_thresholds")
+def q_thresholds(spark, sf_dir):
+    b = Q.best_thresholds(spark, sf_dir).filter(F.col("cls").isNotNull())
+    lines = b.select(F.col("cls").cast("long").alias("line_no"), F.col("threshold").cast("string").alias("value")).unionByName(
+        b.select((F.col("cls") - 10).cast("long").alias("line_no"), F.lit("bad").alias("value")))
+    classes = b.select(F.explode(F.array(F.col("cls").cast("int"), (F.col("cls") + 4).cast("int"))).alias("class_id")).distinct()
+    return FI.parse_thresholds(lines, classes).select("class_id", F.round("threshold", 6).alias("threshold"))
+
+
+ORACLE["a9_thresholds"] = _with(ML_CTE) + """
+SELECT CAST(cls AS INT) AS class_id, round(t, 6) AS threshold FROM best WHERE cls IS NOT NULL
+UNION ALL SELECT CAST(cls + 4 AS INT), 0.5 FROM best WHERE cls IS NOT NULL"""
+
+
+@register("a13_result_log")
+def q_result_log(spark, sf_dir):
+    r = table(spark, sf_dir, "documents").select(F.timestamp_seconds(F.col("doc_id") * 3600).alias("ts"), F.col("text").alias("article"),
+                                                 (F.col("lang") == "en").alias("has_aml"), F.array("lang").alias("names"))
+    return FI.result_log_lines(r).select("day", F.md5("value").alias("h"))
+
+
+ORACLE["a13_result_log"] = """
+SELECT strftime(t, '%Y-%m-%d') AS day,
+       md5(strftime(t, '%Y-%m-%d %H:%M:%S') || chr(9) || length(text) || chr(9) || text || chr(9) || CASE WHEN lang = 'en' THEN '1' ELSE '0' END
+           || chr(9) || '["' || lang || '"]') AS h
+FROM (SELECT *, epoch_ms(doc_id * 3600000) AS t FROM documents)"""
+
+
+@register("a14_prediction_lines")
+def q_prediction_lines(spark, sf_dir):
+    s = fixtures.multilabel_scores(spark, sf_dir).select("doc_id", "cls", (F.col("prob") * 100).cast("int").alias("a"),
+                                                         (F.col("logit") * 10).cast("int").alias("b"))
+    return FI.prediction_lines(s, ["a", "b"], ("doc_id", "cls"))
+
+
+ORACLE["a14_prediction_lines"] = _with(ML_CTE) + """
+SELECT doc_id, CAST(cls AS INT) AS cls, CAST(trunc(prob * 100) AS INT) || chr(9) || CAST(trunc(logit * 10) AS INT) AS value FROM ml"""
+
+
+@register("a15_compare_report")
+def q_compare_report(spark, sf_dir):
+    """Gold F4 tags against tags whose inner ones are lost; labels equal on even chunks."""
+    t = Q.tag_sequences(spark, sf_dir)
+    x = t.select("doc_id", "chunk_idx", "tokens", "tags", F.transform("tags", lambda g: F.replace(g, F.lit("I_NAME"), F.lit("O"))).alias("pred_tags"),
+                 F.array(F.lit("a"), F.lit("b")).alias("labels"),
+                 F.when(F.col("chunk_idx") % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("pred_labels"))
+    r = FI.compare_report(x, ("doc_id", "chunk_idx"))
+    return r.select("doc_id", "chunk_idx", "frame", "intent", "slot", "labels", "pred_labels", F.md5("tags").alias("tags"), F.md5("pred_tags").alias("pred_tags"))
+
+
+ORACLE["a15_compare_report"] = f"""
+WITH t AS ({_with(CHUNKS_CTE, ALL_SPANS_CTE)} SELECT doc_id, chunk_idx, string_agg(tag, ' ' ORDER BY j) AS tags, bool_or(tag = 'I_NAME') AS lost
+           FROM atagged GROUP BY doc_id, chunk_idx),
+c AS ({_with(CHUNKS_CTE)} SELECT doc_id, chunk_idx FROM chunks)
+SELECT c.doc_id, c.chunk_idx, CASE WHEN NOT coalesce(lost, false) AND c.chunk_idx % 2 = 0 THEN 'O' ELSE 'X' END AS frame,
+       CASE WHEN c.chunk_idx % 2 = 0 THEN 'O' ELSE 'X' END AS intent, CASE WHEN coalesce(lost, false) THEN 'X' ELSE 'O' END AS slot,
+       'a, b' AS labels, CASE WHEN c.chunk_idx % 2 = 0 THEN 'b, a' ELSE 'a' END AS pred_labels,
+       md5('[CLS]' || coalesce(' ' || tags, '')) AS tags, md5('[CLS]' || coalesce(' ' || replace(tags, 'I_NAME', 'O'), '')) AS pred_tags
+FROM c LEFT JOIN t USING (doc_id, chunk_idx)"""
+
+
+@register("a16_metric_lines")
+def q_metric_lines(spark, sf_dir):
+    return FI.metric_lines(FI.metrics_table(Q.REGISTRY["d9_prf_macro"](spark, sf_dir)))
+
+
+ORACLE["a16_metric_lines"] = f"""
+SELECT unnest(['precision', 'recall', 'fbeta']) AS key,
+       unnest(['precision = ' || precision, 'recall = ' || recall, 'fbeta = ' || fbeta]) AS value FROM ({ORACLE['d9_prf_macro']})"""

@@ -9,27 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import line_numbers
+
 # Column layouts of the labelled TSV files (label columns, text column).
 LAYOUTS = {"binary": (1, 1), "perf": (1, 1), "comp": (4, 4), "senti": (9, 9)}
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: tab-separated, no quoting, ragged rows allowed -> ``(line_no, cols array<string>)``.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, value)`` of the text files under ``path``."""
+    return line_numbers(spark.read.text(path)).select("line_no", "value")
 
-    Line numbers follow the file order (``monotonically_increasing_id`` is
-    ordered within and across the partitions of a text scan).
-    """
-    t = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    return t.select((F.row_number().over(Window.orderBy("_id")) - 1).alias("line_no"),
-                    F.split("value", "\t").alias("cols"))
 
+def parse_tsv(lines: DataFrame) -> DataFrame:
+    """A1: ``(line_no, value)`` -> ``(line_no, cols array<string>)``; no quoting, ragged rows allowed."""
+    return lines.select("line_no", F.split("value", "\t").alias("cols"))
+
+
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """A1 over files."""
+    return parse_tsv(read_lines(spark, path))
 
-def read_examples(spark: SparkSession, path: str, layout: str, split: str) -> DataFrame:
-    """A2 + E1: labelled rows -> ``(guid, text, labels)``; ``guid = split-i``.
+
+def parse_examples(lines: DataFrame, layout: str, split: str) -> DataFrame:
+    """A2 + E1: labelled lines -> ``(guid, text, labels)``; ``guid = split-line_no``.
 
     Test split: column 0 is the text and labels are dummies.
     """
-    t = read_tsv(spark, path)
+    t = parse_tsv(lines)
     guid = F.concat(F.lit(f"{split}-"), F.col("line_no").cast("string"))
     if layout == "sequence":
         return t.select(guid.alias("guid"), F.get("cols", 1).alias("text"),
@@ -43,43 +49,68 @@ def read_examples(spark: SparkSession, path: str, layout: str, split: str) -> Da
                     F.slice("cols", 1, n_labels).alias("labels"))
 
 
-def read_gold_names(spark: SparkSession, path: str) -> DataFrame:
+def read_examples(spark: SparkSession, path: str, layout: str, split: str) -> DataFrame:
+    return parse_examples(read_lines(spark, path), layout, split)
+
+
+def parse_gold_names(lines: DataFrame) -> DataFrame:
     """A3: col 1 text, col 3 comma-joined names; blank lines skipped."""
-    t = read_tsv(spark, path).filter(F.trim(F.array_join("cols", "\t")) != "")
+    t = parse_tsv(lines.filter(F.trim("value") != ""))
     return t.select("line_no", F.get("cols", 1).alias("text"), F.split(F.get("cols", 3), ",").alias("names"))
 
 
-def read_gold_slots(spark: SparkSession, path: str) -> DataFrame:
+def read_gold_names(spark: SparkSession, path: str) -> DataFrame:
+    return parse_gold_names(read_lines(spark, path))
+
+
+def parse_gold_slots(lines: DataFrame) -> DataFrame:
     """A4: col 1 text, cols 3-6 store/phone/address/time; rows with fewer than 7 columns skipped."""
-    t = read_tsv(spark, path).filter(F.size("cols") >= 7)
+    t = parse_tsv(lines).filter(F.size("cols") >= 7)
     return t.select("line_no", F.get("cols", 1).alias("text"), F.get("cols", 3).alias("store"),
                     F.get("cols", 4).alias("phone"), F.get("cols", 5).alias("address"), F.get("cols", 6).alias("time"))
 
 
-def read_bio(spark: SparkSession, path: str) -> DataFrame:
-    """A5: ``word ... label`` lines, blank line ends a sentence, ``-DOCSTART-`` ignored.
+def read_gold_slots(spark: SparkSession, path: str) -> DataFrame:
+    return parse_gold_slots(read_lines(spark, path))
 
-    Returns ``(labels, words)`` space-joined; an unterminated last sentence is dropped.
+
+def parse_bio(sentences: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A5: ``value`` holds one sentence's ``word ... label`` lines -> ``(*keep, labels, words)`` space-joined.
+
+    ``-DOCSTART-`` lines and empty words or labels are left out, and sentences without words.
     """
-    whole = spark.read.text(path, wholetext=True)
-    blocks = whole.select(F.posexplode(F.split("value", "\n\n")).alias("k", "block"),
-                          F.size(F.split("value", "\n\n")).alias("nb"))
-    blocks = blocks.filter(F.col("k") < F.col("nb") - 1)
-    lines = F.filter(F.split("block", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("-DOCSTART-"))
+    lines = F.filter(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("-DOCSTART-"))
     words = F.filter(F.transform(lines, lambda x: F.get(F.split(F.trim(x), " "), 0)), lambda w: w != "")
     labels = F.filter(F.transform(lines, lambda x: F.element_at(F.split(F.trim(x), " "), -1)), lambda w: w != "")
-    out = blocks.select(F.array_join(labels, " ").alias("labels"), F.array_join(words, " ").alias("words"))
+    out = sentences.select(*keep, F.array_join(labels, " ").alias("labels"), F.array_join(words, " ").alias("words"))
     return out.filter(F.col("words") != "")
 
 
+def read_bio(spark: SparkSession, path: str) -> DataFrame:
+    """A5 over files, read one sentence a row (blank lines end them).
+
+    The last piece of a file without a blank line after it is dropped: it is the one that the
+    scan delivers without its separator, told by the file's length.
+    """
+    sep = "\n\n"
+    t = spark.read.option("lineSep", sep).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"),
+        F.monotonically_increasing_id().alias("_id"))
+    ends = t.groupBy("_file", "_size").agg(F.max("_id").alias("_last"),
+                                           F.sum(F.octet_length("value") + len(sep)).alias("_full"))
+    cut = ends.filter(F.col("_full") > F.col("_size")).select(F.col("_last").alias("_id"))
+    return parse_bio(t.join(F.broadcast(cut), "_id", "left_anti"))
+
+
 def read_json_list(spark: SparkSession, path: str) -> DataFrame:
     """Files each holding a JSON list of objects; extra keys pass through."""
     return spark.read.option("multiLine", True).json(path)
 
 
 def write_json_list(df: DataFrame, path: str) -> None:
-    """JSON lines with non-ASCII kept."""
-    df.write.mode("overwrite").json(path)
+    """Each file one JSON list of its task's rows, non-ASCII kept."""
+    rows = df.select(F.to_json(F.struct("*")).alias("j")).groupBy(F.spark_partition_id()).agg(F.collect_list("j").alias("l"))
+    rows.select(F.concat(F.lit("["), F.array_join("l", ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_label_map(labels: DataFrame, path: str, id_col: str = "id", label_col: str = "label") -> None:
@@ -88,9 +119,9 @@ def write_label_map(labels: DataFrame, path: str, id_col: str = "id", label_col:
         .coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_label_map(spark: SparkSession, path: str, strip_quotes: bool = True) -> DataFrame:
-    """Bad lines skipped; surrounding ``'`` stripped from labels (not from tags)."""
-    t = spark.read.text(path).select(F.split("value", ":", 2).alias("p"))
+def parse_label_map(lines: DataFrame, strip_quotes: bool = True) -> DataFrame:
+    """``(id, label)`` of ``id:label`` lines; bad lines skipped; surrounding ``'`` stripped from labels (not from tags)."""
+    t = lines.select(F.split("value", ":", 2).alias("p"))
     ok = t.filter(F.size("p") == 2).select(F.expr("try_cast(p[0] AS INT)").alias("id"), F.get("p", 1).alias("label"))
     ok = ok.filter(F.col("id").isNotNull())
     if strip_quotes:
@@ -98,56 +129,105 @@ def read_label_map(spark: SparkSession, path: str, strip_quotes: bool = True) ->
     return ok
 
 
+def read_label_map(spark: SparkSession, path: str, strip_quotes: bool = True) -> DataFrame:
+    return parse_label_map(spark.read.text(path), strip_quotes)
+
+
 def write_thresholds(metrics: DataFrame, path: str) -> None:
     """Only metric keys that end in ``threshold`` are written, one value per line, in key order."""
     metrics.filter(F.col("key").endswith("threshold")).orderBy("key") \
         .select(F.col("value").cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_thresholds(spark: SparkSession, path: str | None, n_classes: int) -> DataFrame:
-    """``(class_id, threshold)``; unparsable lines skipped; 0.5 for every class when no file exists."""
-    classes = spark.range(n_classes).select(F.col("id").cast("int").alias("class_id"))
-    if path is None:
+def parse_thresholds(lines: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """``(class_id, threshold)`` for the ``class_id`` of ``classes``: the parsable lines in order.
+
+    0.5 where there is no line, and for every class when there is no file.  The lines are as
+    many as the classes, so they are numbered in one window.
+    """
+    if lines is None:
         return classes.select("class_id", F.lit(0.5).alias("threshold"))
-    t = read_tsv(spark, path).select(F.expr("try_cast(cols[0] AS DOUBLE)").alias("t")).filter(F.col("t").isNotNull())
-    t = t.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("int")
-                 .alias("class_id"), F.col("t").alias("threshold"))
+    t = lines.select("line_no", F.expr("try_cast(value AS DOUBLE)").alias("threshold")).filter(F.col("threshold").isNotNull())
+    t = t.select((F.row_number().over(Window.orderBy("line_no")) - 1).cast("int").alias("class_id"), "threshold")
     return classes.join(t, "class_id", "left").select("class_id", F.coalesce("threshold", F.lit(0.5)).alias("threshold"))
 
 
-def read_keywords(spark: SparkSession, path: str) -> DataFrame:
+def read_thresholds(spark: SparkSession, path: str | None, n_classes: int) -> DataFrame:
+    classes = spark.range(n_classes).select(F.col("id").cast("int").alias("class_id"))
+    return parse_thresholds(None if path is None else read_lines(spark, path), classes)
+
+
+def parse_keywords(lines: DataFrame) -> DataFrame:
     """A10: one keyword per line; blank lines dropped (they would match everything in contains mode)."""
-    return spark.read.text(path).select(F.col("value").alias("keyword")).filter(F.col("keyword") != "")
+    return lines.select(F.col("value").alias("keyword")).filter(F.col("keyword") != "")
+
+
+def read_keywords(spark: SparkSession, path: str) -> DataFrame:
+    return parse_keywords(spark.read.text(path))
+
+
+def result_log_lines(results: DataFrame, ts: str = "ts", as_json: bool = False) -> DataFrame:
+    """``(day, value)`` with ``time, len(article), article, has_aml 1/0, names`` or ``time, json``, tab-joined."""
+    time = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    if as_json:
+        parts = [time, F.to_json(F.struct(*(F.col(c) for c in sorted(results.columns) if c != ts)))]
+    else:
+        parts = [time, F.length("article").cast("string"), F.col("article"),
+                 F.col("has_aml").cast("int").cast("string"), F.to_json("names")]
+    return results.select(F.date_format(ts, "yyyy-MM-dd").alias("day"), F.concat_ws("\t", *parts).alias("value"))
+
 
+def write_result_log(results: DataFrame, path: str, ts: str = "ts", as_json: bool = False) -> None:
+    """Append to one folder per day."""
+    result_log_lines(results, ts, as_json).write.mode("append").partitionBy("day").text(path)
 
-def write_result_log(results: DataFrame, path: str, ts: str = "ts") -> None:
-    """``time, len(article), article, has_aml 1/0, names`` per answer, one folder per day."""
-    out = results.select(
-        F.date_format(ts, "yyyy-MM-dd").alias("day"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("time"),
-        F.length("article").alias("n_chars"), "article", F.col("has_aml").cast("int").alias("has_aml"),
-        F.to_json("names").alias("names"))
-    out.write.mode("append").partitionBy("day").option("sep", "\t").option("quote", "").csv(path)
+
+def prediction_lines(probs: DataFrame, cols: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One line per row, probabilities tab-joined."""
+    return probs.select(*keep, F.concat_ws("\t", *[F.col(c).cast("string") for c in cols]).alias("value"))
 
 
 def write_predictions(probs: DataFrame, path: str, cols: list[str]) -> int:
-    """One line per row, probabilities tab-joined; returns rows written (checked by an observation)."""
+    """Write the lines; raises if rows written differ from rows read, else returns their number."""
     from pyspark.sql import Observation
-    obs = Observation("written")
-    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in cols]).alias("value")
-    probs.select(line).observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
-    return obs.get["n"]
+    read, wrote = Observation("read"), Observation("written")
+    one = F.count(F.lit(1)).alias("n")
+    prediction_lines(probs.observe(read, one), cols).observe(wrote, one).write.mode("overwrite").text(path)
+    if read.get["n"] != wrote.get["n"]:
+        raise ValueError(f"{wrote.get['n']} lines for {read.get['n']} rows")
+    return wrote.get["n"]
 
 
-def write_compare_report(df: DataFrame, path: str) -> None:
-    """Tab-separated report with a header."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+def compare_report(df: DataFrame, keep: tuple[str, ...] = (), tags_only: bool = False) -> DataFrame:
+    """O/X flags, gold and predicted labels, tokens and tags (joined by spaces).
+
+    ``df`` has arrays ``tokens, tags, pred_tags, labels, pred_labels``.  The tag-only form has
+    the slot flag, tokens and the two tag columns.
+    """
+    mark = lambda ok: F.when(ok, F.lit("O")).otherwise(F.lit("X"))
+    slot = F.col("tags") == F.col("pred_tags")
+    words = [F.array_join(c, " ").alias(c) for c in ("tokens", "tags", "pred_tags")]
+    if tags_only:
+        return df.select(*keep, mark(slot).alias("slot"), *words)
+    intent = F.sort_array("labels") == F.sort_array("pred_labels")
+    return df.select(*keep, mark(slot & intent).alias("frame"), mark(intent).alias("intent"), mark(slot).alias("slot"),
+                     F.array_join("labels", ", ").alias("labels"), F.array_join("pred_labels", ", ").alias("pred_labels"), *words)
+
+
+def write_compare_report(df: DataFrame, path: str, tags_only: bool = False) -> None:
+    """Tab-separated with a header."""
+    compare_report(df, tags_only=tags_only).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def metric_lines(metrics: DataFrame) -> DataFrame:
+    """``key = value``."""
+    return metrics.select("key", F.concat_ws(" = ", "key", F.col("value").cast("string")).alias("value"))
 
 
 def write_metrics(metrics: DataFrame, path: str, sort: bool = True) -> None:
-    """``key = value`` lines (sorted by key when asked, F4)."""
-    m = metrics.orderBy("key") if sort else metrics
-    m.select(F.concat_ws(" = ", "key", F.col("value").cast("string")).alias("value")) \
-        .coalesce(1).write.mode("overwrite").text(path)
+    """The lines, sorted by key when asked."""
+    m = metric_lines(metrics)
+    (m.orderBy("key") if sort else m).select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def metrics_table(row: DataFrame) -> DataFrame:
