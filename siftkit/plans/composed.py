@@ -410,3 +410,24 @@ def q_metric_lines(spark, sf_dir):
 ORACLE["a16_metric_lines"] = f"""
 SELECT unnest(['precision', 'recall', 'fbeta']) AS key,
        unnest(['precision = ' || precision, 'recall = ' || recall, 'fbeta = ' || fbeta]) AS value FROM ({ORACLE['d9_prf_macro']})"""
+
+
+# ---------------------------------------------------------------- the flagship with scores as columns of rows
+@register("k9_screen_by_model")
+def q_screen_by_model(spark, sf_dir):
+    """K9 in its exploded form, chunk and mention scores added by DataFrame steps (here the fixtures F3 and F6)."""
+    def chunk_scores(df):
+        s = fixtures.chunk_score(F.col("doc_id"), F.col("chunk_idx"))
+        return df.select("*", s["p_pos"].alias("p_pos"), s["p_neg"].alias("p_neg"))
+
+    def mention_scores(df):
+        s = fixtures.mention_score(F.col("doc_id"), F.col("chunk_idx"), F.col("start"))
+        return df.select("*", s["p_pos"].alias("p_pos"), s["p_neg"].alias("p_neg"))
+
+    out = screening.screen_by_model(fixtures.articles(spark, sf_dir), chunk_scores, mention_scores,
+                                    fixtures.keywords(spark, sf_dir), max_len=Q.CHUNK_LEN)
+    return out.select("doc_id", "has_aml", "split_cnt", F.size("ner_names").alias("n_ner_names"),
+                      Q.joined("ner_names").alias("ner_names"), Q.joined("names").alias("names"))
+
+
+ORACLE["k9_screen_by_model"] = ORACLE["k9_screen_articles"]

@@ -12,7 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+
+from ..session import shared_table
+
+#: Log score of a transition that was never counted.
+NEVER = -1e9
 
 
 def train_text_classifier(df: DataFrame, text: str = "text", label: str = "label", num_features: int = 1 << 18,
@@ -32,13 +37,30 @@ def train_text_classifier(df: DataFrame, text: str = "text", label: str = "label
     return Pipeline(stages=stages).fit(df)
 
 
-def score_text(model, df: DataFrame, positive: int = 1) -> DataFrame:
-    """K1: class probabilities from a fitted pipeline as ``p_pos, p_neg`` (binary)."""
+def class_probs(model, df: DataFrame) -> DataFrame:
+    """K1: ``df`` with ``probs``, one probability a class, from a fitted pipeline."""
     from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    probs = vector_to_array("probability")
-    keep = [c for c in df.columns]
-    return out.select(*keep, F.get(probs, positive).alias("p_pos"), F.get(probs, 1 - positive).alias("p_neg"))
+    return model.transform(df).select(*df.columns, vector_to_array("probability").alias("probs"))
+
+
+def score_text(model, df: DataFrame, positive: int = 1) -> DataFrame:
+    """K1 for two classes: ``p_pos, p_neg``."""
+    out = class_probs(model, df)
+    return out.select(*df.columns, F.get("probs", positive).alias("p_pos"), F.get("probs", 1 - positive).alias("p_neg"))
+
+
+def score_external(make_predict, df: DataFrame, text: str = "text", n_classes: int = 2, batch_size: int = 64) -> DataFrame:
+    """K1 with a model from outside: ``make_predict()`` loads it once per Python process and returns
+    ``texts -> array[n, n_classes]``; adds ``probs``."""
+    from pyspark.ml.functions import predict_batch_udf
+    udf = predict_batch_udf(make_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    return df.withColumn("probs", udf(F.col(text)))
+
+
+def train_label_models(df: DataFrame, labels: list[str], text: str = "text", **options) -> dict:
+    """K2 for several labels at once: one binary pipeline a label column."""
+    return {c: train_text_classifier(df.filter(F.col(c).isNotNull()).withColumn("_label", F.col(c).cast("double")),
+                                     text, "_label", **options) for c in labels}
 
 
 def tag_bigrams(tags) -> Column:
@@ -49,34 +71,82 @@ def tag_bigrams(tags) -> Column:
                       lambda a, b: F.struct(a.alias("prev_tag"), b.alias("tag")))
 
 
+def tag_counts(seqs: DataFrame, tokens: str = "tokens", tags: str = "tags") -> tuple[DataFrame, DataFrame]:
+    """Counts ``(tag, token, n)`` and ``(prev_tag, tag, n)``, each made once and written to the shared folder."""
+    pairs = seqs.select(F.explode(F.zip_with(tokens, tags, lambda w, t: F.struct(w.alias("token"), t.alias("tag")))).alias("p"))
+    bigrams = seqs.select(F.explode(tag_bigrams(tags)).alias("b"))
+    return (shared_table(pairs.groupBy(F.col("p.tag").alias("tag"), F.col("p.token").alias("token")).agg(F.count("*").alias("n")), "tag-tokens"),
+            shared_table(bigrams.groupBy("b.prev_tag", "b.tag").agg(F.count("*").alias("n")), "tag-bigrams"))
+
+
 def train_tagger(seqs: DataFrame, tokens: str = "tokens", tags: str = "tags"):
     """K3: HMM estimates from tag sequences: add-one smoothed log emissions and transitions.
 
-    Returns ``(emissions(tag, token, logp), transitions(prev_tag, tag, logp))``;
-    ``unseen_emission`` gives the smoothed score of a pair never counted.
+    Returns ``(emissions(tag, token, logp), transitions(prev_tag, tag, logp), unseen(tag, logp))``;
+    ``unseen`` is the smoothed score of a token never seen with the tag.
     """
-    pairs = seqs.select(F.explode(F.arrays_zip(F.col(tokens).alias("token"), F.col(tags).alias("tag"))).alias("p"))
-    em = pairs.groupBy(F.col("p.tag").alias("tag"), F.col("p.token").alias("token")).count()
+    em, tr = tag_counts(seqs, tokens, tags)
     n_tokens = em.select(F.countDistinct("token")).scalar()
-    tag_tot = em.groupBy("tag").agg(F.sum("count").alias("n_tag"))
+    n_tags = em.select(F.countDistinct("tag")).scalar()
+    tag_tot = em.groupBy("tag").agg(F.sum("n").alias("n_tag"))
     emissions = em.join(F.broadcast(tag_tot), "tag").select(
-        "tag", "token", F.log((F.col("count") + 1) / (F.col("n_tag") + n_tokens)).alias("logp"))
-    t = F.col(tags)
-    bigrams = seqs.select(F.explode(tag_bigrams(tags)).alias("b"))
-    tr = bigrams.groupBy("b.prev_tag", "b.tag").count()
-    n_tags = seqs.select(F.explode(t).alias("tag")).select(F.countDistinct("tag")).scalar()
-    prev_tot = tr.groupBy("prev_tag").agg(F.sum("count").alias("n_prev"))
+        "tag", "token", F.log((F.col("n") + 1) / (F.col("n_tag") + n_tokens)).alias("logp"))
+    prev_tot = tr.groupBy("prev_tag").agg(F.sum("n").alias("n_prev"))
     transitions = tr.join(F.broadcast(prev_tot), "prev_tag").select(
-        "prev_tag", "tag", F.log((F.col("count") + 1) / (F.col("n_prev") + n_tags)).alias("logp"))
-    return emissions, transitions
+        "prev_tag", "tag", F.log((F.col("n") + 1) / (F.col("n_prev") + n_tags)).alias("logp"))
+    unseen = tag_tot.select("tag", F.log(F.lit(1.0) / (F.col("n_tag") + n_tokens)).alias("logp"))
+    return emissions, transitions, unseen
 
 
-def unseen_emission(seqs: DataFrame, tokens: str = "tokens", tags: str = "tags") -> DataFrame:
-    """K3: ``(tag, logp)`` of a token never seen with the tag (add-one smoothing)."""
-    pairs = seqs.select(F.explode(F.arrays_zip(F.col(tokens).alias("token"), F.col(tags).alias("tag"))).alias("p"))
-    n_tokens = pairs.select(F.countDistinct("p.token")).scalar()
-    return pairs.groupBy(F.col("p.tag").alias("tag")).agg(
-        F.log(F.lit(1.0) / (F.count("*") + n_tokens)).alias("logp"))
+def emission_rows(seqs: DataFrame, emissions: DataFrame, unseen: DataFrame, tags: list[str],
+                  keys: tuple[str, ...] = ("doc_id", "chunk_idx"), tokens: str = "tokens") -> DataFrame:
+    """``(*keys, flat)``: each sequence's log emissions, one after the other for every position and tag of ``tags``.
+
+    A sequence sends each distinct token once, with its places, to the table of emissions.
+    """
+    at = {t: i for i, t in enumerate(tags)}
+    fill = {r["tag"]: r["logp"] for r in unseen.collect()}  # one row a tag
+    vec = emissions.groupBy("token").pivot("tag", tags).agg(F.first("logp"))
+    e = F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(fill[t])) for t in sorted(tags, key=at.get)])
+    t = seqs.select(*keys, F.explode(F.transform(tokens, lambda w, i: F.struct(w.alias("token"), i.alias("pos")))).alias("x"))
+    t = t.groupBy(*keys, F.col("x.token").alias("token")).agg(F.collect_list("x.pos").alias("at"))
+    j = t.join(vec.select("token", e.alias("e")), "token", "left")
+    e = F.coalesce("e", F.array(*[F.lit(fill[t]) for t in tags]))
+    g = j.groupBy(*keys).agg(F.collect_list(F.struct("at", e.alias("e"))).alias("l"))
+    each = F.flatten(F.transform("l", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["e"].alias("e")))))
+    return g.select(*keys, F.flatten(F.transform(F.sort_array(each), lambda x: x["e"])).alias("flat"))
+
+
+def tag_matrix(transitions: DataFrame, tags: list[str], start: str) -> tuple[np.ndarray, np.ndarray]:
+    """Log transition matrix and start scores; of the tag set squared, read once."""
+    at = {t: i for i, t in enumerate(tags)}
+    matrix = [[NEVER] * len(tags) for _ in tags]
+    for r in transitions.collect():
+        matrix[at[r["prev_tag"]]][at[r["tag"]]] = r["logp"]
+    return np.array(matrix), np.array([0.0 if t == start else NEVER for t in tags])
+
+
+def normaliser_udf(transitions: np.ndarray, start: np.ndarray):
+    """K5: log of the summed scores of all paths (forward algorithm), for flattened emission matrices as K4's."""
+    return _over_column(normaliser(np.asarray(transitions, dtype=float), np.asarray(start, dtype=float)), DoubleType())
+
+
+def normaliser(trans: np.ndarray, st: np.ndarray):
+    """The forward algorithm over one flattened emission matrix."""
+    n_tags = trans.shape[0]
+
+    def forward(flat) -> float:
+        em = np.asarray(flat, dtype=float).reshape(-1, n_tags)
+        if len(em) == 0:
+            return 0.0
+        score = st + em[0]
+        for row in em[1:]:
+            cand = score[:, None] + trans
+            top = cand.max(axis=0)
+            score = top + np.log(np.exp(cand - top).sum(axis=0)) + row
+        return float(score.max() + np.log(np.exp(score - score.max()).sum()))
+
+    return forward
 
 
 def viterbi_udf(transitions: np.ndarray, start: np.ndarray):
@@ -88,6 +158,11 @@ def viterbi_udf(transitions: np.ndarray, start: np.ndarray):
     """
     trans = np.asarray(transitions, dtype=float)
     st = np.asarray(start, dtype=float)
+    return _over_column(viterbi(trans, st), ArrayType(IntegerType()))
+
+
+def viterbi(trans: np.ndarray, st: np.ndarray):
+    """The decoder of one flattened emission matrix."""
     n_tags = trans.shape[0]
 
     def decode(flat: np.ndarray) -> list[int]:
@@ -105,13 +180,29 @@ def viterbi_udf(transitions: np.ndarray, start: np.ndarray):
             path.append(int(back[i][path[-1]]))
         return path[::-1]
 
-    @F.pandas_udf(ArrayType(IntegerType()))
+    return decode
+
+
+def _over_column(one, kind):
+    @F.pandas_udf(kind)
     def run(col: pd.Series) -> pd.Series:
-        return col.map(decode)
+        return col.map(one)
 
     return run
 
 
+def over_rows(rows: DataFrame, one, out: str, kind: str, column: str = "flat") -> DataFrame:
+    """``rows`` with ``column`` replaced by ``out = one(column)``, Arrow batch by batch."""
+    kept = [f for f in rows.schema.fields if f.name != column]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{out} {kind}"])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[[f.name for f in kept]].assign(**{out: pdf[column].map(one)})
+
+    return rows.mapInPandas(run, schema)
+
+
 def path_score(emission_sum: Column, transition_sum: Column) -> Column:
     """K5: score of a given path = summed emissions + summed transitions."""
     return emission_sum + transition_sum

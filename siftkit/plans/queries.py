@@ -871,57 +871,62 @@ def tag_sequences(spark, sf_dir) -> DataFrame:
 
 @register("k3_train_tagger")
 def q_train_tagger(spark, sf_dir):
-    _, tr = MD.train_tagger(tag_sequences(spark, sf_dir))
+    _, tr, _ = MD.train_tagger(tag_sequences(spark, sf_dir))
     return tr.select("prev_tag", "tag", r6(F.col("logp")).alias("logp"))
 
 
 @register("k3_tagger_emissions")
 def q_tagger_emissions(spark, sf_dir):
-    em, _ = MD.train_tagger(tag_sequences(spark, sf_dir))
+    em, _, _ = MD.train_tagger(tag_sequences(spark, sf_dir))
     return em.select("tag", "token", r6(F.col("logp")).alias("logp"))
 
 
+def path_scores(seqs: DataFrame, em: DataFrame, tr: DataFrame) -> DataFrame:
+    """K5 sums of each chunk's own path; equal (tag, token) pairs of a chunk travel as one row."""
+    keys = ["doc_id", "chunk_idx"]
+    pairs = F.zip_with("tokens", "tags", lambda w, t: F.struct(t.alias("tag"), w.alias("token")))
+    e = seqs.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, "p.tag", "p.token").agg(F.count("*").alias("n"))
+    e = e.join(em, ["tag", "token"]).groupBy(*keys).agg(F.sum(F.col("n") * F.col("logp")).alias("es"))
+    t = exploded(seqs.withColumn("b", MD.tag_bigrams("tags")), "b", *keys).groupBy(*keys, "x.prev_tag", "x.tag").agg(F.count("*").alias("n"))
+    t = t.join(F.broadcast(tr), ["prev_tag", "tag"]).groupBy(*keys).agg(F.sum(F.col("n") * F.col("logp")).alias("ts"))
+    return e.join(t, keys, "left").select(*keys, MD.path_score(F.col("es"), F.coalesce(F.col("ts"), F.lit(0.0))).alias("score"))
+
+
 @register("k5_sequence_score")
 def q_sequence_score(spark, sf_dir):
     seqs = tag_sequences(spark, sf_dir)
-    em, tr = MD.train_tagger(seqs)
-    pos = seqs.select("doc_id", "chunk_idx", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"),
-                                                                        F.col("tags").alias("tag"))).alias("j", "p"))
-    pos = pos.select("doc_id", "chunk_idx", "j", F.col("p.token").alias("token"), F.col("p.tag").alias("tag"))
-    e = pos.join(em, ["tag", "token"]).groupBy("doc_id", "chunk_idx").agg(F.sum("logp").alias("es"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("doc_id", "chunk_idx").orderBy("j")
-    bi = pos.select("doc_id", "chunk_idx", F.lag("tag").over(w).alias("prev_tag"), "tag").filter(F.col("prev_tag").isNotNull())
-    t = bi.join(F.broadcast(tr), ["prev_tag", "tag"]).groupBy("doc_id", "chunk_idx").agg(F.sum("logp").alias("ts"))
-    return e.join(t, ["doc_id", "chunk_idx"], "left").select(
-        "doc_id", "chunk_idx", r6(MD.path_score(F.col("es"), F.coalesce(F.col("ts"), F.lit(0.0)))).alias("score"))
+    em, tr, _ = MD.train_tagger(seqs)
+    return path_scores(seqs, em, tr).select("doc_id", "chunk_idx", r6(F.col("score")).alias("score"))
+
+
+def decoder(seqs: DataFrame):
+    """The K3 model of ``seqs``: tag list, matrix, start scores, emission rows."""
+    em, tr, unseen = MD.train_tagger(seqs)
+    tags = sorted(r["tag"] for r in unseen.select("tag").collect())  # the tag set bounds the model
+    matrix, start = MD.tag_matrix(tr, tags, "[CLS]")
+    return em, tr, tags, matrix, start, MD.emission_rows(seqs, em, unseen, tags)
+
+
+@register("k5_log_likelihood")
+def q_log_likelihood(spark, sf_dir):
+    """K5 (rows-only): path score less the normaliser over all paths."""
+    seqs = tag_sequences(spark, sf_dir)
+    em, tr, _, matrix, start, rows = decoder(seqs)
+    z = MD.over_rows(rows, MD.normaliser(matrix, start), "z", "double")
+    return path_scores(seqs, em, tr).join(z, ["doc_id", "chunk_idx"]).select(
+        "doc_id", "chunk_idx", r6(F.col("score") - F.col("z")).alias("log_likelihood"))
 
 
 @register("k4_viterbi_decode")
 def q_viterbi(spark, sf_dir):
     """K4 (rows-only): decode every chunk with the K3 HMM; count positions that agree with F4."""
     seqs = tag_sequences(spark, sf_dir)
-    em, tr = MD.train_tagger(seqs)
-    unseen = MD.unseen_emission(seqs)
-    # the tag set bounds the model: a few rows, read once to build the transition matrix
-    tags = sorted(r["tag"] for r in unseen.select("tag").collect())
-    idx = {t: i for i, t in enumerate(tags)}
-    trans = [[-1e9] * len(tags) for _ in tags]
-    for r in tr.collect():
-        trans[idx[r["prev_tag"]]][idx[r["tag"]]] = r["logp"]
-    start = [0.0 if t == "[CLS]" else -1e9 for t in tags]
-    pivot = em.groupBy("token").pivot("tag", tags).agg(F.first("logp"))
-    fill = {r["tag"]: r["logp"] for r in unseen.collect()}
-    vec = F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(fill[t])) for t in tags])
-    pos = seqs.select("doc_id", "chunk_idx", F.posexplode("tokens").alias("j", "token"))
-    scored = pos.join(pivot.select("token", vec.alias("e")), "token")
-    per = scored.groupBy("doc_id", "chunk_idx").agg(F.sort_array(F.collect_list(F.struct("j", "e"))).alias("l"))
-    per = per.select("doc_id", "chunk_idx", F.flatten(F.transform("l", lambda x: x["e"])).alias("flat"))
-    path = MD.viterbi_udf(trans, start)(F.col("flat"))
+    _, _, tags, matrix, start, rows = decoder(seqs)
+    paths = MD.over_rows(rows, MD.viterbi(matrix, start), "path", "array<int>")
     names = F.array(*[F.lit(t) for t in tags])
-    decoded = per.select("doc_id", "chunk_idx", F.transform(path, lambda i: F.get(names, i)).alias("pred"))
+    decoded = paths.select("doc_id", "chunk_idx", F.transform("path", lambda i: F.get(names, i)).alias("pred"))
     both = decoded.join(seqs, ["doc_id", "chunk_idx"])
-    agree = F.aggregate(F.arrays_zip("pred", "tags"), F.lit(0), lambda a, x: a + F.when(x["pred"] == x["tags"], 1).otherwise(0))
+    agree = F.aggregate(F.zip_with("pred", "tags", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     return both.select("doc_id", "chunk_idx", F.size("pred").alias("n"), agree.alias("n_agree"))
 
 

@@ -20,6 +20,8 @@ from ..functions.gate import keyword_hit, max_rule, rule_check, sum_rule
 from ..functions.names import mention_spans, name_ok, unique_names
 from ..functions.spans import bio_spans, capital_tags, fill_unk, first_slot, slot_map
 from ..functions.splitting import mention_sentence, split_article
+from ..operators.split import split_chunks
+from ..session import shared_table
 from ..sources import fixtures
 
 ChunkScorer = Callable[[Column, Column, Column], Column]   # (doc_id, chunk_idx, chunk)
@@ -106,12 +108,12 @@ def screen_articles(docs: DataFrame, keywords: DataFrame | None = None, *, doc_i
                     chunk_scorer: ChunkScorer = fixture_chunk_scorer,
                     mention_scorer: MentionScorer = fixture_mention_scorer,
                     tagger=capital_tags, sep: str = " ", do_split: bool = True,
-                    with_timestamp: bool = False) -> DataFrame:
+                    with_timestamp: bool = False, with_article: bool = False) -> DataFrame:
     """K9 flagship: one answer row per article.
 
     Columns: ``doc_id, has_aml, ner_names, names, split_cnt, results``
     (``results`` = chunk results in order), plus ``timestamp`` (epoch ms of
-    processing) when asked.  ``keywords`` is a one-column DataFrame of rule
+    processing) and ``article`` (the text) when asked.  ``keywords`` is a one-column DataFrame of rule
     keywords (A10); it is reduced to one array value by a scalar subquery,
     so it must be a bounded list.
     """
@@ -129,15 +131,63 @@ def screen_articles(docs: DataFrame, keywords: DataFrame | None = None, *, doc_i
         d, i, c, kw_col, adjust, keyword_mode, chunk_scorer, mention_scorer, threshold,
         sentence_marks, tagger, sep))
 
-    def merge(rs):
-        has_aml = F.exists(rs, lambda r: r["has_aml"])
-        ner = unique_names(F.flatten(F.transform(rs, lambda r: r["ner_names"])))
-        picked = unique_names(F.flatten(F.transform(rs, lambda r: r["predicted_names"])))
-        names = F.when((F.size(picked) == 0) & has_aml, ner).otherwise(picked)
-        return F.struct(has_aml.alias("has_aml"), ner.alias("ner_names"), names.alias("names"),
-                        F.size(rs).alias("split_cnt"), rs.alias("results"))
-
-    out = base.select(d.alias("doc_id"), let(results, merge).alias("r")).select("doc_id", "r.*")
+    columns = [d.alias("doc_id"), let(results, merge_results).alias("r")] + ([t.alias("article")] if with_article else [])
+    out = base.select(*columns).select("doc_id", "r.*", *(["article"] if with_article else []))
     if with_timestamp:
         out = out.withColumn("timestamp", F.unix_millis(F.current_timestamp()))
     return out
+
+
+def merge_results(rs) -> Column:
+    """An article's answer from its chunk results, in order."""
+    has_aml = F.exists(rs, lambda r: r["has_aml"])
+    ner = unique_names(F.flatten(F.transform(rs, lambda r: r["ner_names"])))
+    picked = unique_names(F.flatten(F.transform(rs, lambda r: r["predicted_names"])))
+    names = F.when((F.size(picked) == 0) & has_aml, ner).otherwise(picked)
+    return F.struct(has_aml.alias("has_aml"), ner.alias("ner_names"), names.alias("names"),
+                    F.size(rs).alias("split_cnt"), rs.alias("results"))
+
+
+RESULT_TYPE = "array<struct<article:string,has_aml:boolean,ner_names:array<string>,predicted_names:array<string>>>"
+
+
+def screen_by_model(docs: DataFrame, score_chunks: Callable[[DataFrame], DataFrame],
+                    score_mentions: Callable[[DataFrame], DataFrame], keywords: DataFrame | None = None, *,
+                    doc_id: str = "doc_id", text: str = "text", max_len: int = 511,
+                    split_marks: Sequence[str] = LATIN_MARKS, sentence_marks: Sequence[str] = LATIN_MARKS,
+                    adjust: float = 0.3, threshold: float = 0.25, keyword_mode: str = "equals",
+                    tagger=capital_tags, sep: str = " ") -> DataFrame:
+    """K9 with scores from models: the rows of ``screen_articles``, chunks and mentions as rows.
+
+    ``score_chunks`` gets ``(doc_id, chunk_idx, text)`` and ``score_mentions`` ``(doc_id,
+    chunk_idx, name, start, text)``; each adds ``p_pos`` and ``p_neg``, for instance by K1 with a
+    fitted pipeline.  Each model makes one pass.  Tagged chunks are written once, since names
+    and the merge read them; what is grouped afterwards carries no chunk text but the merge's.
+    """
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    c = split_chunks(d, "text", max_len, split_marks).withColumnRenamed("chunk", "text")
+    hit = None
+    scored = score_chunks(c)
+    if keywords is not None:
+        scored = scored.withColumn("_keywords", keywords.select(F.collect_list(keywords.columns[0])).scalar())
+        hit = keyword_hit("text", "_keywords", keyword_mode)
+    flag = rule_check("p_pos", "p_neg", hit, adjust) == 1
+    empty = F.array().cast("array<string>")
+    names = F.when(F.col("has_aml"), chunk_names(F.col("doc_id"), F.col("chunk_idx"), F.col("text"), tagger, sep)).otherwise(empty)
+    base = shared_table(scored.withColumn("has_aml", flag).select("doc_id", "chunk_idx", "text", "has_aml", names.alias("names")),
+                        "tagged-chunks")
+    each = base.select("doc_id", "chunk_idx", "text", F.explode("names").alias("name")).filter(name_ok("name"))
+    each = each.select("doc_id", "chunk_idx", "text", "name", F.explode(mention_spans("text", "name")).alias("m"))
+    sentence = mention_sentence(F.col("text"), F.col("m.start"), F.col("m.end"), sentence_marks)
+    mentions = score_mentions(each.select("doc_id", "chunk_idx", "name", F.col("m.start").alias("start"),
+                                          pair_text(F.col("name"), sentence).alias("text")))
+    sums = mentions.groupBy("doc_id", "chunk_idx", "name").agg(
+        F.sum("p_pos").alias("sp"), F.sum("p_neg").alias("sn"), F.max("p_pos").alias("mp"), F.max("p_neg").alias("mn"))
+    passed = sum_rule("sp", "sn", threshold) if threshold > 0 else max_rule("mp", "mn")
+    picked = sums.filter(passed).groupBy("doc_id", "chunk_idx").agg(F.collect_set("name").alias("picked"))
+    results = base.join(picked, ["doc_id", "chunk_idx"], "left").select("doc_id", "chunk_idx", F.struct(
+        F.col("text").alias("article"), "has_aml", F.col("names").alias("ner_names"),
+        F.filter("names", lambda n: F.array_contains(F.coalesce("picked", empty), n)).alias("predicted_names")).alias("r"))
+    merged = results.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "r"))).alias("l"))
+    rs = F.coalesce(F.transform("l", lambda x: x["r"]), F.array().cast(RESULT_TYPE))
+    return d.select("doc_id").join(merged, "doc_id", "left").select("doc_id", let(rs, merge_results).alias("m")).select("doc_id", "m.*")

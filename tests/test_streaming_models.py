@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siftkit.operators.tokens import truncate_pair
-from siftkit.plans.models import viterbi_udf
+from siftkit.plans.models import normaliser_udf, viterbi_udf
 from siftkit.plans.screening import screen_articles
 from siftkit.streaming.screen import read_document_stream, screen_stream, stream_confusion_matrix
 
@@ -62,6 +62,19 @@ def test_viterbi_brute_force(spark):
         assert list(best) == path
 
 
+def test_normaliser_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    n_tags = 3
+    trans, start = rng.normal(size=(n_tags, n_tags)), rng.normal(size=n_tags)
+    rows = [(rng.normal(size=n * n_tags).tolist(),) for n in (1, 2, 4)]
+    got = [r[0] for r in spark.createDataFrame(rows, "flat array<double>").select(normaliser_udf(trans, start)("flat")).collect()]
+    for (flat,), z in zip(rows, got):
+        em = np.array(flat).reshape(-1, n_tags)
+        scores = [start[p[0]] + em[0][p[0]] + sum(trans[p[i - 1]][p[i]] + em[i][p[i]] for i in range(1, len(p)))
+                  for p in itertools.product(range(n_tags), repeat=len(em))]
+        assert abs(z - np.log(np.exp(scores).sum())) < 1e-9
+
+
 def test_truncate_pair_cuts_the_longer_side(spark):
     rows = [(list(range(a)), list(range(b)), m) for a in range(0, 9) for b in range(0, 9) for m in (3, 4, 7)]
     df = spark.createDataFrame(rows, "a array<int>, b array<int>, m int")
