@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_table
+
 EPS = 1e-7
 
 
@@ -171,14 +173,20 @@ def auc_per_class(df: DataFrame, cls: str, label: str, prob: str) -> DataFrame:
     """Exact ROC AUC per class (Mann-Whitney with ties counted half).
 
     Rows are first reduced to one row per distinct (class, score) with
-    positive and negative counts; a running sum of negatives over the
-    distinct scores gives, for each score, the negatives ranked below it.
+    positive and negative counts, range-partitioned by class and score.  The
+    negatives ranked below a score are those of the class in earlier
+    partitions (one sum a class and partition) plus a running sum within its
+    own, so a class with many scores is not one task.
     """
     y = F.col(label).cast("double")
     d = df.groupBy(F.col(cls).alias("cls"), F.col(prob).alias("s")).agg(
         F.sum(y).alias("np"), F.sum(1 - y).alias("nn"))
-    w = Window.partitionBy("cls").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("below", F.coalesce(F.sum("nn").over(w), F.lit(0.0)))
+    d = shared_table(d.repartitionByRange("cls", "s").withColumn("part", F.spark_partition_id()), "ranked-scores")
+    earlier = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("cls", "part").agg(F.sum("nn").alias("n")).select(
+        "cls", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0.0)).alias("start"))
+    own = Window.partitionBy("cls", "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(starts, ["cls", "part"]).withColumn("below", F.col("start") + F.coalesce(F.sum("nn").over(own), F.lit(0.0)))
     a = d.groupBy("cls").agg(F.sum(F.col("np") * (F.col("below") + 0.5 * F.col("nn"))).alias("u"),
                              F.sum("np").alias("P"), F.sum("nn").alias("N"))
     return a.select("cls", safe_div(F.col("u"), F.col("P") * F.col("N")).alias("auc"))
