@@ -15,7 +15,7 @@ Rows that repeat a doc_id draw the same number.  A null doc_id draws by the text
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS, free_names, in_order, skew_join, text_of, written
@@ -25,11 +25,20 @@ MOST = 3.0
 SEED = "mix-1"
 
 
+def _key(source: str = "source") -> Column:
+    """Sources in code-point order with null last: a mark before each."""
+    return F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
+
+
+def _draw_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(text_of().cast("binary")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, draw_key, size)`` of every row."""
     return docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.col("doc_id").cast("string"), F.md5(text_of().cast("binary"))).alias("draw_key"),
+        _draw_key().alias("draw_key"),
         F.regexp_count(text_of(), F.lit(WORDS)).cast("long").alias("size"))
 
 
@@ -51,38 +60,35 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return table.withColumn("target", F.least(F.col("weight") * level, F.col("top"))).drop("weight", "top")
 
 
-def _key(source: str = "source"):
-    """Sources in code-point order with null last: a mark before each."""
-    return F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
+def _rates(docs: DataFrame, weights: tuple[float, ...], most: float) -> tuple[DataFrame, DataFrame]:
+    """The sized rows, and per source its size, number of rows, target and repetition rate."""
+    sizes = written(sized(docs).withColumn("key", _key()), "sizes")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return sizes, source_targets(sizes, weights, most).withColumn("rate", rate)
+
+
+def _times(rate: Column, draw_key: Column, seed: str) -> Column:
+    """floor(rate), plus one if the draw of the key is below the fraction."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), draw_key).cast("binary")), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    return F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """``(doc_id, draw_key, size, source_size, target, copies)`` for every row of ``docs``."""
-    sizes = written(sized(docs).withColumn("key", _key()), "sizes")
-    targets = source_targets(sizes, weights, most)
-    rows = skew_join(sizes, targets, "key", "n", sizes.count())
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw_key")).cast("binary")), 1, 13), 16, 10) \
-        .cast("long") / float(1 << 52)
-    rows = rows.withColumn("_rate", rate)
+    sizes, rates = _rates(docs, weights, most)
+    rows = skew_join(sizes, rates, "key", "n", sizes.count())
     return rows.select("doc_id", "draw_key", "size", "source_size", "target",
-                       (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")).alias("copies"))
+                       _times(F.col("rate"), F.col("draw_key"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with all columns as they were.
 
     The rate depends on the source alone, so the rates (not the copies) are joined to the
-    documents, and no text is shuffled unless the sources are too many to broadcast.
+    documents, and only texts of sources with under 1/HOT_SHARE of all rows are shuffled.
     """
-    sizes = written(sized(docs).withColumn("key", _key()), "sizes")
-    targets = source_targets(sizes, weights, most).select(
-        "key", "n", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    key, rate, n, copy = free_names(docs, "mix_key", "mix_rate", "mix_n", "mix_copy")
-    targets = targets.toDF(key, n, rate)
-    rows = skew_join(docs.withColumn(key, _key()), targets, key, n, sizes.count())
-    draw_key = F.coalesce(F.col("doc_id").cast("string"), F.md5(text_of().cast("binary")))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), draw_key).cast("binary")), 1, 13), 16, 10) \
-        .cast("long") / float(1 << 52)
-    times = (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    sizes, rates = _rates(docs, weights, most)
+    key, n, rate, copy = free_names(docs, "mix_key", "mix_n", "mix_rate", "mix_copy")
+    rows = skew_join(docs.withColumn(key, _key()), rates.select("key", "n", "rate").toDF(key, n, rate), key, n, sizes.count())
+    times = _times(F.col(rate), _draw_key(), seed).cast("int")
     return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

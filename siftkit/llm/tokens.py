@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 
-MAX_CHUNKS, MAX_WORDS = 250_000, 600_000
+MAX_CHUNKS, MAX_WORDS = 400_000, 1_200_000
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 WORD_PARTS = {
     # pre-tokens take one leading space along
@@ -101,15 +101,13 @@ class WordCache:
         chunks, lead = self.chunks, " " if self.spaced else ""
         new = set(rest).difference(chunks)
         if new:
-            unseen = set()
-            for c in new:
-                unseen.update(self.parts(lead + c))
-            unseen = unseen.difference(self.words)
-            got = self._learn(unseen) if unseen else {}
-            if len(self.words) < MAX_WORDS:
-                self.words.update(got)
+            cut = {c: self.parts(lead + c) for c in new}
             words = self.words
-            made = {c: b"".join([words[p] if p in words else got[p] for p in self.parts(lead + c)]) for c in new}
+            unseen = {p for parts in cut.values() for p in parts if p not in words}
+            got = self._learn(unseen) if unseen else {}
+            if len(words) < MAX_WORDS:
+                words.update(got)
+            made = {c: b"".join([words[p] if p in words else got[p] for p in parts]) for c, parts in cut.items()}
             if len(chunks) < MAX_CHUNKS:
                 chunks.update(made)
             else:
