@@ -111,12 +111,16 @@ ORACLE: dict[str, str] = {
                       / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, top, weight, k FROM r),
         f AS (SELECT level FROM lv WHERE weight * level <= top ORDER BY k LIMIT 1),
         g AS (SELECT source, size AS source_size, least(weight * level, top) AS target FROM r, f),
-        d AS (SELECT doc_id, t.size, g.source_size, g.target,
+        d AS (SELECT doc_id, t.source, t.size, g.source_size, g.target,
                      CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-                     ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-              FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
-        SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-               (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM d""",
+                     sha256('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h
+              FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+        e AS (SELECT d.*, k, floor(rate) + CASE WHEN ('0x' || substr(h, 8 * k + 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate)
+                     THEN 1 ELSE 0 END AS copies FROM d, range(8) r(k)),
+        p AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies) - max(target)), k) AS rn
+                                     FROM e GROUP BY source, k) WHERE rn = 1)
+        SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (size * copies)::BIGINT AS taken
+        FROM e JOIN p ON e.k = p.k AND e.source IS NOT DISTINCT FROM p.source""",
     "op8_multiset_hash": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         nx AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt FROM t WINDOW w AS (ORDER BY doc_id)),

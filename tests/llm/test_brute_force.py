@@ -183,11 +183,17 @@ def test_pipeline(spark, rows):
         if not over:
             break
         capped |= over
-    mixed = []
-    for k in kept:
+    def copies(k, draw):
         s = rows[k].source
         rate = (3 * total[s] if s in capped else weight[s] * level) / total[s] if total[s] else 0
-        draw = int(hashlib.md5(f"{mixing.SEED}:{k}".encode()).hexdigest()[:13], 16) / 2 ** 52
-        mixed += [(k, rows[k].text)] * (int(rate) + (draw < rate - int(rate)))
+        number = int(hashlib.sha256(f"{mixing.SEED}:{k}".encode()).hexdigest()[8 * draw:8 * draw + 8], 16) / 2 ** 32
+        return int(rate) + (number < rate - int(rate))
+
+    mixed = []
+    for s in total:
+        own = [k for k in kept if rows[k].source == s]
+        aim = min(weight[s] * level, 3 * total[s])
+        draw = min(range(mixing.DRAWS), key=lambda d: abs(sum(size[k] * copies(k, d) for k in own) - aim))
+        mixed += [(k, rows[k].text) for k in own for _ in range(copies(k, draw))]
     used, least = check_packing(corpus_pipeline.run(spark, SF_SMALL).collect(), mixed)
     assert used <= least * 1.01 + 1
