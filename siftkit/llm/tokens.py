@@ -15,11 +15,23 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 MAX_CHUNKS, MAX_WORDS = 400_000, 1_200_000
-LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+
+
+def _plain_letters(last: int = 0x24F) -> str:
+    """Character class of the Latin letters up to ``last`` that stay one character when a tokenizer
+    lower-cases or normalises them; one that expands (U+0130 gives a letter and a mark) may join its neighbours."""
+    def one(c: str) -> bool:
+        return len(c.lower()) == 1 and all(len(unicodedata.normalize(form, x)) == 1 for form in ("NFC", "NFKC") for x in (c, c.lower()))
+
+    return "".join(c for c in map(chr, range(ord("A"), last + 1)) if unicodedata.category(c)[0] == "L" and c not in "ªº" and one(c))
+
+
+LATIN = _plain_letters()
 WORD_PARTS = {
     # pre-tokens take one leading space along
     True: re.compile(rf" ?[{LATIN}]+(?=[\s.,]|$)|[.,](?=\s|$)|\n(?=[{LATIN}])|\s*\S+|\s+$").findall,
