@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, sharding, token_files, toxicity, warc
+from . import (exact_dedup, ffd_packing, fingerprints, jaccard_join, language_id, mixing, packing, periodic_runs, sharding,
+               threshold_kmeans, token_files, toxicity, warc)
 from .common import documents, scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,7 +94,47 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.repeat_tail(documents(spark, sf_dir))))
+
+
+@query
+def op12_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ffd_packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op13_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_kmeans.report(*threshold_kmeans.cluster(documents(spark, sf_dir, "embeddings")))
+
+
+def _clusters_sql(rounds: int = threshold_kmeans.ROUNDS, k: int = threshold_kmeans.CLUSTERS) -> str:
+    """The rounds of operator 13, one after the other, all distances measured."""
+    steps = [f"""
+        v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({threshold_kmeans.SCALE} * x::DOUBLE)::BIGINT) AS x
+              FROM (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {threshold_kmeans.DIMENSIONS}
+                    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {threshold_kmeans.DIMENSIONS})),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM v ORDER BY c LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS (SELECT r, vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+                 SELECT r, vec_id, c, list_sum(list_transform(list_zip(v.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+                 FROM v, c{i}) GROUP BY r, vec_id)""")
+        if i < rounds:
+            steps.append(f"""
+        m{i} AS (SELECT c, list(floor_div ORDER BY j) AS x FROM (
+                 SELECT c, j, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div FROM (
+                 SELECT a{i}.c, unnest(v.x) AS e, unnest(range(len(v.x))) AS j FROM a{i} JOIN v USING (r)) GROUP BY c, j) GROUP BY c),
+        c{i + 1} AS (SELECT c, coalesce(m{i}.x::BIGINT[], c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return "WITH " + ",".join(steps) + f"""
+        SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(x, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_threshold_clusters": _clusters_sql(),
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
