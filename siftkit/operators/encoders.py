@@ -1,4 +1,4 @@
-"""Label lookups (C3), pair encoding (J2), tag alignment (J5), joint loss (I9), metric rows."""
+"""Label lookups (C3), pair encoding (J2), tag alignment on pieces (J5), joint loss (I9), metric rows."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import col
 from .tokens import truncate_pair
-
-ALIGNED_TYPE = "array<struct<piece:string,tag:string>>"
+from .wordpiece import with_piece_ids
 
 
 def map_labels(df: DataFrame, label_map: DataFrame, values: str, source: str, target: str, key: str) -> DataFrame:
@@ -37,20 +36,38 @@ def encode_pair(a, b, cls_id: int, sep_id: int, max_len: int) -> Column:
                     F.concat(F.array_repeat(F.lit(0), F.size(ids) - ones), F.array_repeat(F.lit(1), ones), pad).alias("segment_ids"))
 
 
-def align_tags(tokens, tags, tokenizer: Callable[[Column], Column], outside: str = "O", lead: str = "[CLS]") -> Column:
-    """``array<struct<piece, tag>>``; a token's first piece keeps its tag, later ones get ``outside``.
+def align_tags(seqs: DataFrame, shared, tag_ids: DataFrame, tokenizer: Callable[[Column], Column], max_len: int, cls_id: int,
+               tokens: str = "tokens", tags: str = "tags", outside: str = "O", lead: str | None = "[CLS]",
+               keys: Sequence[str] = ("doc_id", "chunk_idx")) -> DataFrame:
+    """``(*keys, n_real, input_ids, input_mask, segment_ids, tag_ids)`` of tagged tokens.
 
-    The ``lead`` token stays whole.
+    Each token is cut into words by ``tokenizer`` and these into the vocabulary's pieces
+    (``shared``, from ``share_vocab``).  A token's first piece keeps its tag, all later ones get
+    ``outside``.  ``lead``, if given, comes first with a tag of its own name.  What is over
+    ``max_len`` is cut; padding has id 0 and the tag ``outside``.  Surplus tokens or tags are left
+    out.  ``tag_ids`` is ``(tag, id)``, a row a tag; a tag that it lacks raises.
     """
-    def pieces(x):
-        return F.transform(tokenizer(x["token"]), lambda p, i: F.struct(
-            p.alias("piece"), F.when(i == 0, x["tag"]).otherwise(F.lit(outside)).alias("tag")))
-
-    both = F.zip_with(col(tokens), col(tags), lambda w, t: F.struct(w.alias("token"), t.alias("tag")))
-    whole = F.filter(both, lambda x: x["tag"] == lead)
-    rest = F.filter(both, lambda x: x["tag"] != lead)
-    return F.concat(F.transform(whole, lambda x: F.struct(x["token"].alias("piece"), x["tag"].alias("tag"))),
-                    F.flatten(F.transform(rest, pieces)).cast(ALIGNED_TYPE))
+    n = F.least(F.size(tokens), F.size(tags))
+    both = F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tags, F.lit(1), n), lambda w, t: F.transform(
+        tokenizer(w), lambda p, i: F.struct(p.alias("word"), F.when(i == 0, t).otherwise(F.lit(outside)).alias("tag"))))
+    words = seqs.select(*keys, F.flatten(both).alias("_m")).select(*keys, F.col("_m.word").alias("_words"), F.col("_m.tag").alias("_tags"))
+    ided = with_piece_ids(words, "_words", shared).withColumn(
+        "_map", tag_ids.select(F.map_from_entries(F.collect_list(F.struct("tag", F.col("id").cast("int"))))).scalar())
+    pieces = F.flatten(F.zip_with("word_ids", "_tags", lambda ids, t: F.transform(
+        ids, lambda x, i: F.struct(x.alias("id"), F.when(i == 0, t).otherwise(F.lit(outside)).alias("tag")))))
+    if lead is not None:
+        pieces = F.concat(F.array(F.struct(F.lit(cls_id).alias("id"), F.lit(lead).alias("tag"))), pieces)
+    cut = ided.select(*keys, "_map", F.slice(pieces, 1, max_len).alias("_p"))
+
+    def tag_id(tag: Column) -> Column:
+        return F.coalesce(F.try_element_at("_map", tag), F.raise_error(F.concat(F.lit("not a known tag: "), tag)).cast("int"))
+
+    pad = F.lit(max_len) - F.size("_p")
+    zeros = F.array_repeat(F.lit(0), pad)
+    return cut.select(*keys, F.size("_p").alias("n_real"), F.concat("_p.id", zeros).alias("input_ids"),
+                      F.concat(F.array_repeat(F.lit(1), F.size("_p")), zeros).alias("input_mask"),
+                      F.array_repeat(F.lit(0), max_len).alias("segment_ids"),
+                      F.concat(F.transform("_p.tag", tag_id), F.array_repeat(tag_id(F.lit(outside)), pad)).alias("tag_ids"))
 
 
 def line_tagger(field_tags: Sequence[tuple[str, str]], outside: str = "O") -> Callable[[Column], Column]:

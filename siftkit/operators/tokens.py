@@ -1,10 +1,6 @@
-"""Vocabulary, WordPiece and encoders.
+"""Vocabulary and encoders (A7, H7, C1, C2, J1-J4, J9, F3); WordPiece itself (H6) is in ``wordpiece``.
 
-WordPiece runs over *distinct* tokens, so the per-token work is
-O(vocabulary of the corpus), not O(corpus): every substring of a token is
-looked up in the vocabulary by a broadcast join (the vocabulary is a bounded
-table), the longest match per start position is kept, and a greedy walk over
-those matches inside the token row yields the pieces.
+Pieces are looked up where the documents lie, so encoding moves no row.
 """
 from __future__ import annotations
 
@@ -12,18 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import col
+from .order import line_numbers
+from .wordpiece import PIECE_PREFIX, with_piece_ids
 
-# Special tokens of the vocabulary and the piece prefix.
+# Special tokens of the vocabulary.
 SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
-PIECE_PREFIX = "##"
-MAX_WORD_CHARS = 200
+
+
+def parse_vocab(lines: DataFrame) -> DataFrame:
+    """``(line_no, value)`` -> ``(token, id)``; id = line number, tokens trimmed, a repeated token keeps its last id."""
+    return lines.groupBy(F.regexp_replace("value", r"^\s+|\s+$", "").alias("token")).agg(F.max("line_no").alias("id"))
 
 
 def read_vocab(spark, path: str) -> DataFrame:
-    """One token per line; id = line number; tokens trimmed; a repeated token keeps its last id."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("id", "token"))
-    return lines.select(F.trim("token").alias("token"), "id").groupBy("token").agg(F.max("id").alias("id"))
+    """A7 over files, in file order; a file is read by as many tasks as it has splits."""
+    return parse_vocab(line_numbers(spark.read.text(path)))
 
 
 def build_vocab(docs: DataFrame, tokens: Column, n_words: int, text: str = "text") -> DataFrame:
@@ -50,62 +49,25 @@ def build_vocab(docs: DataFrame, tokens: Column, n_words: int, text: str = "text
     return rows.groupBy("token").agg(F.max("id").alias("id"))
 
 
-def wordpiece(distinct_tokens: DataFrame, vocab: DataFrame, token: str = "token",
-              unk: str = "[UNK]", max_chars: int = MAX_WORD_CHARS) -> DataFrame:
-    """H6: greedy longest-match-first pieces of each distinct token -> ``(token, pieces, ids)``.
+def doc_piece_ids(docs: DataFrame, tokens: Column, shared, max_tokens: int | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The tokens of each row (a model's first ``max_tokens``, if given) -> ordered piece ids ``(*keys, ids)``.
 
-    Non-initial pieces carry ``##``; a token with a position no piece
-    matches, or longer than ``max_chars``, becomes ``[unk]``.
+    ``shared`` is the vocabulary from ``share_vocab``.  Rows without tokens give an empty array.
     """
-    t = distinct_tokens.select(F.col(token).alias("token")).distinct()
-    n = F.length("token")
-    subs = t.filter(n <= max_chars).select(
-        "token", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select(
-        "token", "s", F.explode(F.sequence(F.col("s") + 1, F.length("token"))).alias("e"))
-    piece = F.concat(F.when(F.col("s") > 0, F.lit(PIECE_PREFIX)).otherwise(F.lit("")),
-                     F.expr("substring(token, s + 1, e - s)"))
-    subs = subs.select("token", "s", "e", piece.alias("piece"))
-    v = F.broadcast(vocab.select(F.col("token").alias("piece"), F.col("id").cast("int").alias("id")))
-    best = subs.join(v, "piece").groupBy("token", "s").agg(F.max(F.struct("e", "id")).alias("m"))
-    per = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("s", "m"))).alias("ends"))
-    per = t.join(per, "token", "left")
-    unk_id = vocab.filter(F.col("token") == unk).select(F.max(F.col("id").cast("int"))).scalar()
-
-    def walk(acc, _i):
-        nxt = F.try_element_at(F.col("ends"), acc["pos"])
-        piece_txt = F.concat(F.when(acc["pos"] > 0, F.lit(PIECE_PREFIX)).otherwise(F.lit("")),
-                             F.col("token").substr(acc["pos"] + 1, nxt["e"] - acc["pos"]))
-        step = F.when(nxt.isNull(), F.struct(acc["pos"].alias("pos"), F.lit(True).alias("bad"),
-                                             acc["pieces"].alias("pieces"), acc["ids"].alias("ids")))\
-            .otherwise(F.struct(nxt["e"].alias("pos"), acc["bad"].alias("bad"),
-                                F.concat(acc["pieces"], F.array(piece_txt)).alias("pieces"),
-                                F.concat(acc["ids"], F.array(nxt["id"])).alias("ids")))
-        return F.when(acc["bad"] | (acc["pos"] >= F.length("token")), acc).otherwise(step)
-
-    init = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("bad"),
-                    F.array().cast("array<string>").alias("pieces"), F.array().cast("array<int>").alias("ids"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("token"), F.lit(1))), init, walk)
-    is_unk = (F.length("token") > max_chars) | walked["bad"] | F.col("ends").isNull()
-    return per.select("token", F.when(is_unk, F.array(F.lit(unk))).otherwise(walked["pieces"]).alias("pieces"),
-                      F.when(is_unk, F.array(unk_id)).otherwise(walked["ids"]).alias("ids"))
-
-
-def doc_piece_ids(docs: DataFrame, tokens: Column, wp: DataFrame, max_tokens: int | None = None,
-                  key: str = "doc_id") -> DataFrame:
-    """The tokens of each document (a model's first ``max_tokens``, if given) -> ordered piece ids ``(key, ids)``.
-
-    Each document sends a distinct token once, with its places, so a common token is one row
-    a document; AQE splits what remains of a hot token's partition.  Documents without
-    tokens give an empty array.
-    """
-    t = docs.select(key, (tokens if max_tokens is None else F.slice(tokens, 1, max_tokens)).alias("tokens"))
-    places = F.transform("tokens", lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
-    t = t.select(key, F.explode_outer(places).alias("x")).groupBy(key, F.col("x.token").alias("token")).agg(
-        F.collect_list("x.pos").alias("at"))
-    j = t.join(wp.select("token", "ids"), "token", "left")
-    g = j.groupBy(key).agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("at", "ids"))).alias("l"))
-    each = F.flatten(F.transform("l", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["ids"].alias("ids")))))
-    return g.select(key, F.flatten(F.transform(F.sort_array(each), lambda x: x["ids"])).alias("ids"))
+    t = docs.select(*keys, (tokens if max_tokens is None else F.slice(tokens, 1, max_tokens)).alias("_words"))
+    return with_piece_ids(t, "_words", shared).select(*keys, F.flatten("word_ids").alias("ids"))
+
+
+def tokenize_corpus(docs: DataFrame, tokens: Column, shared, vocab: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """H7: ``(*keys, pos, piece, id)``, a row for every piece of every document, in order."""
+    rows = doc_piece_ids(docs, tokens, shared, keys=keys).select(*keys, F.posexplode("ids").alias("pos", "id"))
+    return rows.join(vocab.select(F.col("token").alias("piece"), F.col("id").cast("int").alias("id")), "id").select(*keys, "pos", "piece", "id")
+
+
+def piece_counts(docs: DataFrame, tokens: Column, shared, vocab: DataFrame) -> DataFrame:
+    """H7: ``(piece, id, n)``, how often the corpus has each piece; ids are counted before they are named."""
+    ids = doc_piece_ids(docs, tokens, shared, keys=()).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return ids.join(vocab.select(F.col("token").alias("piece"), F.col("id").cast("int").alias("id")), "id").select("piece", "id", "n")
 
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, unk_id: int | None = None, key: str = "doc_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries and SQL of the encoders, label maps, losses and evaluation compositions."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import requests as RQ
@@ -10,11 +10,14 @@ from ..functions import text as T
 from ..operators import encoders as E
 from ..operators import metrics as M
 from ..operators import tokens as TK
+from ..operators import wordpiece as WP
+from ..session import shared_table
 from ..sources import fixtures
 from ..sources.tables import table
 from . import queries as Q
 from . import screening
-from .oracle import (CHUNKS_CTE, ALL_SPANS_CTE, H5_EXPR, LABELS_CTE, ML_CTE, ORACLE, POSTS_CTE, PAIRS_TURN_CTE, VOCAB_CTE, _with)
+from .oracle import (ALL_SPANS_CTE, CHUNKS_CTE, H5_EXPR, LABELS_CTE, ML_CTE, ORACLE, PAIRS_TURN_CTE, POSTS_CTE, VOCAB_CTE, VOCAB_ONLY_CTE,
+                     WORDPIECE_CTE, _with)
 from .queries import register
 
 TAGGER_LEN = 512
@@ -59,27 +62,33 @@ GROUP BY doc_id"""
 @register("j2_encode_pair")
 def q_encode_pair(spark, sf_dir):
     p = Q.turn_pairs(spark, sf_dir).select("conv_id", "turn", T.basic_tokens("a").alias("ta"), T.basic_tokens("b").alias("tb"))
-    v = Q.shared_vocab(spark, sf_dir)
-    unk, cls, sep = (TK.SPECIAL_TOKENS.index(x) for x in ("[UNK]", "[CLS]", "[SEP]"))
-    key = p.select(F.struct("conv_id", "turn").alias("doc_id"), "ta", "tb")
-    a = TK.tokens_to_ids(key.select("doc_id", F.col("ta").alias("tokens")), v, unk)
-    b = TK.tokens_to_ids(key.select("doc_id", F.col("tb").alias("tokens")), v, unk)
-    both = a.select("doc_id", F.col("ids").alias("a")).join(b.select("doc_id", F.col("ids").alias("b")), "doc_id")
-    e = both.select("doc_id", E.encode_pair("a", "b", cls, sep, Q.NAME_PAIR_LEN).alias("e"))
-    return e.select("doc_id.conv_id", "doc_id.turn", as_text(F.col("e.input_ids")).alias("input_ids"),
+    cls, sep = (TK.SPECIAL_TOKENS.index(x) for x in ("[CLS]", "[SEP]"))
+    shared = Q.corpus_vocab(spark, sf_dir)[1]
+    both = WP.with_piece_ids(WP.with_piece_ids(p, "ta", shared, "ia"), "tb", shared, "ib")
+    e = both.select("conv_id", "turn", F.flatten("ia").alias("a"), F.flatten("ib").alias("b")).select(
+        "conv_id", "turn", E.encode_pair("a", "b", cls, sep, Q.NAME_PAIR_LEN).alias("e"))
+    return e.select("conv_id", "turn", as_text(F.col("e.input_ids")).alias("input_ids"),
                     as_text(F.col("e.input_mask")).alias("input_mask"), as_text(F.col("e.segment_ids")).alias("segment_ids"))
 
 
+def pieces_sql(name: str, rows: str) -> str:
+    """CTEs ``{name}(k, ids)``: the piece ids of the token lists in ``rows`` (columns k, toks), empty where there are none."""
+    return f"""{VOCAB_ONLY_CTE},
+t_rows AS ({rows}),
+t_each AS (SELECT k, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM t_rows),
+utoks AS (SELECT DISTINCT token FROM t_each), {WORDPIECE_CTE},
+{name} AS (SELECT t_rows.k, coalesce(any_value(g.ids), []) AS ids FROM t_rows
+           LEFT JOIN (SELECT k, flatten(list(w.ids ORDER BY pos)) AS ids FROM t_each JOIN wp_ids w USING (token) GROUP BY k) g ON g.k = t_rows.k
+           GROUP BY t_rows.k)"""
+
+
 ORACLE["j2_encode_pair"] = f"""
-WITH vv AS ({_with(VOCAB_CTE)} SELECT token, id FROM vocab),
-p AS ({_with(PAIRS_TURN_CTE)} SELECT conv_id, turn, ta, tb, len(ta) AS la, len(tb) AS lb FROM tt),
-c AS (SELECT conv_id, turn, ta, tb,
-             CASE WHEN la + lb > 47 THEN least(la, greatest(24, 47 - lb)) ELSE la END AS na,
+{_with(PAIRS_TURN_CTE, pieces_sql("pc", "SELECT (conv_id, turn, 'a') AS k, ta AS toks FROM tt UNION ALL SELECT (conv_id, turn, 'b'), tb FROM tt"))},
+p AS (SELECT tt.conv_id, tt.turn, a.ids AS ia, b.ids AS ib, len(a.ids) AS la, len(b.ids) AS lb
+      FROM tt JOIN pc a ON a.k = (conv_id, turn, 'a') JOIN pc b ON b.k = (conv_id, turn, 'b')),
+c AS (SELECT *, CASE WHEN la + lb > 47 THEN least(la, greatest(24, 47 - lb)) ELSE la END AS na,
              CASE WHEN la + lb > 47 THEN least(lb, greatest(23, 47 - la)) ELSE lb END AS nb FROM p),
-x AS (SELECT conv_id, turn, na, nb, ['[CLS]'] || list_slice(ta, 1, na) || ['[SEP]'] || list_slice(tb, 1, nb) || ['[SEP]'] AS toks FROM c),
-y AS (SELECT conv_id, turn, na, nb, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM x),
-z AS (SELECT conv_id, turn, any_value(na) AS na, any_value(nb) AS nb, list(coalesce(v.id, 1) ORDER BY pos) AS ids
-      FROM y LEFT JOIN vv v USING (token) GROUP BY conv_id, turn)
+z AS (SELECT conv_id, turn, na, nb, [2] || list_slice(ia, 1, na) || [3] || list_slice(ib, 1, nb) || [3] AS ids FROM c)
 SELECT conv_id, turn, array_to_string(ids || list_transform(range(50 - len(ids)), lambda i: 0), ',') AS input_ids,
        array_to_string(list_transform(range(50), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ',') AS input_mask,
        array_to_string(list_transform(range(50), lambda i: CASE WHEN i >= na + 2 AND i < na + nb + 3 THEN 1 ELSE 0 END), ',') AS segment_ids
@@ -88,40 +97,44 @@ FROM z"""
 
 @register("j4_encode_tagger")
 def q_encode_tagger(spark, sf_dir):
-    c = Q.chunks(spark, sf_dir).select(F.struct("doc_id", "chunk_idx").alias("doc_id"), T.basic_tokens("chunk").alias("tokens"))
-    ids = TK.tokens_to_ids(c, Q.shared_vocab(spark, sf_dir), TK.SPECIAL_TOKENS.index("[UNK]"))
+    ids = TK.doc_piece_ids(Q.chunks(spark, sf_dir), T.basic_tokens("chunk"), Q.corpus_vocab(spark, sf_dir)[1], keys=("doc_id", "chunk_idx"))
     cls = F.lit(TK.SPECIAL_TOKENS.index("[CLS]"))
-    e = ids.select("doc_id", TK.encode_ids("ids", cls, cls, TAGGER_LEN, with_sep=False).alias("e"))
-    return e.select("doc_id.doc_id", "doc_id.chunk_idx", F.md5(as_text(F.col("e.input_ids"))).alias("h"),
+    e = ids.select("doc_id", "chunk_idx", TK.encode_ids("ids", cls, cls, TAGGER_LEN, with_sep=False).alias("e"))
+    return e.select("doc_id", "chunk_idx", F.md5(as_text(F.col("e.input_ids"))).alias("h"),
                     F.aggregate("e.input_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                     F.size("e.segment_ids").alias("n_segments"))
 
 
 ORACLE["j4_encode_tagger"] = f"""
-WITH vv AS ({_with(VOCAB_CTE)} SELECT token, id FROM vocab),
-c AS ({_with(CHUNKS_CTE)} SELECT doc_id, chunk_idx, {H5_EXPR.replace('text', 'chunk')} AS toks FROM chunks),
-y AS (SELECT doc_id, chunk_idx, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM c),
-z AS (SELECT doc_id, chunk_idx, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM y LEFT JOIN vv v USING (token) GROUP BY doc_id, chunk_idx),
-e AS (SELECT c.doc_id, c.chunk_idx, [2] || list_slice(coalesce(z.ids, []), 1, 511) AS body FROM c LEFT JOIN z USING (doc_id, chunk_idx))
+{_with(CHUNKS_CTE, pieces_sql("pc", f"SELECT (doc_id, chunk_idx) AS k, {H5_EXPR.replace('text', 'chunk')} AS toks FROM chunks"))},
+e AS (SELECT doc_id, chunk_idx, [2] || list_slice(ids, 1, 511) AS body FROM chunks JOIN pc ON pc.k = (doc_id, chunk_idx))
 SELECT doc_id, chunk_idx, md5(array_to_string(body || list_transform(range(512 - len(body)), lambda i: 0), ',')) AS h,
        CAST(len(body) AS INT) AS n_real, CAST(512 AS INT) AS n_segments FROM e"""
 
 
 @register("j5_align_tags")
 def q_align_tags(spark, sf_dir):
+    """F4 tags on pieces; tag ids are E4 over the tags."""
     c = Q.tag_sequences(spark, sf_dir)
-    a = c.select("doc_id", "chunk_idx", E.align_tags("tokens", "tags", lambda w: T.basic_tokens(w)).alias("a"))
-    return a.select("doc_id", "chunk_idx", F.size("a").alias("n"),
-                    F.md5(F.array_join(F.transform("a", lambda x: F.concat_ws(" ", x["piece"], x["tag"])), "|")).alias("h"))
+    tag = shared_table(c.select(F.explode("tags").alias("tag")).distinct(), "tags")
+    ids = tag.select("tag", (F.row_number().over(Window.orderBy("tag")) - 1).alias("id"))  # a row a tag
+    body = c.select("doc_id", "chunk_idx", *(F.slice(x, F.lit(2), F.size(x)).alias(x) for x in ("tokens", "tags")))
+    a = E.align_tags(body, Q.corpus_vocab(spark, sf_dir)[1], ids, lambda w: T.basic_tokens(w), TAGGER_LEN, TK.SPECIAL_TOKENS.index("[CLS]"))
+    return a.select("doc_id", "chunk_idx", "n_real", F.md5(as_text(F.col("input_ids"))).alias("input_ids"),
+                    as_text(F.slice("tag_ids", F.lit(1), F.col("n_real") + 2)).alias("tag_ids"))
 
 
 ORACLE["j5_align_tags"] = f"""
-WITH t AS ({_with(CHUNKS_CTE, ALL_SPANS_CTE)} SELECT doc_id, chunk_idx, j, tag, {H5_EXPR.replace('text', 'tok')} AS ps FROM atagged),
-p AS (SELECT doc_id, chunk_idx, j, tag, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM t),
-c AS ({_with(CHUNKS_CTE)} SELECT doc_id, chunk_idx FROM chunks)
-SELECT c.doc_id, c.chunk_idx, CAST(1 + count(p.j) AS INT) AS n,
-       md5('[CLS] [CLS]' || coalesce('|' || string_agg(piece || ' ' || CASE WHEN i = 1 THEN tag ELSE 'O' END, '|' ORDER BY j, i), '')) AS h
-FROM c LEFT JOIN p USING (doc_id, chunk_idx) GROUP BY c.doc_id, c.chunk_idx"""
+{_with(CHUNKS_CTE, ALL_SPANS_CTE, pieces_sql("pc", f"SELECT (doc_id, chunk_idx, j) AS k, {H5_EXPR.replace('text', 'tok')} AS toks FROM atagged"))},
+tag_ids AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS id FROM (SELECT DISTINCT tag FROM atagged UNION SELECT '[CLS]')),
+p AS (SELECT doc_id, chunk_idx, j, tag, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM atagged JOIN pc ON pc.k = (doc_id, chunk_idx, j)),
+q AS (SELECT p.doc_id, p.chunk_idx, list(p.id ORDER BY j, i) AS ids, list(t.id ORDER BY j, i) AS tags
+      FROM p JOIN tag_ids t ON t.tag = CASE WHEN i = 1 THEN p.tag ELSE 'O' END GROUP BY p.doc_id, p.chunk_idx),
+b AS (SELECT c.doc_id, c.chunk_idx, [2] || list_slice(coalesce(ids, []), 1, 511) AS ids,
+             [(SELECT id FROM tag_ids WHERE tag = '[CLS]')] || list_slice(coalesce(tags, []), 1, 511) AS tags
+      FROM chunks c LEFT JOIN q USING (doc_id, chunk_idx))
+SELECT doc_id, chunk_idx, CAST(len(ids) AS INT) AS n_real, md5(array_to_string(ids || list_transform(range(512 - len(ids)), lambda i: 0), ',')) AS input_ids,
+       array_to_string(list_slice(tags || [(SELECT id FROM tag_ids WHERE tag = 'O'), (SELECT id FROM tag_ids WHERE tag = 'O')], 1, 512), ',') AS tag_ids FROM b"""
 
 
 # ---------------------------------------------------------------- losses and evaluation

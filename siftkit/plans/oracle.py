@@ -664,7 +664,7 @@ H5_EXPR = f"""list_filter(string_split_regex(trim(regexp_replace(regexp_replace(
         '([{CJK_RANGES}])', ' \\1 ', 'g'),
         '({PUNCT})', ' \\1 ', 'g'), '[\\s\\x{{2028}}\\x{{2029}}]', ' ', 'g'), ' '), ' +'), lambda x: x <> '')"""
 
-VOCAB_CTE = f"""
+VOCAB_ONLY_CTE = f"""
 dtoks AS (SELECT doc_id, {H5_EXPR} AS toks FROM documents),
 chars AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS r
           FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents)),
@@ -677,8 +677,10 @@ vocab AS (
     UNION ALL SELECT c, 4 + r FROM chars
     UNION ALL SELECT '##' || c, 4 + (SELECT count(*) FROM chars) + r FROM chars
     UNION ALL SELECT w, 4 + 2 * (SELECT count(*) FROM chars) + r FROM words)
-  GROUP BY token),
-utoks AS (SELECT DISTINCT unnest(toks) AS token FROM dtoks),
+  GROUP BY token)"""
+
+# Greedy pieces of the tokens in ``utoks``.
+WORDPIECE_CTE = """
 subs AS (
   SELECT token, s, e, CASE WHEN s > 0 THEN '##' ELSE '' END || substring(token, s + 1, e - s) AS piece FROM (
     SELECT token, s, unnest(range(s + 1, length(token) + 1)) AS e FROM (
@@ -701,6 +703,10 @@ wp_ids AS (
     SELECT token, pieces, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM wp) x
   JOIN vocab v ON v.token = x.piece GROUP BY x.token, x.pieces)"""
 
+VOCAB_CTE = f"{VOCAB_ONLY_CTE}, utoks AS (SELECT DISTINCT unnest(toks) AS token FROM dtoks), {WORDPIECE_CTE}"
+
+ORACLE["a7_read_vocab"] = "SELECT source || '-' || lang || '-' || (doc_id % 50) AS token, max(doc_id) AS id FROM documents GROUP BY 1"
+
 ORACLE["h6_wordpiece"] = _with(VOCAB_CTE) + """
 SELECT token, array_to_string(pieces, ' ') AS pieces, array_to_string(ids, ',') AS ids FROM wp_ids"""
 
@@ -709,6 +715,14 @@ SELECT piece, CAST(v.id AS INT) AS id, CAST(sum(cnt) AS BIGINT) AS n FROM (
   SELECT c.cnt, unnest(w.pieces) AS piece FROM (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM dtoks) GROUP BY token) c
   JOIN wp w USING (token)) y JOIN vocab v ON v.token = y.piece GROUP BY piece, v.id"""
 
+ORACLE["h7_piece_rows"] = _with(VOCAB_CTE) + """,
+pids AS (
+  SELECT doc_id, flatten(list(w.pieces ORDER BY pos)) AS pieces FROM (
+    SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM dtoks) x
+  JOIN wp_ids w USING (token) GROUP BY doc_id)
+SELECT doc_id, CAST(pos - 1 AS INT) AS pos, piece, CAST(v.id AS INT) AS id FROM (
+  SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM pids) p JOIN vocab v ON v.token = p.piece"""
+
 ORACLE["j1_encode_single"] = _with(VOCAB_CTE) + """,
 firsts AS (SELECT doc_id, list_slice(toks, 1, 509) AS t FROM dtoks),
 pids AS (

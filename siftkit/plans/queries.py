@@ -673,6 +673,7 @@ def q_one_hot(spark, sf_dir):
 
 # ---------------------------------------------------------------- tokens and encoders
 from ..operators import tokens as TK  # noqa: E402
+from ..operators import wordpiece as WP  # noqa: E402
 
 CLASSIFIER_LEN = 511   # news classifier sequence length
 NAME_PAIR_LEN = 50     # name classifier sequence length
@@ -693,26 +694,38 @@ def shared_vocab(spark, sf_dir) -> DataFrame:
     return shared_table(vocab(spark, sf_dir), "vocab")
 
 
-def corpus_wordpiece(spark, sf_dir) -> DataFrame:
-    d = docs(spark, sf_dir)
-    toks = d.select(F.explode(T.basic_tokens("text")).alias("token")).distinct()
-    return shared_table(TK.wordpiece(toks, shared_vocab(spark, sf_dir)), "wordpiece")
+@register("a7_read_vocab")
+def q_read_vocab(spark, sf_dir):
+    """A7 over lines: the words of ``documents.lang`` and ``source``, padded, some of them twice."""
+    d = table(spark, sf_dir, "documents")
+    line = F.concat(F.lit(" \t"), "source", F.lit("-"), "lang", F.lit("-"), (F.col("doc_id") % 50).cast("string"), F.lit("  "))
+    return TK.parse_vocab(d.select(F.col("doc_id").alias("line_no"), line.alias("value")))
 
 
 @register("h6_wordpiece")
 def q_wordpiece(spark, sf_dir):
-    wp = corpus_wordpiece(spark, sf_dir)
+    toks = docs(spark, sf_dir).select(F.explode(T.basic_tokens("text")).alias("token"))
+    wp = WP.wordpiece(toks, shared_vocab(spark, sf_dir))
     return wp.select("token", F.array_join("pieces", " ").alias("pieces"),
                      F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
+def corpus_vocab(spark, sf_dir):
+    """The vocabulary as a table and as the trie's tasks read it."""
+    v = shared_vocab(spark, sf_dir)
+    return v, WP.share_vocab(v)
+
+
 @register("h7_tokenize_corpus")
 def q_tokenize_corpus(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    counts = d.select(F.explode(T.basic_tokens("text")).alias("token")).groupBy("token").count()
-    wp = corpus_wordpiece(spark, sf_dir)
-    p = counts.join(wp, "token").select("count", F.explode(F.arrays_zip("pieces", "ids")).alias("p"))
-    return p.groupBy(F.col("p.pieces").alias("piece"), F.col("p.ids").alias("id")).agg(F.sum("count").alias("n"))
+    v, shared = corpus_vocab(spark, sf_dir)
+    return TK.piece_counts(docs(spark, sf_dir), T.basic_tokens("text"), shared, v)
+
+
+@register("h7_piece_rows")
+def q_piece_rows(spark, sf_dir):
+    v, shared = corpus_vocab(spark, sf_dir)
+    return TK.tokenize_corpus(docs(spark, sf_dir), T.basic_tokens("text"), shared, v)
 
 
 @register("j1_encode_single")
@@ -721,7 +734,7 @@ def q_encode_single(spark, sf_dir):
     # F10 puts the special tokens first, so their ids are their positions
     cls_id = F.lit(TK.SPECIAL_TOKENS.index("[CLS]"))
     sep_id = F.lit(TK.SPECIAL_TOKENS.index("[SEP]"))
-    ids = TK.doc_piece_ids(d, T.basic_tokens("text"), corpus_wordpiece(spark, sf_dir), CLASSIFIER_LEN - 2)
+    ids = TK.doc_piece_ids(d, T.basic_tokens("text"), corpus_vocab(spark, sf_dir)[1], CLASSIFIER_LEN - 2)
     enc = TK.encode_ids(F.col("ids"), cls_id, sep_id, CLASSIFIER_LEN)
     as_text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
     return ids.select("doc_id", as_text(enc["input_ids"]).alias("input_ids"),
@@ -731,9 +744,9 @@ def q_encode_single(spark, sf_dir):
 
 @register("c2_ids_to_tokens")
 def q_ids_to_tokens(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    ids = TK.doc_piece_ids(d, T.basic_tokens("text"), corpus_wordpiece(spark, sf_dir))
-    got = TK.ids_to_tokens(ids, vocab(spark, sf_dir))
+    v, shared = corpus_vocab(spark, sf_dir)
+    ids = TK.doc_piece_ids(docs(spark, sf_dir), T.basic_tokens("text"), shared)
+    got = TK.ids_to_tokens(ids, v)
     return got.select("doc_id", F.size("tokens").alias("n_pieces"), F.md5(F.array_join("tokens", " ")).alias("h"))
 
 
