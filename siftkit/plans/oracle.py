@@ -828,8 +828,8 @@ SELECT page_id, url, NULL::VARCHAR AS published_time, {_unescaped("regexp_extrac
        CAST(len(texts) AS INT) AS n_texts, md5(array_to_string(texts, '|')) AS content_md5, NULL::VARCHAR AS category,
        array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: {_unescaped('x')}), '|') AS keywords,
        'news' AS item_type
-FROM (SELECT *, list_filter(list_transform(regexp_extract_all('>' || coalesce(regexp_extract_all(html, '(?s)<article>(.*)</article>', 1)[1], '') || '<',
-                '>([^<>]+)<', 1), lambda x: {_unescaped('x')}), lambda x: trim(x, ' ') <> '') AS texts FROM pages)"""
+FROM (SELECT *, list_transform(regexp_extract_all('>' || regexp_replace(coalesce(regexp_extract_all(html, '(?s)<article>(.*)</article>', 1)[1], ''), '<h1>.*?</h1>', '') || '<',
+                '>([^<>]+)<', 1), lambda x: {_unescaped('x')}) AS texts FROM pages)"""
 
 
 # ---------------------------------------------------------------- tagger

@@ -1,57 +1,56 @@
-"""Web page extraction (A11, A12) as a job over the ``pages`` table.
+"""Web page extraction (A11, A12) as a job over a table of pages, by selectors.
 
-Spark's ``xpath`` functions need well-formed XML and fail on real HTML, so
-selectors are regexes over the raw markup (parameters, defaults for the test
-pages: ``nav li > a`` links, ``<title>``, ``article p``).
+The defaults fit the test pages; ``NEWS_LINKS`` and ``NEWS_ARTICLE`` are those of the news site.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LINK_RE = '<li><a href="([^"]*)"'
-TITLE_RE = "<title>(.*?)</title>"
-PUBLISHED_RE = '<meta property="article:published_time" content="([^"]*)"'
-CATEGORY_RE = '<meta property="section" content="([^"]*)"'
-BODY_RE = "(?s)<article>(.*)</article>"
-TEXT_RE = ">([^<>]+)<"
-KEYWORD_RE = '<li><a href="[^"]*">([^<]*)</a>'
-
-
-def unescape(text: Column) -> Column:
-    t = text
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
-
-
-def extract_links(pages: DataFrame, html: str = "html", url: str = "url", link_re: str = LINK_RE,
+from .markup import Selector, Step, with_selected
+
+# The selectors of the news site's listing and detail pages.
+NEWS_LINKS = Selector((Step("ul", deep=True, holds=(("class", "list-style-none"),)), Step("li", without=("id",)),
+                       Step("h3", deep=True), Step("a")), "href")
+NEWS_ARTICLE = {
+    "published_time": Selector((Step("meta", deep=True, equal=(("property", "article:published_time"),)),), "content"),
+    "title": Selector((Step("meta", deep=True, equal=(("property", "og:title"),)),), "content"),
+    "content": Selector((Step("div", deep=True, equal=(("class", "article-body"),)), Step("p")), text="all"),
+    "category": Selector((Step("meta", deep=True, equal=(("name", "section"),)),), "content"),
+    "keywords": Selector((Step("div", deep=True, equal=(("class", "article-hash-tag"),)),
+                          Step("span", equal=(("class", "hash-tag"),)), Step("a"))),
+}
+NEWS_TEMPLATE = "https://www.chinatimes.com%s?chdtv"
+
+PAGE_LINKS = Selector((Step("nav", deep=True), Step("li", deep=True, without=("id",)), Step("a")), "href")
+PAGE_ARTICLE = NEWS_ARTICLE | {
+    "title": Selector((Step("title", deep=True),)),
+    "content": Selector((Step("article", deep=True), Step("p")), text="all"),
+    "keywords": Selector((Step("nav", deep=True), Step("ul"), Step("li"), Step("a"))),
+}
+
+
+def extract_links(pages: DataFrame, html: str = "html", url: str = "url", links: Selector = PAGE_LINKS,
                   template: str = "%s%s") -> DataFrame:
-    """Listing page -> one row per detail URL, ``template`` filled with scheme and host, and the link."""
-    host = F.regexp_extract(F.col(url), "^(https?://[^/]+)", 1)
-    return pages.select("page_id", host.alias("host"),
-                        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(link_re), 1)).alias("link_idx", "href")) \
-        .select("page_id", "link_idx", F.format_string(template, F.col("host"), F.col("href")).alias("link"))
-
+    """Listing page -> one row per detail URL ``(page_id, link_idx, link)``.
 
-def _first(html: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    return unescape(F.get(found, 0))
+    ``template`` is filled with the page's scheme and host, and the link; with one place, with
+    the link alone.
+    """
+    host = F.regexp_extract(F.col(url), "^(https?://[^/]+)", 1)
+    found = with_selected(pages.select("page_id", host.alias("_host"), F.col(html).alias("_html")), {"_links": links}, "_html")
+    each = found.select("page_id", "_host", F.posexplode("_links").alias("link_idx", "_href"))
+    filled = F.format_string(template, *([F.col("_host")] if template.count("%s") > 1 else []), F.col("_href"))
+    return each.select("page_id", "link_idx", filled.alias("link"))
 
 
-def extract_article(pages: DataFrame, html: str = "html", *, title_re: str = TITLE_RE, published_re: str = PUBLISHED_RE,
-                    category_re: str = CATEGORY_RE, body_re: str = BODY_RE, text_re: str = TEXT_RE,
-                    keyword_re: str = KEYWORD_RE, item_type: str = "news") -> DataFrame:
+def extract_article(pages: DataFrame, html: str = "html", selectors: dict[str, Selector] = PAGE_ARTICLE, item_type: str = "news") -> DataFrame:
     """Detail page -> news item.
 
-    Scalars are the first match or null; ``content`` (the body's text nodes, blank ones left
-    out) and ``keywords`` are all matches.  Selectors are patterns with one group.
+    ``published_time``, ``title`` and ``category`` are the first match or null; ``content`` (text
+    nodes) and ``keywords`` are all matches.
     """
-    h = F.col(html)
-    body = F.coalesce(F.get(F.regexp_extract_all(h, F.lit(body_re), F.lit(1)), 0), F.lit(""))
-    nodes = F.transform(F.regexp_extract_all(F.concat(F.lit(">"), body, F.lit("<")), F.lit(text_re), F.lit(1)), unescape)
-    content = F.filter(nodes, lambda x: F.trim(x) != "")
-    words = F.transform(F.regexp_extract_all(h, F.lit(keyword_re), F.lit(1)), unescape)
-    return pages.select("page_id", "url", _first(h, published_re).alias("published_time"), _first(h, title_re).alias("title"),
-                        content.alias("content"), _first(h, category_re).alias("category"), words.alias("keywords"),
+    found = with_selected(pages.select("page_id", "url", F.col(html).alias("_html")), selectors, "_html")
+    first = {name: F.get(name, 0).alias(name) for name in ("published_time", "title", "category")}
+    return found.select("page_id", "url", first["published_time"], first["title"], "content", first["category"], "keywords",
                         F.lit(item_type).alias("item_type"))
