@@ -21,7 +21,6 @@ from .oracle import (ALL_SPANS_CTE, CHUNKS_CTE, H5_EXPR, LABELS_CTE, ML_CTE, ORA
 from .queries import register
 
 TAGGER_LEN = 512
-ALPHA = 0.5
 
 
 def as_text(ids: Column) -> Column:
@@ -137,60 +136,6 @@ SELECT doc_id, chunk_idx, CAST(len(ids) AS INT) AS n_real, md5(array_to_string(i
        array_to_string(list_slice(tags || [(SELECT id FROM tag_ids WHERE tag = 'O'), (SELECT id FROM tag_ids WHERE tag = 'O')], 1, 512), ',') AS tag_ids FROM b"""
 
 
-# ---------------------------------------------------------------- losses and evaluation
-@register("i9_joint_loss")
-def q_joint_loss(spark, sf_dir):
-    """I9 with the K5 path scores as log-likelihoods and I5 as intent loss."""
-    tag = Q.REGISTRY["k5_sequence_score"](spark, sf_dir)
-    intent = Q.REGISTRY["i5_sigmoid_cross_entropy"](spark, sf_dir)
-    return E.joint_loss(tag, "score", intent, "loss", ALPHA).select(F.round("joint_loss", 3).alias("joint_loss"))
-
-
-ORACLE["i9_joint_loss"] = f"""
-SELECT round({ALPHA} * (SELECT sum(-score) FROM ({ORACLE['k5_sequence_score']}))
-             + (1 - {ALPHA}) * (SELECT avg(loss) FROM ({ORACLE['i5_sigmoid_cross_entropy']})), 3) AS joint_loss"""
-
-#: (part, registered query, key column or none, value columns).
-EVALUATION = (
-    ("dev", "d7_confusion_matrix", ("gold", "pred"), ("n",)),
-    ("dev", "d9_prf_macro", (), ("precision", "recall", "fbeta")),
-    ("dev", "d12_accuracy", (), ("accuracy",)),
-    ("dev", "d14_best_f1_threshold", ("cls",), ("best_f1", "threshold")),
-    ("test", "d11_prf_present", (), ("precision", "recall", "f1", "accuracy")),
-    ("test", "d15_prf_per_class", ("cls",), ("precision", "recall", "f1")),
-    ("test", "d20_compare_rates", (), ("intent_rate", "slot_rate", "frame_rate")),
-)
-
-
-@register("k12_evaluate_tagger")
-def q_evaluate_tagger(spark, sf_dir):
-    out = None
-    for part, name, keys, values in EVALUATION:
-        rows = E.as_metrics(Q.REGISTRY[name](spark, sf_dir), part, name.split("_", 1)[1], keys, values)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-ORACLE["k12_evaluate_tagger"] = " UNION ALL ".join(
-    f"SELECT '{part}' AS part, '{name.split('_', 1)[1]}.{v}' AS metric, "
-    + (" || ',' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) or "''")
-    + f" AS key, CAST({v} AS DOUBLE) AS value FROM ({ORACLE[name]})"
-    for part, name, keys, values in EVALUATION for v in values)
-
-
-@register("k10_extract_place_slots")
-def q_place_slots(spark, sf_dir):
-    """K10 over the F12 posts with a line tagger: a line that opens with a field word is that field's span."""
-    p = fixtures.posts(spark, sf_dir)
-    return screening.extract_place_slots(p, "post_id", "content", E.line_tagger(fixtures.FIELD_TAGS))
-
-
-ORACLE["k10_extract_place_slots"] = _with(POSTS_CTE) + """
-SELECT post_id, replace(regexp_extract(content, '(?m)^餐廳名稱：.*$'), '#', '') AS store, replace(regexp_extract(content, '(?m)^電話：.*$'), '#', '') AS phone,
-       replace(regexp_extract(content, '(?m)^地址：.*$'), '#', '') AS address, replace(regexp_extract(content, '(?m)^消費時間：.*$'), '#', '') AS time
-FROM posts"""
-
-
 @register("h16_pair_full_text")
 def q_pair_full_text(spark, sf_dir):
     """H16 for the first F5 name of each document, scored by F3."""

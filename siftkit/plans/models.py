@@ -8,6 +8,8 @@ reference; the data flow is.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,16 +18,16 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from ..session import shared_table
 
-#: Log score of a transition that was never counted.
+#: Log score of a transition that was never counted (times the scale of whole-number scores).
 NEVER = -1e9
 
 
 def train_text_classifier(df: DataFrame, text: str = "text", label: str = "label", num_features: int = 1 << 18,
-                          max_iter: int = 100):
+                          max_iter: int = 100, reg: float = 0.0):
     """K2: ``RegexTokenizer -> HashingTF -> IDF -> LogisticRegression`` fitted on all labelled text.
 
-    ``num_features`` hashed words and at most ``max_iter`` steps; the fitted stage's
-    ``summary.totalIterations`` tells how many were used.
+    Two classes or more: labels are 0.0, 1.0, ...; more than two give a multinomial model.
+    ``num_features`` hashed words and at most ``max_iter`` steps; ``iterations`` tells how many were used.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -33,10 +35,15 @@ def train_text_classifier(df: DataFrame, text: str = "text", label: str = "label
     stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern="\\W+"),
               HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
               IDF(inputCol="_tf", outputCol="_features"),
-              LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter)]
+              LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter, regParam=reg)]
     return Pipeline(stages=stages).fit(df)
 
 
+def iterations(model) -> int:
+    """Steps that a fitted text classifier took."""
+    return model.stages[-1].summary.totalIterations
+
+
 def class_probs(model, df: DataFrame) -> DataFrame:
     """K1: ``df`` with ``probs``, one probability a class, from a fitted pipeline."""
     from pyspark.ml.functions import vector_to_array
@@ -57,12 +64,34 @@ def score_external(make_predict, df: DataFrame, text: str = "text", n_classes: i
     return df.withColumn("probs", udf(F.col(text)))
 
 
+def score_batches(make_predict, df: DataFrame, text: str = "text", batch_size: int = 64, positive: int = 0) -> DataFrame:
+    """K1 for two classes with a model from outside: ``p_pos, p_neg``; a null text scores as an empty one."""
+    out = score_external(make_predict, df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", 2, batch_size)
+    return out.select(*df.columns, F.get("probs", positive).alias("p_pos"), F.get("probs", 1 - positive).alias("p_neg"))
+
+
 def train_label_models(df: DataFrame, labels: list[str], text: str = "text", **options) -> dict:
-    """K2 for several labels at once: one binary pipeline a label column."""
+    """K2 for several labels at once: one binary pipeline a label column, on the rows where it is not null."""
     return {c: train_text_classifier(df.filter(F.col(c).isNotNull()).withColumn("_label", F.col(c).cast("double")),
                                      text, "_label", **options) for c in labels}
 
 
+def label_scores(models: dict, df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, cls, prob, gold)``: the probability of each label model for each row, and the label itself."""
+    out = None
+    for c, model in models.items():
+        rows = score_text(model, df).select(key, F.lit(c).alias("cls"), F.col("p_pos").alias("prob"), F.col(c).alias("gold"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def predict_labels(scores: DataFrame, thresholds: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, labels)``: the labels whose probability is over their threshold (``(cls, threshold)``), in order."""
+    over = scores.join(F.broadcast(thresholds.select("cls", "threshold")), "cls")  # a row a label
+    kept = F.when(F.col("prob") > F.col("threshold"), F.col("cls"))
+    return over.groupBy(key).agg(F.sort_array(F.collect_list(kept)).alias("labels"))
+
+
 def tag_bigrams(tags) -> Column:
     """E5: neighbouring tags of a sequence as ``array<struct<prev_tag, tag>>``; empty below two tags."""
     t = F.col(tags) if isinstance(tags, str) else tags
@@ -117,13 +146,64 @@ def emission_rows(seqs: DataFrame, emissions: DataFrame, unseen: DataFrame, tags
     return g.select(*keys, F.flatten(F.transform(F.sort_array(each), lambda x: x["e"])).alias("flat"))
 
 
-def tag_matrix(transitions: DataFrame, tags: list[str], start: str) -> tuple[np.ndarray, np.ndarray]:
+def tag_matrix(transitions: DataFrame, tags: list[str], start: str, never: float = NEVER) -> tuple[np.ndarray, np.ndarray]:
     """Log transition matrix and start scores; of the tag set squared, read once."""
     at = {t: i for i, t in enumerate(tags)}
-    matrix = [[NEVER] * len(tags) for _ in tags]
+    matrix = [[never] * len(tags) for _ in tags]
     for r in transitions.collect():
         matrix[at[r["prev_tag"]]][at[r["tag"]]] = r["logp"]
-    return np.array(matrix), np.array([0.0 if t == start else NEVER for t in tags])
+    return np.array(matrix), np.array([0.0 if t == start else never for t in tags])
+
+
+#: Scores in whole millionths: sums are exact, so ties are ties in every engine.
+SCALE = 1e6
+
+
+@dataclass(frozen=True)
+class Tagger:
+    """A K3 model: its tags in order, transition matrix and start scores, and the tables of emissions."""
+    tags: list[str]
+    matrix: np.ndarray
+    start: np.ndarray
+    emissions: DataFrame
+    unseen: DataFrame
+
+    def emission_rows(self, seqs: DataFrame, keys: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
+        return emission_rows(seqs, self.emissions, self.unseen, self.tags, keys, tokens)
+
+    def decode(self, seqs: DataFrame, keys: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
+        """K4: ``(*keys, pred)``, the best tags of each sequence, the first best on ties."""
+        paths = over_rows(self.emission_rows(seqs, keys, tokens), viterbi(self.matrix, self.start), "path", "array<int>")
+        names = F.array(*[F.lit(t) for t in self.tags])
+        return paths.select(*keys, F.transform("path", lambda i: F.get(names, i)).alias("pred"))
+
+    def log_likelihoods(self, seqs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """K5: ``(*keys, score, z)``, the score of each sequence's own ``tags`` and the normaliser over all paths.
+
+        One pass over the emissions gives both.
+        """
+        at = F.create_map(*[x for i, t in enumerate(self.tags) for x in (F.lit(t), F.lit(i))])
+        own = seqs.select(*keys, F.transform("tags", lambda t: F.try_element_at(at, t)).alias("own"))
+        rows = self.emission_rows(seqs, keys).join(own, list(keys)).withColumn("x", F.struct("flat", "own")).drop("flat", "own")
+        forward, matrix, k = normaliser(self.matrix, self.start), self.matrix, len(self.tags)
+
+        def both(x) -> list[float]:
+            flat, path = np.asarray(x["flat"], dtype=float), np.asarray(x["own"])
+            em = flat.reshape(-1, k)
+            return [float(em[np.arange(len(em)), path].sum() + matrix[path[:-1], path[1:]].sum()), forward(flat)]
+
+        done = over_rows(rows, both, "r", "array<double>", "x")
+        return done.select(*keys, F.get("r", 0).alias("score"), F.get("r", 1).alias("z"))
+
+
+def fit_tagger(seqs: DataFrame, start: str = "[CLS]", scale: float | None = None) -> Tagger:
+    """K3 as a ``Tagger``; with ``scale``, log scores are rounded to whole numbers of that part."""
+    parts = train_tagger(seqs)
+    if scale:
+        parts = [p.withColumn("logp", F.round(F.col("logp") * scale)) for p in parts]
+    emissions, transitions, unseen = parts
+    tags = sorted(r["tag"] for r in unseen.select("tag").collect())  # the tag set bounds the model
+    return Tagger(tags, *tag_matrix(transitions, tags, start, NEVER * (1e3 if scale else 1)), emissions, unseen)
 
 
 def normaliser_udf(transitions: np.ndarray, start: np.ndarray):

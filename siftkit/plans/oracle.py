@@ -245,9 +245,9 @@ ORACLE["c4_name_mentions"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + ""
 SELECT doc_id, chunk_idx, name, CAST(start0 AS INT) AS start, CAST(start0 + length(name) AS INT) AS "end"
 FROM mocc"""
 
-ORACLE["h14_mention_sentence"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
-SELECT doc_id, chunk_idx, name, CAST(s AS INT) AS start, sentence, name || '[SEP]' || sentence AS pair_text
-FROM (
+def sentences_sql(mentions: str) -> str:
+    """H14 around the rows ``(doc_id, chunk_idx, name, chunk, start0)`` of ``mentions``, by substrings and first or last marks."""
+    return f"""
   SELECT *, substring(chunk, lft + 1, greatest(rgt - lft, 0)) AS sentence FROM (
     SELECT *,
       CASE WHEN lo_r >= hi_r THEN L
@@ -261,7 +261,12 @@ FROM (
     FROM (SELECT doc_id, chunk_idx, name, chunk, start0 AS s, length(chunk) AS L,
                  start0 + length(name) + 5 AS lo_r, least(length(chunk), start0 + length(name) + 25) AS hi_r,
                  greatest(0, start0 - 25) AS lo_l, start0 - 5 AS hi_l
-          FROM mocc)))"""
+          FROM {mentions}))"""
+
+
+ORACLE["h14_mention_sentence"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + f"""
+SELECT doc_id, chunk_idx, name, CAST(s AS INT) AS start, sentence, name || '[SEP]' || sentence AS pair_text
+FROM ({sentences_sql('mocc')})"""
 
 ORACLE["d5_name_score_sum"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, MENTIONS_CTE) + """
 SELECT doc_id, chunk_idx, name, n_mentions, round(sp, 6) AS sum_pos, round(sn, 6) AS sum_neg,
@@ -882,11 +887,6 @@ SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.gold, p.pred
 FROM (SELECT doc_id, array_to_string(gold, '|') AS gold FROM gp) g
 FULL OUTER JOIN (SELECT doc_id, array_to_string(pred, '|') AS pred FROM gp WHERE len(pred) > 0) p USING (doc_id)"""
 
-ORACLE["k11_evaluate_names"] = _with(CHUNKS_CTE, ALL_SPANS_CTE, GOLD_CTE) + f"""
-SELECT round(avg(CASE WHEN {MATCH} THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
-       CAST(sum(CASE WHEN {MATCH} THEN 1 ELSE 0 END) AS BIGINT) AS n_matched, count(*) AS n
-FROM gp"""
-
 ORACLE["b8_select_slots"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """
 SELECT c.doc_id, c.chunk_idx, coalesce(s.text, '') AS name, '' AS store, '' AS phone, '' AS address, '' AS time
 FROM chunks c LEFT JOIN (SELECT * FROM aspans WHERE span_idx = 0) s USING (doc_id, chunk_idx)"""

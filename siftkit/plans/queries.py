@@ -912,37 +912,6 @@ def q_sequence_score(spark, sf_dir):
     return path_scores(seqs, em, tr).select("doc_id", "chunk_idx", r6(F.col("score")).alias("score"))
 
 
-def decoder(seqs: DataFrame):
-    """The K3 model of ``seqs``: tag list, matrix, start scores, emission rows."""
-    em, tr, unseen = MD.train_tagger(seqs)
-    tags = sorted(r["tag"] for r in unseen.select("tag").collect())  # the tag set bounds the model
-    matrix, start = MD.tag_matrix(tr, tags, "[CLS]")
-    return em, tr, tags, matrix, start, MD.emission_rows(seqs, em, unseen, tags)
-
-
-@register("k5_log_likelihood")
-def q_log_likelihood(spark, sf_dir):
-    """K5 (rows-only): path score less the normaliser over all paths."""
-    seqs = tag_sequences(spark, sf_dir)
-    em, tr, _, matrix, start, rows = decoder(seqs)
-    z = MD.over_rows(rows, MD.normaliser(matrix, start), "z", "double")
-    return path_scores(seqs, em, tr).join(z, ["doc_id", "chunk_idx"]).select(
-        "doc_id", "chunk_idx", r6(F.col("score") - F.col("z")).alias("log_likelihood"))
-
-
-@register("k4_viterbi_decode")
-def q_viterbi(spark, sf_dir):
-    """K4 (rows-only): decode every chunk with the K3 HMM; count positions that agree with F4."""
-    seqs = tag_sequences(spark, sf_dir)
-    _, _, tags, matrix, start, rows = decoder(seqs)
-    paths = MD.over_rows(rows, MD.viterbi(matrix, start), "path", "array<int>")
-    names = F.array(*[F.lit(t) for t in tags])
-    decoded = paths.select("doc_id", "chunk_idx", F.transform("path", lambda i: F.get(names, i)).alias("pred"))
-    both = decoded.join(seqs, ["doc_id", "chunk_idx"])
-    agree = F.aggregate(F.zip_with("pred", "tags", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.select("doc_id", "chunk_idx", F.size("pred").alias("n"), agree.alias("n_agree"))
-
-
 @register("k2_train_text_classifier")
 def q_train_classifier(spark, sf_dir):
     """K2 + K1 (rows-only): fit on ``labels.quality`` with document text, score every document."""
@@ -996,13 +965,6 @@ def q_align(spark, sf_dir):
     return gold.join(pred, "doc_id", "full_outer")
 
 
-@register("k11_evaluate_names")
-def q_evaluate_names(spark, sf_dir):
-    g = gold_pred_names(spark, sf_dir)
-    m = is_match(F.col("pred"), F.col("gold")).cast("double")
-    return g.agg(r6(F.avg(m)).alias("accuracy"), F.sum(m).cast("long").alias("n_matched"), F.count("*").alias("n"))
-
-
 @register("b8_select_slots")
 def q_select_slots(spark, sf_dir):
     t = tagged_chunks(spark, sf_dir).select("doc_id", "chunk_idx", S.slot_map("spans").alias("slots"))

@@ -47,13 +47,19 @@ def full_text_pair(content, name, max_len: int) -> Column:
     return F.concat(F.substring(c, 1, max_len - 10), F.lit("[SEP]"), n)
 
 
-def extract_place_slots(posts: DataFrame, key: str, text: str, tagger, sep: str = "") -> DataFrame:
-    """Tag each post (K4 or any tagger), decode spans (E2), one row of the four place fields."""
-    t = posts.select(key, tagger(F.col(text)).alias("t"))
-    slots = t.select(key, slot_map(bio_spans("t.tokens", "t.tags", sep)).alias("m"))
+def place_slots(tagged: DataFrame, key: str, tokens: str, tags: str, sep: str = "") -> DataFrame:
+    """K10 from decoded tags (K4 or any tagger): spans (E2), one row of the four place fields."""
+    slots = tagged.select(key, slot_map(bio_spans(tokens, tags, sep)).alias("m"))
     return slots.select(key, *(first_slot("m", k).alias(k.lower()) for k in ("STORE", "PHONE", "ADDRESS", "TIME")))
 
 
+def names_of_tags(tagged: DataFrame, keys: Sequence[str], tokens: str, tags: str, text: str, sep: str = " ",
+                  slot_type: str = "NAME") -> DataFrame:
+    """K8 from decoded tags: ``(*keys, names)``, spans (E2), ``[UNK]`` recovered from ``text`` (H25), distinct."""
+    spans = F.filter(bio_spans(tokens, tags, sep), lambda s: s["slot_type"] == slot_type)
+    return tagged.select(*keys, F.array_distinct(F.transform(spans, lambda s: fill_unk(F.col(text), s["text"]))).alias("names"))
+
+
 def chunk_names(doc_id, chunk_idx, chunk, tagger=capital_tags, sep: str = " ",
                 slot_type: str = "NAME") -> Column:
     """K8: tag the chunk, decode spans (E2), recover ``[UNK]`` (H25), distinct names."""

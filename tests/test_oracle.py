@@ -36,7 +36,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_listed():
     missing = sorted(set(QUERIES) - set(ORACLE))
-    no_sql = ("k2_", "k4_", "k5_log_", "op3_", "op5_", "op6_", "op7_", "op9_", "op10_", "op11_", "op12_", "pipeline")  # models, packing plans, random orders
+    no_sql = ("k2_", "op3_", "op5_", "op6_", "op7_", "op9_", "op10_", "op11_", "op12_", "pipeline")  # models, packing plans, random orders
     assert all(m.startswith(no_sql) for m in missing), missing
 
 
