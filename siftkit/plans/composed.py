@@ -1,6 +1,8 @@
 """Queries and SQL of the encoders, label maps, losses and evaluation compositions."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..operators import encoders as E
 from ..operators import metrics as M
 from ..operators import tokens as TK
 from ..operators import wordpiece as WP
-from ..session import shared_table
+from ..session import shared_dir, shared_table
 from ..sources import fixtures
 from ..sources.tables import table
 from . import queries as Q
@@ -389,3 +391,137 @@ def q_screen_by_model(spark, sf_dir):
 
 
 ORACLE["k9_screen_by_model"] = ORACLE["k9_screen_articles"]
+
+
+# ---------------------------------------------------------------- legacy spans, splitters, list files
+from ..functions import splitting as SP  # noqa: E402
+from ..operators.split import split_posts  # noqa: E402
+
+
+@register("e3_bio_decode_legacy")
+def q_bio_decode_legacy(spark, sf_dir):
+    """E3 on the F4 tags, and the names it comes to; nearly all chunks with a name of two words differ from E2."""
+    t = Q.tag_sequences(spark, sf_dir).select("doc_id", "chunk_idx", S.bio_spans_legacy("tokens", "tags", " ").alias("spans"))
+    t = t.select("doc_id", "chunk_idx", Q.joined(S.merge_legacy_names("spans")).alias("names"), F.posexplode("spans").alias("span_idx", "s"))
+    return t.select("doc_id", "chunk_idx", "names", "span_idx", "s.slot_type", "s.text", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
+
+
+ORACLE["e3_bio_decode_legacy"] = _with(CHUNKS_CTE, ALL_SPANS_CTE) + """,
+it AS (SELECT doc_id, chunk_idx, j, replace(tok, '#', '') AS w, tag, substr(tag, 3) AS ty,
+              row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY j) AS r FROM atagged WHERE tag <> 'O'),
+walk AS (
+  SELECT doc_id, chunk_idx, r, CASE WHEN tag LIKE 'B%' THEN tag ELSE '' END AS typ, CASE WHEN tag LIKE 'B%' THEN w ELSE '' END AS slot,
+         CASE WHEN tag LIKE 'B%' THEN j ELSE -1 END AS b, j AS e, NULL::VARCHAR AS otype, NULL::VARCHAR AS otext, NULL::BIGINT AS ob, NULL::BIGINT AS oe
+  FROM it WHERE r = 1
+  UNION ALL
+  SELECT i.doc_id, i.chunk_idx, i.r,
+         CASE WHEN i.tag LIKE 'B%' AND s.slot = '' THEN i.tag WHEN i.tag LIKE 'I%' AND s.typ = '' THEN '' ELSE i.ty END,
+         CASE WHEN i.tag LIKE 'B%' AND s.slot = '' THEN i.w WHEN i.tag LIKE 'I%' AND i.ty = s.typ THEN s.slot || i.w
+              WHEN i.tag LIKE 'I%' AND s.typ = '' THEN s.slot ELSE i.w END,
+         CASE WHEN i.tag LIKE 'B%' THEN i.j ELSE s.b END, i.j,
+         CASE WHEN out THEN s.typ END, CASE WHEN out THEN s.slot END, CASE WHEN out THEN CASE WHEN i.tag LIKE 'B%' THEN i.j ELSE s.b END END, CASE WHEN out THEN i.j END
+  FROM (SELECT s.*, i.r AS nr, CASE WHEN i.tag LIKE 'B%' THEN s.slot <> '' ELSE s.typ <> '' AND i.ty <> s.typ END AS out
+        FROM walk s JOIN it i ON i.doc_id = s.doc_id AND i.chunk_idx = s.chunk_idx AND i.r = s.r + 1) s
+  JOIN it i ON i.doc_id = s.doc_id AND i.chunk_idx = s.chunk_idx AND i.r = s.nr),
+spans3 AS (
+  SELECT doc_id, chunk_idx, r, otype AS slot_type, otext AS text, ob AS b, oe AS e FROM walk WHERE otype IS NOT NULL
+  UNION ALL SELECT doc_id, chunk_idx, r + 1, typ, slot, b, e FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY r DESC) AS last FROM walk) WHERE last = 1 AND slot <> ''),
+num AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY r) - 1 AS span_idx FROM spans3),
+nm AS (SELECT doc_id, chunk_idx, list(text ORDER BY span_idx) FILTER (slot_type = 'NAME') AS l, first(text ORDER BY span_idx) FILTER (slot_type = 'B_NAME') AS f
+       FROM num GROUP BY doc_id, chunk_idx)
+SELECT n.doc_id, n.chunk_idx, coalesce(CASE WHEN len(l) > 0 THEN array_to_string([coalesce(f, '') || l[1]] || l[2:], '|') END, '') AS names,
+       CAST(span_idx AS INT) AS span_idx, slot_type, text, CAST(b AS INT) AS "begin", CAST(e AS INT) AS "end"
+FROM num n JOIN nm USING (doc_id, chunk_idx)"""
+
+
+@register("h15_pair_text")
+def q_pair_text(spark, sf_dir):
+    return Q.REGISTRY["h14_mention_sentence"](spark, sf_dir).select(
+        "doc_id", "chunk_idx", "start", screening.pair_text(F.col("name"), F.col("sentence")).alias("pair_text"))
+
+
+ORACLE["h15_pair_text"] = f"SELECT doc_id, chunk_idx, start, concat_ws('[SEP]', name, sentence) AS pair_text FROM ({ORACLE['h14_mention_sentence']})"
+
+SPLIT_LEN, POST_LEN, POST_MARKS = 100, 128, (".", "!", " ")
+
+
+@register("h12_split_on_mark")
+def q_split_on_mark(spark, sf_dir):
+    """H12 at full stops; sentences over 100 characters move the scan on, and the text before the next cut is lost."""
+    d = fixtures.articles(spark, sf_dir).select("doc_id", F.length("text").alias("n"), SP.split_on_mark("text", SPLIT_LEN, ".").alias("l"))
+    lost = F.col("n") - F.aggregate("l", F.lit(0), lambda a, x: a + F.length(x))
+    return d.select("doc_id", lost.alias("lost"), F.posexplode("l").alias("piece_idx", "piece"))
+
+
+@register("h13_split_posts")
+def q_split_posts(spark, sf_dir):
+    """H13 over the documents: full stops, exclamation marks, spaces; the other columns go along."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("content"))
+    return split_posts(d, "content", POST_LEN, POST_MARKS).select("doc_id", "lang", "piece_idx", F.md5("content").alias("h"), F.length("content").alias("n"))
+
+
+def split_sql(name: str, source: str, max_len: int, mark: str) -> str:
+    """CTEs ``{name}(k, i, piece)`` of H12 over ``(k, t)`` of ``source``: a scan index and the start of the open piece, step by step."""
+    window = f"substring(t, idx + 1, {max_len})"
+    last = f"(CASE WHEN contains({window}, '{mark}') THEN length({window}) - instr(reverse({window}), '{mark}') + 1 ELSE 0 END)"
+    return f"""
+{name}w AS (
+  SELECT k, t, length(t) AS n, 0 AS idx, 0 AS start, 0 AS step, NULL::VARCHAR AS piece FROM {source}
+  UNION ALL
+  SELECT k, t, n, CASE WHEN p > 1 THEN idx + p - 1 ELSE idx + {max_len} END, CASE WHEN p > 1 THEN idx + p - 1 ELSE start END, step + 1,
+         CASE WHEN p > 1 THEN substring(t, idx + 1, p - 1) END
+  FROM (SELECT *, {last} AS p FROM {name}w WHERE idx + {max_len} < n)),
+{name}l AS (SELECT k, t, n, start, step FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY step DESC) AS rn FROM {name}w) WHERE rn = 1),
+{name} AS (SELECT k, step AS i, piece FROM {name}w WHERE piece IS NOT NULL
+           UNION ALL SELECT k, step + 1, substring(t, start + 1) FROM {name}l WHERE start < n)"""
+
+
+ORACLE["h12_split_on_mark"] = _with("d AS (SELECT doc_id AS k, text AS t FROM documents)", split_sql("s", "d", SPLIT_LEN, ".")) + """
+SELECT k AS doc_id, CAST(length(text) - sum(length(piece)) OVER (PARTITION BY k) AS INT) AS lost,
+       CAST(row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS INT) AS piece_idx, piece
+FROM s JOIN documents ON doc_id = k"""
+ORACLE["h13_split_posts"] = _with(
+    "d AS (SELECT doc_id AS k, text AS t FROM documents)", split_sql("s1", "d", POST_LEN, "."),
+    "d2 AS (SELECT (k, i) AS k, piece AS t FROM s1)", split_sql("s2", "d2", POST_LEN, "!"),
+    "d3 AS (SELECT (k, i) AS k, piece AS t FROM s2)", split_sql("s3", "d3", POST_LEN, " ")) + """
+SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i1, i2, i) - 1 AS INT) AS piece_idx, md5(piece) AS h, CAST(length(piece) AS INT) AS n
+FROM (SELECT k[1][1] AS id, k[1][2] AS i1, k[2] AS i2, i, piece FROM s3) JOIN documents ON doc_id = id"""
+
+
+@register("a6_json_list")
+def q_json_list(spark, sf_dir):
+    """The documents as the lines of list files, and read back from them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    back = FI.parse_json_list_lines(FI.json_list_lines(d), d.schema)
+    return back.select("doc_id", F.md5("text").alias("h"), "lang", "source")
+
+
+ORACLE["a6_json_list"] = "SELECT doc_id, md5(text) AS h, lang, source FROM documents"
+
+
+@register("a10_read_keywords")
+def q_read_keywords(spark, sf_dir):
+    """A10 over lines: the words of page titles, every seventh line blank."""
+    p = table(spark, sf_dir, "pages")
+    line = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return FI.parse_keywords(p.select(line.alias("value")))
+
+
+ORACLE["a10_read_keywords"] = r"""
+SELECT keyword FROM (SELECT CASE WHEN page_id % 7 = 0 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS keyword FROM pages) WHERE keyword <> ''"""
+
+
+@register("a17_features")
+def q_features(spark, sf_dir):
+    """Encoded features written, read back as 32-bit integers."""
+    ids = TK.doc_piece_ids(Q.docs(spark, sf_dir), T.basic_tokens("text"), Q.corpus_vocab(spark, sf_dir)[1], Q.CLASSIFIER_LEN - 2)
+    cls, sep = (F.lit(TK.SPECIAL_TOKENS.index(x)) for x in ("[CLS]", "[SEP]"))
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    FI.write_features(ids.select("doc_id", TK.encode_ids("ids", cls, sep, Q.CLASSIFIER_LEN).alias("e")).select("doc_id", "e.*"), path)
+    f = FI.read_features(spark, path)
+    return f.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"),
+                    F.aggregate("input_mask", F.lit(0), lambda a, x: a + x).alias("n_real"), F.size("segment_ids").alias("n_segments"))
+
+
+ORACLE["a17_features"] = ORACLE["j1_encode_single"]

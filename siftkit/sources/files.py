@@ -6,8 +6,12 @@ cluster must be on shared storage.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.order import line_numbers
 
@@ -107,10 +111,33 @@ def read_json_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def json_list_lines(df: DataFrame) -> DataFrame:
+    """The rows of each task as the lines ``value`` of one JSON list, an object a line, non-ASCII kept.
+
+    The brackets and commas are put around the rows as they pass; a task holds one batch at a time.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            lines = []
+            for value in batch.column("value").to_pylist():
+                lines.append(lead + value)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+    return df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "value string")
+
+
+def parse_json_list_lines(lines: DataFrame, schema: StructType) -> DataFrame:
+    """The objects of lines as ``json_list_lines`` makes them; a broken line gives nulls."""
+    inner = lines.where(~F.col("value").isin("]", "[]")).select(F.from_json(F.regexp_replace("value", r"^[\[,]", ""), schema).alias("o"))
+    return inner.select("o.*")
+
+
 def write_json_list(df: DataFrame, path: str) -> None:
-    """Each file one JSON list of its task's rows, non-ASCII kept."""
-    rows = df.select(F.to_json(F.struct("*")).alias("j")).groupBy(F.spark_partition_id()).agg(F.collect_list("j").alias("l"))
-    rows.select(F.concat(F.lit("["), F.array_join("l", ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    """A JSON list a file."""
+    json_list_lines(df).write.mode("overwrite").text(path)
 
 
 def write_label_map(labels: DataFrame, path: str, id_col: str = "id", label_col: str = "label") -> None:

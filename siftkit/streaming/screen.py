@@ -7,6 +7,8 @@ written per batch id, which makes a replayed batch overwrite its own output.
 """
 from __future__ import annotations
 
+from urllib.parse import parse_qsl, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,20 @@ from ..functions.requests import parse_request, request_status
 from ..plans.screening import screen_articles
 
 
+def kafka_options(address: str) -> dict[str, str]:
+    """Spark's options for ``kafka://host:port[,host:port]/topic[?option=value&...]``."""
+    parts = urlsplit(address)
+    topic = parts.path.strip("/")
+    if parts.scheme != "kafka" or not parts.netloc or not topic:
+        raise ValueError(f"not kafka://host:port/topic: {address!r}")
+    return {"kafka.bootstrap.servers": parts.netloc, "subscribe": topic} | dict(parse_qsl(parts.query))
+
+
 def read_document_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files arriving in ``path`` as a stream (a Kafka source works the same way)."""
+    """Rows arriving as Parquet files in the folder ``path``, or as JSON messages of a ``kafka://`` address."""
+    if path.startswith("kafka://"):
+        raw = spark.readStream.format("kafka").options(**kafka_options(path)).load()
+        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -33,6 +47,24 @@ def stream_counters(requests: DataFrame, body: str = "body") -> DataFrame:
     return requests.select(status.alias("status")).groupBy("status").count()
 
 
+def count_stream(requests: DataFrame, out_path: str, checkpoint: str, body: str = "body"):
+    """L2: the running totals after each micro-batch, one folder per batch id.
+
+    Totals are the query's state and go on from ``checkpoint`` after a stop; a batch that is
+    run again takes the state before it and overwrites its own folder, so it changes nothing.
+    """
+    def run(totals: DataFrame, batch_id: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
+    return stream_counters(requests, body).writeStream.outputMode("complete").foreachBatch(run) \
+        .option("checkpointLocation", checkpoint).start()
+
+
+def latest_totals(spark: SparkSession, out_path: str) -> DataFrame:
+    """``(status, count)`` after the last batch that ``count_stream`` wrote."""
+    rows = spark.read.option("basePath", out_path).parquet(f"{out_path.rstrip('/')}/batch=*")
+    return rows.where(F.col("batch") == rows.select(F.max("batch")).scalar()).select("status", "count")
+
+
 def stream_confusion_matrix(pairs: DataFrame, gold: str = "gold", pred: str = "pred",
                             weight: str | None = None) -> DataFrame:
     """L4: incremental confusion matrix (update or complete mode)."""
