@@ -406,65 +406,30 @@ posts AS (
 )"""
 
 
-def _grp(text, pattern, idx):
-    return f"CASE WHEN regexp_matches({text}, '{pattern}') THEN regexp_extract({text}, '{pattern}', {idx}) ELSE '' END"
-
-
-def _clean(x):
-    return (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^( |　)*', ''), "
-            f"'( |　)*(\\n?)$', '\\2'), '\\t', ' ', 'g'), ' {{2,}}', ' ', 'g')")
-
-
-def _post_date(t):
-    return _clean(_grp(t, _T.POST_DATE_RE, 1))
-
-
-def _place_name(t):
-    title = f"regexp_extract({t}, '{_T.TITLE_RE}', 1)"
-    title = f"regexp_replace({title}, '\\[.*\\]', '')"
-    title = f"regexp_replace({title}, 'Fw(:|：)*', '', 'g')"
-    title = f"regexp_replace({title}, '轉(寄|貼|帖)(:|：)', '', 'g')"
-    return (f"CASE WHEN regexp_matches({t}, '{_T.NAME_RE}') THEN {_clean(f'regexp_extract({t}, {chr(39)}{_T.NAME_RE}{chr(39)}, 3)')} "
-            f"WHEN regexp_matches({t}, '{_T.TITLE_RE}') THEN {_clean(title)} ELSE '' END")
-
-
-def _address(t):
-    return _clean(_grp(t, _T.ADDR_RE, 2))
-
-
-def _phone(t):
-    lab = _grp(t, _T.PHONE_LABEL_RE, 2)
-    dig = _clean(_grp(t, _T.PHONE_DIGITS_RE, 1))
-    ph = f"CASE WHEN {lab} <> '' THEN {lab} ELSE {dig} END"
-    return f"CASE WHEN ({ph}) IN ('無', 'NA', 'N/A', 'na', 'n/a', '不知', '沒有') THEN '' ELSE {ph} END"
-
-
-def _visit(t):
-    v = _clean(_grp(t, _T.VISIT_RE, 4))
-    return f"CASE WHEN {v} <> '' THEN {v} ELSE {_post_date(t)} END"
-
-
-_STRIPPED = f"regexp_replace(regexp_replace(content, '{IP_RE}', '', 'g'), '{URL_RE}', '', 'g')"
-
-ORACLE["h24_extract_post_fields"] = _with(POSTS_CTE) + f"""
-SELECT post_id, {_place_name('t')} AS name, {_phone('t')} AS phone, {_address('t')} AS address,
-       {_visit('t')} AS visit_date
-FROM (SELECT post_id, {_STRIPPED} AS t FROM posts)"""
-
-ORACLE["h19_post_date"] = _with(POSTS_CTE) + f"""
-SELECT post_id, {_post_date('content')} AS post_date FROM posts"""
-
-ORACLE["h20_place_name"] = _with(POSTS_CTE) + f"""
-SELECT post_id, {_place_name('content')} AS name FROM posts"""
-
-ORACLE["h21_address"] = _with(POSTS_CTE) + f"""
-SELECT post_id, {_address('content')} AS address FROM posts"""
-
-ORACLE["h22_phone"] = _with(POSTS_CTE) + f"""
-SELECT post_id, {_phone('t')} AS phone FROM (SELECT post_id, {_STRIPPED} AS t FROM posts)"""
-
-ORACLE["h23_visit_date"] = _with(POSTS_CTE) + f"""
-SELECT post_id, {_visit('content')} AS visit_date FROM posts"""
+# What each field of a post must come to, from the customer row that the post was written for and
+# without any of the extractor's patterns: labelled values where the line is there, else the title,
+# the first nine digits in a row (those of the customer's name), nothing, or the post's date.
+FIELDS_CTE = """
+written AS (
+  SELECT c_custkey AS k, c_name, 'No.' || c_custkey || ' ' || c_mktsegment || ' Road' AS road,
+         '2019/' || (c_custkey % 12 + 1) || '/' || (c_custkey % 28 + 1) AS visited,
+         ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][c_custkey % 7 + 1] || ' '
+           || ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][c_custkey % 12 + 1]
+           || ' ' || (c_custkey % 28 + 1) || ' 12:34:56 2019' AS posted,
+         lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(c_nationkey * 37 % 10000 AS VARCHAR), 4, '0') AS number
+  FROM customer),
+fields AS (
+  SELECT k AS post_id, posted AS post_date, CASE WHEN k % 3 = 0 THEN c_name ELSE c_name || ' 本店' END AS name,
+         CASE WHEN k % 3 = 1 THEN '' ELSE road END AS address,
+         CASE WHEN k % 3 = 2 THEN right(c_name, 9) WHEN k % 7 = 3 THEN '' ELSE '02-' || number END AS phone,
+         CASE WHEN k % 5 = 0 THEN posted ELSE visited END AS visit_date,
+         (k % 3 <> 0)::INT + 1 + (k % 3 <> 1)::INT + (k % 5 <> 0)::INT AS score
+  FROM written)"""
+
+ORACLE["h24_extract_post_fields"] = _with(FIELDS_CTE) + " SELECT post_id, name, phone, address, visit_date FROM fields"
+for _id, _field in (("h19", "post_date"), ("h21", "address"), ("h22", "phone"), ("h23", "visit_date")):
+    ORACLE[f"{_id}_{_field}"] = _with(FIELDS_CTE) + f" SELECT post_id, {_field} FROM fields"
+ORACLE["h20_place_name"] = _with(FIELDS_CTE) + " SELECT post_id, name FROM fields"
 
 ORACLE["b9_null_words"] = _with(POSTS_CTE) + """
 SELECT post_id, raw, CASE WHEN raw IN ('無', 'NA', 'N/A', 'na', 'n/a', '不知', '沒有') THEN '' ELSE raw END AS phone
@@ -897,16 +862,8 @@ SELECT c.doc_id, c.chunk_idx, CAST(CASE WHEN s.names IS NULL THEN 0 ELSE 1 END A
 FROM chunks c LEFT JOIN (SELECT doc_id, chunk_idx, string_agg(text, '|' ORDER BY span_idx) AS names
                          FROM aspans GROUP BY doc_id, chunk_idx) s USING (doc_id, chunk_idx)"""
 
-ORACLE["d19_score_histogram"] = _with(POSTS_CTE) + f""",
-ext AS (
-  SELECT p.post_id, {_place_name('t')} AS name, {_phone('t')} AS phone, {_address('t')} AS address,
-         {_visit('t')} AS visit_date, c.c_name || ' 本店' AS gs,
-         'No.' || c.c_custkey || ' ' || c.c_mktsegment || ' Road' AS ga,
-         '2019/' || (c.c_custkey % 12 + 1) || '/' || (c.c_custkey % 28 + 1) AS gt
-  FROM (SELECT post_id, {_STRIPPED} AS t FROM posts) p JOIN customer c ON c.c_custkey = p.post_id),
-sc AS (SELECT (CASE WHEN name = gs THEN 1 ELSE 0 END) + 1 + (CASE WHEN address = ga THEN 1 ELSE 0 END)
-              + (CASE WHEN visit_date = gt THEN 1 ELSE 0 END) AS score FROM ext)
+ORACLE["d19_score_histogram"] = _with(FIELDS_CTE) + """
 SELECT CAST(sum(CASE WHEN score >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS ge4, CAST(sum(CASE WHEN score >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS ge3,
        CAST(sum(CASE WHEN score >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS ge2, CAST(sum(CASE WHEN score >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS ge1,
        CAST(sum(CASE WHEN score >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS ge0
-FROM sc"""
+FROM fields"""
