@@ -4,12 +4,14 @@ Documents become token ids plus an end id; those longer than a sequence are cut
 sequence-long pieces.  From the histogram of piece lengths (one figure a length, so it is
 bounded by the sequence length whatever the corpus):
 
-1. patterns of one to three lengths that fill a sequence exactly are enumerated (of triples,
-   those whose middle length is on a grid of ``TRIPLE_STEP``);
+1. patterns of lengths that fill a sequence (at most ``SLACK`` tokens short) are enumerated:
+   lengths are drawn as the histogram has them, the last one or two so that the sum comes
+   out.  A seeded generator draws, so the same histogram gives the same plan;
 2. their repeat counts are fitted to the histogram by non-negative least squares;
 3. the counts are rounded up, largest first, as far as the histogram lasts;
-4. what is left is packed best fit, longest first, again on the histogram: a group of equal
-   sequences takes equal pieces in one step.
+4. what is left is a smaller histogram, which goes through 1 to 3 again until a round places
+   little (``LEAST``) of it; that residue is packed best fit, longest first, again on the
+   histogram: a group of equal sequences takes equal pieces in one step.
 
 The plan is a list of intervals ``(length, first rank, count, first sequence, offset)``.  A
 piece's rank among those of its length (tasks count their own; a prefix sum over tasks adds
@@ -36,8 +38,15 @@ from .tokens import word_cache
 
 LENGTH = 4096
 END_ID = 1
-TRIPLE_STEP = 16
-FIT_ROUNDS = 60
+#: Tokens that a pattern may leave free.
+SLACK = 4
+#: Most pieces of a pattern, and pieces of all patterns of a round (they bound the plan's table).
+MOST_PIECES, ROUND_PIECES = 128, 100_000
+#: Steps of the fit end when the squared error falls by less than this share, or after FIT_STEPS.
+FIT_GAIN, FIT_STEPS = 1e-3, 200
+#: Rounds of patterns end when one places less than this share of what is left, or after ROUNDS.
+LEAST, ROUNDS = 0.02, 12
+SEED = 1
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
 
 
@@ -66,32 +75,62 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int =
     return rows.mapInArrow(_cut(tokenizer, end_id, length), PIECES)
 
 
-def patterns(lengths: np.ndarray, full: int, step: int = TRIPLE_STEP) -> np.ndarray:
-    """Rows of up to three present lengths, in falling order, that add up to ``full``; 0 fills a row up."""
-    there = np.zeros(full + 1, bool)
-    there[lengths] = True
-    out = [np.array([[full, 0, 0]])] if there[full] else []
-    a = np.flatnonzero(there[:full])
-    two = a[(a * 2 >= full) & there[full - a]]
-    out.append(np.stack([two, full - two, 0 * two], 1))
-    for b in np.flatnonzero(there):
-        if b % step == 0:
-            big = a[a >= b]
-            c = full - b - big
-            big = big[(c > 0) & (c <= b) & there[np.maximum(c, 0)]]
-            out.append(np.stack([big, np.full_like(big, b), full - b - big], 1))
-    return np.concatenate(out).astype(np.int64)
-
-
-def fit(pats: np.ndarray, hist: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
+def patterns(hist: np.ndarray, full: int, rng: np.random.Generator, slack: int = SLACK) -> np.ndarray:
+    """Different rows of present lengths, in falling order, that add up to ``full`` less at most ``slack``; 0 fills a row up.
+
+    No row uses a length more often than the histogram has it.
+    """
+    hist = np.asarray(hist, np.int64)
+    lengths = np.flatnonzero(hist[:full + 1])
+    lengths = lengths[lengths > 0]
+    mean = max(1.0, float((lengths * hist[lengths]).sum() / hist[lengths].sum()))
+    n = int(min(max(ROUND_PIECES * mean / full, 500), 15_000))
+    upto = np.cumsum(hist)  # pieces of at most each length
+    below = np.maximum.accumulate(np.where(hist > 0, np.arange(len(hist)), 0))  # the longest present length up to each
+    there = hist > 0
+
+    def draw(limit: np.ndarray) -> np.ndarray:
+        """A present length of at most the limit, as often as the histogram has it; 0 where there is none."""
+        k = (rng.random(len(limit)) * upto[limit]).astype(np.int64)
+        return np.where(upto[limit] > 0, np.searchsorted(upto, k, "right"), 0)
+
+    # half begin with any length, half with those that the histogram has most; long ones have few other places
+    first = np.where(rng.random(n) < 0.5, rng.choice(lengths, n), draw(np.full(n, full)))
+    rows, rest = [first], full - first
+    last = draw(np.full(n, full))  # the pattern is closed when no more than this is left
+    for _ in range(MOST_PIECES - 3):
+        go = rest > last
+        if not go.any():
+            break
+        rows.append(np.where(go, draw(rest), 0))
+        rest = rest - rows[-1]
+    one, two = np.where(there[rest], rest, 0), np.zeros(n, np.int64)
+    for _ in range(12):  # two lengths that add up to the rest
+        open_ = (one == 0) & (rest > 0)
+        b = draw(rest)
+        ok = open_ & (b > 0) & there[rest - b]
+        one, two = np.where(ok, b, one), np.where(ok, rest - b, two)
+    one = np.where((one == 0) & (rest > slack), below[rest], one)
+    out = np.stack([*rows, one, two], 1)
+    out = -np.sort(-out, 1)
+    out = np.unique(out[out.sum(1) >= full - slack], axis=0)
+    # runs of one length may be longer than the histogram has
+    used = np.zeros(len(out), bool)
+    for k in range(1, out.shape[1]):
+        run = (out[:, k:] == out[:, :-k]) & (out[:, k:] > 0)
+        used |= (run & (hist[out[:, k:]] <= k)).any(1)
+        if not run.any():
+            break
+    return out[~used, :max(1, int((out > 0).sum(1).max(initial=1)))]
+
+
+def fit(pats: np.ndarray, hist: np.ndarray, gain: float = FIT_GAIN, most: int = FIT_STEPS) -> np.ndarray:
     """Repeat counts x >= 0 that make the patterns' lengths come near the histogram (least squares).
 
     Multiplicative updates: x stays non-negative and the squared error never grows.
     """
     def made(x: np.ndarray) -> np.ndarray:
-        y = np.zeros(len(hist))
-        for k in range(pats.shape[1]):
-            y += np.bincount(pats[:, k], x, len(hist))
+        y = np.bincount(pats.ravel(), np.repeat(x, pats.shape[1]), len(hist))
         y[0] = 0
         return y
 
@@ -100,11 +139,16 @@ def fit(pats: np.ndarray, hist: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndar
 
     want = hist.astype(float)
     want[0] = 0
-    share = want / np.maximum(made(np.ones(len(pats))), 1)
-    x = np.where(pats > 0, share[pats], np.inf).min(1)
-    target = gathered(want)
-    for _ in range(rounds):
-        x *= target / np.maximum(gathered(made(x)), 1e-12)
+    x = np.full(len(pats), want.sum() / max(1, (pats > 0).sum()))
+    target, error = gathered(want), np.inf
+    for step in range(most):
+        y = made(x)
+        if step % 10 == 0:
+            now = float(((want - y) ** 2).sum())
+            if now >= error * (1 - gain):
+                break
+            error = now
+        x = x * target / np.maximum(gathered(y), 1e-12)
     return x
 
 
@@ -114,7 +158,7 @@ class Plan:
     def __init__(self, full: int, hist: np.ndarray):
         self.full, self.left = full, hist.astype(np.int64).copy()
         self.used = np.zeros(full + 1, np.int64)
-        self.sequences = 0
+        self.sequences = self.patterned = 0
         self.rows: list[tuple[int, int, int, int, int]] = []
 
     def place(self, length: int, count: int, sequence: int, offset: int) -> None:
@@ -122,12 +166,11 @@ class Plan:
         self.used[length] += count
         self.left[length] -= count
 
-    def repeat(self, pats: np.ndarray, counts: np.ndarray) -> None:
-        """Use each pattern as often as its count (rounded up) and the remaining pieces allow."""
-        for i in np.argsort(-counts, kind="stable"):
-            if counts[i] <= 0.01:
-                break
-            lens = Counter(int(v) for v in pats[i] if v)
+    def repeat(self, pats: np.ndarray, counts: np.ndarray) -> int:
+        """Use each pattern as often as its count (rounded up) and the remaining pieces allow; the number of sequences."""
+        before = self.sequences
+        for i in np.argsort(-counts, kind="stable").tolist():
+            lens = Counter(v for v in pats[i].tolist() if v)
             n = min(int(np.ceil(counts[i])), *(int(self.left[v]) // k for v, k in lens.items()))
             if n <= 0:
                 continue
@@ -137,6 +180,7 @@ class Plan:
                     self.place(v, n, self.sequences, at)
                     at += v
             self.sequences += n
+        return self.sequences - before
 
     def best_fit(self) -> None:
         """Pack what is left, longest first, each into the fullest sequences that take it."""
@@ -177,15 +221,19 @@ class Plan:
         return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
 
-def plan(hist: np.ndarray, full: int = LENGTH, step: int = TRIPLE_STEP) -> Plan:
-    """The packing of a histogram (``hist[l]`` pieces of length l)."""
-    out = Plan(full, hist)
-    lengths = np.flatnonzero(hist)
-    if len(lengths):
-        pats = patterns(lengths, full, step)
+def plan(hist: np.ndarray, full: int = LENGTH, seed: int = SEED) -> Plan:
+    """The packing of a histogram (``hist[l]`` pieces of length l); its ``patterned`` sequences come from fitted patterns."""
+    out, rng = Plan(full, hist), np.random.default_rng(seed)
+    for _ in range(ROUNDS):
+        left = int(out.left[1:].sum())
+        if not left:
+            break
+        pats = patterns(out.left, full, rng)
         if len(pats):
-            out.repeat(pats, fit(pats, hist))
-        out.best_fit()
+            out.patterned += out.repeat(pats, fit(pats, out.left))
+        if left - int(out.left[1:].sum()) < LEAST * left:
+            break
+    out.best_fit()
     return out
 
 

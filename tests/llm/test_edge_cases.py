@@ -123,12 +123,53 @@ def test_packing(docs, none):
     assert [r.length for r in by_doc[7]] == [1] and len(by_doc[3]) == 2
 
 
-def test_packing_plan_is_tight():
+def test_packing_plan_is_tight_and_of_patterns():
     rng = np.random.default_rng(1)
-    lengths = np.minimum(rng.lognormal(6, 1.2, 20_000).astype(int) + 1, 4096)
-    hist = np.bincount(lengths, minlength=4097)
-    got = packing.plan(hist)
-    assert not got.left.any() and got.sequences <= 1.01 * -(-lengths.sum() // 4096)
+    for median in (40, 400, 1500):
+        lengths = np.minimum(rng.lognormal(np.log(median), 1, 20_000).astype(int) + 1, 4096)
+        hist = np.bincount(lengths, minlength=4097)
+        got = packing.plan(hist)
+        assert not got.left.any() and got.sequences <= 1.005 * -(-lengths.sum() // 4096) + 1
+        assert got.patterned >= 0.9 * got.sequences
+        assert (packing.plan(hist).table() == got.table()).all()
+
+
+def test_packing_plan_of_odd_histograms():
+    for counts in ({}, {4096: 3}, {1: 5000}, {1500: 7}, {4095: 4, 1: 2}, {2049: 5, 2047: 1}):
+        hist = np.zeros(4097, np.int64)
+        for length, n in counts.items():
+            hist[length] = n
+        got = packing.plan(hist)
+        assert not got.left.any() and got.sequences >= -(-(hist * np.arange(4097)).sum() // 4096)
+        rows = got.table()
+        assert sum(r[2] for r in rows.tolist()) == hist.sum() and all(r[4] + r[0] <= 4096 for r in rows.tolist())
+
+
+def test_patterns_fill_and_use_what_is_there():
+    rng = np.random.default_rng(3)
+    hist = np.bincount(rng.integers(1, 100, 60), minlength=101)
+    pats = packing.patterns(hist, 100, np.random.default_rng(0), slack=2)
+    assert len(pats) and (pats.sum(1) >= 98).all() and (pats.sum(1) <= 100).all() and len(np.unique(pats, axis=0)) == len(pats)
+    for p in pats:
+        assert all(n <= hist[v] for v, n in Counter(p[p > 0].tolist()).items())
+
+
+def test_fit_is_the_least_squares_one():
+    """Against every choice of patterns that may be used, solved without bounds."""
+    rng = np.random.default_rng(5)
+    for _ in range(25):
+        pats = -np.sort(-rng.integers(0, 8, (int(rng.integers(1, 6)), 3)), 1)
+        pats[:, 0] = np.maximum(pats[:, 0], 1)
+        hist = np.concatenate([[0], rng.integers(0, 30, 8)])
+        a = np.stack([np.bincount(p[p > 0], minlength=9) for p in pats], 1).astype(float)
+        best = float((hist ** 2).sum())
+        for mask in range(1, 1 << len(pats)):
+            use = [i for i in range(len(pats)) if mask >> i & 1]
+            x = np.linalg.lstsq(a[:, use], hist, rcond=None)[0]
+            if (x >= -1e-9).all():
+                best = min(best, float(((a[:, use] @ x - hist) ** 2).sum()))
+        x = packing.fit(pats, hist, gain=0, most=20_000)
+        assert (x >= 0).all() and float(((a @ x - hist) ** 2).sum()) <= best * 1.01 + 0.05
 
 
 def test_warc(spark):
