@@ -1,17 +1,17 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters the rows by a seeded hash of doc_id over buckets of about
-``BUCKET_BYTES`` each, so each fits in memory.  Pass two puts each bucket into a fixed
+Pass one scatters the rows by a seeded hash of doc_id and text over buckets of about
+``BUCKET_BYTES`` each, so each fits in memory even where many rows have one doc_id.  Pass two puts each bucket into a fixed
 order, Fisher-Yates shuffles it with a generator seeded by (seed, bucket) and writes it.
 The buckets laid end to end are the shuffled table; row i of it goes to shard i mod shards,
 slot i div shards, so shard counts differ by one at most (law ``rows``).
 
 Scale: texts are shuffled once.  The number of buckets grows with the bytes; bucket sizes
-come from a scan of doc_id alone, one figure a bucket.
+come from a scan, one figure a bucket.
 
 Defined results: null text has 1 byte (the added one) and CRC 0.  Null doc_ids scatter by
-their text.  Rows that repeat doc_id and text are placed like any others and are
-interchangeable.  Every column is kept in the written ``record``, so no name can clash.  An
+their text.  Rows that repeat doc_id and text are placed in the order of a hash of all their
+columns (maps left out); those that agree in all are interchangeable, and share a bucket.  Every column is kept in the written ``record``, so no name can clash.  An
 empty table gives no shards.
 """
 from __future__ import annotations
@@ -51,7 +51,7 @@ def _shuffle_buckets(seed: int):
             return
         rows = pa.Table.from_batches(got)
         del got
-        by = rows.select(["_bucket", "_id", "_crc", "_size"])
+        by = rows.select(["_bucket", "_id", "_crc", "_size", "_rest"])
         order = pc.sort_indices(by, [(c, "ascending") for c in by.column_names]).to_numpy()
         buckets = by.column("_bucket").to_numpy()[order]
         sizes = by.column("_size").to_numpy()
@@ -76,15 +76,15 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     size = F.octet_length(text_of()).cast("long") + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(math.ceil(total / bucket_bytes), shuffle_partitions(spark))
-    by = F.coalesce(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(0))
-    by = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.col("text"))).otherwise(by)
+    crc = F.crc32(text_of().cast("binary"))
+    by = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), crc)
     bucket = F.pmod(by, F.lit(buckets)).cast("long")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = docs.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     starts = starts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     scattered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), bucket.alias("_bucket"),
-                            F.col("doc_id").cast("string").alias("_id"), F.crc32(text_of().cast("binary")).alias("_crc"),
-                            size.alias("_size")).repartitionById(buckets, F.col("_bucket").cast("int"))
+                            F.col("doc_id").cast("string").alias("_id"), crc.alias("_crc"), size.alias("_size"),
+                            F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind)).alias("_rest")).repartitionById(buckets, F.col("_bucket").cast("int"))
     schema = T.StructType([scattered.schema["record"], scattered.schema["_bucket"], T.StructField("_at", T.LongType())])
     mixed = scattered.mapInArrow(_shuffle_buckets(seed), schema)
     index = F.col("_start") + F.col("_at")
