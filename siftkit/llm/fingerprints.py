@@ -14,9 +14,10 @@ sign lane less the count is a sum of random signs; the cosine of two such vector
 that of the paragraph multisets, which is the likeness (cut at 0).
 
 Scale: everything is computed row by row in the JVM.  The next document by doc_id is found
-with one shuffle of texts: ids fall into at most ``MOST_BLOCKS`` ranges, the first document
-of each range is also sent to the range before it (the table of firsts is broadcast, at most
-one row a range), and ``lead`` runs within the ranges.
+with one shuffle of texts: doc_ids (ties: the text's hash) fall into ``RANGES`` ranges a
+shuffle partition, with about as many rows each, however the ids lie.  The first document of
+each range is also sent to the range before it, and ``lead`` runs within the ranges.  What
+every task knows are the ranges' first keys, a few a partition.
 
 Defined results: null text is empty; an empty text has a fingerprint of zeros, likeness 1 to
 another empty one and 0 to any other.  Null doc_ids come first.  Rows that repeat a doc_id
@@ -36,7 +37,8 @@ MASK32 = (1 << 32) - 1
 LOW_BITS = sum(1 << FIELD * k for k in range(3))
 FIELD_MASK = (1 << FIELD - 1) - 1
 FIELDS_MASK = sum(FIELD_MASK << FIELD * k for k in range(3))
-BLOCK_ROWS, MOST_BLOCKS = 256, 1 << 16
+#: Ranges a shuffle partition.
+RANGES = 4
 
 
 def paragraphs(text: Column) -> Column:
@@ -110,26 +112,35 @@ def likeness(a: Column, b: Column) -> Column:
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b).cast("double") / F.sqrt(norms))))
 
 
+def range_of(bounds: Column, key: Column, most: int) -> Column:
+    """Place (from 0) of the last of the sorted ``bounds`` (at most ``most``) that is not above ``key``, by halving."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = ((s["low"] + s["high"] + 1) / 2).cast("int")
+        up = F.get(bounds, middle) <= key
+        return F.when(s["low"] >= s["high"], s).when(up, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(
+            F.struct(s["low"].alias("low"), (middle - 1).alias("high")))
+
+    whole = F.struct(F.lit(0).alias("low"), (F.size(bounds) - 1).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), whole, halve)["low"]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, fp, next_text, next_fp)``: each row with the next by doc_id, the last with the first."""
-    rows = docs.select("doc_id", text_of().alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    blocks = max(1, min(n // BLOCK_ROWS, MOST_BLOCKS))
-    width = ((high or 0) - (low or 0)) // blocks + 1
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(
-        F.floor((F.col("doc_id").cast("double") - float(low or 0)) / float(width))).cast("long")
-    firsts = docs.groupBy(block.alias("block")).agg(F.min("doc_id").alias("first_id"))
-    order = Window.orderBy("block")
-    before = F.coalesce(F.lag("block").over(order), F.max("block").over(Window.partitionBy()))
-    firsts = firsts.select("first_id", before.alias("before"))
-    found = rows.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
-    places = F.filter(F.array(F.struct(block.alias("block"), F.lit(0).alias("extra")),
-                              F.struct(F.col("before").alias("block"), F.lit(1).alias("extra"))), lambda x: x["block"].isNotNull())
-    dealt = found.select("doc_id", "text", F.explode(places).alias("at")).select(
-        "doc_id", "text", F.col("at.block").alias("block"), F.col("at.extra").alias("extra")) \
-        .repartition(shuffle_partitions(docs.sparkSession), "block")
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    partitions = shuffle_partitions(docs.sparkSession)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    key = F.struct("doc_id", "hash")
+    ranged = rows.select("doc_id", "hash").repartitionByRange(RANGES * partitions, *order)
+    firsts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("first"))
+    bounds = firsts.agg(F.sort_array(F.collect_list("first"))).scalar()  # a row a range
+    placed = rows.withColumn("bounds", bounds).withColumn("block", range_of(F.col("bounds"), key, RANGES * partitions))
+    own = F.struct(F.col("block"), F.lit(0).alias("extra"))
+    before = F.struct(F.pmod(F.col("block") - 1, F.size("bounds")).alias("block"), F.lit(1).alias("extra"))
+    places = F.when(F.get("bounds", F.col("block")) == key, F.array(own, before)).otherwise(F.array(own))
+    dealt = placed.select("doc_id", "text", "hash", F.explode(places).alias("at")).select(
+        "doc_id", "text", "hash", "at.block", "at.extra").repartition(partitions, "block")
     dealt = dealt.withColumn("fp", fingerprint(F.col("text")))
-    following = Window.partitionBy("block").orderBy("extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    following = Window.partitionBy("block").orderBy("extra", *order)
     return dealt.select("doc_id", "text", "fp", "extra", F.lead("text").over(following).alias("next_text"),
                         F.lead("fp").over(following).alias("next_fp")).where("extra = 0").drop("extra")
 

@@ -342,3 +342,43 @@ def test_pipeline_stages_on_odd_tables(spark, docs, none, tmp_path):
             assert out.columns == frame.columns and out.count() <= 3 * frame.count()
         assert stage is corpus_pipeline.mix_sources
         assert corpus_pipeline.pack_sequences(spark, frame, str(tmp_path)).count() >= frame.count()
+
+
+def spread(spark, df, of):
+    """Rows of each task that has any, after ``df`` was dealt by ``of``."""
+    return sorted(r["count"] for r in df.groupBy(of).count().collect())
+
+
+def test_ranges_of_fingerprints_are_even(spark):
+    """One far id, one id that a third of the rows have, and null ids: no range has many times the median."""
+    rows = [(i, f"text {i}") for i in range(900)] + [(1 << 50, "far")] + [(5, f"hot {i}") for i in range(500)] + [(None, f"none {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.with_next(df).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    texts = {r.text: r.next_text for r in got}
+    assert len(got) == len(rows) == len(texts) and sorted(texts.values()) == sorted(texts)  # one ring over all rows
+    at, seen = order[0][1], []
+    for _ in rows:
+        seen.append(at)
+        at = texts[at]
+    ids = dict((t, i) for i, t in rows)
+    k = next(i for i, t in enumerate(seen) if ids[seen[i - 1]] == 1 << 50)
+    assert [ids[t] for t in seen[k:] + seen[:k]] == [i for i, _ in order]
+    bounds = df.select("doc_id", F.xxhash64("text").alias("hash")).repartitionByRange(32, F.col("doc_id").asc_nulls_first(), "hash")
+    sizes = spread(spark, bounds, F.spark_partition_id())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_buckets_of_one_doc_id_are_even(spark):
+    rows = [(7, f"text {i}", i) for i in range(4000)] + [(None, f"none {i}", i) for i in range(2000)] + [(8, "same", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(4)
+    paths = [scratch(spark, "hot-shards") for _ in range(2)]
+    got = []
+    for path, frame in zip(paths, (df, df.repartition(3))):
+        sharding.write_shards(frame, path)
+        read = sharding.read_shards(spark, path, df.schema)
+        assert len({r.f for r in read.select(F.input_file_name().alias("f")).distinct().collect()}) > 8
+        got.append(sorted((r.shard, r.slot, r.record.extra, r.record.text) for r in read.collect()))
+    assert got[0] == got[1] and len(got[0]) == len(rows)  # the same rows give the same shards, however they come
+    buckets = spread(spark, df, F.pmod(F.xxhash64(F.lit(sharding.SEED), F.col("doc_id").cast("string"), F.crc32(F.col("text").cast("binary"))), F.lit(8)))
+    assert buckets[-1] <= 1.3 * buckets[len(buckets) // 2]
