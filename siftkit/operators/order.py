@@ -26,14 +26,14 @@ def row_numbers(df: DataFrame, *order: str | Column, name: str = "row") -> DataF
 
 
 def line_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
-    """``lines``, straight from a text scan, with the 0-based place of each line in file order.
+    """``lines``, straight from a text scan, with the 0-based place of each line, files in the order of their paths.
 
-    A scan's partitions follow the files, so a line's place is the number of lines in earlier
-    partitions (one count each is broadcast) plus its place in its own.
+    A scan may read files in any order and cut them into blocks.  A line's place is the number
+    of lines in the blocks before its own (one count a block) plus its place there.
     """
-    place = F.monotonically_increasing_id()
-    at = lines.withColumn("_part", F.spark_partition_id()).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = at.groupBy("_part").agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return at.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")
+    at = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_id"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return at.join(starts, ["_file", "_block"]).withColumn(name, F.col("_id") - F.col("_first") + F.col("_start")).select(*lines.columns, name)
