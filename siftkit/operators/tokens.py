@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import col
+from ..session import shared_table
 from .order import line_numbers
 from .wordpiece import PIECE_PREFIX, with_piece_ids
 
@@ -25,21 +26,28 @@ def read_vocab(spark, path: str) -> DataFrame:
     return parse_vocab(line_numbers(spark.read.text(path)))
 
 
-def build_vocab(docs: DataFrame, tokens: Column, n_words: int, text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """``(w, count)`` of every distinct token of ``docs``, written once; both a vocabulary and H6 read it."""
+    return shared_table(docs.select(F.explode(tokens).alias("w")).groupBy("w").count(), "token-counts")
+
+
+def build_vocab(docs: DataFrame, tokens: Column, n_words: int, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """specials, every character of the corpus, their ``##`` forms, then the ``n_words``
     most frequent tokens (count desc, token asc); ``(token, id)``, a repeated token keeping its last id.
 
-    Bounded by construction: 4 + 2 x alphabet + n_words rows.
+    ``counts`` is ``token_counts`` of the same tokens, where there is one already.  The alphabet is
+    read from the texts once and written.  Bounded by construction: 4 + 2 x alphabet + n_words rows.
     """
     spark = docs.sparkSession
-    chars = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)))
-                        .alias("c")).distinct()
-    words = (docs.select(F.explode(tokens).alias("w")).groupBy("w").count()
-             .orderBy(F.col("count").desc(), F.col("w")).limit(n_words)
+    chars = shared_table(docs.select(F.explode(F.array_distinct(F.split(F.col(text), ""))).alias("c"))
+                         .where("c <> ''").distinct(), "alphabet")
+    if counts is None:
+        counts = token_counts(docs, tokens)
+    words = (counts.orderBy(F.col("count").desc(), F.col("w")).limit(n_words)
              .select("w", (F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("w"))) - 1).alias("r")))
     specials = spark.range(1).select(F.posexplode(F.array(*[F.lit(s) for s in SPECIAL_TOKENS])).alias("id", "token"))
     ranked_chars = chars.select("c", (F.row_number().over(Window.orderBy("c")) - 1).alias("r"))
-    n_chars = ranked_chars.agg(F.count("*")).scalar()
+    n_chars = F.lit(chars.count())
     base = F.lit(len(SPECIAL_TOKENS))
     rows = (specials.select("token", F.col("id").cast("long").alias("id"))
             .unionByName(ranked_chars.select(F.col("c").alias("token"), (base + F.col("r")).alias("id")))

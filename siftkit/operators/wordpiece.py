@@ -157,11 +157,16 @@ def wordpiece(distinct_tokens: DataFrame, vocab: DataFrame, token: str = "token"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, _ = _trie(shared)
-        names = {i: t for t, i in shared.value["vocab"].items()}
+        by_id = sorted((i, t) for t, i in shared.value["vocab"].items())
+        known_ids, names = np.array([i for i, _ in by_id]), pa.array([t for _, t in by_id], pa.string())
         for batch in batches:
-            ids = [trie.pieces(w) for w in batch.column("token").to_pylist()]
+            found = [trie.pieces(w) for w in batch.column("token").to_pylist()]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((i for p in found for i in p), np.int32, int(lengths.sum()))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            pieces = names.take(pa.array(np.searchsorted(known_ids, ids)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("token"), pa.array([[names[i] for i in p] for p in ids], pa.list_(pa.string())),
-                 pa.array(ids, pa.list_(pa.int32()))], names=["token", "pieces", "ids"])
+                [batch.column("token"), pa.ListArray.from_arrays(offsets, pieces), pa.ListArray.from_arrays(offsets, pa.array(ids))],
+                names=["token", "pieces", "ids"])
 
     return distinct_tokens.select(F.col(token).alias("token")).distinct().mapInArrow(run, schema)

@@ -173,7 +173,7 @@ class Tagger:
 
     def decode(self, seqs: DataFrame, keys: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
         """K4: ``(*keys, pred)``, the best tags of each sequence, the first best on ties."""
-        paths = over_rows(self.emission_rows(seqs, keys, tokens), viterbi(self.matrix, self.start), "path", "array<int>")
+        paths = over_rows(self.emission_rows(seqs, keys, tokens), viterbi_all(self.matrix, self.start), "path", "array<int>", at_once=True)
         names = F.array(*[F.lit(t) for t in self.tags])
         return paths.select(*keys, F.transform("path", lambda i: F.get(names, i)).alias("pred"))
 
@@ -243,22 +243,54 @@ def viterbi_udf(transitions: np.ndarray, start: np.ndarray):
 
 def viterbi(trans: np.ndarray, st: np.ndarray):
     """The decoder of one flattened emission matrix."""
-    n_tags = trans.shape[0]
+    every = viterbi_all(trans, st)
+    return lambda flat: every([flat])[0]
 
-    def decode(flat: np.ndarray) -> list[int]:
-        em = np.asarray(flat, dtype=float).reshape(-1, n_tags)
-        if len(em) == 0:
-            return []
-        score = st + em[0]
-        back = np.zeros((len(em), n_tags), dtype=np.int64)
-        for i in range(1, len(em)):
-            cand = score[:, None] + trans
-            back[i] = np.argmax(cand, axis=0)
-            score = cand[back[i], np.arange(n_tags)] + em[i]
-        path = [int(np.argmax(score))]
-        for i in range(len(em) - 1, 0, -1):
-            path.append(int(back[i][path[-1]]))
-        return path[::-1]
+
+#: Emissions (positions times tags) that one step of the batched decoder holds at a time.
+HELD = 4_000_000
+
+
+def viterbi_all(trans: np.ndarray, st: np.ndarray):
+    """The decoder of many flattened emission matrices, one numpy step a position for all of them.
+
+    The sequences go through sorted by length, longest first, in runs of at most HELD emissions
+    as padded, so those that still have a position are always the first rows.
+    """
+    k = trans.shape[0]
+
+    def run(ems: list[np.ndarray]) -> list[list[int]]:
+        lengths = np.array([len(e) for e in ems])
+        padded = np.zeros((len(ems), lengths[0], k))
+        for row, e in zip(padded, ems):
+            row[:len(e)] = e
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # rows longer than a position
+        back = np.zeros(padded.shape, np.int32)
+        score = st + padded[:, 0]
+        for i in range(1, lengths[0]):
+            n = alive[i]
+            cand = score[:n, :, None] + trans
+            best = np.argmax(cand, axis=1)
+            back[:n, i] = best
+            score[:n] = np.take_along_axis(cand, best[:, None, :], 1)[:, 0] + padded[:n, i]
+        at, paths = np.argmax(score, axis=1), np.zeros(padded.shape[:2], np.int32)
+        for i in range(lengths[0] - 1, -1, -1):
+            n = alive[i]
+            paths[:n, i] = at[:n]
+            if i:
+                at[:n] = back[np.arange(n), i, at[:n]]
+        return [path[:n].tolist() for path, n in zip(paths, lengths)]
+
+    def decode(flats) -> list[list[int]]:
+        ems = [np.asarray(f, dtype=float).reshape(-1, k) for f in flats]
+        order = sorted((i for i, e in enumerate(ems) if len(e)), key=lambda i: -len(ems[i]))
+        out: list[list[int]] = [[] for _ in ems]
+        while order:
+            n = max(1, HELD // (len(ems[order[0]]) * k))
+            now, order = order[:n], order[n:]
+            for i, path in zip(now, run([ems[i] for i in now])):
+                out[i] = path
+        return out
 
     return decode
 
@@ -271,14 +303,14 @@ def _over_column(one, kind):
     return run
 
 
-def over_rows(rows: DataFrame, one, out: str, kind: str, column: str = "flat") -> DataFrame:
-    """``rows`` with ``column`` replaced by ``out = one(column)``, Arrow batch by batch."""
+def over_rows(rows: DataFrame, one, out: str, kind: str, column: str = "flat", at_once: bool = False) -> DataFrame:
+    """``rows`` with ``column`` replaced by ``out = one(column)``, Arrow batch by batch; ``at_once``: ``one`` takes and gives a list."""
     kept = [f for f in rows.schema.fields if f.name != column]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{out} {kind}"])
 
     def run(batches):
         for pdf in batches:
-            yield pdf[[f.name for f in kept]].assign(**{out: pdf[column].map(one)})
+            yield pdf[[f.name for f in kept]].assign(**{out: pd.Series(one(pdf[column]), pdf.index, dtype=object) if at_once else pdf[column].map(one)})
 
     return rows.mapInPandas(run, schema)
 

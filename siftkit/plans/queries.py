@@ -683,10 +683,9 @@ NAME_PAIR_LEN = 50     # name classifier sequence length
 VOCAB_WORDS = 2000
 
 
-def vocab(spark, sf_dir) -> DataFrame:
+def vocab(spark, sf_dir, counts: DataFrame | None = None) -> DataFrame:
     """F10 over the documents, words = H5 tokens (cased)."""
-    d = table(spark, sf_dir, "documents")
-    return TK.build_vocab(d, T.basic_tokens("text"), VOCAB_WORDS)
+    return TK.build_vocab(docs(spark, sf_dir), T.basic_tokens("text"), VOCAB_WORDS, counts=counts)
 
 
 def shared_vocab(spark, sf_dir) -> DataFrame:
@@ -704,8 +703,8 @@ def q_read_vocab(spark, sf_dir):
 
 @register("h6_wordpiece")
 def q_wordpiece(spark, sf_dir):
-    toks = docs(spark, sf_dir).select(F.explode(T.basic_tokens("text")).alias("token"))
-    wp = WP.wordpiece(toks, shared_vocab(spark, sf_dir))
+    counts = TK.token_counts(docs(spark, sf_dir), T.basic_tokens("text"))
+    wp = WP.wordpiece(counts, shared_table(vocab(spark, sf_dir, counts), "vocab"), token="w")
     return wp.select("token", F.array_join("pieces", " ").alias("pieces"),
                      F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
