@@ -1,23 +1,29 @@
 """Similarity self-join on word shingles with Bayesian pruning of MinHash comparisons.
 
 A document's set is that of its runs of ``WORDS`` words (all its words, if fewer).  Equal sets
-are one node.  Nodes that share a band of MinHash values are candidates; a pair's values are
-then compared ``STEP`` at a time, and the pair is dropped as soon as the posterior
+are one node.  Nodes that share a band of MinHash values meet in that band's bucket, where the
+values of each pair are compared ``STEP`` at a time; a pair is dropped as soon as the posterior
 probability (uniform prior) that its similarity reaches the threshold falls below
 ``TOLERANCE``.  Pairs that last are verified on their whole shingle sets.
 
-No pair is ever a row.  Candidates travel as stars (each node of a band's bucket with the
-smallest), whose connected components hold every candidate pair.  A component's sets meet in
-tasks of at most two blocks of ``BLOCK`` nodes, which count each node's links and return a
-spanning forest of them; its components are the classes.
+No pair is ever a row.  A bucket's nodes meet in tasks of at most two blocks of ``BLOCK``, which
+return a spanning forest of the pairs that lasted.  Only those edges make components, so a
+chain of candidates of a much lower similarity joins nothing.  A component's whole sets meet in
+the same block-wise way; each task counts its nodes' links and returns a spanning forest of
+them, whose components are the classes.
 
 A pair of similarity 0.8 shares no band with probability under 1e-6 (``BANDS`` bands of
-``ROWS``), and is pruned with probability ``TOLERANCE`` or so.
+``ROWS``), and is pruned with probability ``TOLERANCE`` or so.  Values are compared by 16 bits
+of their hashes, so an unequal one passes for equal once in 65,536 times, which only keeps pairs.
 
-Scale: texts are shuffled once, to the tasks of their component; else only 64-bit keys move.
-Bands of a task's nodes are merged there before the shuffle, so a bucket that holds a third
-of all nodes sends one row for every ``CHUNK`` documents.  Comparing grows with the square of
-a component, spread over its block pairs.
+Names: a set and a row (doc_id and text) are named by 128 bits; a node's number is given out
+when the table of nodes is written, so no two sets share one.
+
+Scale: texts are shuffled once, to the tasks of their component.  Buckets are found by a count a
+band key, merged before its shuffle; buckets of one node go, and of buckets with the same nodes
+one stays.  Hot buckets get their members by broadcast of the key.  A node's ``LANES`` values (256
+bytes) go to each block pair of its buckets.  Tasks are as many as rows ask for.  Comparing
+grows with the square of a bucket and of a component, spread over block pairs.
 
 Defined results: null text counts as empty; documents without words are one class without
 links.  ``class_id`` is the smallest doc_id of the class, ``copy_id`` that of the node; null
@@ -41,7 +47,9 @@ from .components import components
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 46, 6
 LANES, STEP, TOLERANCE = 128, 32, 1e-6
-BLOCK, CHUNK = 512, 8_000
+BLOCK = 512
+#: Rows that a task of block pairs gets or so.
+TASK_ROWS = 20_000
 U64 = np.uint64
 _draw = np.random.default_rng(7)
 FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=U64) * U64(2) + U64(1)
@@ -80,71 +88,23 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return mixed(bands.sum(1, dtype=U64) + np.arange(BANDS, dtype=U64))
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """The set's 64-bit name, 0 for the empty set."""
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))) if len(hashes) else 0
+def name_of(hashes: np.ndarray) -> bytes:
+    """The set's 128-bit name, zeros for the empty set."""
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else bytes(16)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, bands = [], []
+        names, bands, values = [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py())
-            nodes.append(node_of(s))
-            bands.append(band_keys(minhash(s)).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.int64()),
-                                          pa.array(bands, pa.binary())], names=["doc_id", "row_key", "node", "bands"])
-
-
-def _pairs_table(a: np.ndarray, b: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(a), 100_000):
-        x, y = a[i:i + 100_000], b[i:i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), edge))], names=["u", "v", "edge"])
-
-
-def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (key, node): each key and its smallest node, and edges from its other nodes to that."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-    least = nodes[first][np.cumsum(first) - 1]
-    other = nodes != least
-    return keys[first], nodes[first], nodes[other], least[other]
-
-
-def _own_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of a task's nodes, CHUNK rows at a time; of each key one row goes on."""
-    def flush(held: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        keys = np.frombuffer(b"".join(held.values()), np.int64)
-        nodes = np.repeat(np.fromiter(held, np.int64, len(held)), BANDS)
-        k, n, u, v = stars(keys, nodes)
-        yield from _pairs_table(k, n, False)
-        edges = np.unique(np.stack([u, v], 1), axis=0)
-        yield from _pairs_table(edges[:, 0], edges[:, 1], True)
-
-    held: dict[int, bytes] = {}
-    for batch in batches:
-        for node, bands in zip(batch.column("node").to_pylist(), batch.column("bands").to_pylist()):
-            held[node] = bands
-            if len(held) >= CHUNK:
-                yield from flush(held)
-                held = {}
-    if held:
-        yield from flush(held)
-
-
-def _all_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, nodes, edges = [], [], []
-    for b in batches:
-        u, v, is_edge = b.column("u").to_numpy(), b.column("v").to_numpy(), b.column("edge").to_numpy(zero_copy_only=False)
-        keys.append(u[~is_edge])
-        nodes.append(v[~is_edge])
-        edges.append(np.stack([u[is_edge], v[is_edge]], 1))
-    if not keys:
-        return
-    _, _, u, v = stars(np.concatenate(keys), np.concatenate(nodes))
-    got = np.unique(np.concatenate([*edges, np.stack([u, v], 1)]), axis=0)
-    yield from _pairs_table(got[:, 0], got[:, 1], True)
+            names.append(name_of(s))
+            least = minhash(s)
+            bands.append(band_keys(least).view(np.int64) if len(s) else None)
+            values.append((mixed(least[:LANES]) >> U64(48)).astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("row_key"), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+             pa.array(values, pa.binary())], names=["doc_id", "row_key", "name", "bands", "vals"])
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -162,12 +122,12 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, i
 
 
 class Block:
-    """Nodes of one block of a component: names, MinHash values (one row a node), shingle sets."""
+    """Nodes of one block: numbers, MinHash values (one row a node) and, to verify, shingle sets."""
 
-    def __init__(self, rows: dict[int, tuple[bytes, bytes]]):
+    def __init__(self, rows: dict[int, tuple[bytes, bytes | None]]):
         self.names = np.array(sorted(rows), np.int64)
-        self.values = np.array([np.frombuffer(rows[n][0], np.uint32) for n in self.names.tolist()]).reshape(-1, LANES)
-        self.sets = [np.frombuffer(rows[n][1], U64) for n in self.names.tolist()]
+        self.values = np.frombuffer(b"".join(rows[n][0] for n in self.names.tolist()), np.uint16).reshape(-1, LANES)
+        self.sets = [np.frombuffer(rows[n][1], U64) for n in self.names.tolist() if rows[n][1] is not None]
 
 
 def surviving(a: Block, b: Block, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,42 +199,92 @@ def compare(a: Block, b: Block, threshold: float, least: dict[int, int]) -> Iter
          pa.array([None] * len(names) + root.tolist(), pa.int64())], names=["node", "links", "other"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def lasting(a: Block, b: Block, least: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v): a spanning forest of the pairs that are not dropped."""
+    i, j = surviving(a, b, least)
+    if len(i):
+        child, root = forest(a.names[i], b.names[j])
+        yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], names=["u", "v"])
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t.as_py()) for t in batch.column("text")]
-        values = [(minhash(s, LANES) >> U64(32)).astype(np.uint32).tobytes() for s in sets]
-        names = ["component", "node", "block", "blocks"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in names), pa.array(values, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=[*names, "vals", "hashes"])
+        sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
+        names = ["component", "node", "block", "blocks", "vals"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "hashes"])
 
 
-def _compare_groups(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _each_group(meet: Callable[[Block, Block], Iterator[pa.RecordBatch]], key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``meet`` for the blocks ``first`` and ``second`` of every ``key`` of a sorted partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = least_matches(threshold)
         group, held = None, {}
 
         def finish() -> Iterator[pa.RecordBatch]:
             if held:
                 blocks = [Block(held[k]) for k in sorted(held)]
                 if group[1] == group[2]:
-                    yield from compare(blocks[0], blocks[0], threshold, least)
+                    yield from meet(blocks[0], blocks[0])
                 elif len(blocks) == 2:
-                    yield from compare(blocks[0], blocks[1], threshold, least)
+                    yield from meet(blocks[0], blocks[1])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("component", "first", "second", "block", "node", "vals", "hashes")]
-            for component, first, second, block, node, values, hashes in zip(*cols):
-                if (component, first, second) != group:
+            cols = [batch.column(c).to_pylist() for c in (key, "first", "second", "block", "node", "vals")]
+            sets = batch.column("hashes").to_pylist() if "hashes" in batch.schema.names else [None] * len(batch)
+            for k, first, second, block, node, values, hashes in zip(*cols, sets):
+                if (k, first, second) != group:
                     yield from finish()
-                    group, held = (component, first, second), {}
+                    group, held = (k, first, second), {}
                 held.setdefault(block, {})[node] = (values, hashes)
         yield from finish()
     return run
 
 
+def _blocked(members: DataFrame, size: str) -> DataFrame:
+    """``members`` with the number of blocks of their group and the node's own block."""
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    return members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _met(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """The rows of every two blocks of a group together in one task, sorted by ``key`` and blocks."""
+    met = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        key, F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"),
+        "block", "node", *(c for c in ("vals", "hashes") if c in rows.columns))
+    group = [key, "first", "second"]
+    return met.repartition(tasks, *group).sortWithinPartitions(*group)
+
+
+def _tasks(spark, groups: DataFrame, size: str) -> int:
+    """So many tasks that each gets TASK_ROWS rows or so, no fewer than the session's shuffles have."""
+    rows = groups.agg(F.sum(F.col(size) * F.ceil(F.col(size) / BLOCK))).first()[0] or 0
+    return max(shuffle_partitions(spark), -(-int(rows) // TASK_ROWS))
+
+
+def buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, n)`` of the buckets with at least two nodes, one of those with the same nodes, and ``(key, n, node)``."""
+    keyed = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
+    same = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"x{k}") for k in (1, 2)]
+    kept = keyed.groupBy("key").agg(F.count("*").alias("n"), *same).where("n > 1") \
+        .groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n")
+    kept = written(kept, "buckets")
+    members = skew_join(keyed, kept, "key", "n", nodes.count() * BANDS).where("n IS NOT NULL")
+    return kept, members
+
+
+def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(node, component)``: components of the pairs that share a band and are not dropped."""
+    least = least_matches(threshold)
+    kept, members = buckets(nodes)
+    rows = _blocked(members, "n").join(nodes.select("node", "vals").hint("merge"), "node")
+    pairs = _met(rows, "key", _tasks(nodes.sparkSession, kept, "n")).mapInArrow(
+        _each_group(lambda a, b: lasting(a, b, least), "key"), "u long, v long")
+    return components(pairs)
+
+
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    return docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text_of()))
+    """``docs`` with 128 bits of the SHA-256 of doc_id and text."""
+    both = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), text_of())
+    return docs.withColumn(key, F.substring(F.unhex(F.sha2(both, 256)), 1, 16))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -285,40 +295,36 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not 0.75 <= threshold <= 1:
         raise ValueError("the bands are laid out for thresholds of 0.75 and more")
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "row_key")
-    sketches = written(rows.mapInArrow(_sketch, "doc_id long, row_key long, node long, bands binary"), "sketches")
+    sketches = written(rows.mapInArrow(_sketch, "doc_id long, row_key binary, name binary, bands array<long>, vals binary"), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
-    nodes = written(sketches.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies")), "nodes")
-    dealt = sketches.where("bands IS NOT NULL").select("node", "bands").mapInArrow(_own_stars, "u long, v long, edge boolean")
-    edges = dealt.repartition(parts, "u").mapInArrow(_all_stars, "u long, v long, edge boolean")
-    found = components(edges.select("u", "v"))
-
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size"))
-    found = written(found, "candidates")
-    members = skew_join(found, sizes, "component", "size", found.count()).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = written(members.join(nodes.select("node", F.col("first.row_key").alias("row_key")), "node"), "members")
+    nodes = written(sketches.groupBy("name").agg(
+        F.min(first).alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"),
+        F.any_value("vals").alias("vals")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = written(candidates(nodes, threshold), "candidates")
+
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = written(sizes, "component-sizes")
+    members = _blocked(skew_join(found, sizes, "component", "size", found.count()), "size")
+    members = written(members.join(nodes.select("node", "vals", F.col("first.row_key").alias("row_key")), "node"), "members")
     # merged at every size: a broadcast on small inputs alone would hide that the texts move
-    sets = rows.select("row_key", "text").join(members.hint("merge"), "row_key").select("component", "node", "block", "blocks", "text") \
-        .mapInArrow(_sets, "component long, node long, block int, blocks int, vals binary, hashes binary")
-    met = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "node", "vals", "hashes")
-    group = ["component", "first", "second"]
-    links = written(met.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(
-        _compare_groups(threshold), "node long, links long, other long"), "links")
+    sets = rows.select("row_key", "text").join(members.hint("merge"), "row_key").select("component", "node", "block", "blocks", "vals", "text") \
+        .mapInArrow(_with_sets, "component long, node long, block int, blocks int, vals binary, hashes binary")
+    least = least_matches(threshold)
+    links = written(_met(sets, "component", _tasks(spark, sizes, "size")).mapInArrow(
+        _each_group(lambda a, b: compare(a, b, threshold, least), "component"), "node long, links long, other long"), "links")
 
     joined = components(links.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
     counts = links.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
-    table = nodes.join(counts, "node", "left").join(joined, "node", "left").select(
-        "node", "first", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+    table = nodes.select("node", "name", "first", "copies").join(counts, "node", "left").join(joined, "node", "left").select(
+        "name", "first", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         F.coalesce("component", "node").alias("class"))
     table = written(table, "node-classes")
     heads = table.groupBy("class").agg(F.min("first").alias("head"), F.count("*").alias("size"))
     table = written(skew_join(table, written(heads, "class-heads"), "class", "size", table.count()).select(
-        "node", "copies", "links", F.col("head.doc_id").alias("class_id"), F.col("head.row_key").alias("class_row"),
+        "name", "copies", "links", F.col("head.doc_id").alias("class_id"), F.col("head.row_key").alias("class_row"),
         F.col("first.doc_id").alias("copy_id")), "node-results")
-    return skew_join(sketches.select("doc_id", "row_key", "node"), table, "node", "copies", sketches.count()).select(
+    return skew_join(sketches.select("doc_id", "row_key", "name"), table, "name", "copies", sketches.count()).select(
         "doc_id", "row_key", "class_id", "copy_id", "links", "class_row")
 
 
