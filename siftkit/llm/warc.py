@@ -1,18 +1,19 @@
 """WARC archives with revisit resolution.
 
-``deduplicate`` shuffles record headers (never payloads) by payload digest, names the
-smallest page_id of each group of equal payloads the original and turns the others into
-revisits; ``write_archives`` writes the records with fresh headers as WARC 1.1 files;
+``deduplicate`` merges record headers by payload digest, names the smallest page_id of each
+group of equal payloads the original and turns the others into revisits; ``write_archives`` writes the records with fresh headers as WARC 1.1 files;
 ``read_archives`` parses archives by Content-Length; ``resolve_revisits`` joins revisit
 records to the responses they refer to.
 
 Archives are gzip streams written by Spark's text writer: a record is one value and the
 writer's line separator is the blank line pair that ends a WARC record.  So Spark's commit
 protocol holds, and a retried task leaves no half archive.  Files hold at most
-``RECORDS_PER_FILE`` records.
+``RECORDS_PER_FILE`` records.  They are read as a stream of the lines that this separator
+ends, from which records are put together again, so a task holds one record and one Arrow
+batch, however long its archives are.
 
-Scale: headers of equal payloads are merged in the scan tasks before the shuffle; the join
-back takes hot digests by broadcast.  Payloads are shuffled once at most.
+Scale: headers of equal payloads are merged in the scan tasks before the shuffle.  The join
+back takes hot digests by broadcast and shuffles all other payloads once, at every size.
 
 Defined results: null payload is empty.  Payloads under ``LEAST_BYTES`` are never revisits.
 A null page_id comes last in a group; it can be a revisit, and a group of null ids only has
@@ -21,7 +22,6 @@ kind.  A null url leaves the target header out.  Extra columns are not archived.
 """
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -33,8 +33,11 @@ from .common import skew_join, written
 
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 10_000
+#: A batch of records with their blocks is passed on beyond this.
+BATCH_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARSED = ("record_id string, record_type string, page_id long, target_uri string, refers_to_id string, "
           "payload_digest string, payload_bytes long, block binary")
@@ -53,7 +56,8 @@ def deduplicate(recs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     first = headers.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest") \
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
     first = written(first, "warc-originals")
-    rows = skew_join(recs, first, "payload_digest", "copies", headers.count())
+    # merged at every size: a broadcast on small inputs alone would hide that the payloads move
+    rows = skew_join(recs, first.hint("merge"), "payload_digest", "copies", headers.count())
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.select("page_id", "url", "payload", "payload_digest", "payload_bytes",
                        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -95,17 +99,29 @@ def write_archives(recs: DataFrame, path: str, date: str = DATE) -> None:
         .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of every record of one archive."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(header["content-length"])
-        yield header, data[end + 4:at]
+class RecordStream:
+    """Records out of pieces of an archive: ``feed`` gives headers (lower-case names) and block of each that is complete."""
+
+    def __init__(self):
+        self.held, self.header, self.need = bytearray(), None, 0
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.held += piece
+        while True:
+            if self.header is None:
+                at = self.held.find(b"WARC/")
+                end = self.held.find(END, at) if at >= 0 else -1
+                if end < 0:
+                    return
+                lines = self.held[at:end].decode("utf-8", "replace").split(CRLF)[1:]
+                self.header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+                self.need = int(self.header["content-length"])
+                del self.held[:end + len(END)]
+            if len(self.held) < self.need:
+                return
+            done, self.header = (self.header, bytes(self.held[:self.need])), None
+            del self.held[:self.need]
+            yield done
 
 
 def http_payload(block: bytes, content_type: str) -> bytes:
@@ -113,23 +129,28 @@ def http_payload(block: bytes, content_type: str) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if content_type.startswith("application/http") else block
 
 
+def _row(h: dict[str, str], block: bytes, with_block: bool) -> tuple:
+    payload = http_payload(block, h.get("content-type", ""))
+    response = h.get("warc-type") == "response"
+    page = h.get("x-page-id")
+    return (h.get("warc-record-id"), h.get("warc-type"), None if page is None else int(page),
+            h.get("warc-target-uri"), h.get("warc-refers-to"),
+            hashlib.sha256(payload).hexdigest() if response else h.get("warc-payload-digest", "").removeprefix("sha256:"),
+            len(payload) if response else None, payload if with_block else None)
+
+
 def _parse(with_block: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, rows, held = RecordStream(), [], 0
         for batch in batches:
-            for content in batch.column("content"):
-                rows: list[tuple] = []
-                for h, block in parse_archive(content.as_py()):
-                    payload = http_payload(block, h.get("content-type", ""))
-                    response = h.get("warc-type") == "response"
-                    page = h.get("x-page-id")
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), None if page is None else int(page),
-                                 h.get("warc-target-uri"), h.get("warc-refers-to"),
-                                 hashlib.sha256(payload).hexdigest() if response else h.get("warc-payload-digest", "").removeprefix("sha256:"),
-                                 len(payload) if response else None, payload if with_block else None))
-                    if len(rows) == 1000:
+            for line in batch.column("line"):
+                for h, block in stream.feed(line.as_py() + END):  # the separator that the reader took
+                    rows.append(_row(h, block, with_block))
+                    held += len(block) if with_block else 0
+                    if len(rows) == 1000 or held > BATCH_BYTES:
                         yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
+                        rows, held = [], 0
+        yield _batch(rows)
     return run
 
 
@@ -140,9 +161,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str, with_block: bool = False) -> DataFrame:
-    """One row a record of the archives under ``path``; digests of responses are taken from their bytes."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parse(with_block), PARSED)
+    """One row a record of the gzipped archives under ``path``; digests of responses are taken from their bytes.
+
+    A gzip file is never cut, so one task gets its lines in order.
+    """
+    lines = spark.read.option("lineSep", CRLF * 2).text(path).select(F.col("value").cast("binary").alias("line"))
+    return lines.mapInArrow(_parse(with_block), PARSED)
 
 
 def resolve_revisits(recs: DataFrame) -> DataFrame:

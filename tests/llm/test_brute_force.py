@@ -7,9 +7,10 @@ from functools import cache
 
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
-from siftkit.llm import mixing, toxicity
+from siftkit.llm import language_id, mixing, toxicity
 from siftkit.llm.common import documents
 from siftkit.llm.queries import REGISTRY, tokenizer
 from tests.conftest import SF_SMALL
@@ -139,6 +140,48 @@ def test_language(spark, rows):
     assert np.mean([r.lang_pred == rows[r.doc_id].lang for r in lettered]) >= 0.95
 
 
+def test_language_against_plain_python(spark, rows):
+    """Counts, log frequencies, back-off and softmax made anew from the rows outside the held-out fold."""
+    words, grams = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter))
+    for k, r in rows.items():
+        if r.text is not None and r.lang is not None and not held_out(k):
+            for w in regex.findall(r"\p{L}+", r.text.lower()):
+                words[w][r.lang] += 1
+    for w, c in words.items():
+        for n in range(1, 6):
+            for i in range(len(w) + 2 - n + 1):
+                grams[n][f"^{w}$"[i:i + n]].update(c)
+    langs = sorted({x for c in words.values() for x in c})
+    ranked = sorted(((-sum(c.values()), g, n) for n in grams for g, c in grams[n].items()))[:language_id.MAX_GRAMS]
+    kept = {n: {g for _, g, m in ranked if m == n} for n in grams}
+    top = {w for _, w in sorted((-sum(c.values()), w) for w, c in words.items())[:language_id.MAX_WORDS]}
+
+    def logs(counts, total, kinds):
+        return np.array([np.log((counts[x] + 0.1) / (total[x] + 0.1 * kinds)) for x in langs])
+
+    total = sum(words.values(), Counter())
+    totals = {n: sum(grams[n].values(), Counter()) for n in grams}
+
+    @cache
+    def row(w):
+        if w in top:
+            return logs(words[w], total, len(top) + 1)
+        marked = f"^{w}$"
+        for n in range(5, 0, -1):
+            known = [g for i in range(len(marked) - n + 1) if (g := marked[i:i + n]) in kept[n]]
+            if known:
+                return np.mean([logs(grams[n][g], totals[n], len(kept[n]) + 1) for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    for r in REGISTRY["op9_word_first_language"](spark, SF_SMALL).collect():
+        found = re.findall(r"[^\W\d_]+", (rows[r.doc_id].text or "").lower())
+        if not any(c.isalpha() for w in found for c in w):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        s = sum(row(w) for w in found)
+        assert r.lang_pred == langs[int(np.argmax(s))] and abs(r.score - 1 / np.exp(s - s.max()).sum()) < 1e-6
+
+
 def test_toxicity_ranks_held_out_rows(spark, rows):
     sf = "/root/testdata/sf0.01"
     toxic = {r.doc_id: r.toxic for r in documents(spark, sf, "labels").collect()}
