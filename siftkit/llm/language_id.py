@@ -77,7 +77,10 @@ class Model:
 
 
 def _log_rows(rows: pa.Table, langs: list[str], key: str, totals: np.ndarray, kinds: int) -> dict[str, np.ndarray]:
-    """key -> log frequency in each language; ``totals`` is the number of occurrences a language."""
+    """key -> log frequency in each language; ``totals`` is the number of occurrences a language.
+
+    ``kinds`` is the smoothing's number of keys, each counted once for every language that has it.
+    """
     at = {x: i for i, x in enumerate(langs)}
     counts: dict[str, np.ndarray] = {}
     for lang, k, n in zip(rows["lang"].to_pylist(), rows[key].to_pylist(), rows["n"].to_pylist()):

@@ -159,18 +159,21 @@ def test_language_against_plain_python(spark, rows):
     def logs(counts, total, kinds):
         return np.array([np.log((counts[x] + 0.1) / (total[x] + 0.1 * kinds)) for x in langs])
 
+    # the smoothing counts a word or n-gram once for every language that has it
+    kinds = sum(len(words[w]) for w in top) + 1
+    gram_kinds = {n: sum(len(grams[n][g]) for g in kept[n]) + 1 for n in grams}
     total = sum(words.values(), Counter())
     totals = {n: sum(grams[n].values(), Counter()) for n in grams}
 
     @cache
     def row(w):
         if w in top:
-            return logs(words[w], total, len(top) + 1)
+            return logs(words[w], total, kinds)
         marked = f"^{w}$"
         for n in range(5, 0, -1):
             known = [g for i in range(len(marked) - n + 1) if (g := marked[i:i + n]) in kept[n]]
             if known:
-                return np.mean([logs(grams[n][g], totals[n], len(kept[n]) + 1) for g in known], axis=0)
+                return np.mean([logs(grams[n][g], totals[n], gram_kinds[n]) for g in known], axis=0)
         return np.zeros(len(langs))
 
     for r in REGISTRY["op9_word_first_language"](spark, SF_SMALL).collect():
