@@ -13,7 +13,8 @@ ends, from which records are put together again, so a task holds one record and
 batch, however long its archives are.
 
 Scale: headers of equal payloads are merged in the scan tasks before the shuffle.  The join
-back takes hot digests by broadcast and shuffles all other payloads once, at every size.
+back takes hot digests by broadcast and shuffles all other payloads once, at every size
+(adaptive execution leaves that out where no other payload repeats).
 
 Defined results: null payload is empty.  Payloads under ``LEAST_BYTES`` are never revisits.
 A null page_id comes last in a group; it can be a revisit, and a group of null ids only has
