@@ -8,14 +8,17 @@ of the labelled training rows).  With logistic loss l and a score g the risk is
 
 When the second term is negative the classifier overfits; the descent then steps back along
 that term alone (the non-negative correction).  A word scores the sum of its character
-n-grams' weights, a document the sum of its ``TOP`` most toxic words (those above 0) plus a
-bias and a term for its length, so a long clean text does not add up to a toxic one.  N-grams are kept that are over ``LEAST_RATIO`` times as
+n-grams' weights, a document ``log(1 + sum of exp(word score))`` over all its different words,
+plus a bias and a term for its length: with the weight that is learnt for the length the pool
+lies between a sum and a mean, so a long clean text does not add up to a toxic one and no
+word is left out.  N-grams are kept that are over ``LEAST_RATIO`` times as
 common among the positives as in the unlabelled sample, by a likelihood ratio of
 ``LEAST_EVIDENCE`` at least.
 
 Scale: the fit uses at most ``POSITIVES`` and ``UNLABELLED`` documents, whose ids are
-broadcast; n-grams are counted and chosen in Spark, and the driver gets only the chosen ones
-(at most ``FEATURES``) of the sample.  Every text is scored where it lies, whole.
+broadcast; n-grams are counted (tables of at most ``COUNTED`` n-grams a task are passed on) and
+chosen in Spark, and the driver gets only the chosen ones of the sample.  Every text is
+scored where it lies, whole.
 
 Defined results: empty and null texts score like a text without features.  Without confirmed
 positives every score is 0.  Labels that are null, or of ids not in ``documents``, confirm
@@ -24,7 +27,7 @@ alike if their texts are.  Extra columns are ignored by ``score`` and kept by ``
 """
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,33 +42,30 @@ from .language_id import LETTERS, held_out
 POSITIVES = 3_000
 UNLABELLED = 9_000
 SIZES = (4, 5, 6)
-FEATURES = 4_096
 LEAST_RATIO, LEAST_EVIDENCE, LEAST_COUNT = 3.0, 6.0, 3
-HASHES = 1 << 22
+COUNTED = 1_000_000
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
-#: A document's score is the sum of so many words at most.
-TOP = 6
 CACHED_WORDS = 400_000
 
 
-def grams(word: str) -> set[int]:
-    """Hashed n-grams of a lower-case word with its start marked."""
-    marked = ("^" + word).encode("utf-32-le")
-    n = len(marked) // 4
-    return {zlib.crc32(marked[4 * i:4 * (i + k)]) % HASHES for k in SIZES for i in range(n - k + 1)}
+def grams(word: str) -> set[str]:
+    """Character n-grams of a lower-case word with its start marked."""
+    marked = "^" + word
+    return {marked[i:i + k] for k in SIZES for i in range(len(marked) - k + 1)}
 
 
-def features(text: str | None) -> set[int]:
-    out: set[int] = set()
-    for w in set(LETTERS((text or "").lower())):
-        out |= grams(w)
-    return out
+def words_of(text: str | None) -> set[str]:
+    return set(LETTERS((text or "").lower()))
+
+
+def features(text: str | None) -> set[str]:
+    return {g for w in words_of(text) for g in grams(w)}
 
 
 class Model:
-    """Weights of the chosen n-grams (by hashed n-gram), of the length, and a bias."""
+    """Weights of the chosen n-grams, of the length, and a bias."""
 
-    def __init__(self, weights: dict[int, float], length: float = 0.0, bias: float = 0.0):
+    def __init__(self, weights: dict[str, float], length: float = 0.0, bias: float = 0.0):
         self.weights, self.length, self.bias = weights, length, bias
         self.cache: dict[str, float] = {}
 
@@ -80,9 +80,10 @@ class Model:
     def score(self, text: str | None) -> float:
         if not self.weights:
             return 0.0
-        words = set(LETTERS((text or "").lower()))
-        toxic = sorted((s for s in map(self.word, words) if s > 0), reverse=True)
-        g = self.bias + self.length * float(np.log1p(len(words))) + sum(toxic[:TOP])
+        words = words_of(text)
+        scores = np.sort([0.0, *map(self.word, words)])  # in one order, so that equal texts score alike to the last bit
+        pooled = scores[-1] + np.log(np.exp(scores - scores[-1]).sum())
+        g = self.bias + self.length * float(np.log1p(len(words))) + pooled
         return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
 
 
@@ -91,22 +92,24 @@ class Bags:
 
     def __init__(self, docs: list[list[list[int]]], n_words: list[int]):
         words = [(d, w) for d, ws in enumerate(docs) for w in ws]
-        self.n = len(docs)
-        self.length = np.log1p(np.array(n_words, float))
+        self.n, self.n_words = len(docs), np.array(n_words, float)
+        self.length = np.log1p(self.n_words)
         self.doc = np.array([d for d, _ in words], int)
         self.word = np.repeat(np.arange(len(words)), [len(w) for _, w in words])
         self.feature = np.array([f for _, w in words for f in w], int)
 
-    def top(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each document's sum of its TOP best word scores above 0, and which words take part."""
+    def pool(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's log(1 + sum of exp(word score)), and the share of each listed word in it.
+
+        Words without a chosen n-gram are not listed; they score 0.
+        """
         s = np.bincount(self.word, weights[self.feature], len(self.doc))
-        order = np.lexsort((-s, self.doc))
-        sizes = np.bincount(self.doc, minlength=self.n)
-        place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        share = np.zeros(len(s))
-        share[order[place < TOP]] = 1.0
-        share *= s > 0
-        return np.bincount(self.doc, s * share, self.n), share
+        most = np.zeros(self.n)
+        np.maximum.at(most, self.doc, s)
+        own = np.exp(s - most[self.doc])
+        plain = 1 + self.n_words - np.bincount(self.doc, minlength=self.n)
+        total = plain * np.exp(-most) + np.bincount(self.doc, own, self.n)
+        return most + np.log(total), own / total[self.doc]
 
     def gradient(self, share: np.ndarray, slope: np.ndarray, n_features: int) -> np.ndarray:
         """Of the mean over documents, by feature, by the weight of the length and by the bias."""
@@ -124,10 +127,10 @@ def nn_pu(pos: Bags, unl: Bags, weights: np.ndarray, prior: float,
         return float(np.logaddexp(0, -g).mean()) if len(g) else 0.0
 
     n = len(weights)
-    w = np.append(weights, [0.0, np.log(prior / (1 - prior)) if prior < 1 else 0.0])
+    w = np.append(weights, [-1.0, np.log(prior / (1 - prior)) if prior < 1 else 0.0])
     mean, square = np.zeros(n + 2), np.zeros(n + 2)
     for step in range(1, steps + 1):
-        (p, p_share), (u, u_share) = pos.top(w[:n]), unl.top(w[:n])
+        (p, p_share), (u, u_share) = pos.pool(w[:n]), unl.pool(w[:n])
         p, u = p + w[n] * pos.length + w[n + 1], u + w[n] * unl.length + w[n + 1]
         positive = prior * pos.gradient(p_share, -below(p), n)
         negative = unl.gradient(u_share, below(-u), n) - prior * pos.gradient(p_share, below(-p), n)
@@ -139,18 +142,24 @@ def nn_pu(pos: Bags, unl: Bags, weights: np.ndarray, prior: float,
     return w[:n], float(w[n]), float(w[n + 1])
 
 
+def _counted(pos: Counter, unl: Counter) -> pa.RecordBatch:
+    names = list(pos | unl)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[g] for g in names], pa.int64()),
+                                       pa.array([unl[g] for g in names], pa.int64())], names=["gram", "pos", "unl"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pos, unl = np.zeros(HASHES, np.int32), np.zeros(HASHES, np.int32)
+    pos, unl = Counter(), Counter()
     for batch in batches:
         for text, p, u in zip(batch.column("text"), batch.column("pos").to_pylist(), batch.column("unl").to_pylist()):
-            ids = np.fromiter(features(text.as_py()), np.int64)
-            pos[ids] += p
-            unl[ids] += u
-    seen = np.flatnonzero(pos + unl)
-    for i in range(0, len(seen), 100_000):
-        part = seen[i:i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(pos[part].astype(np.int64)), pa.array(unl[part].astype(np.int64))],
-                                         names=["gram", "pos", "unl"])
+            own = features(text.as_py())
+            for side, counts in ((p, pos), (u, unl)):
+                if side:
+                    counts.update(own)
+            if len(pos) + len(unl) >= COUNTED:
+                yield _counted(pos, unl)
+                pos, unl = Counter(), Counter()
+    yield _counted(pos, unl)
 
 
 def _chosen_only(chosen):
@@ -159,11 +168,11 @@ def _chosen_only(chosen):
         for batch in batches:
             got, sizes = [], []
             for text in batch.column("text"):
-                words = set(LETTERS((text.as_py() or "").lower()))
+                words = words_of(text.as_py())
                 got.append([x for w in sorted(words) if (x := sorted(grams(w) & keep))])
                 sizes.append(len(words))
             yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("unl"), pa.array(sizes, pa.int64()),
-                                              pa.array(got, pa.list_(pa.list_(pa.int64())))], names=["pos", "unl", "n_words", "words"])
+                                              pa.array(got, pa.list_(pa.list_(pa.string())))], names=["pos", "unl", "n_words", "words"])
     return run
 
 
@@ -187,17 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     n_pos, n_unl = rows.agg(F.sum("pos"), F.sum("unl")).first()
     if not n_pos or not n_unl:
         return Model({})
-    counts = rows.mapInArrow(_count, "gram long, pos long, unl long").groupBy("gram").agg(
+    counts = rows.mapInArrow(_count, "gram string, pos long, unl long").groupBy("gram").agg(
         F.sum("pos").alias("pos"), F.sum("unl").alias("unl")).where(F.col("pos") >= LEAST_COUNT)
     expected = (F.col("unl") + 1) / float(n_unl + 1) * float(n_pos)
     evidence = F.col("pos") * F.log(F.col("pos") / expected) - F.col("pos") + expected
-    chosen = counts.where((F.col("pos") >= expected * LEAST_RATIO) & (evidence >= LEAST_EVIDENCE)) \
-        .orderBy(F.desc(evidence), "gram").limit(FEATURES)
-    kept = sorted(r.gram for r in chosen.select("gram").collect())  # at most FEATURES
+    chosen = counts.where((F.col("pos") >= expected * LEAST_RATIO) & (evidence >= LEAST_EVIDENCE))
+    kept = sorted(r.gram for r in chosen.select("gram").collect())  # n-grams of the bounded sample's positives
     if not kept:
         return Model({})
     at = {g: i for i, g in enumerate(kept)}
-    sample_rows = rows.mapInArrow(_chosen_only(spark.sparkContext.broadcast(kept)), "pos int, unl int, n_words long, words array<array<long>>") \
+    sample_rows = rows.mapInArrow(_chosen_only(spark.sparkContext.broadcast(kept)), "pos int, unl int, n_words long, words array<array<string>>") \
         .collect()  # at most POSITIVES + UNLABELLED rows, of chosen n-grams only
     sides = [[r for r in sample_rows if r[side]] for side in ("pos", "unl")]
     bags = [Bags([[[at[g] for g in w] for w in r.words] for r in side], [r.n_words for r in side]) for side in sides]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,14 +315,14 @@ def test_nn_pu_against_numeric_gradients(prior):
     def value(docs, w, sign):
         out = 0.0
         for words, n in docs:
-            best = sorted((s for f in words if (s := sum(w[x] for x in f)) > 0), reverse=True)[:toxicity.TOP]
-            out += np.logaddexp(0, -sign * (sum(best) + w[-2] * np.log1p(n) + w[-1]))
+            pooled = np.log(1 + n - len(words) + sum(np.exp(sum(w[x] for x in f)) for f in words))
+            out += np.logaddexp(0, -sign * (pooled + w[-2] * np.log1p(n) + w[-1]))
         return out / len(docs)
 
     def numeric(f, w):
         return np.array([(f(w + e) - f(w - e)) / 2e-6 for e in np.eye(len(w)) * 1e-6])
 
-    w, m, v, corrections = np.append(start, [0.0, np.log(prior / (1 - prior))]), np.zeros(10), np.zeros(10), 0
+    w, m, v, corrections = np.append(start, [-1.0, np.log(prior / (1 - prior))]), np.zeros(10), np.zeros(10), 0
     for step in range(1, 41):
         negative = lambda x: value(unl, x, -1) - prior * value(pos, x, -1)
         if negative(w) >= 0:
@@ -336,6 +337,37 @@ def test_nn_pu_against_numeric_gradients(prior):
     assert (corrections > 0) == (prior > 0.5)
 
 
+def test_every_word_counts_in_the_toxicity_score():
+    model = toxicity.Model({"^bad": 3.0, "good": -2.0, "^vile": 2.0}, -1.1, -0.5)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    bad = [f"bad{w}" for w in plain[:20]]
+    last = 0.0
+    for k in range(1, 21):  # words past the first few still move the score
+        got = model.score(" ".join([*bad[:k], *plain]))
+        n = k + len(plain)
+        g = np.log(1 + len(plain) + k * np.exp(3.0)) - 1.1 * np.log1p(n) - 0.5
+        assert np.isclose(got, 1 / (1 + np.exp(-g))) and got > last
+        last = got
+    assert model.score("bad vile good") == model.score("good  VILE\tbad bad") > model.score("good")
+    assert model.score(None) == model.score("") == model.score("12 34") and toxicity.Model({}).score("bad") == 0.0
+    assert np.isfinite(toxicity.Model({"^bad": 2000.0}, 0.0, 0.0).score("bad word"))
+
+
+def test_gram_tables_are_passed_on_in_parts(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": ["some words", None, "other words", ""], "pos": [1, 0, 1, 1], "unl": [0, 1, 1, 0]})
+    def totals():
+        out = {}
+        for b in toxicity._count([batch]):
+            for r in b.to_pylist():
+                p, u = out.get(r["gram"], (0, 0))
+                out[r["gram"]] = (p + r["pos"], u + r["unl"])
+        return out
+    whole = totals()
+    assert whole["word"] == (2, 1) and whole["^som"] == (1, 0)
+    monkeypatch.setattr(toxicity, "COUNTED", 1)
+    assert totals() == whole
+
+
 def test_fingerprints(spark, docs, none):
     rows = fingerprints.compare_edits(docs).collect()
     assert len(rows) == len(ROWS) and fingerprints.compare_edits(none).count() == 0
