@@ -1,13 +1,15 @@
 """Language identification: word first, then progressively shorter character n-grams.
 
-Training counts words per language in a bounded sample of the labelled rows.  The model keeps
-the ``MAX_WORDS`` commonest words and ``MAX_GRAMS`` commonest n-grams with their log
-frequency in each language.  A known word of a text adds its log frequencies.  An unseen
+Training counts words per language in a bounded sample of the labelled rows, and n-grams in
+these words.  The model keeps all of them with their counts in each language, whose logs
+(smoothed by ``SMOOTH`` of each known key and one unknown) are the scores.  A known word of a text adds its log frequencies.  An unseen
 word backs off: the mean over its known n-grams of length 5, or of 4 if it has none, and so
 on down to 1.  The best sum wins; the score is its softmax share.
 
-Scale: the sample's ids (at most ``SAMPLE_DOCS``) and the model are broadcast, both bounded
-by parameters; every text is then scored where it lies, with a bounded cache of word scores.
+Scale: the sample's ids (at most ``SAMPLE_DOCS``) are broadcast, and so is the model, which
+grows with the sample's vocabulary and not with the corpus: for each key 64 bits of hash (of
+a million keys two agree once in 10^7 models) and one count a language.  Every text is then
+scored where it lies, whole, with a bounded cache of word scores.
 
 Defined results: ``und`` with score 0 for null text, text without a letter, and every text
 if nothing is labelled.  Equal sums go to the language first in code-point order.  A null
@@ -22,14 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
 
 SAMPLE_DOCS = 20_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
 GRAMS = (5, 4, 3, 2, 1)
 CACHED_WORDS = 300_000
 SMOOTH = 0.1
@@ -41,25 +42,65 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def key_hash(name: str) -> int:
+    """What Spark's xxhash64 gives for a string, unsigned."""
+    return xxhash.xxh64_intdigest(name.encode(), 42)
+
+
+class Table:
+    """Counts of keys (rows, by hash) in languages (columns), read as log frequencies.
+
+    ``group`` numbers the kinds of keys; each kind's frequencies are of its own total.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, group: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.group = hashes[order], counts[order], group[order]
+        kinds = np.bincount(group)
+        totals = np.stack([counts[group == k].sum(axis=0) for k in range(len(kinds))]) if len(kinds) else np.zeros((0, counts.shape[1]))
+        self.below = totals + SMOOTH * (kinds + 1)[:, None]
+
+    @classmethod
+    def of(cls, counts: dict[str, list[int]], n_langs: int) -> Table:
+        """From counts by key, the keys being of one kind each length."""
+        names = list(counts)
+        lengths = np.unique([len(x) for x in names], return_inverse=True)[1] if names else np.zeros(0, int)
+        return cls(np.array([key_hash(x) for x in names], np.uint64), np.array([counts[x] for x in names], np.int64).reshape(-1, n_langs), lengths)
+
+    def find(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the names in the table, and which of them it has."""
+        if not len(self.hashes):
+            return np.zeros(len(names), int), np.zeros(len(names), bool)
+        asked = np.array([key_hash(x) for x in names], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        return at, self.hashes[at] == asked
+
+    def logs(self, at: np.ndarray) -> np.ndarray:
+        return np.log((self.counts[at] + SMOOTH) / self.below[self.group[at]])
+
+
 class Model:
-    """Rows of log frequencies (one column a language) of words and of n-grams by length."""
+    """Languages in code-point order, the table of words (one kind) and that of n-grams (a kind each length)."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], words: Table | None = None, grams: Table | None = None):
         self.langs, self.words, self.grams = langs, words, grams
         self.cache: dict[str, np.ndarray] = {}
 
     def backoff(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
-        for n in GRAMS:
-            known = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i:i + n])) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+        cut = [(n, marked[i:i + n]) for n in GRAMS for i in range(len(marked) - n + 1)]
+        at, known = self.grams.find([g for _, g in cut])
+        hits = np.flatnonzero(known)
+        if not len(hits):
+            return np.zeros(len(self.langs))
+        size = np.array([n for n, _ in cut])[hits]
+        return self.grams.logs(at[hits[size == size[0]]]).mean(axis=0)
 
     def row(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None and (got := self.cache.get(word)) is None:
-            got = self.backoff(word)
+        got = self.cache.get(word)
+        if got is None:
+            at, known = self.words.find([word])
+            got = self.words.logs(at)[0] if known[0] else self.backoff(word)
             if len(self.cache) < CACHED_WORDS:
                 self.cache[word] = got
         return got
@@ -76,19 +117,17 @@ class Model:
         return self.langs[best], float(1 / np.exp(sums - sums[best]).sum())
 
 
-def _log_rows(rows: pa.Table, langs: list[str], key: str, totals: np.ndarray, kinds: int) -> dict[str, np.ndarray]:
-    """key -> log frequency in each language; ``totals`` is the number of occurrences a language.
-
-    ``kinds`` is the smoothing's number of keys, each counted once for every language that has it.
-    """
-    at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, k, n in zip(rows["lang"].to_pylist(), rows[key].to_pylist(), rows["n"].to_pylist()):
-        counts.setdefault(k, np.zeros(len(langs)))[at[lang]] = n
-    return {k: np.log((c + SMOOTH) / (totals + SMOOTH * kinds)) for k, c in counts.items()}
+def _table(counts: DataFrame, key: str, group: Column, langs: list[str]) -> Table:
+    """The counts ``(lang, key, n)`` of a bounded sample, without the keys' names."""
+    rows = counts.select("lang", F.xxhash64(key).alias("h"), group.cast("int").alias("g"), "n").toArrow()
+    hashes, first, at = np.unique(rows["h"].to_numpy().view(np.uint64), return_index=True, return_inverse=True)
+    n = rows["n"].to_numpy()
+    table = np.zeros((len(hashes), len(langs)), np.int32 if n.sum() < 1 << 31 else np.int64)
+    np.add.at(table, (at, pc.index_in(rows["lang"], pa.array(langs, rows["lang"].type)).to_numpy()), n.astype(table.dtype))
+    return Table(hashes, table, rows["g"].to_numpy()[first].astype(np.int8))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most ``sample_docs`` rows of ``docs`` with text and lang, those with the smallest hash of doc_id."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
@@ -96,6 +135,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_
         F.col("lang").cast("string").alias("lang"),
         F.explode(F.regexp_extract_all(F.lower(text_of()), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = written(rows.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
+
     def grams_of(n: int) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda i: F.substring(F.col("marked"), i, F.lit(n)))
         return F.when(F.length("marked") >= n, cut).otherwise(F.array().cast("array<string>"))
@@ -105,22 +145,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_
                     .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())  # one row a language
 
-    def kept(counts: DataFrame, key: str, most: int) -> pa.Table:
-        top = counts.groupBy(key).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), key).limit(most)
-        return counts.join(F.broadcast(top.select(key)), key).select("lang", key, "n").toArrow()
-
-    def sums(counts: DataFrame, where: Column | None = None) -> np.ndarray:
-        got = {r.lang: r.n for r in (counts if where is None else counts.where(where)).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        return np.array([got.get(x, 0) for x in langs], float)
-
     if not langs:
-        return Model([], {}, {})
-    top_words, top_grams = kept(words, "word", max_words), kept(grams, "gram", max_grams)
-    gram_rows: dict[str, np.ndarray] = {}
-    for n in GRAMS:
-        own = top_grams.filter(pc.equal(pc.utf8_length(top_grams["gram"]), n))
-        gram_rows |= _log_rows(own, langs, "gram", sums(grams, F.length("gram") == n), len(own) + 1)
-    return Model(langs, _log_rows(top_words, langs, "word", sums(words), len(top_words) + 1), gram_rows)
+        return Model([])
+    return Model(langs, _table(words, "word", F.lit(0), langs), _table(grams, "gram", F.length("gram") - 1, langs))
 
 
 def _predict(model):

@@ -10,7 +10,7 @@ import pytest
 import regex
 
 import corpus_pipeline
-from siftkit.llm import language_id, mixing, toxicity
+from siftkit.llm import mixing, toxicity
 from siftkit.llm.common import documents
 from siftkit.llm.queries import REGISTRY, tokenizer
 from tests.conftest import SF_SMALL
@@ -152,26 +152,23 @@ def test_language_against_plain_python(spark, rows):
             for i in range(len(w) + 2 - n + 1):
                 grams[n][f"^{w}$"[i:i + n]].update(c)
     langs = sorted({x for c in words.values() for x in c})
-    ranked = sorted(((-sum(c.values()), g, n) for n in grams for g, c in grams[n].items()))[:language_id.MAX_GRAMS]
-    kept = {n: {g for _, g, m in ranked if m == n} for n in grams}
-    top = {w for _, w in sorted((-sum(c.values()), w) for w, c in words.items())[:language_id.MAX_WORDS]}
 
     def logs(counts, total, kinds):
         return np.array([np.log((counts[x] + 0.1) / (total[x] + 0.1 * kinds)) for x in langs])
 
-    # the smoothing counts a word or n-gram once for every language that has it
-    kinds = sum(len(words[w]) for w in top) + 1
-    gram_kinds = {n: sum(len(grams[n][g]) for g in kept[n]) + 1 for n in grams}
+    # the smoothing's keys are the known ones and one unknown
+    kinds = len(words) + 1
+    gram_kinds = {n: len(grams[n]) + 1 for n in grams}
     total = sum(words.values(), Counter())
     totals = {n: sum(grams[n].values(), Counter()) for n in grams}
 
     @cache
     def row(w):
-        if w in top:
+        if w in words:
             return logs(words[w], total, kinds)
         marked = f"^{w}$"
         for n in range(5, 0, -1):
-            known = [g for i in range(len(marked) - n + 1) if (g := marked[i:i + n]) in kept[n]]
+            known = [g for i in range(len(marked) - n + 1) if (g := marked[i:i + n]) in grams[n]]
             if known:
                 return np.mean([logs(grams[n][g], totals[n], gram_kinds[n]) for g in known], axis=0)
         return np.zeros(len(langs))

@@ -403,10 +403,19 @@ def test_language_id(docs, none):
 
 
 def test_language_backoff():
-    model = language_id.Model(["a", "b"], {"known": np.array([-1.0, -9.0])},
-                              {"^unk": np.array([-9.0, -1.0]), "n": np.array([-2.0, -3.0])})
+    model = language_id.Model(["a", "b"], language_id.Table.of({"known": [90, 1], "other": [10, 99]}, 2),
+                              language_id.Table.of({"^unk": [1, 90], "rest": [99, 10], "n": [5, 3], "x": [5, 7]}, 2))
     assert model.predict("known known")[0] == "a" and model.predict("unkx")[0] == "b" and model.predict("zzn")[0] == "a"
     assert model.predict("zz") == ("a", 0.5)  # a tie: the first
+    assert np.allclose(model.row("known"), np.log([90.1 / 100.3, 1.1 / 100.3]))
+    assert np.allclose(model.row("unkn"), np.log([1.1 / 100.3, 90.1 / 100.3]))  # the longest known n-grams only
+    assert np.allclose(model.row("nx"), np.log([[5.1, 3.1], [5.1, 7.1]]).mean(axis=0) - np.log(10.3))
+
+
+def test_key_hashes_are_sparks(spark):
+    names = ["", "a", "^unk", "straße", "日本", "😀", "x" * 100]
+    got = spark.createDataFrame([(n,) for n in names], "name string").select(F.xxhash64("name").alias("h")).collect()
+    assert [r.h % (1 << 64) for r in got] == [language_id.key_hash(n) for n in names]
 
 
 def test_toxicity(spark, docs, none):
