@@ -1,12 +1,12 @@
 """Name rules (B1, B2, B12, C4, C5, D3) as native expressions."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import GENDER_WORDS, char_class, col, java_quote
+from .common import GENDER_WORDS, char_class, col, java_quote, let
 
 MENTION_TYPE = "array<struct<start:int,end:int>>"
 
@@ -54,17 +54,19 @@ def mention_spans(text, name, literal: bool = True) -> Column:
     t = col(text)
     n = col(name)
     pattern = java_quote(n) if literal else n
-    pieces = F.split(t, pattern, -1)
-    if literal:
-        found = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda k: k)
-        matched = F.transform(found, lambda k: F.length(n))
-    else:
-        matched = F.transform(F.regexp_extract_all(t, n, 0), lambda m: F.length(m))
+    if literal:  # bound, else each step cuts the text anew
+        return let(F.split(t, pattern, -1), lambda pieces: let(F.length(n), lambda size: _mentions(pieces, lambda k: size)))
+    lengths = F.transform(F.regexp_extract_all(t, n, 0), lambda m: F.length(m))
+    return let(F.split(t, pattern, -1), lambda pieces: let(lengths, lambda matched: _mentions(pieces, lambda k: F.get(matched, k))))
+
+
+def _mentions(pieces: Column, length: Callable[[Column], Column]) -> Column:
+    """The mentions between ``pieces``, the k-th of them ``length(k)`` characters long."""
     init = F.struct(F.lit(0).alias("off"), F.array().cast(MENTION_TYPE).alias("out"))
 
     def step(acc, k):
         start = acc["off"] + F.length(F.get(pieces, k))
-        stop = start + F.get(matched, k)
+        stop = start + length(k)
         return F.struct(stop.alias("off"), F.concat(acc["out"], F.array(F.struct(
             start.alias("start"), stop.alias("end")))).alias("out"))
 

@@ -41,7 +41,10 @@ def bio_spans(tokens, tags, sep: str = "") -> Column:
     character tokens, ' ' for word tokens).  ``begin``/``end`` are the
     positions of the first and last token of the span.
     """
-    toks = col(tokens)
+    return let(col(tokens), lambda toks: _bio_spans(toks, tags, sep))  # bound, else each step makes them anew
+
+
+def _bio_spans(toks: Column, tags, sep: str) -> Column:
     items = _state_changing(tags)
     init = F.struct(
         F.lit("").alias("typ"), F.array().cast("array<string>").alias("pieces"),
@@ -87,7 +90,10 @@ def bio_spans_legacy(tokens, tags, sep: str = "") -> Column:
     (those of the tag that closes the span).  ``merge_legacy_names`` then
     glues the first ``B_NAME`` span onto the first ``NAME`` span.
     """
-    toks = col(tokens)
+    return let(col(tokens), lambda toks: _bio_spans_legacy(toks, tags))
+
+
+def _bio_spans_legacy(toks: Column, tags) -> Column:
     items = _state_changing(tags)
     init = F.struct(
         F.lit("").alias("typ"), F.lit("").alias("slot"),
@@ -143,13 +149,14 @@ def capital_tags(chunk, capital_re: str = CAPITAL_RE) -> Column:
     before is not capital, else ``I_NAME``; other tokens are ``O``.  A
     ``[CLS]`` leads.  All tokens are tagged, however long the chunk.
     """
-    toks = F.split(col(chunk), " ")
-    caps = F.transform(toks, lambda w: w.rlike(capital_re))
-    tags = F.transform(caps, lambda c, i: F.when(
-        c, F.when((i > 0) & F.coalesce(F.get(caps, i - 1), F.lit(False)), F.lit("I_NAME"))
-        .otherwise(F.lit("B_NAME"))).otherwise(F.lit("O")))
-    return F.struct(F.concat(F.array(F.lit("[CLS]")), toks).alias("tokens"),
-                    F.concat(F.array(F.lit("[CLS]")), tags).alias("tags"))
+    def tagged(toks):
+        tags = let(F.transform(toks, lambda w: w.rlike(capital_re)), lambda caps: F.transform(caps, lambda c, i: F.when(
+            c, F.when((i > 0) & F.coalesce(F.get(caps, i - 1), F.lit(False)), F.lit("I_NAME"))
+            .otherwise(F.lit("B_NAME"))).otherwise(F.lit("O"))))
+        return F.struct(F.concat(F.array(F.lit("[CLS]")), toks).alias("tokens"),
+                        F.concat(F.array(F.lit("[CLS]")), tags).alias("tags"))
+
+    return let(F.split(col(chunk), " "), tagged)
 
 
 def span_texts(spans, slot_type: str | None = None) -> Column:

@@ -47,19 +47,18 @@ def split_article(text, max_len: int = 488, marks: Sequence[str] = ARTICLE_SPLIT
     if max_len < 1:
         raise ValueError("max_len must be positive")
     t = col(text)
-    n = F.length(t)
     last_re = last_mark_regex(marks)
     first_re = lead_regex(marks)
     m = F.lit(max_len)
-
-    # two consecutive steps consume at least max_len + 1 characters
-    steps = F.sequence(F.lit(1), (F.ceil(n / F.lit(max_len)) * 2 + 2).cast("int"))
     init = F.struct(F.lit(1).alias("pos"), F.array().cast("array<string>").alias("pieces"))
 
-    def pieces(at):
+    def pieces(at, n):
+        # two consecutive steps consume at least max_len + 1 characters
+        steps = F.sequence(F.lit(1), (F.ceil(n / F.lit(max_len)) * 2 + 2).cast("int"))
+
         def step(acc, _i):
-            p = F.length(F.regexp_extract(at(acc["pos"], m), last_re, 0))
-            cut = F.when(p > 0, p - 1).otherwise(F.lit(max_len + 1))
+            found = F.length(F.regexp_extract(at(acc["pos"], m), last_re, 0))
+            cut = let(found, lambda p: F.when(p > 0, p - 1).otherwise(F.lit(max_len + 1)))
             nxt = let(cut, lambda g: F.struct(
                 (acc["pos"] + g + 1).alias("pos"),
                 F.concat(acc["pieces"],
@@ -68,8 +67,8 @@ def split_article(text, max_len: int = 488, marks: Sequence[str] = ARTICLE_SPLIT
 
         def finish(acc):
             window = at(F.greatest(n - m + 1, F.lit(1)), m)
-            i = F.length(F.regexp_extract(window, first_re, 0))
-            k = F.when(i < F.length(window), m - i - 1).otherwise(m - 1)
+            k = let(window, lambda w: let(F.length(F.regexp_extract(w, first_re, 0)),
+                                          lambda i: F.when(i < F.length(w), m - i - 1).otherwise(m - 1)))
             tail = let(k, lambda kk: F.when(kk == 0, t).otherwise(
                 at(F.greatest(n - kk + 1, F.lit(1)), m)))
             return F.when(n - acc["pos"] + 1 > F.lit(min_tail),
@@ -77,7 +76,7 @@ def split_article(text, max_len: int = 488, marks: Sequence[str] = ARTICLE_SPLIT
 
         return F.aggregate(steps, init, step, finish)
 
-    return _by_blocks(t, max_len, pieces)
+    return let(F.length(t), lambda n: _by_blocks(t, max_len, lambda at: pieces(at, n)))  # counted once, not at each step
 
 
 def split_on_mark(text, max_len: int = 512, mark: str = "。") -> Column:
@@ -143,16 +142,12 @@ def mention_sentence(text, start, end, marks: Sequence[str] = SENTENCE_MARKS,
     lo_r = e + min_window
     hi_r = F.least(n, e + max_window)
     rwin = t.substr(lo_r + 1, hi_r - lo_r)
-    q = F.length(F.regexp_extract(rwin, first_re, 0))
-    right = (F.when(lo_r >= hi_r, n)
-             .when(q < hi_r - lo_r, lo_r + q)
-             .otherwise(hi_r - 1))
+    right = F.when(lo_r >= hi_r, n).otherwise(let(
+        F.length(F.regexp_extract(rwin, first_re, 0)), lambda q: F.when(q < hi_r - lo_r, lo_r + q).otherwise(hi_r - 1)))
 
     lo_l = F.greatest(F.lit(0), s - max_window)
     hi_l = s - min_window
     lwin = t.substr(lo_l + 1, hi_l - lo_l)
-    p = F.length(F.regexp_extract(lwin, last_re, 0))
-    left = (F.when(lo_l >= hi_l, F.lit(0))
-            .when(p > 0, lo_l + p)
-            .otherwise(lo_l + 1))
-    return t.substr(left + 1, F.greatest(right - left, F.lit(0)))
+    left = F.when(lo_l >= hi_l, F.lit(0)).otherwise(let(
+        F.length(F.regexp_extract(lwin, last_re, 0)), lambda p: F.when(p > 0, lo_l + p).otherwise(lo_l + 1)))
+    return let(left, lambda begin: t.substr(begin + 1, F.greatest(right - begin, F.lit(0))))

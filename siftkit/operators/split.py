@@ -17,9 +17,10 @@ def split_chunks(df: DataFrame, text: str = "text", max_len: int = 488,
 
     ``outer=True`` keeps articles with no piece (chunk_idx and chunk null).
     """
-    gen = F.posexplode_outer if outer else F.posexplode
-    return df.select(*keep, gen(split_article(F.col(text), max_len, marks, end_mark))
-                     .alias("chunk_idx", "chunk"))
+    # always the outer form: from the inner one Spark derives a filter that splits once more
+    pieces = df.select(*keep, F.posexplode_outer(split_article(F.col(text), max_len, marks, end_mark))
+                       .alias("chunk_idx", "chunk"))
+    return pieces if outer else pieces.filter(F.col("chunk_idx").isNotNull())
 
 
 def split_posts(df: DataFrame, text: str = "content", max_len: int = 512,

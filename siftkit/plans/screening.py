@@ -63,8 +63,7 @@ def names_of_tags(tagged: DataFrame, keys: Sequence[str], tokens: str, tags: str
 def chunk_names(doc_id, chunk_idx, chunk, tagger=capital_tags, sep: str = " ",
                 slot_type: str = "NAME") -> Column:
     """K8: tag the chunk, decode spans (E2), recover ``[UNK]`` (H25), distinct names."""
-    tagged = tagger(chunk)
-    spans = bio_spans(tagged["tokens"], tagged["tags"], sep)
+    spans = let(tagger(chunk), lambda tagged: bio_spans(tagged["tokens"], tagged["tags"], sep))
     names = F.transform(F.filter(spans, lambda s: s["slot_type"] == slot_type),
                         lambda s: fill_unk(chunk, s["text"]))
     return F.array_distinct(names)
@@ -183,7 +182,7 @@ def screen_by_model(docs: DataFrame, score_chunks: Callable[[DataFrame], DataFra
     base = shared_table(scored.withColumn("has_aml", flag).select("doc_id", "chunk_idx", "text", "has_aml", names.alias("names")),
                         "tagged-chunks")
     each = base.select("doc_id", "chunk_idx", "text", F.explode("names").alias("name")).filter(name_ok("name"))
-    each = each.select("doc_id", "chunk_idx", "text", "name", F.explode(mention_spans("text", "name")).alias("m"))
+    each = each.select("doc_id", "chunk_idx", "text", "name", F.explode_outer(mention_spans("text", "name")).alias("m")).filter(F.col("m").isNotNull())
     sentence = mention_sentence(F.col("text"), F.col("m.start"), F.col("m.end"), sentence_marks)
     mentions = score_mentions(each.select("doc_id", "chunk_idx", "name", F.col("m.start").alias("start"),
                                           pair_text(F.col("name"), sentence).alias("text")))
