@@ -158,7 +158,7 @@ TAGS = (CHUNKS_CTE, ALL_SPANS_CTE, TAGSEQ_CTE, KEYED)
 @register("k4_viterbi_decode")
 def q_viterbi(spark, sf_dir):
     """K4: every chunk decoded with the K3 model of all chunks, in whole millionths."""
-    seqs = Q.tag_sequences(spark, sf_dir)
+    seqs = Q.tag_blocks(spark, sf_dir)
     got = MD.fit_tagger(seqs, scale=MD.SCALE).decode(seqs, CHUNK)
     return got.select(*CHUNK, F.array_join("pred", " ").alias("tags"))
 
@@ -168,7 +168,7 @@ SELECT k[1] AS doc_id, k[2] AS chunk_idx, string_agg(tag, ' ' ORDER BY j) AS tag
 
 
 def log_likelihoods(spark, sf_dir) -> DataFrame:
-    seqs = Q.tag_sequences(spark, sf_dir)
+    seqs = Q.tag_blocks(spark, sf_dir)
     got = MD.fit_tagger(seqs).log_likelihoods(seqs, CHUNK)
     return got.select(*CHUNK, "score", (F.col("score") - F.col("z")).alias("log_likelihood"))
 
@@ -226,11 +226,11 @@ def part_of(doc_id: str = "doc_id") -> Column:
 
 def decoded_parts(spark, sf_dir) -> DataFrame:
     """``(part, doc_id, chunk_idx, tokens, tags, pred)`` of dev and test, K3 on train, K4, without the leading ``[CLS]``; written once."""
-    seqs = shared_table(Q.tag_sequences(spark, sf_dir).withColumn("part", part_of()), "tag-sequences")
+    seqs = Q.tag_blocks(spark, sf_dir).withColumn("part", part_of())
     model = MD.fit_tagger(seqs.where(F.col("part") == "train"), scale=MD.SCALE)
     apply = seqs.where(F.col("part") != "train")
     rest = lambda c: F.slice(c, F.lit(2), F.size(c)).alias(c)
-    both = apply.join(model.decode(apply, CHUNK), list(CHUNK))
+    both = model.decode(apply, CHUNK, keep=("part", "tokens", "tags"))
     return shared_table(both.select("part", *CHUNK, rest("tokens"), rest("tags"), rest("pred")), "decoded-tags")
 
 
@@ -352,7 +352,7 @@ SELECT k[1] AS doc_id, k[2] AS chunk_idx, frame, intent, slot, labels, pred_labe
 @register("k11_evaluate_names")
 def q_evaluate_names(spark, sf_dir):
     """Gold lines of the test part (A3), names by a tagger trained on the rest (K4, K8), matches (G1) and their rate."""
-    seqs = shared_table(Q.tag_sequences(spark, sf_dir).withColumn("part", part_of()), "tag-sequences")
+    seqs = Q.tag_blocks(spark, sf_dir).withColumn("part", part_of())
     one_line = F.regexp_replace("text", "[\\t\\n\\r]", " ")
     c = Q.chunks(spark, sf_dir).where(part_of() == "test").select(*CHUNK, F.col("chunk").alias("text"))
     gold = S.distinct_texts(S.bio_spans("tokens", "tags", " "), "NAME")
@@ -360,8 +360,8 @@ def q_evaluate_names(spark, sf_dir):
         F.struct(*CHUNK).alias("line_no"), F.concat_ws("\t", F.lit("0"), one_line, F.lit("x"), F.array_join("names", ",")).alias("value"))
     wanted = FI.parse_gold_names(lines).select("line_no.*", "names")
     model = MD.fit_tagger(seqs.where(F.col("part") != "test"), scale=MD.SCALE)
-    test = seqs.where(F.col("part") == "test").select(*CHUNK, "tokens")
-    pred = screening.names_of_tags(test.join(model.decode(test, CHUNK), list(CHUNK)).join(c, list(CHUNK)), CHUNK, "tokens", "pred", "text")
+    test = seqs.where(F.col("part") == "test").select(*CHUNK, "tokens", "_block")
+    pred = screening.names_of_tags(model.decode(test, CHUNK, keep=("tokens",)).join(c, list(CHUNK)), CHUNK, "tokens", "pred", "text")
     m = wanted.join(pred.withColumnRenamed("names", "pred"), list(CHUNK)).select(Q.is_match(F.col("pred"), F.col("names")).cast("double").alias("m"))
     return m.agg(r6(F.avg("m")).alias("accuracy"), F.sum("m").cast("long").alias("n_matched"), F.count("*").alias("n"))
 

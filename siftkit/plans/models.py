@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
@@ -115,8 +117,7 @@ def train_tagger(seqs: DataFrame, tokens: str = "tokens", tags: str = "tags"):
     ``unseen`` is the smoothed score of a token never seen with the tag.
     """
     em, tr = tag_counts(seqs, tokens, tags)
-    n_tokens = em.select(F.countDistinct("token")).scalar()
-    n_tags = em.select(F.countDistinct("tag")).scalar()
+    n_tokens, n_tags = em.select(F.countDistinct("token"), F.countDistinct("tag")).first()
     tag_tot = em.groupBy("tag").agg(F.sum("n").alias("n_tag"))
     emissions = em.join(F.broadcast(tag_tot), "tag").select(
         "tag", "token", F.log((F.col("n") + 1) / (F.col("n_tag") + n_tokens)).alias("logp"))
@@ -127,23 +128,95 @@ def train_tagger(seqs: DataFrame, tokens: str = "tokens", tags: str = "tags"):
     return emissions, transitions, unseen
 
 
-def emission_rows(seqs: DataFrame, emissions: DataFrame, unseen: DataFrame, tags: list[str],
-                  keys: tuple[str, ...] = ("doc_id", "chunk_idx"), tokens: str = "tokens") -> DataFrame:
-    """``(*keys, flat)``: each sequence's log emissions, one after the other for every position and tag of ``tags``.
+#: Tokens that a block of sequences holds, about; a task has one block at a time.
+BLOCK_TOKENS = 2_000_000
+#: Between the tokens of a sequence on its way to its block.
+MARK = "\x1f"
+
+
+def dealt_in_blocks(df: DataFrame, keys: tuple[str, ...], n_tokens: int) -> DataFrame:
+    """The rows dealt by key into blocks of about BLOCK_TOKENS, ``_block`` its number; to be written before it is read."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_tokens // BLOCK_TOKENS))
+    return df.repartition(parts, *keys).withColumn("_block", F.spark_partition_id())
+
+
+def in_blocks(seqs: DataFrame, keys: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
+    """The sequences that have tokens, in blocks; written once."""
+    seqs = seqs.where(F.size(tokens) > 0)
+    return shared_table(dealt_in_blocks(seqs, keys, seqs.agg(F.sum(F.size(tokens))).first()[0] or 0), "sequence-blocks")
 
-    A sequence sends each distinct token once, with its places, to the table of emissions.
+
+def over_emissions(seqs: DataFrame, emissions: DataFrame, unseen: DataFrame, tags: list[str], keys: tuple[str, ...], run, out: str,
+                   kind: str, keep: tuple[str, ...] = (), tokens: str = "tokens", merged: bool = True) -> DataFrame:
+    """``(*keys, *keep, out)``: ``run(matrices, table)`` over the log emissions (places times tags) of a block's sequences at once.
+
+    A block sends each distinct token once to the table of emissions, and the rows of a block meet
+    what comes back in one task.  ``merged``: sequences of equal keys are one, place by place.
+    Without ``keep`` a row a key; with it a row a sequence, without those that have a null in their key.
     """
-    at = {t: i for i, t in enumerate(tags)}
     fill = {r["tag"]: r["logp"] for r in unseen.collect()}  # one row a tag
-    vec = emissions.groupBy("token").pivot("tag", tags).agg(F.first("logp"))
-    e = F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(fill[t])) for t in sorted(tags, key=at.get)])
-    t = seqs.select(*keys, F.explode(F.transform(tokens, lambda w, i: F.struct(w.alias("token"), i.alias("pos")))).alias("x"))
-    t = t.groupBy(*keys, F.col("x.token").alias("token")).agg(F.collect_list("x.pos").alias("at"))
-    j = t.join(vec.select("token", e.alias("e")), "token", "left")
-    e = F.coalesce("e", F.array(*[F.lit(fill[t]) for t in tags]))
-    g = j.groupBy(*keys).agg(F.collect_list(F.struct("at", e.alias("e"))).alias("l"))
-    each = F.flatten(F.transform("l", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("pos"), x["e"].alias("e")))))
-    return g.select(*keys, F.flatten(F.transform(F.sort_array(each), lambda x: x["e"])).alias("flat"))
+    e = F.array(*[F.coalesce(F.max(F.when(F.col("tag") == t, F.col("logp"))), F.lit(fill[t])) for t in tags])
+    vec = emissions.groupBy("token").agg(e.alias("e"))
+    rows = seqs.select(*dict.fromkeys((*keys, *keep, tokens, "_block"))).where(F.size(tokens) > 0) if "_block" in seqs.columns else in_blocks(seqs.select(*dict.fromkeys((*keys, *keep, tokens))), keys, tokens)
+    words = rows.select(F.col("_block").alias("_of"), F.col(tokens).alias("token")).mapInArrow(_distinct_words, "_of int, token string")
+    words = words.repartition("token").distinct()  # the parts that the join wants
+    known = words.join(vec, "token").select("_of", "token", "e")
+    missing, k = np.array([[fill[t] for t in tags]]), len(tags)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in (*keys, *keep)]
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        lists, table = pc.split_pattern(pc.coalesce(left.column("_text"), ""), MARK).combine_chunks(), right.combine_chunks()
+        if left.column("_list").null_count < left.num_rows:
+            lists = pa.array([b if a is None else a.split(MARK) for a, b in zip(left.column("_text").to_pylist(), left.column("_list").to_pylist())], pa.list_(pa.string()))
+        vectors = np.concatenate([table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k), missing])
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=table.column("token").combine_chunks()), len(vectors) - 1)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        each = np.split(vectors[at.to_numpy(zero_copy_only=False)], ends[:-1])
+        group, first, of = {}, [], []
+        for i, key in enumerate(zip(*(left.column(c).to_pylist() for c in keys))):
+            if key not in group or not merged:
+                group[key] = len(first)
+                first.append([])
+            of.append(group[key])
+            first[-1 if not merged else group[key]].append(i)
+        done = run([each[g[0]] if len(g) == 1 else _in_places([each[i] for i in g]) for g in first], left.take([g[0] for g in first]))
+        if keep:
+            whole = [i for i in range(len(of)) if all(left.column(c)[i].is_valid for c in keys)]
+    X[done[of[i] if merged else i] for i in whole]
+        else:
+            left = left.take([g[0] for g in first])
+        return pa.table([*(left.column(c) for c in (*keys, *keep)), pa.array(done, pa_kind)], names=[*keys, *keep, out])
+
+    schema = ", ".join([*fields, f"{out} {kind}"])
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+    pa_kind = to_arrow_type(StructType.fromDDL(f"{out} {kind}")[0].dataType)
+    plain = ~F.exists(tokens, lambda w: w.isNull() | w.contains(MARK))
+    sent = rows.select("_block", *dict.fromkeys((*keys, *keep)), F.when(plain, F.array_join(tokens, MARK)).alias("_text"),
+                       F.when(~plain, F.col(tokens)).alias("_list"))
+    return sent.groupBy("_block").cogroup(known.groupBy("_of")).applyInArrow(block, schema)
+
+
+def _distinct_words(batches):
+    """The distinct tokens of each block in a batch of sequences."""
+    for batch in batches:
+        lists, of = batch.column("token"), batch.column("_of")
+        n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = pa.table({"_of": of.take(pa.array(np.repeat(np.arange(len(n)), n))), "token": lists.flatten()})
+        yield from flat.group_by(["_of", "token"]).aggregate([]).combine_chunks().to_batches()
+
+
+def _in_places(ems: list[np.ndarray]) -> np.ndarray:
+    """Several sequences as one, place by place; at a place by their scores."""
+    e, at = np.concatenate(ems), np.concatenate([np.arange(len(x)) for x in ems])
+    return e[np.lexsort((*e.T[::-1], at))]
+
+
+def emission_rows(seqs: DataFrame, emissions: DataFrame, unseen: DataFrame, tags: list[str],
+                  keys: tuple[str, ...] = ("doc_id", "chunk_idx"), tokens: str = "tokens") -> DataFrame:
+    """``(*keys, flat)``: each sequence's log emissions, one after the other for every position and tag of ``tags``."""
+    return over_emissions(seqs, emissions, unseen, tags, keys, lambda ems, _: [x.ravel() for x in ems], "flat", "array<double>", tokens=tokens)
 
 
 def tag_matrix(transitions: DataFrame, tags: list[str], start: str, never: float = NEVER) -> tuple[np.ndarray, np.ndarray]:
@@ -171,28 +244,32 @@ class Tagger:
     def emission_rows(self, seqs: DataFrame, keys: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
         return emission_rows(seqs, self.emissions, self.unseen, self.tags, keys, tokens)
 
-    def decode(self, seqs: DataFrame, keys: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
-        """K4: ``(*keys, pred)``, the best tags of each sequence, the first best on ties."""
-        paths = over_rows(self.emission_rows(seqs, keys, tokens), viterbi_all(self.matrix, self.start), "path", "array<int>", at_once=True)
+    def over_emissions(self, seqs: DataFrame, keys: tuple[str, ...], run, out: str, kind: str, **how) -> DataFrame:
+        return over_emissions(seqs, self.emissions, self.unseen, self.tags, keys, run, out, kind, **how)
+
+    def decode(self, seqs: DataFrame, keys: tuple[str, ...], tokens: str = "tokens", keep: tuple[str, ...] = ()) -> DataFrame:
+        """K4: ``(*keys, *keep, pred)``, the best tags of each sequence, the first best on ties."""
+        best = viterbi_all(self.matrix, self.start)
+        paths = self.over_emissions(seqs, keys, lambda ems, _: best(ems), "path", "array<int>", keep=keep, tokens=tokens)
         names = F.array(*[F.lit(t) for t in self.tags])
-        return paths.select(*keys, F.transform("path", lambda i: F.get(names, i)).alias("pred"))
+        return paths.select(*keys, *keep, F.transform("path", lambda i: F.get(names, i)).alias("pred"))
 
     def log_likelihoods(self, seqs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         """K5: ``(*keys, score, z)``, the score of each sequence's own ``tags`` and the normaliser over all paths.
 
         One pass over the emissions gives both.
         """
-        at = F.create_map(*[x for i, t in enumerate(self.tags) for x in (F.lit(t), F.lit(i))])
-        own = seqs.select(*keys, F.transform("tags", lambda t: F.try_element_at(at, t)).alias("own"))
-        rows = self.emission_rows(seqs, keys).join(own, list(keys)).withColumn("x", F.struct("flat", "own")).drop("flat", "own")
-        forward, matrix, k = normaliser(self.matrix, self.start), self.matrix, len(self.tags)
+        forward, matrix, at = normaliser_all(self.matrix, self.start), self.matrix, F.create_map(*[x for i, t in enumerate(self.tags) for x in (F.lit(t), F.lit(i))])
 
-        def both(x) -> list[float]:
-            flat, path = np.asarray(x["flat"], dtype=float), np.asarray(x["own"])
-            em = flat.reshape(-1, k)
-            return [float(em[np.arange(len(em)), path].sum() + matrix[path[:-1], path[1:]].sum()), forward(flat)]
+        def score(em: np.ndarray, own: list[int]) -> float:
+            path = np.array(own)
+            return float(em[np.arange(len(em)), path].sum() + matrix[path[:-1], path[1:]].sum())
 
-        done = over_rows(rows, both, "r", "array<double>", "x")
+        def both(ems, rows) -> list[list[float]]:
+            return [[score(em, own), z] for em, own, z in zip(ems, rows.column("own").to_pylist(), forward(ems))]
+
+        own = seqs.withColumn("own", F.transform("tags", lambda t: F.try_element_at(at, t)))
+        done = self.over_emissions(own, keys, both, "r", "array<double>", keep=("own",), merged=False)
         return done.select(*keys, F.get("r", 0).alias("score"), F.get("r", 1).alias("z"))
 
 
@@ -213,20 +290,24 @@ def normaliser_udf(transitions: np.ndarray, start: np.ndarray):
 
 def normaliser(trans: np.ndarray, st: np.ndarray):
     """The forward algorithm over one flattened emission matrix."""
-    n_tags = trans.shape[0]
+    every = normaliser_all(trans, st)
+    return lambda flat: every([flat])[0]
 
-    def forward(flat) -> float:
-        em = np.asarray(flat, dtype=float).reshape(-1, n_tags)
-        if len(em) == 0:
-            return 0.0
-        score = st + em[0]
-        for row in em[1:]:
-            cand = score[:, None] + trans
-            top = cand.max(axis=0)
-            score = top + np.log(np.exp(cand - top).sum(axis=0)) + row
-        return float(score.max() + np.log(np.exp(score - score.max()).sum()))
 
-    return forward
+def normaliser_all(trans: np.ndarray, st: np.ndarray):
+    """The forward algorithm over many emission matrices, one numpy step a position for all of them; 0 for an empty one."""
+    def run(ems: list[np.ndarray]) -> list[float]:
+        padded, _, alive = padded_run(ems)
+        score = st + padded[:, 0]
+        for i in range(1, padded.shape[1]):
+            n = alive[i]
+            cand = score[:n, :, None] + trans
+            top = cand.max(axis=1)
+            score[:n] = top + np.log(np.exp(cand - top[:, None, :]).sum(axis=1)) + padded[:n, i]
+        top = score.max(axis=1)
+        return (top + np.log(np.exp(score - top[:, None]).sum(axis=1))).tolist()
+
+    return by_length(run, trans.shape[0], 0.0)
 
 
 def viterbi_udf(transitions: np.ndarray, start: np.ndarray):
@@ -251,20 +332,39 @@ def viterbi(trans: np.ndarray, st: np.ndarray):
 HELD = 4_000_000
 
 
-def viterbi_all(trans: np.ndarray, st: np.ndarray):
-    """The decoder of many flattened emission matrices, one numpy step a position for all of them.
+def padded_run(ems: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrices, longest first, as one padded array; their lengths; how many are longer than each position."""
+    lengths = np.array([len(e) for e in ems])
+    padded = np.zeros((len(ems), lengths[0], ems[0].shape[1]))
+    for row, e in zip(padded, ems):
+        row[:len(e)] = e
+    return padded, lengths, np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+
+
+def by_length(run, k: int, empty):
+    """``run`` over many flattened emission matrices of ``k`` tags, and ``empty`` for one without places.
 
     The sequences go through sorted by length, longest first, in runs of at most HELD emissions
     as padded, so those that still have a position are always the first rows.
     """
-    k = trans.shape[0]
+    def each(flats) -> list:
+        ems = [np.asarray(f, dtype=float).reshape(-1, k) for f in flats]
+        order = sorted((i for i, e in enumerate(ems) if len(e)), key=lambda i: -len(ems[i]))
+        out: list = [empty for _ in ems]
+        while order:
+            n = max(1, HELD // (len(ems[order[0]]) * k))
+            now, order = order[:n], order[n:]
+            for i, got in zip(now, run([ems[i] for i in now])):
+                out[i] = got
+        return out
+
+    return each
+
 
+def viterbi_all(trans: np.ndarray, st: np.ndarray):
+    """The decoder of many flattened emission matrices, one numpy step a position for all of them."""
     def run(ems: list[np.ndarray]) -> list[list[int]]:
-        lengths = np.array([len(e) for e in ems])
-        padded = np.zeros((len(ems), lengths[0], k))
-        for row, e in zip(padded, ems):
-            row[:len(e)] = e
-        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # rows longer than a position
+        padded, lengths, alive = padded_run(ems)
         back = np.zeros(padded.shape, np.int32)
         score = st + padded[:, 0]
         for i in range(1, lengths[0]):
@@ -281,18 +381,7 @@ def viterbi_all(trans: np.ndarray, st: np.ndarray):
                 at[:n] = back[np.arange(n), i, at[:n]]
         return [path[:n].tolist() for path, n in zip(paths, lengths)]
 
-    def decode(flats) -> list[list[int]]:
-        ems = [np.asarray(f, dtype=float).reshape(-1, k) for f in flats]
-        order = sorted((i for i, e in enumerate(ems) if len(e)), key=lambda i: -len(ems[i]))
-        out: list[list[int]] = [[] for _ in ems]
-        while order:
-            n = max(1, HELD // (len(ems[order[0]]) * k))
-            now, order = order[:n], order[n:]
-            for i, path in zip(now, run([ems[i] for i in now])):
-                out[i] = path
-        return out
-
-    return decode
+    return by_length(run, trans.shape[0], [])
 
 
 def _over_column(one, kind):
@@ -303,18 +392,6 @@ def _over_column(one, kind):
     return run
 
 
-def over_rows(rows: DataFrame, one, out: str, kind: str, column: str = "flat", at_once: bool = False) -> DataFrame:
-    """``rows`` with ``column`` replaced by ``out = one(column)``, Arrow batch by batch; ``at_once``: ``one`` takes and gives a list."""
-    kept = [f for f in rows.schema.fields if f.name != column]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{out} {kind}"])
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf[[f.name for f in kept]].assign(**{out: pd.Series(one(pdf[column]), pdf.index, dtype=object) if at_once else pdf[column].map(one)})
-
-    return rows.mapInPandas(run, schema)
-
-
 def path_score(emission_sum: Column, transition_sum: Column) -> Column:
     """K5: score of a given path = summed emissions + summed transitions."""
     return emission_sum + transition_sum
