@@ -85,7 +85,9 @@ class WordPieceTrie:
 
 _tries: dict[str, tuple[WordPieceTrie, dict]] = {}
 #: Words a worker remembers; beyond that it walks the trie anew.
-MAX_KNOWN = 500_000
+MAX_KNOWN = 50_000
+#: Words of a batch that are encoded at a time, about.
+WORDS_HELD = 200_000
 
 
 def _trie(shared) -> tuple[WordPieceTrie, dict]:
@@ -128,6 +130,37 @@ def encode_lists(lists: pa.ListArray, trie: WordPieceTrie, known: dict) -> pa.Li
     return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
 
 
+def slices(batch: pa.RecordBatch, *words: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about WORDS_HELD words, so that memory does not follow the length of the texts."""
+    if batch.num_rows == 0:
+        yield batch
+        return
+    n = sum(batch.column(w).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for w in words)
+    run = (np.cumsum(n) - n) // WORDS_HELD
+    starts = np.concatenate([np.flatnonzero(np.diff(run, prepend=-1)), [batch.num_rows]])
+    for a, b in zip(starts[:-1], starts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def with_flat_ids(df: DataFrame, outs: dict[str, str], shared) -> DataFrame:
+    """``df``, each array column of words in ``outs`` replaced by the ids of its words' pieces, one after the other."""
+    kept = [f for f in df.schema.fields if f.name not in outs]
+    schema = StructType([*kept, *(StructField(o, ArrayType(IntegerType())) for o in outs.values())])
+
+    def flat(lists: pa.ListArray) -> pa.ListArray:
+        inner = lists.values
+        return pa.ListArray.from_arrays(inner.offsets.take(lists.offsets), inner.values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, known = _trie(shared)
+        for batch in batches:
+            for part in slices(batch, *outs):
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(f.name) for f in kept), *(flat(encode_lists(part.column(w), trie, known)) for w in outs)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def with_piece_ids(df: DataFrame, words: str, shared, out: str = "word_ids") -> DataFrame:
     """``df`` with ``out``, for each word of the array column ``words`` the ids of its pieces; no row moves.
 
@@ -138,8 +171,9 @@ def with_piece_ids(df: DataFrame, words: str, shared, out: str = "word_ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = _trie(shared)
         for batch in batches:
-            ids = encode_lists(batch.column(words), trie, known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            for part in slices(batch, words):
+                ids = encode_lists(part.column(words), trie, known)
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
