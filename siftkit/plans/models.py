@@ -183,7 +183,7 @@ def over_emissions(seqs: DataFrame, emissions: DataFrame, unseen: DataFrame, tag
         done = run([each[g[0]] if len(g) == 1 else _in_places([each[i] for i in g]) for g in first], left.take([g[0] for g in first]))
         if keep:
             whole = [i for i in range(len(of)) if all(left.column(c)[i].is_valid for c in keys)]
-    X[done[of[i] if merged else i] for i in whole]
+            left, done = left.take(pa.array(whole, pa.int64())), [done[of[i] if merged else i] for i in whole]
         else:
             left = left.take([g[0] for g in first])
         return pa.table([*(left.column(c) for c in (*keys, *keep)), pa.array(done, pa_kind)], names=[*keys, *keep, out])
